@@ -1,11 +1,12 @@
 """Benchmark decontamination: BM25 with block-max WAND over test items, queried with every passage of every text.
 
 Index: the items' words with BM25 weights, each item's weights divided by its score against itself, so that one threshold
-holds for all. Postings are in blocks with their largest weight. A passage is a window of words, twice as long as the
-longest item and overlapping its neighbours by half, so each copy of an item lies within one. A passage's words are looked
-up in the index all at once; where the largest weights of its words can't add up to the threshold, WAND has no pivot and
-the passage is done. The others go through the postings by pivots and block maxima, and every item at or above the
-threshold is retrieved. A retrieved item counts if its question (all but the last sentence) and its answer (the last
+holds for all. Items are in blocks, and of each block every term's largest weight is kept. Of a block's terms the slightest,
+whose block maxima together stay below half the threshold, are not essential. A passage is a window of words, twice as long
+as the longest item and overlapping its neighbours by half, so each copy of an item lies within one. For all passages of a
+block of texts at once, the block maxima of their essential terms are added up; a block of items is skipped, as block-max
+WAND skips it, unless these and all that its other terms could add reach the threshold. Items of the blocks that are left
+are scored exactly, and every item at or above the threshold is retrieved. A retrieved item counts if its question (all but the last sentence) and its answer (the last
 sentence, or the last quarter where there is one sentence) both overlap with the passage: of the question's shingles and of
 the answer's words the shares `question` and `answer` at least.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ QUESTION, ANSWER = 0.5, 0.6
 SHARD_ITEMS = 20_000
 #: Items beyond so many words are indexed in parts of so many.
 LONGEST = 256
-BLOCK = 16
+#: Items of a block.
+BLOCK = 4
 
 
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
@@ -61,66 +63,37 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(parts[:cut]) or text, " ".join(parts[cut:])
 
 
+@dataclass
+class Block:
+    """Some neighbouring items: their terms (positions in the index) and each term's weight for each item."""
+
+    first: int
+    terms: np.ndarray
+    weights: np.ndarray
+    spare: float
+
+
 @dataclass
 class Index:
-    """Postings of a shard of items, by term; weights are shares of the item's score against itself."""
+    """Blocks of a shard of items, and the postings of their essential terms; weights are shares of an item's score against itself."""
 
     items: list
     terms: Members
+    blocks: list[Block]
+    essential: Members
     start: np.ndarray
-    item: np.ndarray
-    weight: np.ndarray
-    block_max: list[np.ndarray]
+    block: np.ndarray
     most: np.ndarray
+    need: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
     stride: int
+    threshold: float
     k: int = 3
-    cursors: dict = field(default_factory=dict)
-
-    def retrieve(self, query: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Every (item, score) at or above the threshold for distinct term positions, by block-max WAND."""
-        lists = [[0, self.item[self.start[t] : self.start[t + 1]], self.weight[self.start[t] : self.start[t + 1]], float(self.most[t]), self.block_max[t]] for t in query.tolist()]
-        out = []
-        end = len(self.items)
-        while True:
-            lists = [x for x in lists if x[0] < len(x[1])]
-            lists.sort(key=lambda x: x[1][x[0]])
-            bound, pivot = 0.0, -1
-            for i, x in enumerate(lists):
-                bound += x[3]
-                if bound >= threshold - 1e-9:
-                    pivot = i
-                    break
-            if pivot < 0:
-                return out
-            target = int(lists[pivot][1][lists[pivot][0]])
-            while pivot + 1 < len(lists) and lists[pivot + 1][1][lists[pivot + 1][0]] == target:
-                pivot += 1
-            # Block maxima of the blocks that would hold the pivot's item.
-            at = [x[0] + int(np.searchsorted(x[1][x[0] :], target)) for x in lists[: pivot + 1]]
-            tight = sum(float(x[4][i // BLOCK]) for x, i in zip(lists, at, strict=False) if i < len(x[1]))
-            if tight >= threshold - 1e-9:
-                score = 0.0
-                for x, i in zip(lists, at, strict=False):
-                    if i < len(x[1]) and x[1][i] == target:
-                        score += float(x[2][i])
-                        i += 1
-                    x[0] = i
-                if score >= threshold - 1e-9:
-                    out.append((target, score))
-            else:
-                # No item before the nearest end of these blocks can reach the threshold.
-                ends = [int(x[1][min(len(x[1]), (i // BLOCK + 1) * BLOCK) - 1]) + 1 for x, i in zip(lists, at, strict=False) if i < len(x[1])]
-                after = int(lists[pivot + 1][1][lists[pivot + 1][0]]) if pivot + 1 < len(lists) else end
-                goal = max(target + 1, min([*ends, after]))
-                for x in lists[: pivot + 1]:
-                    x[0] += int(np.searchsorted(x[1][x[0] :], goal))
 
-    def hits(self, data: np.ndarray, at: np.ndarray, threshold: float, question: float, answer: float) -> Iterator[tuple[int, int, int, float, float, float]]:
-        """(row, item, first word, score, question overlap, answer overlap) of the verified items of each text."""
-        w = words(data, at, WORD_CHARS)
-        place, term = self.terms.find(w.hash)
+    def candidates(self, w) -> Iterator[tuple[int, int, int]]:
+        """(row, window, block) where the essential terms' block maxima, and all that the other terms of the block could add, reach the threshold."""
+        place, term = self.essential.find(w.hash)
         if not len(place):
             return
         row = np.searchsorted(w.row_start, place, "right") - 1
@@ -128,22 +101,36 @@ class Index:
         # A word is in the window that begins with its stretch and in the one before.
         r, win, t = np.r_[row, row], np.r_[window, window - 1], np.r_[term, term]
         keep = win >= 0
-        width = int(win.max(initial=0)) + 1
-        n = len(self.most)
+        width, n = int(win.max(initial=0)) + 1, len(self.start) - 1
         code = np.unique((r[keep].astype(np.int64) * width + win[keep]) * n + t[keep])
         passage, t = np.divmod(code, n)
-        first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-        bound = np.add.reduceat(self.most[t], first)
-        cut = np.r_[first, len(t)]
-        for j in np.flatnonzero(bound >= threshold - 1e-9).tolist():
-            r, win = divmod(int(passage[cut[j]]), width)
+        many = self.start[t + 1] - self.start[t]
+        at = np.repeat(self.start[t] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        pair = np.repeat(passage, many) * len(self.blocks) + self.block[at]
+        order = np.argsort(pair, kind="stable")
+        pair, bound = pair[order], self.most[at][order]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        enough = np.add.reduceat(bound, first) >= self.need[pair[first] % len(self.blocks)] - 1e-9
+        for x in pair[first][enough].tolist():
+            p, b = divmod(x, len(self.blocks))
+            yield *divmod(p, width), b
+
+    def hits(self, data: np.ndarray, at: np.ndarray, threshold: float, question: float, answer: float) -> Iterator[tuple[int, int, int, float, float, float]]:
+        """(row, item, first word, score, question overlap, answer overlap) of the verified items of each text."""
+        w = words(data, at, WORD_CHARS)
+        for r, win, b in self.candidates(w):
             lo = int(w.row_start[r]) + win * self.stride
-            for item, score in self.retrieve(t[cut[j] : cut[j + 1]], threshold):
-                own = w.hash[lo : min(int(w.row_start[r + 1]), lo + 2 * self.stride)]
+            own = w.hash[lo : min(int(w.row_start[r + 1]), lo + 2 * self.stride)]
+            block = self.blocks[b]
+            query = np.unique(self.terms.find(own)[1])
+            i = np.minimum(np.searchsorted(block.terms, query), len(block.terms) - 1)
+            score = block.weights[i[block.terms[i] == query]].sum(axis=0)
+            for j in np.flatnonzero(score >= threshold - 1e-9).tolist():
+                item = block.first + j
                 q = float(np.isin(self.question[item], _rolled(own, min(self.k, len(own)))).mean())
                 a = float(np.isin(self.answer[item], own).mean())
                 if q >= question and a >= answer:
-                    yield r, item, win * self.stride, min(score, 1.0), q, a
+                    yield r, item, win * self.stride, min(float(score[j]), 1.0), q, a
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -177,8 +164,8 @@ def item_parts(items: DataFrame, item_key: str, text: str, question: str | None,
     return kept.mapInArrow(run, f"item_id {kept.schema['item_id'].dataType.simpleString()}, part int, words array<long>, question array<long>, answer array<long>")
 
 
-def build_indexes(items: DataFrame, item_key: str = "item_id", text: str = "text", question: str | None = None, answer: str | None = None) -> Iterator[Index]:
-    """Indexes of all items, a shard at a time."""
+def build_indexes(items: DataFrame, item_key: str = "item_id", text: str = "text", question: str | None = None, answer: str | None = None, threshold: float = THRESHOLD) -> Iterator[Index]:
+    """Indexes of all items for a threshold, a shard at a time."""
     parts = written(item_parts(items, item_key, text, question, answer), "items")
     total = parts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words"), F.max(F.size("words")).alias("longest")).first()
     if not total["n"]:
@@ -197,38 +184,58 @@ def build_indexes(items: DataFrame, item_key: str = "item_id", text: str = "text
         df = {r["term"]: r["df"] for r in frequency.join(own.select(F.explode("words").alias("term")).distinct(), "term").collect()}
         terms = sorted(df)
         number = {t: i for i, t in enumerate(terms)}
-        postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for i, r in enumerate(rows):
+        weights = []
+        for r in rows:
             tf: dict[int, int] = {}
             for t in r["words"]:
                 tf[t] = tf.get(t, 0) + 1
             length = K1 * (1 - B + B * len(r["words"]) / mean)
-            w = {t: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + length) for t, f in tf.items()}
-            own_score = sum(w.values())
-            for t, x in w.items():
-                postings[number[t]].append((i, x / own_score))
-        weights = [np.array([x for _, x in p]) for p in postings]
+            w = {number[t]: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + length) for t, f in tf.items()}
+            whole = sum(w.values())
+            weights.append({t: x / whole for t, x in w.items()})
+        cut = [_block(weights, lo, threshold) for lo in range(0, len(rows), BLOCK)]
+        postings: dict[int, list[tuple[int, float]]] = {}
+        for b, (_, essential) in enumerate(cut):
+            for t, x in essential:
+                postings.setdefault(t, []).append((b, x))
+        held = sorted(postings)
+        flat = [x for t in held for x in postings[t]]
         yield Index(
             items=[r["item_id"] for r in rows],
             terms=Members(np.array(terms, np.int64).view(np.uint64)),
-            start=np.r_[0, np.cumsum([len(p) for p in postings])],
-            item=np.array([i for p in postings for i, _ in p], np.int64),
-            weight=np.concatenate(weights),
-            block_max=[np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in weights],
-            most=np.array([x.max() for x in weights]),
+            blocks=[x for x, _ in cut],
+            essential=Members(np.array([terms[t] for t in held], np.int64).view(np.uint64)),
+            start=np.r_[0, np.cumsum([len(postings[t]) for t in held])].astype(np.int64),
+            block=np.array([b for b, _ in flat], np.int64),
+            most=np.array([x for _, x in flat]),
+            need=np.array([threshold - x.spare for x, _ in cut]),
             question=[np.array(r["question"], np.int64).view(np.uint64) for r in rows],
             answer=[np.array(r["answer"], np.int64).view(np.uint64) for r in rows],
             stride=stride,
+            threshold=threshold,
         )
 
 
+def _block(weights: list[dict[int, float]], lo: int, threshold: float) -> tuple[Block, list[tuple[int, float]]]:
+    """A block of items, and its essential terms with their block maxima: all but the slightest, which together stay below half the threshold."""
+    own = weights[lo : lo + BLOCK]
+    terms = sorted(set().union(*own))
+    table = np.array([[w.get(t, 0.0) for w in own] for t in terms])
+    most = table.max(axis=1)
+    order = np.argsort(most, kind="stable")
+    total = np.cumsum(most[order])
+    slight = int(np.searchsorted(total, threshold / 2, "right"))
+    spare = float(total[slight - 1]) if slight else 0.0
+    return Block(lo, np.array(terms, np.int64), table, spare), [(terms[i], float(most[i])) for i in order[slight:].tolist()]
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, **item_columns) -> DataFrame:
     """doc_id, item_id, first_word (of the passage), score, question_overlap and answer_overlap: the best passage of each text for each item that it holds."""
     kept = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     kinds = {n: f.schema[c].dataType.simpleString() for n, f, c in (("doc_id", docs, key), ("item_id", items, item_columns.get("item_key", "item_id")))}
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, first_word long, score double, question_overlap double, answer_overlap double"
     found = docs.sparkSession.createDataFrame([], schema)
-    for index in build_indexes(items, **item_columns):
+    for index in build_indexes(items, threshold=threshold, **item_columns):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -249,7 +256,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", thr
     """The rows of docs that hold no item; nothing is shuffled."""
     (plain,) = fresh(docs.columns, "plain_text")
     columns = docs.columns
-    for index in build_indexes(items, **item_columns):
+    for index in build_indexes(items, threshold=threshold, **item_columns):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,10 @@ others), exactly, by the shingle sets themselves. Components of these links are
 isn't that of the bucket's majority are then held against the members of other components. So every pair that may link is
 either compared or known to be in one component already.
 
+No pair is formed that a parity sketch rules out: each bit of a set's sketch is the parity of the number of its shingles
+that hash to the bit, so two sketches differ in no more bits than the sets differ in shingles, and a pair whose sketches
+differ in more than H bits can't link.
+
 Hashes of shingles and sets have 64 bits; equal hashes are taken as equal shingles.
 
 Null and blank texts have an empty set (n_shingles 0) and are linked with nothing, not even each other. A row without
@@ -47,6 +51,8 @@ FALSE_COST = 4_000.0
 SHARED = 0.75
 #: Up to so many ids of candidates are broadcast to read their texts again; beyond, they are joined by shuffle.
 BROADCAST_IDS = 400_000
+#: Longs of a parity sketch.
+SKETCH = 8
 
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -123,29 +129,36 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH longs of parities."""
+    bit = (mix(shingles ^ _C1 ^ _C2) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.uint64)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return pa.LargeListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64), pa.array(signed(flat))).cast(pa.list_(pa.int64()))
 
 
 def sketch(docs: DataFrame, key: str, text: str, k: int, least: int, per: int) -> DataFrame:
-    """doc_id, n, set (hash of the whole set), own and next (signatures in the set's band and, where larger sets may link, in the next)."""
-    kept = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    """doc_id, text_hash, n, set (hash of the whole set), bits (its parity sketch), own and next (signatures in the set's band and, where larger sets may link, in the next)."""
+    kept = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(text, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in blocks(batch, "text"):
-                n, whole, own, after = [], [], [], []
+                n, whole, bits, own, after = [], [], [], [], []
                 for s in shingle_sets(data, at, k):
                     size = len(s)
                     n.append(size)
                     whole.append(int(mix(np.sum(mix(s ^ _C2), dtype=np.uint64).reshape(1) ^ np.uint64(size))[0]))
+                    bits.append(parity_sketch(s))
                     i = band_of(size, least, per)
                     own.append(signatures(s, i, least, per))
                     after.append(signatures(s, i + 1, least, per) if size and per * size >= least * (band(i, least, per)[1] + 1) else s[:0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int32()), pa.array(signed(np.array(whole, np.uint64))), _lists(own), _lists(after)], ["doc_id", "n", "set", "own", "next"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int32()), pa.array(signed(np.array(whole, np.uint64))), _lists(bits), _lists(own), _lists(after)], ["doc_id", "text_hash", "n", "set", "bits", "own", "next"])
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n int, set long, own array<long>, next array<long>")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text_hash long, n int, set long, bits array<long>, own array<long>, next array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, least: int, per: int) -> DataFrame:
@@ -156,8 +169,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, least: int, per: int) -> DataFr
     return both.filter(per * common >= least * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = LEAST, per: int = PER) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of docs."""
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = LEAST, per: int = PER) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, text_hash, n and set of every row, and set and root (the name of its component) of the sets that are linked."""
     each = written(sketch(docs, key, text, k, least, per), "sketches")
     filled = each.filter("n > 0")
     classes = filled.groupBy("set").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("next").alias("next"))
@@ -167,33 +180,64 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     shared = emitted.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("largest")).filter("members > 1 and largest > 0").select("sig", "members")
     buckets = written(emitted.join(shared, "sig"), "buckets")
 
-    degree = buckets.groupBy("set").agg(F.sum(F.col("members") - 1).alias("degree"))
-    ranked = written(buckets.join(degree, "set").select("sig", "set", "n", "degree"), "ranked")
-    fits = lambda x, y: (F.abs(x) * per >= F.abs(y) * least) & (F.abs(y) * per >= F.abs(x) * least)
-    hubs = ranked.filter("n > 0").groupBy("sig").agg(F.max(F.struct("degree", "set", "n")).alias("hub")).select("sig", F.col("hub.set").alias("hub"), F.col("hub.n").alias("hub_n"))
-    order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = written(ranked.join(hubs, "sig").filter((F.col("set") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(*order(F.col("set"), F.col("hub"))).distinct(), "pairs")
+    bits = [f"k{i}" for i in range(SKETCH)]
+    about = buckets.groupBy("set").agg(F.sum(F.col("members") - 1).alias("degree"))
+    sketches = filled.groupBy("set").agg(F.first("bits").alias("bits")).select("set", *[F.get("bits", F.lit(i)).alias(k) for i, k in enumerate(bits)])
+    about = written(about.join(sketches, "set"), "about")
+    ranked = written(buckets.join(about, "set").select("sig", "set", "n", "degree", *bits), "ranked")
+    hubs = ranked.filter("n > 0").groupBy("sig").agg(F.max(F.struct("degree", "set", "n", *bits)).alias("hub")).select("sig", F.col("hub.set").alias("x"), F.col("hub.n").alias("x_n"), *[F.col(f"hub.{k}").alias(f"x_{k}") for k in bits])
+    order = (F.least("set", "x").alias("a"), F.greatest("set", "x").alias("b"))
+    differ = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"x_{k}"))) for k in bits), F.lit(0))
+    m, x = F.abs("n"), F.abs("x_n")
+    possible = (F.col("set") != F.col("x")) & (m * per >= x * least) & (x * per >= m * least) & (differ * (per + least) <= (m + x) * (per - least))
+    first = written(ranked.join(hubs, "sig").filter(possible).select(*order).distinct(), "pairs")
 
     sets = written(_candidate_sets(docs, each, ranked, key, text, k), "sets")
     links = written(_compared(first, sets, least, per), "links")
     roots = components(links)
     rooted = ranked.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    rooted = written(rooted.select("sig", "set", "n", "root"), "rooted")
+    rooted = written(rooted.drop("degree"), "rooted")
     by_root = rooted.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("sig", F.col("m.root").alias("major"))
     split = written(rooted.join(by_root, "sig"), "split")
-    odd = split.filter("root != major").select("sig", F.col("set").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    second = odd.join(split, "sig").filter((F.col("root") != F.col("x_root")) & ((F.col("n") > 0) | (F.col("x_n") > 0)) & fits(F.col("n"), F.col("x_n"))).select(*order(F.col("set"), F.col("x"))).distinct()
+    odd = split.filter("root != major").select("sig", F.col("set").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"), *[F.col(k).alias(f"x_{k}") for k in bits])
+    second = odd.join(split, "sig").filter(possible & (F.col("root") != F.col("x_root")) & ((F.col("n") > 0) | (F.col("x_n") > 0))).select(*order).distinct()
     more = _compared(written(second.join(first, ["a", "b"], "left_anti"), "pairs"), sets, least, per)
     roots = components(links.unionByName(more))
 
-    named = filled.select("doc_id", "set").join(roots.withColumnRenamed("node", "set"), "set", "left").select("doc_id", F.coalesce("root", "set").alias("root"), "set")
-    named = named.groupBy("root", "set").agg(F.min("doc_id").alias("m"))
+    return each.select("doc_id", "text_hash", "n", "set"), roots.withColumnRenamed("node", "set")
+
+
+def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = LEAST, per: int = PER) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of docs."""
+    each, roots = groups(docs, key, text, k, least, per)
+    filled = each.filter("n > 0")
+    named = filled.groupBy("set").agg(F.min("doc_id").alias("m")).join(roots, "set", "left").select("set", "m", F.coalesce("root", "set").alias("root"))
     smallest = named.groupBy("root").agg(F.min("m").alias("component_id"))
     of_set = named.select("root", "set").join(smallest, "root").select("set", "component_id")
     out = filled.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set").join(of_set, "set").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(each.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with one row of each component: that with the smallest id (a row without id only if there is no other). Rows with empty sets all stay."""
+    each, roots = groups(docs, key, text, **how)
+    rows = each.filter("n > 0").join(roots, "set", "left").select("doc_id", "text_hash", F.coalesce("root", "set").alias("root"))
+    rows = rows.withColumn("name", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
+    kept = rows.groupBy("root").agg(F.min("name").alias("kept"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("root", "kept")
+    members = written(rows.join(kept, "root").select("doc_id", "text_hash", F.col("name").eqNullSafe(F.col("kept")).alias("is_kept")), "group-rows")
+    names = (F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    gone = members.filter("not is_kept").select(*names).distinct()
+    twins = members.filter("is_kept").groupBy("doc_id", "text_hash").count().filter("count > 1").select(*names)
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    left = docs.join(small(gone), same, "left_anti")
+    if not twins.limit(1).count():
+        return left
+    twins = small(twins)
+    again = left.join(twins, same, "left_semi").withColumn("__hash", F.xxhash64(text)).dropDuplicates([key, "__hash"]).drop("__hash")
+    return left.join(twins, same, "left_anti").unionByName(again)
+
+
 def _candidate_sets(docs: DataFrame, each: DataFrame, ranked: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """set and shingles (array of hashes) of the classes that are in buckets, from one text of each."""
     wanted = ranked.select("set").distinct()

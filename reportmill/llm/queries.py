@@ -52,6 +52,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
@@ -64,6 +70,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_through_warc(table(spark, sf_dir, "pages"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -123,8 +136,10 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
+    "op7_nearest": op7_nearest,
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_warc": OP9_SQL}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import LETTERS, blocks, signed, words
-from .store import written
+from .store import fresh, written
 
 SAMPLE = 30_000
 SAMPLE_UNLABELLED = 5_000
@@ -144,30 +144,44 @@ def label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, vo
     weight = np.ones(voters)
     p1 = np.where(votes.any(axis=1), 0.8, 0.02)
     correlation = np.zeros((voters, voters))
-    for turn in range(2):
+    for turn in range(3):
         for _ in range(60):
             q = np.where(known, labels, p1)
             m1, m0 = counts * q, counts * (1 - q)
             rate1 = (m1 @ votes + 0.5) / (m1.sum() + 1)
             rate0 = (m0 @ votes + 0.05) / (m0.sum() + 1)
-            odds = np.log(prior / (1 - prior)) + (np.where(votes == 1, np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))) * weight).sum(axis=1)
+            each = np.where(votes == 1, np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))) * weight
+            odds = np.log(prior / (1 - prior)) + each.sum(axis=1)
             new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             moved = np.abs(new - p1).max() if len(new) else 0
             p1 = new
             if moved < 1e-6:
                 break
-        if turn == 0 and total:
-            # What pairs of voters do together within a class, against what their rates say.
-            for m, rate in ((counts * np.where(known, labels, p1), rate1), (counts * (1 - np.where(known, labels, p1)), rate0)):
-                joint = (votes * m[:, None]).T @ votes / max(m.sum(), 1e-9)
-                sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
-                correlation = np.maximum(correlation, (joint - np.outer(rate, rate)) / np.outer(sd, sd))
+        if turn < 2 and total:
+            # What two voters have in common beyond the class, as all other voters (and labels) see it.
+            extra = np.zeros((voters, voters))
+            for i in range(voters):
+                for j in range(i):
+                    rest = np.where(known, labels, 1 / (1 + np.exp(-np.clip(odds - each[:, i] - each[:, j], -30, 30))))
+                    extra[i, j] = extra[j, i] = _residual_correlation(votes[:, i], votes[:, j], rest, counts)
+            usual = np.median(extra[np.triu_indices(voters, 1)]) if voters > 1 else 0.0
+            correlation = np.clip(extra - max(usual, 0.0), 0, 1)
             np.fill_diagonal(correlation, 0)
-            correlation = np.where(correlation > 0.1, np.minimum(correlation, 1), 0)
+            correlation[correlation < 0.1] = 0
             weight = 1 / (1 + correlation.sum(axis=1))
     return {"rates": (rate0, rate1), "correlation": correlation, "weight": weight, "prior": prior, "posterior": p1}
 
 
+def _residual_correlation(a: np.ndarray, b: np.ndarray, q: np.ndarray, n: np.ndarray) -> float:
+    """Correlation of two votes, with counts n, after a straight line in the class probability q is taken off each."""
+    total = max(n.sum(), 1e-9)
+    centre = lambda x: x - (n * x).sum() / total
+    q = centre(q)
+    left = [(lambda x: x - q * (n * x * q).sum() / max((n * q * q).sum(), 1e-9))(centre(v.astype(float))) for v in (a, b)]
+    size = np.sqrt((n * left[0] ** 2).sum() * (n * left[1] ** 2).sum())
+    return float((n * left[0] * left[1]).sum() / size) if size > 1e-9 else 0.0
+
+
 def logistic(row: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int, l2: float = 1.0, steps: int = 500, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2 logistic regression on soft labels over presence features, by Adam on whole gradients."""
     n = max(1, len(y))
@@ -253,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     gold = labels.select(F.col(label_key).alias("__id"), F.col(label).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out("__id")).groupBy("__id").agg(F.max("__y").alias("__y"))
     ids = written(_sample(docs, gold, key), "toxicity-sample")
     texts = docs.select(F.col(key).alias("__id"), F.coalesce(text, F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(ids), "__id").select("text", F.col("__y").alias("y"))  # ids: SAMPLE + SAMPLE_UNLABELLED rows at most
+    sample = texts.join(F.broadcast(ids), "__id").select("text", F.col("__y").alias("y"), "__id")  # ids: SAMPLE + SAMPLE_UNLABELLED rows at most
     features, sure = mine(sample)
     voters = Voters.of(sure)
     lexicon = [int(x) for x in voters.terms[: len(voters.terms)]]
@@ -282,9 +296,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 bits = v.vote(data, at, members, you)
                 row, f = feature_hits(words(data, at, LETTERS, PREFIXES), wanted)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([f[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64())), pa.array(bits), pa.array(ys[lo:hi], pa.int32())], ["f", "pattern", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64())), pa.array(bits), pa.array(ys[lo:hi], pa.int32()), batch.column(2).slice(lo, hi - lo)], ["f", "pattern", "y", "id"])
 
-    rows = sample.mapInArrow(extract, "f array<long>, pattern long, y int").collect()  # the bounded sample
+    rows = sample.mapInArrow(extract, f"f array<long>, pattern long, y int, id {id_type}").dropDuplicates(["id"]).collect()  # the bounded sample
     soft = []
     for r in rows:
         q = posterior.get(r["pattern"], model["prior"])
@@ -319,3 +333,22 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     scored = kept.mapInArrow(run, StructType([*kept.schema.fields[:n], StructField("score", DoubleType())]))
     return scored.select(F.col("__0").alias("doc_id"), held_out("__0").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"__{i + 1}").alias(c) for i, c in enumerate(keep)])
+
+
+def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below the threshold; nothing is shuffled."""
+    (plain,) = fresh(docs.columns, "plain_text")
+    shared = docs.sparkSession.sparkContext.broadcast((Members(model.features), model.weights, model.bias))
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, weights, bias = shared.value
+        for batch in batches:
+            for lo, hi, data, at in blocks(batch, plain):
+                row, f = feature_hits(words(data, at, LETTERS, PREFIXES), members)
+                z = bias + np.bincount(row, weights=weights[f], minlength=hi - lo)
+                clean = 1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold
+                if clean.any():
+                    yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo).filter(pa.array(clean)) for c in batch.columns[:-1]], columns)
+
+    return docs.withColumn(plain, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
