@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 K = 2
 GAP = 3
-COVERAGE = 0.7
+COVERAGE = 0.85
 BROADCAST_GRAMS = 20_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
