@@ -1 +1 @@
-
+"""Column expressions over texts and class sets."""

@@ -1 +1 @@
-
+"""The reference has no streams; incremental runs are anti-joins on keys already done (sources.studies.still_to_do)."""
