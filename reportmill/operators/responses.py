@@ -100,7 +100,8 @@ def schema_errors(obj: Column) -> Column:
 
 def coerced_confidence(text: Column) -> Column:
     """0-100, rounded half to even; 50 where there is no number."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.expr("1") * text.try_cast("double")).cast("int"))), F.lit(50))
+    number = text.try_cast("double")
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(number))).cast("int")).otherwise(50)
 
 
 def coerced_presence(text: Column) -> Column:

@@ -28,7 +28,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"correct": sets.is_correct(F.col("pred"), F.col("t_ignore")), "pred_h": sets.with_parents(F.col("pred")), "truth_h": sets.with_parents(F.col("t_ones"))})
 
 
-K = F.col("k").cast("long").alias("k")
+def key_k():
+    return F.col("k").cast("long").alias("k")
 _F1 = "CASE WHEN 2 * sum(tp) + sum(fp) + sum(fn) > 0 THEN 2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) ELSE 0.0 END"
 _P = "CASE WHEN sum(tp) + sum(fp) > 0 THEN sum(tp) * 1.0 / (sum(tp) + sum(fp)) ELSE 0.0 END"
 _R = "CASE WHEN sum(tp) + sum(fn) > 0 THEN sum(tp) * 1.0 / (sum(tp) + sum(fn)) ELSE 0.0 END"
@@ -45,7 +46,7 @@ def counts(truth: str, pred: str, classes) -> str:
 @query("parse_responses", sql("SELECT uid, k, NOT (form = 4 AND uid % 2 = 1) AS parsed, CASE WHEN form = 4 AND uid % 2 = 1 THEN NULL ELSE primary_diagnosis END AS dx, CASE WHEN form = 4 AND uid % 2 = 1 THEN NULL ELSE confidence END AS confidence FROM predictions", "predictions"))
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = responses.parse(derived.predictions(spark, sf_dir))
-    return rows.select("uid", K, F.col("json").isNotNull().alias("parsed"), F.col("answer.primary_diagnosis").alias("dx"), F.col("answer.confidence").cast("int").alias("confidence"))
+    return rows.select("uid", key_k(), F.col("json").isNotNull().alias("parsed"), F.col("answer.primary_diagnosis").alias("dx"), F.col("answer.confidence").cast("int").alias("confidence"))
 
 
 @query("mend_truncated", sql("SELECT uid, k, true AS mended, primary_diagnosis AS dx FROM predictions WHERE form < 4", "predictions"))
@@ -53,14 +54,14 @@ def mend_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers cut off before their last characters still give their diagnosis."""
     cut = derived.predictions(spark, sf_dir).filter("(uid + k) % 5 < 4").withColumn("response", F.expr("substring(response, 1, length(response) - 2)"))
     rows = responses.parse(cut)
-    return rows.select("uid", K, F.col("json").isNotNull().alias("mended"), F.col("answer.primary_diagnosis").alias("dx"))
+    return rows.select("uid", key_k(), F.col("json").isNotNull().alias("mended"), F.col("answer.primary_diagnosis").alias("dx"))
 
 
 @query("validate_responses", sql("""SELECT uid, k, array_to_string(list_filter([CASE WHEN form = 4 THEN 'no object' END,
     CASE WHEN form = 2 AND (s1 IN ('PRESENT', 'yes', 'possible') OR s2 IN ('PRESENT', 'yes', 'possible')) THEN 'extracted_evidence is wrong' END,
     CASE WHEN form = 1 AND s1 IN ('PRESENT', 'yes', 'possible') THEN 'presence is no state' END], lambda x: x IS NOT NULL), ';') AS errors FROM predictions""", "predictions"))
 def validate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.predictions(spark, sf_dir).select("uid", K, F.array_join(responses.schema_errors(F.col("response")), ";").alias("errors"))
+    return derived.predictions(spark, sf_dir).select("uid", key_k(), F.array_join(responses.schema_errors(F.col("response")), ";").alias("errors"))
 
 
 _SYN = "CASE {0} WHEN 'possible' THEN 'uncertain' WHEN 'yes' THEN 'present' ELSE lower({0}) END"
@@ -70,23 +71,23 @@ _SYN = "CASE {0} WHEN 'possible' THEN 'uncertain' WHEN 'yes' THEN 'present' ELSE
 def coerce_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = responses.parse(derived.predictions(spark, sf_dir))
     first = F.get(F.map_values(F.transform_values(F.col("answer.findings"), lambda k, v: responses.coerced_presence(v["presence"]))), F.lit(0))
-    return rows.select("uid", K, responses.coerced_confidence((F.col("confidence") * 1.5 - 20.5).cast("string")).alias("confidence"), first.alias("presence"))
+    return rows.select("uid", key_k(), responses.coerced_confidence((F.col("confidence") * 1.5 - 20.5).cast("string")).alias("confidence"), first.alias("presence"))
 
 
 @query("predicted_sets", sql(f"SELECT uid, k, {S('pred')} AS classes FROM answers", "answers"))
 def predicted_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers(spark, sf_dir).select("uid", K, sets.joined(F.col("pred")).alias("classes"))
+    return answers(spark, sf_dir).select("uid", key_k(), sets.joined(F.col("pred")).alias("classes"))
 
 
 @query("structured_sets", sql(f"SELECT uid, k, CASE WHEN form = 1 THEN {S('pred')} ELSE '' END AS classes FROM answers", "answers"))
 def structured_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return responses.parse(derived.predictions(spark, sf_dir)).select("uid", K, sets.joined(responses.structured_set(F.col("answer.findings"))).alias("classes"))
+    return responses.parse(derived.predictions(spark, sf_dir)).select("uid", key_k(), sets.joined(responses.structured_set(F.col("answer.findings"))).alias("classes"))
 
 
 @query("fullresp_set", sql(f"SELECT a.uid, a.k, {S('''list_filter(list_distinct(list_concat(a.dx_classes, CASE WHEN a.form = 4 AND a.uid % 2 = 1 THEN [] ELSE n.classes END)), lambda c: c <> 'No Finding')''')} AS classes FROM answers a JOIN norm n ON n.text = a.said", "answers"))
 def fullresp_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = responses.parse(derived.predictions(spark, sf_dir))
-    return rows.select("uid", K, sets.joined(scoring.full_response_set(F.col("answer"), F.col("primary_diagnosis"))).alias("classes"))
+    return rows.select("uid", key_k(), sets.joined(scoring.full_response_set(F.col("answer"), F.col("primary_diagnosis"))).alias("classes"))
 
 
 @query("truth_sets", sql(f"SELECT uid, {S('t_ignore')} AS t_ignore, {S('t_ones')} AS t_ones FROM truth WHERE src = 'impression'", "truth"))
@@ -280,7 +281,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("extract_claims", sql("SELECT uid, k, class, presence FROM matched", "predictions", more=_CLAIMS))
 def extract_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = responses.parse(derived.predictions(spark, sf_dir))
-    return rows.select("uid", K, F.explode(responses.claims(F.col("answer"))).alias("c")).select("uid", "k", "c.class", "c.presence")
+    return rows.select("uid", key_k(), F.explode(responses.claims(F.col("answer"))).alias("c")).select("uid", "k", "c.class", "c.presence")
 
 
 @query("groundedness", sql("""SELECT prompt_condition, avg(CASE WHEN supported + contradicted + unsupported_plausible > 0 THEN supported * 1.0 / (supported + contradicted + unsupported_plausible) END) AS support_rate,
@@ -389,7 +390,7 @@ def presence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("verify_merge", sql(f"SELECT uid, k, {S('kept')} AS kept, len(pred) - len(kept) AS rejected FROM (SELECT uid, k, pred, list_filter(pred, lambda c: NOT list_contains(unc, c)) AS kept FROM scored)", "scored"))
 def verify_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = experiments.merge_verdicts(F.col("pred"), F.col("unc"))
-    return scored(spark, sf_dir).select("uid", K, sets.joined(kept).alias("kept"), (F.size("pred") - F.size(kept)).cast("long").alias("rejected"))
+    return scored(spark, sf_dir).select("uid", key_k(), sets.joined(kept).alias("kept"), (F.size("pred") - F.size(kept)).cast("long").alias("rejected"))
 
 
 @query("variant_table", sql(f"""SELECT prompt_condition, classes, count(*) AS n, {_P} AS precision, {_R} AS recall, {_F1} AS f1 FROM (
@@ -460,7 +461,7 @@ def expert_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("disputed_cells", sql("SELECT uid, k, unnest(list_filter(pred_h, lambda c: NOT list_contains(truth_h, c))) AS class FROM scored", "scored"))
 def disputed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("uid", K, F.explode(F.array_except("pred_h", "truth_h")).alias("class"))
+    return scored(spark, sf_dir).select("uid", key_k(), F.explode(F.array_except("pred_h", "truth_h")).alias("class"))
 
 
 @query("jaccard", sql("SELECT prompt_condition, avg(CASE WHEN len(pred_h) = 0 AND len(truth_h) = 0 THEN 1.0 ELSE len(list_intersect(pred_h, truth_h)) * 1.0 / len(list_distinct(list_concat(pred_h, truth_h))) END) AS jaccard FROM scored GROUP BY 1", "scored"))
