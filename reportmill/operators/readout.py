@@ -189,3 +189,19 @@ def conversion(cells: DataFrame, by: list[str], truth: str = "t", model: str = "
     rows = cells.groupBy(*by).agg(one(miss).alias("misses"), one(got).alias("recovered"), one(got & (F.col(said) == 1)).alias("expressed"), F.avg(said).alias("flag_rate"))
     return rows.withColumn("conversion", ratio(F.col("expressed"), F.col("recovered")))
 
+
+
+def permutation_p(observed: float, null: list[float]) -> float:
+    """Share of shuffled results at least as large as the observed one, itself counted."""
+    return (sum(x >= observed for x in null) + 1) / (len(null) + 1)
+
+
+def probe_report(scores: DataFrame, calls: DataFrame, by: list[str], uid: str = "uid", y: str = "y") -> DataFrame:
+    """By group: f1 of a model's calls and of as many top scores, their difference, the model's misses and those that the scores recover."""
+    model = calls.select(*by, uid).distinct().withColumn("m", F.lit(1))
+    matched = matched_calls(scores, calls, by, uid).withColumn("r", F.lit(1))
+    cells = scores.select(*by, uid, F.col(y).alias("y")).join(model, [*by, uid], "left").join(matched, [*by, uid], "left").fillna(0, ["m", "r"])
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    total = cells.groupBy(*by).agg(F.sum("y").alias("pos"), F.sum("m").alias("called"), n((F.col("y") == 1) & (F.col("m") == 1)).alias("tp_m"), n((F.col("y") == 1) & (F.col("r") == 1)).alias("tp_r"), F.sum("r").alias("called_r"), n((F.col("y") == 1) & (F.col("m") == 0)).alias("misses"), n((F.col("y") == 1) & (F.col("m") == 0) & (F.col("r") == 1)).alias("recovered"))
+    f1 = lambda tp, called: ratio(2.0 * F.col(tp), F.col("pos") + F.col(called))
+    return total.select(*by, f1("tp_m", "called").alias("f1_model"), f1("tp_r", "called_r").alias("f1_probe"), (f1("tp_r", "called_r") - f1("tp_m", "called")).alias("gain"), "misses", "recovered")

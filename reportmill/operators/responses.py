@@ -185,3 +185,14 @@ def slot_set(text: Column, classes=tx.FINDINGS) -> Column:
 def render_slots(classes_held: Column, classes=tx.FINDINGS, between: str = "\n") -> Column:
     """A set as fixed lines of yes and no."""
     return F.concat_ws(between, *[F.concat(F.lit(f"{c}: "), F.when(F.array_contains(classes_held, c), "yes").otherwise("no")) for c in classes])
+
+
+def sample_presence(obj: Column, classes=tx.FINDINGS) -> Column:
+    """Array of (class, presence) of one sampled answer (a JSON text): from the findings, given as objects or plain words; where there are none, from the diagnosis."""
+    v = F.try_parse_json(obj)
+    said = lambda c: F.lower(F.coalesce(F.try_variant_get(v, f'$.findings["{c}"].presence', "string"), F.when(F.schema_of_variant(F.try_variant_get(v, f'$.findings["{c}"]', "variant")) == "STRING", F.try_variant_get(v, f'$.findings["{c}"]', "string"))))
+    pair = lambda c, p: F.struct(F.lit(c).alias("class"), p.alias("presence"))
+    held = F.filter(F.array(*[pair(c, said(c)) for c in classes]), lambda x: x["presence"].isNotNull())
+    dx = answer_classes(F.try_variant_get(v, "$.primary_diagnosis", "string"))
+    by_dx = F.array(*[pair(c, F.when(F.array_contains(dx, c), "present").otherwise("absent")) for c in classes])
+    return F.when(F.size(held) > 0, held).otherwise(by_dx)

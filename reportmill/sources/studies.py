@@ -86,3 +86,10 @@ def write_table(df: DataFrame, path: str, by: str | None = None, fmt: str = "par
 def still_to_do(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks whose key isn't among those done."""
     return tasks.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def choose_images(studies: DataFrame, existing: DataFrame) -> DataFrame:
+    """uid, head (first frontal image, null if its file is missing; never a later one) and any (first frontal, else first lateral image)."""
+    rows = studies.select("uid", F.get("frontal_paths", F.lit(0)).alias("front"), F.get("lateral_paths", F.lit(0)).alias("side"))
+    found = existing.select(F.col(existing.columns[0]).alias("front"), F.lit(True).alias("there")).distinct()
+    return rows.join(found, "front", "left").select("uid", F.when(F.col("there"), F.col("front")).alias("head"), F.coalesce("front", "side").alias("any"))
