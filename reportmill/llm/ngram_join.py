@@ -173,12 +173,18 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     """Two tables: doc_id, text_hash, n and set of every row, and set and root (the name of its component) of the sets that are linked."""
     each = written(sketch(docs, key, text, k, least, per), "sketches")
     filled = each.filter("n > 0")
-    classes = filled.groupBy("set").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("next").alias("next"))
+    # One row of each class gives its signatures; the rows of copies are few enough to be broadcast, or else are shuffled.
+    row = F.struct("doc_id", "text_hash")
+    several = filled.groupBy("set").agg(F.min(row).alias("kept"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("set", "kept")
+    copies = written(filled.select("set", "doc_id", "text_hash").join(several, "set").filter(~row.eqNullSafe(F.col("kept"))).select(F.col("set").alias("__set"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    classes = filled.join(copies, (F.col("set") == F.col("__set")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_anti")
     # A negative size marks a signature in the band above the set's own.
     tagged = F.concat(F.transform("own", lambda s: F.struct(s.alias("sig"), F.col("n").alias("n"))), F.transform("next", lambda s: F.struct(s.alias("sig"), (-F.col("n")).alias("n"))))
-    emitted = classes.select("set", F.explode(tagged).alias("x")).select("x.sig", "set", "x.n")
+    # Dealt once by signature: counting members and joining the counts back need no further shuffle.
+    emitted = classes.select("set", F.explode(tagged).alias("x")).select("x.sig", "set", "x.n").repartition("sig")
     shared = emitted.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("largest")).filter("members > 1 and largest > 0").select("sig", "members")
-    buckets = written(emitted.join(shared, "sig"), "buckets")
+    buckets = written(emitted.join(shared, "sig").distinct(), "buckets")
 
     bits = [f"k{i}" for i in range(SKETCH)]
     about = buckets.groupBy("set").agg(F.sum(F.col("members") - 1).alias("degree"))
