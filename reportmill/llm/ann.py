@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-TREES = 8
-#: Vectors of the sample that the trees are fitted on, and members that a leaf is to have.
+TREES = 4
+#: Vectors of the sample that the trees are fitted on, and members that a leaf is to have. A leaf is ranked by one matrix
+#: product; a query moves a row for each leaf that it opens, so large leaves move fewer rows for the same members.
 SAMPLE = 16_384
-LEAF = 256
+LEAF = 1_024
 #: Levels of a tree at most, so that its leaves rest on at least four vectors of the sample.
 DEEPEST = 12
 TUNED = 64
