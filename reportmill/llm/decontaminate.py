@@ -40,6 +40,8 @@ QUESTION, ANSWER = 0.5, 0.6
 SHARD_ITEMS = 20_000
 #: Items beyond so many words are indexed in parts of so many.
 LONGEST = 256
+#: Words of a question's shingles (of all its words, if it has fewer).
+SHINGLE = 3
 #: Items of a block.
 BLOCK = 4
 
@@ -87,9 +89,9 @@ class Index:
     need: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    shingle: list[int]
     stride: int
     threshold: float
-    k: int = 3
 
     def candidates(self, w) -> Iterator[tuple[int, int, int]]:
         """(row, window, block) where the essential terms' block maxima, and all that the other terms of the block could add, reach the threshold."""
@@ -127,7 +129,7 @@ class Index:
             score = block.weights[i[block.terms[i] == query]].sum(axis=0)
             for j in np.flatnonzero(score >= threshold - 1e-9).tolist():
                 item = block.first + j
-                q = float(np.isin(self.question[item], _rolled(own, min(self.k, len(own)))).mean())
+                q = float(np.isin(self.question[item], _rolled(own, self.shingle[item])).mean())
                 a = float(np.isin(self.answer[item], own).mean())
                 if q >= question and a >= answer:
                     yield r, item, win * self.stride, min(float(score[j]), 1.0), q, a
@@ -153,15 +155,15 @@ def item_parts(items: DataFrame, item_key: str, text: str, question: str | None,
                 for part, lo in enumerate(range(0, len(whole), LONGEST)):
                     x, y = hq[lo : lo + LONGEST], ha[max(0, lo - len(hq)) : max(0, lo + LONGEST - len(hq))]
                     if len(x) and len(y):
-                        qs, an = _rolled(x, 3), y
+                        asked, an = x, y
                     else:  # a part within the question or the answer, or an item without one of them
-                        qs, an = _rolled(whole[lo : lo + LONGEST], 3), whole[lo : lo + LONGEST]
-                    out.append((i, part, signed(whole[lo : lo + LONGEST]).tolist(), signed(np.unique(qs)).tolist(), signed(np.unique(an)).tolist()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+                        asked = an = whole[lo : lo + LONGEST]
+                    out.append((i, part, signed(whole[lo : lo + LONGEST]).tolist(), min(SHINGLE, len(asked)), signed(np.unique(_rolled(asked, SHINGLE))).tolist(), signed(np.unique(an)).tolist()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int32()), *(pa.array(c, longs) for c in cols[2:])], ["item_id", "part", "words", "question", "answer"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], longs), pa.array(cols[3], pa.int32()), *(pa.array(c, longs) for c in cols[4:])], ["item_id", "part", "words", "shingle", "question", "answer"])
 
-    return kept.mapInArrow(run, f"item_id {kept.schema['item_id'].dataType.simpleString()}, part int, words array<long>, question array<long>, answer array<long>")
+    return kept.mapInArrow(run, f"item_id {kept.schema['item_id'].dataType.simpleString()}, part int, words array<long>, shingle int, question array<long>, answer array<long>")
 
 
 def build_indexes(items: DataFrame, item_key: str = "item_id", text: str = "text", question: str | None = None, answer: str | None = None, threshold: float = THRESHOLD) -> Iterator[Index]:
@@ -211,6 +213,7 @@ def build_indexes(items: DataFrame, item_key: str = "item_id", text: str = "text
             need=np.array([threshold - x.spare for x, _ in cut]),
             question=[np.array(r["question"], np.int64).view(np.uint64) for r in rows],
             answer=[np.array(r["answer"], np.int64).view(np.uint64) for r in rows],
+            shingle=[r["shingle"] for r in rows],
             stride=stride,
             threshold=threshold,
         )

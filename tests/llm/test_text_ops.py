@@ -212,14 +212,14 @@ def contaminated(seed):
     pick = random.Random(seed)
     pool = [f"v{i}" for i in range(150)] + ["the"] * 30 + ["of"] * 20
     text = lambda n: " ".join(pick.choice(pool) for _ in range(n))
-    items = [text(pick.randint(6, 30)) + ". " + text(pick.randint(2, 6)) for _ in range(40)] + ["Q only.", "", None]
+    items = [text(pick.randint(6, 30)) + ". " + text(pick.randint(2, 6)) for _ in range(40)] + ["Q only.", "", None, "Why. " + text(20)]
     docs = [text(pick.randint(0, 200)) for _ in range(60)]
     for i in range(20):
         words = items[i].split()
         for _ in range(len(words) // 12):
             words[pick.randrange(len(words))] = "changed"
         docs.append(text(pick.randint(0, 150)) + " " + " ".join(words).upper() + " " + text(pick.randint(0, 60)))
-    return items, docs + [None, "", items[0], items[0]]
+    return items, docs + [None, "", items[0], items[0], text(40) + " " + items[43]]
 
 
 def test_retrieval_finds_every_item_above_the_threshold(spark):
@@ -242,6 +242,7 @@ def test_decontamination(spark, monkeypatch):
     rows = frame(spark, docs)
     hits = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(rows, table).collect()}
     assert {(60 + i, i) for i in range(20)} <= hits and not any(d < 60 for d, _ in hits)
+    assert (84, 43) in hits
     assert {d for d, _ in hits} >= {82, 83} and not {80, 81} & {d for d, _ in hits}
     left = {r.doc_id for r in decontaminate.drop_contaminated(rows, table).collect()}
     assert left == set(range(len(docs))) - {d for d, _ in hits}
