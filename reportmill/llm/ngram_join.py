@@ -10,8 +10,8 @@ signatures to be shuffled against false candidates. Empty segments find nothing:
 a set with more empty segments than that also gives the signatures of these.
 
 Sets that are equal are one class, so copies are never paired. Within a bucket of one signature the members are not
-paired with each other: first each is held against the bucket's hub (the member that shares most signatures with
-others), exactly, by the shingle sets themselves. Components of these links are made, and only members whose component
+paired with each other. A bucket's hub is the member that shares most signatures with others; first each set is held
+against the hub that it meets in most buckets, exactly, by the shingle sets themselves. Components of these links are made, and only members whose component
 isn't that of the bucket's majority are then held against the members of other components. So every pair that may link is
 either compared or known to be in one component already.
 
@@ -135,30 +135,49 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bit, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.uint64)
 
 
+def set_hashes(found: list[np.ndarray]) -> np.ndarray:
+    total = np.array([np.sum(mix(s ^ _C2), dtype=np.uint64) for s in found], np.uint64)
+    return mix(total ^ np.array([len(s) for s in found], np.uint64))
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return pa.LargeListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64), pa.array(signed(flat))).cast(pa.list_(pa.int64()))
 
 
-def sketch(docs: DataFrame, key: str, text: str, k: int, least: int, per: int) -> DataFrame:
-    """doc_id, text_hash, n, set (hash of the whole set), bits (its parity sketch), own and next (signatures in the set's band and, where larger sets may link, in the next)."""
+def sketch(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """doc_id, text_hash, n, set (hash of the whole set) and bits (its parity sketch) of every row."""
     kept = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(text, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in blocks(batch, "text"):
-                n, whole, bits, own, after = [], [], [], [], []
-                for s in shingle_sets(data, at, k):
-                    size = len(s)
-                    n.append(size)
-                    whole.append(int(mix(np.sum(mix(s ^ _C2), dtype=np.uint64).reshape(1) ^ np.uint64(size))[0]))
-                    bits.append(parity_sketch(s))
-                    i = band_of(size, least, per)
-                    own.append(signatures(s, i, least, per))
-                    after.append(signatures(s, i + 1, least, per) if size and per * size >= least * (band(i, least, per)[1] + 1) else s[:0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int32()), pa.array(signed(np.array(whole, np.uint64))), _lists(bits), _lists(own), _lists(after)], ["doc_id", "text_hash", "n", "set", "bits", "own", "next"])
+                found = shingle_sets(data, at, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in found], pa.int32()), pa.array(signed(set_hashes(found))), _lists([parity_sketch(s) for s in found])], ["doc_id", "text_hash", "n", "set", "bits"])
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text_hash long, n int, set long, bits array<long>, own array<long>, next array<long>")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text_hash long, n int, set long, bits array<long>")
+
+
+def emit(docs: DataFrame, text: str, k: int, least: int, per: int) -> DataFrame:
+    """sig, set and n: the signatures of every row's set. n is negative in the band above the set's own, where larger sets may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in blocks(batch, "text"):
+                found = [s for s in shingle_sets(data, at, k) if len(s)]
+                sig, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+                times = []
+                for s in found:
+                    n = len(s)
+                    i = band_of(n, least, per)
+                    own = signatures(s, i, least, per)
+                    after = signatures(s, i + 1, least, per) if per * n >= least * (band(i, least, per)[1] + 1) else s[:0]
+                    sig += [own, after]
+                    size.append(np.r_[np.full(len(own), n, np.int32), np.full(len(after), -n, np.int32)])
+                    times.append(len(own) + len(after))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sig))), pa.array(signed(np.repeat(set_hashes(found), times))), pa.array(np.concatenate(size))], ["sig", "set", "n"])
+
+    return docs.select(F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, "sig long, set long, n int")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, least: int, per: int) -> DataFrame:
@@ -171,45 +190,46 @@ def _compared(pairs: DataFrame, sets: DataFrame, least: int, per: int) -> DataFr
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = LEAST, per: int = PER) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, text_hash, n and set of every row, and set and root (the name of its component) of the sets that are linked."""
-    each = written(sketch(docs, key, text, k, least, per), "sketches")
+    each = written(sketch(docs, key, text, k), "sketches")
     filled = each.filter("n > 0")
     # One row of each class gives its signatures; the rows of copies are few enough to be broadcast, or else are shuffled.
     row = F.struct("doc_id", "text_hash")
     several = filled.groupBy("set").agg(F.min(row).alias("kept"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("set", "kept")
-    copies = written(filled.select("set", "doc_id", "text_hash").join(several, "set").filter(~row.eqNullSafe(F.col("kept"))).select(F.col("set").alias("__set"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "copies")
+    copies = written(filled.select("set", "doc_id", "text_hash").join(several, "set").filter(~row.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "copies")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-    classes = filled.join(copies, (F.col("set") == F.col("__set")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left_anti")
-    # A negative size marks a signature in the band above the set's own.
-    tagged = F.concat(F.transform("own", lambda s: F.struct(s.alias("sig"), F.col("n").alias("n"))), F.transform("next", lambda s: F.struct(s.alias("sig"), (-F.col("n")).alias("n"))))
+    classes = docs.join(copies, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
     # Dealt once by signature: counting members and joining the counts back need no further shuffle.
-    emitted = classes.select("set", F.explode(tagged).alias("x")).select("x.sig", "set", "x.n").repartition("sig")
+    emitted = emit(classes, text, k, least, per).repartition("sig")
     shared = emitted.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("largest")).filter("members > 1 and largest > 0").select("sig", "members")
     buckets = written(emitted.join(shared, "sig").distinct(), "buckets")
 
     bits = [f"k{i}" for i in range(SKETCH)]
-    about = buckets.groupBy("set").agg(F.sum(F.col("members") - 1).alias("degree"))
-    sketches = filled.groupBy("set").agg(F.first("bits").alias("bits")).select("set", *[F.get("bits", F.lit(i)).alias(k) for i, k in enumerate(bits)])
-    about = written(about.join(sketches, "set"), "about")
-    ranked = written(buckets.join(about, "set").select("sig", "set", "n", "degree", *bits), "ranked")
-    hubs = ranked.filter("n > 0").groupBy("sig").agg(F.max(F.struct("degree", "set", "n", *bits)).alias("hub")).select("sig", F.col("hub.set").alias("x"), F.col("hub.n").alias("x_n"), *[F.col(f"hub.{k}").alias(f"x_{k}") for k in bits])
+    about = written(filled.groupBy("set").agg(F.first("n").alias("size"), F.first("bits").alias("bits")).select("set", "size", *[F.get("bits", F.lit(i)).alias(k) for i, k in enumerate(bits)]), "about")
+    degree = buckets.groupBy("set").agg(F.sum(F.col("members") - 1).alias("degree"))
+    ranked = written(buckets.join(degree, "set").select("sig", "set", "n", "degree"), "ranked")
     order = (F.least("set", "x").alias("a"), F.greatest("set", "x").alias("b"))
     differ = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"x_{k}"))) for k in bits), F.lit(0))
-    m, x = F.abs("n"), F.abs("x_n")
-    possible = (F.col("set") != F.col("x")) & (m * per >= x * least) & (x * per >= m * least) & (differ * (per + least) <= (m + x) * (per - least))
-    first = written(ranked.join(hubs, "sig").filter(possible).select(*order).distinct(), "pairs")
-
-    sets = written(_candidate_sets(docs, each, ranked, key, text, k), "sets")
-    links = written(_compared(first, sets, least, per), "links")
+    fits = lambda m, x: (m * per >= x * least) & (x * per >= m * least)
+    possible = lambda m, x: fits(m, x) & (differ * (per + least) <= (m + x) * (per - least))
+
+    # First each set is held against the one hub that it shares most buckets with.
+    hubs = ranked.filter("n > 0").groupBy("sig").agg(F.max(F.struct("degree", "set", "n")).alias("hub")).select("sig", F.col("hub.set").alias("x"), F.col("hub.n").alias("x_n"))
+    met = ranked.join(hubs, "sig").filter((F.col("set") != F.col("x")) & fits(F.abs("n"), F.abs("x_n"))).groupBy("set", "x").agg(F.count(F.lit(1)).alias("c"))
+    best = met.groupBy("set").agg(F.max(F.struct("c", "x")).alias("m")).select("set", F.col("m.x").alias("x"))
+    other = about.select(F.col("set").alias("x"), F.col("size").alias("x_size"), *[F.col(k).alias(f"x_{k}") for k in bits])
+    first = written(best.join(about, "set").join(other, "x").filter(possible(F.col("size"), F.col("x_size"))).select(*order).distinct(), "pairs")
+    links = written(_compared(first, _shingles(docs, filled, first, key, text, k), least, per), "links")
     roots = components(links)
-    rooted = ranked.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    rooted = written(rooted.drop("degree"), "rooted")
+
+    # Then those outside a bucket's largest component against the members of other components.
+    rooted = written(ranked.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", "n", F.coalesce("root", "set").alias("root")), "rooted")
     by_root = rooted.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("sig", F.col("m.root").alias("major"))
-    split = written(rooted.join(by_root, "sig"), "split")
+    split = rooted.join(by_root, "sig").join(about.drop("size"), "set")
     odd = split.filter("root != major").select("sig", F.col("set").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"), *[F.col(k).alias(f"x_{k}") for k in bits])
-    second = odd.join(split, "sig").filter(possible & (F.col("root") != F.col("x_root")) & ((F.col("n") > 0) | (F.col("x_n") > 0))).select(*order).distinct()
-    more = _compared(written(second.join(first, ["a", "b"], "left_anti"), "pairs"), sets, least, per)
+    second = odd.join(split, "sig").filter(possible(F.abs("n"), F.abs("x_n")) & (F.col("root") != F.col("x_root")) & ((F.col("n") > 0) | (F.col("x_n") > 0))).select(*order).distinct()
+    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = written(_compared(second, _shingles(docs, filled, second, key, text, k), least, per), "links")
     roots = components(links.unionByName(more))
-
     return each.select("doc_id", "text_hash", "n", "set"), roots.withColumnRenamed("node", "set")
 
 
@@ -244,23 +264,22 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     return left.join(twins, same, "left_anti").unionByName(again)
 
 
-def _candidate_sets(docs: DataFrame, each: DataFrame, ranked: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """set and shingles (array of hashes) of the classes that are in buckets, from one text of each."""
-    wanted = ranked.select("set").distinct()
-    ids = each.select("doc_id", "set").join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("__id"))
-    ids = written(ids, "candidates")
+def _shingles(docs: DataFrame, filled: DataFrame, pairs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """set and shingles (array of hashes) of the classes in pairs, from one text of each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    ids = written(filled.select("doc_id", "set").join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("__id")), "candidates")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col(key).alias("__id"), F.coalesce(text, F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(ids) if few else ids, F.coalesce(texts["__id"], F.lit(-(1 << 63))) == F.coalesce(ids["__id"], F.lit(-(1 << 63)))).select("set", "text")
+    no_id = F.lit(-(1 << 63))
+    joined = texts.join(F.broadcast(ids) if few else ids, F.coalesce(texts["__id"], no_id) == F.coalesce(ids["__id"], no_id)).select("set", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in blocks(batch, "text"):
                 found = shingle_sets(data, at, k)
-                wholes = [int(mix(np.sum(mix(s ^ _C2), dtype=np.uint64).reshape(1) ^ np.uint64(len(s)))[0]) for s in found]
                 asked = batch.column(0).slice(lo, hi - lo)
                 # Rows with one id may have several texts: only the text that has this set counts.
-                same = signed(np.array(wholes, np.uint64)) == np.array(asked.to_pylist(), np.int64)
+                same = signed(set_hashes(found)) == np.array(asked.to_pylist(), np.int64)
                 yield pa.RecordBatch.from_arrays([asked.filter(pa.array(same)), _lists([s for s, ok in zip(found, same, strict=True) if ok])], ["set", "shingles"])
 
-    return joined.mapInArrow(run, "set long, shingles array<long>").dropDuplicates(["set"])
+    return written(joined.mapInArrow(run, "set long, shingles array<long>").dropDuplicates(["set"]), "sets")
