@@ -13,7 +13,7 @@ the answer's words the shares `question` and `answer` at least.
 Items are broadcast in shards of at most SHARD_ITEMS; each further shard is a further pass over the texts. Document
 frequencies and lengths are those of all items, whatever the shards. Items longer than LONGEST words are indexed in parts.
 
-Null text is empty and never contaminated; items without words are left out. A table without rows, or a benchmark without
+Case is folded in all scripts. Null text is empty and never contaminated; items without words are left out. A table without rows, or a benchmark without
 items, gives no hits. Rows with equal ids are merged in the report of hits and filtered each for itself. Of the inputs
 only the named columns are read; drop_contaminated() keeps all columns of its rows.
 """
@@ -142,7 +142,7 @@ def word_hashes(text: str) -> np.ndarray:
 
 def item_parts(items: DataFrame, item_key: str, text: str, question: str | None, answer: str | None) -> DataFrame:
     """item_id, part, hashes of the words, question shingles and answer words of every part of an item."""
-    kept = items.select(F.col(item_key).alias("item_id"), *([F.coalesce(c, F.lit("")).alias(n) for c, n in ((question, "q"), (answer, "a"))] if question and answer else [F.coalesce(text, F.lit("")).alias("q"), F.lit(None).cast("string").alias("a")]))
+    kept = items.select(F.col(item_key).alias("item_id"), *([F.lower(F.coalesce(c, F.lit(""))).alias(n) for c, n in ((question, "q"), (answer, "a"))] if question and answer else [F.lower(F.coalesce(text, F.lit(""))).alias("q"), F.lit(None).cast("string").alias("a")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +234,7 @@ def _block(weights: list[dict[int, float]], lo: int, threshold: float) -> tuple[
 
 def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, **item_columns) -> DataFrame:
     """doc_id, item_id, first_word (of the passage), score, question_overlap and answer_overlap: the best passage of each text for each item that it holds."""
-    kept = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    kept = docs.select(F.col(key).alias("doc_id"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
     kinds = {n: f.schema[c].dataType.simpleString() for n, f, c in (("doc_id", docs, key), ("item_id", items, item_columns.get("item_key", "item_id")))}
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, first_word long, score double, question_overlap double, answer_overlap double"
     found = docs.sparkSession.createDataFrame([], schema)
@@ -271,5 +271,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", thr
                     if clean.any():
                         yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo).filter(pa.array(clean)) for c in batch.columns[:-1]], columns)
 
-        docs = docs.withColumn(plain, F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(plain, F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))).mapInArrow(run, docs.schema)
     return docs
