@@ -28,12 +28,13 @@ are kept apart. An empty table gives an empty result. Only the named columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, blocks, mix, signed, words
@@ -44,9 +45,9 @@ K = 3
 #: Two texts link when PER * intersection >= LEAST * union.
 LEAST, PER = 90, 100
 #: Upper end of a band of sizes, as a multiple of its lower end.
-BAND = 1.5
+BAND = 1.3
 #: Weight of a false candidate against a signature, for sets of one shingle; it falls with size, as passages that texts share do.
-FALSE_COST = 4_000.0
+FALSE_COST = 1_000.0
 #: Chance that a shingle of a set is also in a related one that doesn't link.
 SHARED = 0.75
 #: Up to so many ids of candidates are broadcast to read their texts again; beyond, they are joined by shuffle.
@@ -57,6 +58,19 @@ SKETCH = 8
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
+def _spare(needed: int, n: int) -> int:
+    """Spare segments for so many needed ones, that a set of n shingles seldom has more empty segments than."""
+    spare = 0
+    for _ in range(30):
+        m = needed + spare
+        empty = m * math.exp(-n / m)
+        more = math.ceil(empty + 3 * math.sqrt(empty)) if needed > 2 else 0
+        if more <= spare:
+            break
+        spare = more
+    return spare
+
+
 @lru_cache(maxsize=4096)
 def band(i: int, least: int, per: int) -> tuple[int, int, int, int, int]:
     """Of band i: smallest and largest size, segments with and without deletions, spare allocation."""
@@ -68,13 +82,13 @@ def band(i: int, least: int, per: int) -> tuple[int, int, int, int, int]:
     best = None
     for d in range((differ + 2) // 2 + 1):
         e = max(0, differ + 1 - 2 * d)
-        spare = 0 if d + e <= 2 else 1 if d + e < 20 else 2
-        m = d + e + (spare if e else 0)
+        spare = _spare(d + e, lo) if e else 0
+        m = d + e + spare
         g = (lo + hi) / 2 / m
         false = SHARED**g * (e + d * (1 + g * (1 - SHARED) / SHARED))
         cost = e + d * (1 + g) + FALSE_COST / lo * false
         if best is None or cost < best[0]:
-            best = cost, d, e + spare if e else e, spare if e else 0
+            best = cost, d, e + spare, spare
     return lo, hi, *best[1:]
 
 
@@ -198,10 +212,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     copies = written(filled.select("set", "doc_id", "text_hash").join(several, "set").filter(~row.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "copies")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     classes = docs.join(copies, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
-    # Dealt once by signature: counting members and joining the counts back need no further shuffle.
-    emitted = emit(classes, text, k, least, per).repartition("sig")
-    shared = emitted.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.max("n").alias("largest")).filter("members > 1 and largest > 0").select("sig", "members")
-    buckets = written(emitted.join(shared, "sig").distinct(), "buckets")
+    # Dealt once by signature; rows are three numbers, and copies are gone already.
+    of_sig = Window.partitionBy("sig")
+    emitted = emit(classes, text, k, least, per).withColumns({"members": F.count(F.lit(1)).over(of_sig), "largest": F.max("n").over(of_sig)})
+    buckets = written(emitted.filter("members > 1 and largest > 0").select("sig", "set", "n", "members").distinct(), "buckets")
 
     bits = [f"k{i}" for i in range(SKETCH)]
     about = written(filled.groupBy("set").agg(F.first("n").alias("size"), F.first("bits").alias("bits")).select("set", "size", *[F.get("bits", F.lit(i)).alias(k) for i, k in enumerate(bits)]), "about")
