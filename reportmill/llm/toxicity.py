@@ -292,20 +292,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         v, members, you, wanted = shared.value
         for batch in batches:
             ys = batch.column(1).to_pylist()
-            for lo, hi, data, at in blocks(batch, "text"):
+            for lo, hi, data, at in blocks(batch, "text"):  # features as packed ints, small to collect
                 bits = v.vote(data, at, members, you)
                 row, f = feature_hits(words(data, at, LETTERS, PREFIXES), wanted)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([f[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64())), pa.array(bits), pa.array(ys[lo:hi], pa.int32()), batch.column(2).slice(lo, hi - lo)], ["f", "pattern", "y", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(bits), pa.array(ys[lo:hi], pa.int32()), batch.column(2).slice(lo, hi - lo)], ["f", "pattern", "y", "id"])
 
-    rows = sample.mapInArrow(extract, f"f array<long>, pattern long, y int, id {id_type}").dropDuplicates(["id"]).collect()  # the bounded sample
+    rows = sample.mapInArrow(extract, f"f binary, pattern long, y int, id {id_type}").dropDuplicates(["id"]).select("f", "pattern", "y").collect()  # the bounded sample
     soft = []
     for r in rows:
         q = posterior.get(r["pattern"], model["prior"])
         soft.append(q if r["y"] is None else 0.9 * r["y"] + 0.1 * q)
-    row = np.repeat(np.arange(len(rows)), [len(r["f"]) for r in rows]) if rows else np.zeros(0, np.int64)
-    feature = np.array([f for r in rows for f in r["f"]], np.int64)
-    if not any(r["y"] is not None for r in rows):
+    row = np.repeat(np.arange(len(rows)), [len(r["f"]) // 4 for r in rows]) if rows else np.zeros(0, np.int64)
+    feature = np.frombuffer(b"".join(bytes(r["f"]) for r in rows), np.int32)
+    known = any(r["y"] is not None for r in rows)
+    del rows
+    if not known:
         # Without labels the voters' own terms decide.
         weights, bias = np.where(np.isin(chosen, voters.terms), 3.0, 0.0), -2.5
     else:
