@@ -202,10 +202,12 @@ def nearest(vectors: DataFrame, k: int = 20, queries=None, key: str = "vec_id",
             own = forest.leaves(forest.lifted(_matrix([v for _, v in near], dim)))
             ranks += at[own].min(axis=1).tolist()
     probes = int(np.quantile(ranks, target, method="higher")) + 1 if ranks else 1
-    shared = spark.sparkContext.broadcast(forest)
+    # Of the sample's vectors in the leaves that a query opens the (k + 1)-th best is found for sure: what scores less isn't handed on.
+    known = _matrix([r["v"] for r in sample], dim)
+    shared = spark.sparkContext.broadcast((forest, known, forest.leaves(forest.lifted(known))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f = shared.value[0]
         for b in batches:
             x = _matrix([v.as_py() for v in b.column(1)], dim) if b.num_rows else np.zeros((0, dim))
             leaf = f.leaves(f.lifted(x)) if b.num_rows else np.zeros((0, trees), np.int64)
@@ -213,22 +215,32 @@ def nearest(vectors: DataFrame, k: int = 20, queries=None, key: str = "vec_id",
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(leaf.reshape(-1))], ["c", "v", "leaf"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f, known, at_leaf = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                found = f.probe(_matrix([v.as_py() for v in part.column(1)], dim), probes)
+                asking = _matrix([v.as_py() for v in part.column(1)], dim)
+                found = f.probe(asking, probes)
+                least = np.full(len(asking), -np.inf)
+                scores = asking @ known.T
+                for i, path in enumerate(found):
+                    opened = np.zeros(trees << f.depth, bool)
+                    opened[path] = True
+                    own = scores[i][opened[at_leaf].any(axis=1)]
+                    if len(own) > k:
+                        least[i] = np.partition(own, len(own) - k - 1)[-k - 1]
+                least -= 1e-9 * np.where(np.isfinite(least), np.abs(least), 0)
                 at = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(found).astype(np.int64))], ["q", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(found).astype(np.int64)), pa.array(least).take(at)], ["q", "v", "leaf", "least"])
 
     members = classes.select("c", "v").mapInArrow(route, "c long, v binary, leaf long")
-    probed = asked_classes.select("c", "v").mapInArrow(ask, "q long, v binary, leaf long")
+    probed = asked_classes.select("c", "v").mapInArrow(ask, "q long, v binary, leaf long, least double")
     # At most trees << DEEPEST rows: chunks of members and of queries of each leaf.
     sizes = members.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("ms")).join(probed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("qs")), "leaf")
     sizes = F.broadcast(written(sizes, "leaves"))
     dealt = lambda df, mine, all_of, name: df.join(sizes, "leaf").withColumn(name[0], F.pmod(F.xxhash64(mine), F.col(all_of[0])).cast("int")).withColumn(name[1], F.explode(F.sequence(F.lit(0), F.col(all_of[1]) - 1)))
     left = dealt(members, "c", ("ms", "qs"), ("m", "n")).select("leaf", "m", "n", "c", "v")
-    right = dealt(probed, "q", ("qs", "ms"), ("n", "m")).select("leaf", "m", "n", "q", "v")
+    right = dealt(probed, "q", ("qs", "ms"), ("n", "m")).select("leaf", "m", "n", "q", "v", "least")
 
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -239,6 +251,8 @@ def nearest(vectors: DataFrame, k: int = 20, queries=None, key: str = "vec_id",
         for lo in range(0, len(qs), 256):
             s = y[lo : lo + 256] @ x.T
             r, c = _top(s, ids, k + 1)
+            enough = s[r, c] >= b["least"].to_numpy()[lo + r]
+            r, c = r[enough], c[enough]
             out.append(pd.DataFrame({"q": qs[lo + r], "c": ids[c], "score": s[r, c]}))
         return pd.concat(out)
 
