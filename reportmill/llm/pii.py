@@ -10,6 +10,10 @@ the most that any term can reveal, and against that of its kind log2(N / df(kind
 of the former is removed; one that reveals at least `generalise` of it, and more than the kind does, is replaced by its
 shape. Pairs need `support` texts and two different contexts, so that copies of one text are no evidence.
 
+Most values stand in one text only, where no such pair can be had. So the same is held for the kind of entity: with
+co(t, kind) texts that have t within `window` words of any entity of the kind, log2(co * N / (df(t) * df(kind))) is held
+against log2(N / df(kind)) with the same two shares. A term takes the strongest action that any entity or kind gives it.
+
 Counts are aggregates over all texts, entities and terms are shuffled as 64-bit hashes, nothing of them is collected.
 
 Null text is empty. Rows with equal id and text are counted once in the statistics and all given back. An empty table
@@ -145,7 +149,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[
     return out
 
 
-_FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, entities array<struct<entity:long,kind:int>>, near array<struct<entity:long,kind:int,term:long,context:long,places:array<struct<start:long,end:long>>>>"
+_FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, entities array<struct<entity:long,kind:int>>, near array<struct<entity:long,kind:int,term:long,context:long,places:array<struct<start:long,end:long>>>>, by_kind array<struct<kind:int,term:long,low:long,high:long>>"
 
 
 def find_entities(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
@@ -158,10 +162,11 @@ def find_entities(docs: DataFrame, key: str, text: str, window: int) -> DataFram
 
         near_type = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32()), ("term", pa.int64()), ("context", pa.int64()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
         entity_type = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32())]))
+        by_kind_type = pa.list_(pa.struct([("kind", pa.int32()), ("term", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
         as_long = lambda s: int.from_bytes(xxhash.xxh64_digest(s.encode()), "big", signed=True)
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
-            base, entities, near, wanted = [], [], [], []
+            base, entities, near, by_kind, wanted = [], [], [], [], []
             for t in batch.column(2):
                 t = t.as_py()
                 spans = base_spans(t)
@@ -171,6 +176,7 @@ def find_entities(docs: DataFrame, key: str, text: str, window: int) -> DataFram
                 ids = [(as_long(f"{KINDS[k]}:{t[a:b].lower() if k == 0 else t[a:b] if k == 1 else _digits(t[a:b])}"), k) for k, a, b in spans]
                 entities.append([{"entity": e, "kind": k} for e, k in dict.fromkeys(ids)])
                 pairs: dict[tuple, dict] = {}
+                kinds: dict[tuple, dict] = {}  # least and largest context of each kind's terms
                 for n, places in contexts(t, spans, window) if spans else ():
                     around = [t[a:b].translate(_ASCII_LOWER) for a, b in places]
                     context = as_long(" ".join(around))
@@ -179,12 +185,18 @@ def find_entities(docs: DataFrame, key: str, text: str, window: int) -> DataFram
                         if not x["places"]:
                             wanted.append(term)
                         x["places"][a] = {"start": a, "end": b}
+                        y = kinds.setdefault((ids[n][1], term), {"kind": ids[n][1], "term": x["term"], "low": context, "high": context})
+                        y["low"], y["high"] = min(y["low"], context), max(y["high"], context)
                 near.append(list(pairs.values()))
+                by_kind.append(list(kinds.values()))
             terms = term_hashes(wanted)
             for row in near:
                 for x in row:
                     x["term"], x["places"] = terms[x["term"]], list(x["places"].values())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(entities, entity_type), pa.array(near, near_type)], ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base", "entities", "near"])
+            for row in by_kind:
+                for x in row:
+                    x["term"] = terms[x["term"]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(entities, entity_type), pa.array(near, near_type), pa.array(by_kind, by_kind_type)], ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base", "entities", "near", "by_kind"])
 
     return kept.mapInArrow(run, schema)
 
@@ -240,13 +252,21 @@ def find_disclosures(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     by_context = once.select(F.explode("near").alias("x")).groupBy("x.entity", "x.kind", "x.term", "x.context").agg(F.count(F.lit(1)).alias("c"))
     pairs = by_context.groupBy("entity", "kind", "term").agg(F.sum("c").alias("co"), F.count(F.lit(1)).alias("contexts")).filter((F.col("co") >= support) & (F.col("contexts") >= 2))
     entities = once.select(F.explode("entities").alias("x")).groupBy("x.entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    scored = pairs.join(entities, "entity").join(term_counts(docs, text), "term")
+    counts = term_counts(docs, text)
+    scored = pairs.join(entities, "entity").join(counts, "term")
     pmi = F.log2(F.col("co") * F.lit(n) / (F.col("df_entity") * F.col("df")))
     content = F.log2(F.lit(n) / F.col("df_entity"))
     of_kind = F.element_at(F.array(*[F.log2(F.lit(n / max(total[k], 1))) for k in KINDS]), F.col("kind") + 1)
     action = F.when((content > 0) & (pmi >= remove * content), "remove").when((content > 0) & (pmi >= generalise * content) & (pmi > of_kind), "generalise")
     flagged = scored.select("entity", "term", action.alias("action")).filter(F.col("action").isNotNull())
-    places = once.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.term", "x.places").join(flagged, ["entity", "term"])
+    kinds = once.select(F.explode("by_kind").alias("x")).groupBy("x.kind", "x.term").agg(F.count(F.lit(1)).alias("co"), (F.min("x.low") != F.max("x.high")).alias("varied")).filter((F.col("co") >= support) & F.col("varied"))
+    # pmi of a term and a kind is the kind's content less how often the term stands elsewhere.
+    of_term = of_kind + F.log2(F.col("co") / F.col("df"))
+    kind_action = F.when((of_kind > 0) & (of_term >= remove * of_kind), "remove").when((of_kind > 0) & (of_term >= generalise * of_kind), "generalise")
+    kind_flagged = kinds.join(counts, "term").select("kind", "term", kind_action.alias("action")).filter(F.col("action").isNotNull())
+    near = once.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.kind", "x.term", "x.places")
+    columns = ["doc_id", "text_hash", "places", "action"]
+    places = near.join(flagged, ["entity", "term"]).select(*columns).unionByName(near.join(kind_flagged, ["kind", "term"]).select(*columns))
     spans = places.select("doc_id", "text_hash", "action", F.explode("places").alias("p")).groupBy("doc_id", "text_hash", "p.start", "p.end").agg(F.max("action").alias("action"))
     spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     joined = found.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")

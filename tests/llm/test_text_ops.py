@@ -77,6 +77,20 @@ def test_copies_of_one_text_are_no_evidence(spark):
     assert all(not r.terms for r in pii.find_disclosures(frame(spark, texts)).collect())
 
 
+def test_terms_of_a_kind(spark):
+    pick = random.Random(6)
+    noise = lambda n: " ".join("w" + str(pick.randint(0, 400)) for _ in range(n))
+    # Every address stands in one text only, so that no pair of a value and a term has support.
+    texts = [f"{noise(20)} Zanzibar kontakt user{i}@corp{i}.example.com {noise(20)}" for i in range(12)] + [noise(60) for _ in range(400)]
+    rows = {r.doc_id: r for r in pii.find_disclosures(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert {t[x.start : x.end] for x in rows[i].terms} == ({"Zanzibar", "kontakt"} if i < 12 else set())
+        assert {x.action for x in rows[i].terms} <= {"remove"}
+    # Beside an address in 12 texts of 15 and alone in 3: generalised, as 12 / 15 lies between the two shares of 12 / 415.
+    more = {r.doc_id: r for r in pii.find_disclosures(frame(spark, [*texts, *["kontakt " + noise(20) for _ in range(3)]])).collect()}
+    assert {(texts[0][x.start : x.end], x.action) for x in more[0].terms} == {("Zanzibar", "remove"), ("kontakt", "generalise")}
+
+
 # ---- Licences. ----
 
 
