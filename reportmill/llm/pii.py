@@ -12,9 +12,14 @@ shape. Pairs need `support` texts and two different contexts, so that copies of
 
 Most values stand in one text only, where no such pair can be had. So the same is held for the kind of entity: with
 co(t, kind) texts that have t within `window` words of any entity of the kind, log2(co * N / (df(t) * df(kind))) is held
-against log2(N / df(kind)) with the same two shares. A term takes the strongest action that any entity or kind gives it.
+against log2(N / df(kind)) with the same two shares.
 
-Counts are aggregates over all texts, entities and terms are shuffled as 64-bit hashes, nothing of them is collected.
+A flagged term takes the strongest action that any entity or kind gives it, and is marked wherever it stands outside
+entities, in all texts, as the counts are over all texts too.
+
+Counts are aggregates over all texts, entities and terms are shuffled as 64-bit hashes. Of the flagged terms a bitmap of
+1 << BITS bits is sent out, by which a pass over the texts finds the places that may be theirs; these are joined with the
+terms themselves, which are broadcast up to FLAGGED_HELD and shuffled in SALTS salts beyond.
 
 Null text is empty. Rows with equal id and text are counted once in the statistics and all given back. An empty table
 gives an empty result. Of the input only the named columns are read; sanitise() keeps the others as they are.
@@ -23,7 +28,7 @@ gives an empty result. Of the input only the named columns are read; sanitise()
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +44,11 @@ WINDOW = 6
 SUPPORT = 3
 REMOVE = 0.95
 GENERALISE = 0.8
-#: Characters of text around an entity that are searched for its window of words.
-REACH = 400
+#: Bits of the bitmap of flagged terms, as a power of two.
+BITS = 26
+#: Flagged terms that are broadcast; more are shuffled, each to so many salts.
+FLAGGED_HELD = 500_000
+SALTS = 32
 #: Distinct terms that a worker counts before it hands its counts on.
 TERMS_HELD = 1_500_000
 
@@ -121,35 +129,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """For each span the places of the words around it, outside all spans, of at least three characters."""
-    covered = sorted((a, b) for _, a, b in spans)
-    starts = [a for a, _ in covered]
-    longest = max(b - a for a, b in covered)
-
-    def free(a: int, b: int) -> bool:
-        i = bisect_right(starts, b - 1)
-        while i > 0 and starts[i - 1] > a - longest:
-            i -= 1
-            if covered[i][1] > a:
-                return False
-        return True
+class Covered:
+    """Which places of a text lie outside all its spans."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted((a, b) for _, a, b in spans):  # joined where they overlap
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, b - 1)
+        return i == 0 or self.ends[i - 1] <= a
+
 
+def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each span the places of the words around it, outside all spans, of at least three characters; however far off the words are."""
+    covered = Covered(spans)
+    found = [m.span() for m in _TERM.finditer(text)]
+    starts, ends = [a for a, _ in found], [b for _, b in found]
     out = []
     for n, (_, a, b) in enumerate(spans):
-        lo = max(0, a - REACH)
-        before = [m.span() for m in _TERM.finditer(text, lo, a)]
-        if lo and before and before[0][0] == lo:
-            before = before[1:]  # its beginning may be cut off
-        hi = min(len(text), b + REACH)
-        after = [m.span() for m in _TERM.finditer(text, b, hi)]
-        if hi < len(text) and after and after[-1][1] == hi:
-            after = after[:-1]
-        out.append((n, [s for s in before[-window:] + after[:window] if s[1] - s[0] >= 3 and free(*s)]))
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        around = found[max(0, before - window) : before] + found[after : after + window]
+        out.append((n, [s for s in around if s[1] - s[0] >= 3 and covered.free(*s)]))
     return out
 
 
-_FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, entities array<struct<entity:long,kind:int>>, near array<struct<entity:long,kind:int,term:long,context:long,places:array<struct<start:long,end:long>>>>, by_kind array<struct<kind:int,term:long,low:long,high:long>>"
+_FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, entities array<struct<entity:long,kind:int>>, near array<struct<entity:long,kind:int,term:long,context:long>>, by_kind array<struct<kind:int,term:long,low:long,high:long>>"
 
 
 def find_entities(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
@@ -160,7 +170,7 @@ def find_entities(docs: DataFrame, key: str, text: str, window: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        near_type = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32()), ("term", pa.int64()), ("context", pa.int64()), ("places", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
+        near_type = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32()), ("term", pa.int64()), ("context", pa.int64())]))
         entity_type = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32())]))
         by_kind_type = pa.list_(pa.struct([("kind", pa.int32()), ("term", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
         as_long = lambda s: int.from_bytes(xxhash.xxh64_digest(s.encode()), "big", signed=True)
@@ -180,20 +190,17 @@ def find_entities(docs: DataFrame, key: str, text: str, window: int) -> DataFram
                 for n, places in contexts(t, spans, window) if spans else ():
                     around = [t[a:b].translate(_ASCII_LOWER) for a, b in places]
                     context = as_long(" ".join(around))
-                    for (a, b), term in zip(places, around, strict=True):
-                        x = pairs.setdefault((ids[n], term), {"entity": ids[n][0], "kind": ids[n][1], "term": len(wanted), "context": context, "places": {}})
-                        if not x["places"]:
+                    for term in around:
+                        if (ids[n], term) not in pairs:
+                            pairs[ids[n], term] = {"entity": ids[n][0], "kind": ids[n][1], "term": len(wanted), "context": context}
                             wanted.append(term)
-                        x["places"][a] = {"start": a, "end": b}
+                        x = pairs[ids[n], term]
                         y = kinds.setdefault((ids[n][1], term), {"kind": ids[n][1], "term": x["term"], "low": context, "high": context})
                         y["low"], y["high"] = min(y["low"], context), max(y["high"], context)
                 near.append(list(pairs.values()))
                 by_kind.append(list(kinds.values()))
             terms = term_hashes(wanted)
-            for row in near:
-                for x in row:
-                    x["term"], x["places"] = terms[x["term"]], list(x["places"].values())
-            for row in by_kind:
+            for row in [*near, *by_kind]:
                 for x in row:
                     x["term"] = terms[x["term"]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(entities, entity_type), pa.array(near, near_type), pa.array(by_kind, by_kind_type)], ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base", "entities", "near", "by_kind"])
@@ -252,27 +259,71 @@ def find_disclosures(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     by_context = once.select(F.explode("near").alias("x")).groupBy("x.entity", "x.kind", "x.term", "x.context").agg(F.count(F.lit(1)).alias("c"))
     pairs = by_context.groupBy("entity", "kind", "term").agg(F.sum("c").alias("co"), F.count(F.lit(1)).alias("contexts")).filter((F.col("co") >= support) & (F.col("contexts") >= 2))
     entities = once.select(F.explode("entities").alias("x")).groupBy("x.entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    counts = term_counts(docs, text)
-    scored = pairs.join(entities, "entity").join(counts, "term")
-    pmi = F.log2(F.col("co") * F.lit(n) / (F.col("df_entity") * F.col("df")))
-    content = F.log2(F.lit(n) / F.col("df_entity"))
-    of_kind = F.element_at(F.array(*[F.log2(F.lit(n / max(total[k], 1))) for k in KINDS]), F.col("kind") + 1)
-    action = F.when((content > 0) & (pmi >= remove * content), "remove").when((content > 0) & (pmi >= generalise * content) & (pmi > of_kind), "generalise")
-    flagged = scored.select("entity", "term", action.alias("action")).filter(F.col("action").isNotNull())
+    valued = pairs.join(entities, "entity").select("term", "kind", "co", F.col("df_entity").alias("df_of"), F.lit(False).alias("of_kind"))
     kinds = once.select(F.explode("by_kind").alias("x")).groupBy("x.kind", "x.term").agg(F.count(F.lit(1)).alias("co"), (F.min("x.low") != F.max("x.high")).alias("varied")).filter((F.col("co") >= support) & F.col("varied"))
-    # pmi of a term and a kind is the kind's content less how often the term stands elsewhere.
-    of_term = of_kind + F.log2(F.col("co") / F.col("df"))
-    kind_action = F.when((of_kind > 0) & (of_term >= remove * of_kind), "remove").when((of_kind > 0) & (of_term >= generalise * of_kind), "generalise")
-    kind_flagged = kinds.join(counts, "term").select("kind", "term", kind_action.alias("action")).filter(F.col("action").isNotNull())
-    near = once.select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.kind", "x.term", "x.places")
-    columns = ["doc_id", "text_hash", "places", "action"]
-    places = near.join(flagged, ["entity", "term"]).select(*columns).unionByName(near.join(kind_flagged, ["kind", "term"]).select(*columns))
-    spans = places.select("doc_id", "text_hash", "action", F.explode("places").alias("p")).groupBy("doc_id", "text_hash", "p.start", "p.end").agg(F.max("action").alias("action"))
-    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    df_kind = F.element_at(F.array(*[F.lit(max(total[k], 1)).cast("long") for k in KINDS]), F.col("kind") + 1)
+    scored = valued.unionByName(kinds.select("term", "kind", "co", df_kind.alias("df_of"), F.lit(True).alias("of_kind"))).join(term_counts(docs, text), "term")
+    pmi = F.log2(F.col("co") * F.lit(n) / (F.col("df_of") * F.col("df")))
+    content = F.log2(F.lit(n) / F.col("df_of"))
+    enough = F.col("of_kind") | (pmi > F.log2(F.lit(n) / df_kind))
+    action = F.when((content > 0) & (pmi >= remove * content), "remove").when((content > 0) & (pmi >= generalise * content) & enough, "generalise")
+    strongest = scored.select("term", action.alias("action")).filter(F.col("action").isNotNull()).groupBy("term").agg(F.max("action").alias("action"))  # "remove" is the larger
+    spans = marked(docs, key, text, written(strongest, "flagged-terms")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     joined = found.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
     return joined.select("doc_id", "text_hash", *[f"n_{k}" for k in KINDS], "base", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,action:string>>")).alias("terms"))
 
 
+def bitmap(flagged: DataFrame) -> np.ndarray:
+    """1 << BITS bits, of which those named by the highest BITS bits of a flagged term are set."""
+    at = F.shiftrightunsigned("term", 64 - BITS)
+    bits = flagged.groupBy(F.shiftright(at, 3).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(term, {64 - BITS}) & 7 as int))")).alias("bits")).toArrow()  # at most 1 << (BITS - 3) rows of 12 bytes
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint8)
+    return out
+
+
+def marked(docs: DataFrame, key: str, text: str, flagged: DataFrame) -> DataFrame:
+    """doc_id, text_hash and terms (array of start, end, action) of the texts in which flagged terms (term, action) stand outside entities; once for repeated rows."""
+    n = flagged.count()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(flagged))
+    kept = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(text, F.lit("")).alias("text"))
+    place = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for lo, hi, data, at in blocks(batch, "text"):
+                w = words(data, at, WORD_CHARS)
+                high = (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
+                hits = np.flatnonzero(bits[high >> 3] >> (high & 7).astype(np.uint8) & 1)
+                if not len(hits):
+                    continue
+                chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # characters before each byte
+                row = np.searchsorted(w.row_start, hits, "right") - 1
+                first = chars[at[row]]
+                start, end, term = (chars[w.start[hits]] - first).tolist(), (chars[w.end[hits]] - first).tolist(), signed(w.hash[hits]).tolist()
+                cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]).tolist()
+                rows, found = [], []
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    r = lo + int(row[x])
+                    covered = Covered(base_spans(batch.column(2)[r].as_py()))
+                    own = [{"term": term[i], "start": start[i], "end": end[i]} for i in range(x, y) if covered.free(start[i], end[i])]
+                    if own:
+                        rows.append(r)
+                        found.append(own)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(found, place)], ["doc_id", "text_hash", "places"])
+
+    places = kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text_hash long, places array<struct<term:long,start:long,end:long>>")
+    places = places.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.explode("places").alias("p")).select("doc_id", "text_hash", "p.*")
+    if n <= FLAGGED_HELD:
+        joined = places.join(F.broadcast(flagged), "term")
+    else:
+        salted = flagged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+    return joined.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+
+
 def replaced(text: str, base: str, terms: list) -> str:
     """text with entities as [EMAIL], [IP], [CARD], [PHONE], generalised terms as their shape and removed ones left out. Where spans overlap, the one that begins first, then the longer, stays."""
     spans = [(int(a), -int(b), f"[{k.upper()}]") for k, a, b in (x.split(":") for x in base.split(",") if x)]

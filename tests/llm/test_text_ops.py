@@ -91,6 +91,25 @@ def test_terms_of_a_kind(spark):
     assert {(texts[0][x.start : x.end], x.action) for x in more[0].terms} == {("Zanzibar", "remove"), ("kontakt", "generalise")}
 
 
+@pytest.mark.parametrize("held", [pii.FLAGGED_HELD, 0])
+def test_flagged_terms_are_marked_wherever_they_stand(spark, monkeypatch, held):
+    monkeypatch.setattr(pii, "FLAGGED_HELD", held)
+    pick = random.Random(7)
+    noise = lambda n: " ".join("w" + str(pick.randint(0, 400)) for _ in range(n))
+    # Beside the address, also ten words on, behind 2,000 characters of padding, and in texts without it.
+    texts = [f"é {noise(9)} Zanzibar, boss@corp.example.com {'-' * 2000} Qétaro {noise(9)} ZANZIBAR zanzibar@x.example.com" for _ in range(9)]
+    texts += ["é zanzibar " + noise(30), "Zanzibar"] + [noise(60) for _ in range(300)] + [None, ""]
+    docs = frame(spark, [*texts, texts[9]], [*range(len(texts)), 9])
+    rows = {}
+    for r in pii.find_disclosures(docs).collect():
+        rows.setdefault(r.doc_id, []).append([(texts[r.doc_id] or "")[x.start : x.end] for x in r.terms])
+    assert all(rows[i] == [["Zanzibar", "Qétaro", "ZANZIBAR"]] for i in range(9))
+    assert rows[9] == [["zanzibar"]] * 2 and rows[10] == [["Zanzibar"]]
+    assert all(rows[i] == [[]] for i in range(11, len(texts)))
+    clean = pii.sanitise(docs).collect()
+    assert len(clean) == len(texts) + 1 and not any("zanzibar" in (r.text or "").lower() or "Qétaro" in (r.text or "") for r in clean)
+
+
 # ---- Licences. ----
 
 
