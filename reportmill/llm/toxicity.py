@@ -7,16 +7,18 @@
    is fitted to these counts by EM; labels of the learning fold are seen where there are any. Pairs of voters that agree
    more often within a class than the model says are correlated; the votes of correlated voters are weighed less, and
    the model is fitted once more.
-3. Classifier. A logistic regression over words and word beginnings learns the posterior labels, on a bounded sample of
-   the learning fold, and scores every whole text.
+3. Classifier. A logistic regression over words and word beginnings learns the label model's posteriors, of labelled and
+   unlabelled rows alike, on a bounded sample of the learning fold, and scores every whole text. Labels reach it through
+   the label model and the choice of features only.
 
 Rows whose crc32(id as text) mod 4 is 2 are held out: nothing is learnt from them. Labels, language, source and id are no
 inputs of a score. Null text is scored as empty, null id isn't held out. Labels are joined by id; of several labels of an
 id the largest counts. Repeated rows get equal scores. Without labels the voters alone decide; an empty table gives an
 empty result. Only the named columns are read.
 
-Bounds (documented parameters): the learning sample has at most SAMPLE labelled and SAMPLE_UNLABELLED other rows, chosen by
-a hash of the id; the classifier has at most FEATURES features.
+Bounds (documented parameters): features are mined from at most SAMPLE labelled rows; the classifier is fitted on at most
+FITTED rows, labelled or not as they come, so that unlabelled ones have their share of the learning fold at every size. Both
+are chosen by a hash of the id. The classifier has at most FEATURES features.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .bytewords import LETTERS, blocks, signed, words
 from .store import fresh, written
 
 SAMPLE = 30_000
-SAMPLE_UNLABELLED = 5_000
+FITTED = 35_000
 FEATURES = 4_096
 MINED = 512
 MINED_GROUPS = 6
@@ -202,11 +204,12 @@ def held_out(key: str):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Ids and labels (null where unlabelled) of the bounded learning sample."""
+    """Ids, labels (null where unlabelled) and __fits, if the classifier is fitted on them, of the bounded learning sample."""
     ids = docs.select(F.col(key).alias("__id")).filter(F.col("__id").isNotNull() & ~held_out("__id")).distinct()
     joined = ids.join(labels, "__id", "left")
     some = lambda df, n: df.orderBy(F.xxhash64("__id"), "__id").limit(n)
-    return some(joined.filter(F.col("__y").isNotNull()), SAMPLE).unionByName(some(joined.filter(F.col("__y").isNull()), SAMPLE_UNLABELLED))
+    both = some(joined, FITTED).withColumn("__fits", F.lit(True)).unionByName(some(joined.filter(F.col("__y").isNotNull()), SAMPLE).withColumn("__fits", F.lit(False)))
+    return both.groupBy("__id").agg(F.max("__y").alias("__y"), F.max("__fits").alias("__fits"))
 
 
 def mine(sample: DataFrame) -> tuple[list[int], list[int]]:
@@ -267,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     gold = labels.select(F.col(label_key).alias("__id"), F.col(label).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out("__id")).groupBy("__id").agg(F.max("__y").alias("__y"))
     ids = written(_sample(docs, gold, key), "toxicity-sample")
     texts = docs.select(F.col(key).alias("__id"), F.coalesce(text, F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(ids), "__id").select("text", F.col("__y").alias("y"), "__id")  # ids: SAMPLE + SAMPLE_UNLABELLED rows at most
+    sample = texts.join(F.broadcast(ids), "__id").select("text", F.col("__y").alias("y"), "__id", "__fits")  # ids: SAMPLE + FITTED rows at most
     features, sure = mine(sample)
     voters = Voters.of(sure)
     lexicon = [int(x) for x in voters.terms[: len(voters.terms)]]
@@ -291,23 +294,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, members, you, wanted = shared.value
         for batch in batches:
-            ys = batch.column(1).to_pylist()
             for lo, hi, data, at in blocks(batch, "text"):  # features as packed ints, small to collect
                 bits = v.vote(data, at, members, you)
                 row, f = feature_hits(words(data, at, LETTERS, PREFIXES), wanted)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([f[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(bits), pa.array(ys[lo:hi], pa.int32()), batch.column(2).slice(lo, hi - lo)], ["f", "pattern", "y", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(bits), batch.column(1).slice(lo, hi - lo)], ["f", "pattern", "id"])
 
-    rows = sample.mapInArrow(extract, f"f binary, pattern long, y int, id {id_type}").dropDuplicates(["id"]).select("f", "pattern", "y").collect()  # the bounded sample
-    soft = []
-    for r in rows:
-        q = posterior.get(r["pattern"], model["prior"])
-        soft.append(q if r["y"] is None else 0.9 * r["y"] + 0.1 * q)
+    rows = sample.filter("__fits").select("text", "__id").mapInArrow(extract, f"f binary, pattern long, id {id_type}").dropDuplicates(["id"]).select("f", "pattern").collect()  # the bounded sample
+    soft = [posterior.get(r["pattern"], model["prior"]) for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(r["f"]) // 4 for r in rows]) if rows else np.zeros(0, np.int64)
     feature = np.frombuffer(b"".join(bytes(r["f"]) for r in rows), np.int32)
-    known = any(r["y"] is not None for r in rows)
     del rows
-    if not known:
+    if not (y >= 0).any():
         # Without labels the voters' own terms decide.
         weights, bias = np.where(np.isin(chosen, voters.terms), 3.0, 0.0), -2.5
     else:

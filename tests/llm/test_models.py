@@ -60,6 +60,24 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_toxicity_is_learnt_from_posteriors(spark, monkeypatch):
+    docs, labels, truth = labelled_docs(spark)
+    given = toxicity.label_model
+    # A label model that holds every row to be toxic: nothing of the gold labels may pass it by.
+    monkeypatch.setattr(toxicity, "label_model", lambda *a, **b: (m := given(*a, **b)) | {"posterior": np.ones_like(m["posterior"])})
+    assert all(r.score > 0.5 for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect() if r.doc_id in truth)
+
+
+def test_toxicity_sample_keeps_the_share_of_unlabelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 150)
+    monkeypatch.setattr(toxicity, "FITTED", 400)
+    docs = spark.range(4000).withColumnRenamed("id", "doc_id")
+    ids = toxicity._sample(docs, docs.filter("doc_id % 4 = 0 and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").select(F.col("doc_id").alias("__id"), F.lit(1).alias("__y")), "doc_id").collect()
+    fitted = [r for r in ids if r["__fits"]]
+    assert len(fitted) == 400 and abs(sum(r["__y"] is None for r in fitted) / 400 - 0.75) < 0.08
+    assert sum(r["__y"] is not None for r in ids) == 150
+
+
 def test_label_model_finds_accuracies_and_correlations():
     draw = np.random.default_rng(1)
     y = draw.random(20_000) < 0.3
