@@ -18,8 +18,8 @@ RESPONSE = (
     "struct<primary_diagnosis:string,confidence:string,explanation:string,reasoning:string,findings:map<string,struct<presence:string,status:string,confidence:string>>,"
     "extracted_evidence:array<struct<finding:string,location:string,presence:string,confidence:string>>,differential:array<struct<diagnosis:string,probability:double,rationale:string>>,cited_findings:array<string>>"
 )
-#: A truncated answer longer than this isn't mended.
-MENDED_CHARS = 20_000
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity")
 
 
 def bare_json(raw: Column) -> Column:
@@ -30,41 +30,58 @@ def bare_json(raw: Column) -> Column:
     return F.when(parses(s), s).when((inner != "") & parses(inner), inner)
 
 
-def mend(text: str) -> str | None:
-    """A truncated JSON object, closed after its last whole member; null if that gives none."""
-    start = text.find("{")
-    if start < 0 or len(text) > MENDED_CHARS:
-        return None
-    # One pass notes the places at which the open brackets could be closed; the last that parses wins.
+def _closable(text: str, start: int, stop: int) -> tuple[int, list[str]]:
+    """The last place up to stop at which the object begun at start can be closed, and the brackets open at the end of the pass.
+
+    The pass follows JSON's grammar and ends at stop, at the object's end or at the first error, beyond which nothing parses.
+    """
     open_now: list[str] = []
-    ends: list[tuple[int, str]] = []
-    inside = escaped = False
-    for i in range(start, len(text)):
-        c = text[i]
-        if inside:
-            inside, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
-            if not inside:
-                ends.append((i + 1, "".join(open_now)))
-            continue
-        if c == '"':
-            inside = True
-        elif c in "{[":
+    last, at, want = start, start, "value"
+    while True:
+        at = _SPACE.match(text, at).end()
+        if at >= stop:
+            break
+        c = text[at]
+        if c in "{[" and want in ("value", "item"):
             open_now.append("}" if c == "{" else "]")
-            ends.append((i + 1, "".join(open_now)))
-        elif c in "}]" and open_now:
+            want = "first key" if c == "{" else "item"
+            at += 1
+            last = at
+        elif open_now and c == open_now[-1] and want in ("comma", "item" if c == "]" else "first key"):
             open_now.pop()
-            ends.append((i + 1, "".join(open_now)))
-        elif c == ",":
-            ends.append((i, "".join(open_now)))
-    for end, closing in reversed(ends[-200:]):
-        piece = re.sub(r',\s*"[^"]*"\s*:?\s*$', "", text[start:end]) + closing[::-1]
-        for candidate in (text[start:end] + closing[::-1], piece):
+            at += 1
+            last, want = at, "comma"
+            if not open_now:
+                break
+        elif c == "," and want == "comma":
+            last, want = at, "key" if open_now[-1] == "}" else "value"
+            at += 1
+        elif c == ":" and want == "colon":
+            at, want = at + 1, "value"
+        elif c == '"' and want != "comma" and want != "colon":
             try:
-                if isinstance(json.loads(candidate), dict):
-                    return candidate
+                end = json.decoder.scanstring(text, at + 1)[1]
             except ValueError:
-                continue
-    return None
+                break
+            at = end
+            if want in ("key", "first key"):
+                want = "colon"
+            else:
+                last, want = end, "comma"
+        elif want in ("value", "item") and (m := _SCALAR.match(text, at)):
+            at, want = m.end(), "comma"  # it may go on, so that only what follows closes it
+        else:
+            break
+    return last, open_now
+
+
+def mend(text: str) -> str | None:
+    """A truncated JSON object, closed after its last whole member; null if that gives none. Two passes, whatever the length."""
+    start = text.find("{")
+    if start < 0:
+        return None
+    end, _ = _closable(text, start, len(text))
+    return text[start:end] + "".join(reversed(_closable(text, start, end)[1]))
 
 
 @F.pandas_udf(StringType())

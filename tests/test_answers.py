@@ -104,3 +104,14 @@ def test_effects(spark):
     rows = spark.createDataFrame([(1, "n", 0.0), (1, "v", 1.0), (1, "r", 0.0), (1, "b", 1.0), (2, "n", 0.0)], "uid long, arm string, ok double")
     r = experiments.factorial_effects(rows, "uid", "arm", F.col("ok"), ("n", "v", "r", "b")).first()
     assert (r.n, r.visual, r.reasoning, r.interaction) == (1, 1.0, 0.0, 0.0) and r.n == pytest.approx(1)
+
+
+def test_mend_has_no_limit_of_length_or_places():
+    whole = {"primary_diagnosis": "Edema", "findings": [{"n": i, "x": "y" * 50} for i in range(2000)]}
+    text = json.dumps(whole)
+    got = json.loads(responses.mend(text[:-40]))
+    assert len(text) > 100_000 and got["primary_diagnosis"] == "Edema" and got["findings"][:1999] == whole["findings"][:1999]
+    # Cut inside a long malformed tail: the last place that parses is far before it.
+    bad = '{"primary_diagnosis": "Edema", "findings": {"a" "b"' + ', "c"' * 500
+    assert json.loads(responses.mend(bad)) == {"primary_diagnosis": "Edema", "findings": {}}
+    assert json.loads(responses.mend('```json\n{"a": [1, {"b": "c"}, 2')) == {"a": [1, {"b": "c"}]}
