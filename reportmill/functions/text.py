@@ -9,7 +9,7 @@ from .. import taxonomy as tx
 
 
 def literal(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(f"cast(array({', '.join(quoted(v) for v in values)}) AS array<string>)")
 
 
 def cleaned(c) -> Column:
@@ -33,59 +33,74 @@ def scrubbed_share(text: Column) -> Column:
     return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: w.contains("XXXX"))) / F.size(words)).otherwise(F.lit(0.0))
 
 
-def first_at(text: Column, pattern: str) -> Column:
-    """Where the pattern first matches, from 1; 0 if nowhere."""
-    return F.regexp_instr(text, F.lit(pattern))
+def quoted(value: str) -> str:
+    """A SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def mention_rank(sentence: Column, pattern: str, negation: str = tx.NEGATION, hedge: str = tx.HEDGE, denied: str = tx.DENIED_AFTER) -> Column:
-    """Of a sentence for one class: 3 affirmed, 2 uncertain, 1 denied, 0 not mentioned.
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it. f: of a Column, or SQL as 'x -> ...'.
 
-    A cue counts if it begins before the class's first mention; a denial counts also right after it, a hedge anywhere after it.
+    Expressions with a part for each class are SQL texts: one call instead of hundreds to build them.
     """
-    at = first_at(sentence, pattern)
-    rest = F.substr(sentence, at)
-    before = lambda cue: (first_at(sentence, cue) > 0) & (first_at(sentence, cue) < at)
-    hedged = before(hedge) | F.rlike(rest, F.lit(hedge))
-    negated = before(negation) | F.rlike(rest, F.lit(f"(?i)^(?:{denied})"))
-    return F.when(at == 0, 0).when(hedged, 2).when(negated, 1).otherwise(3)
+    if isinstance(f, str):
+        return F.get(F.call_function("transform", F.array(value), F.expr(f)), F.lit(0))
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
 
+def let_sql(name: str, value: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def class_ranks(sentence_array: Column, patterns: dict[str, str] | None = None) -> Column:
-    """Array of (class, rank), the highest rank of each class over the sentences."""
-    patterns = patterns or tx.PATTERNS
 
-    def highest(pattern: str) -> Column:
-        return F.coalesce(F.array_max(F.transform(sentence_array, lambda s: mention_rank(s, pattern))), F.lit(0))
+def first_at(text: Column, pattern: str) -> Column:
+    """Where the pattern first matches, from 1; 0 if nowhere."""
+    return F.regexp_instr(text, F.lit(pattern))
 
-    return F.array(*[F.struct(F.lit(c).alias("class"), highest(p).alias("rank")) for c, p in patterns.items()])
+
+def class_ranks(sentence_array: Column, patterns: dict[str, str] | None = None, negation: str = tx.NEGATION, hedge: str = tx.HEDGE, denied: str = tx.DENIED_AFTER) -> Column:
+    """Array of (class, rank), the highest rank of each class over the sentences: 3 affirmed, 2 uncertain, 1 denied, 0 not mentioned.
+
+    A cue counts if it begins before the class's first mention in the sentence; a denial counts also right after it, a hedge
+    anywhere after it. Cues are looked for once in a sentence, not once for each class.
+    """
+    hedged = f"m.maybe > 0 AND (m.maybe < at OR rlike(substr(m.s, at), {quoted(hedge)}))"
+    negated = f"(m.no > 0 AND m.no < at) OR rlike(substr(m.s, at), {quoted(f'(?i)^(?:{denied})')})"
+    rank = f"CASE WHEN at = 0 THEN 0 WHEN {hedged} THEN 2 WHEN {negated} THEN 1 ELSE 3 END"
+    each = (f"named_struct('class', {quoted(c)}, 'rank', coalesce(array_max(transform(ms, m -> {let_sql('at', f'regexp_instr(m.s, {quoted(p)})', rank)})), 0))" for c, p in (patterns or tx.PATTERNS).items())
+    marks = f"transform(ss, s -> named_struct('s', s, 'no', regexp_instr(s, {quoted(negation)}), 'maybe', regexp_instr(s, {quoted(hedge)})))"
+    return let(sentence_array, f"ss -> {let_sql('ms', marks, f'array({", ".join(each)})')}")
 
 
 def classes_with(ranks: Column, rank: int) -> Column:
     return F.transform(F.filter(ranks, lambda r: r["rank"] == rank), lambda r: r["class"])
 
 
-def clause_classes(text: Column, patterns: dict[str, str] | None = None) -> Column:
-    """Classes that some clause of an answer asserts: first matched no later than the clause's first negation."""
-    patterns = patterns or tx.PATTERNS
-    clauses = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"(?i){tx.CLAUSE_END}"), lambda c: F.trim(c) != "")
+def _matching(text: str, patterns: dict[str, str]) -> str:
+    return f"array_compact(array({', '.join(f'CASE WHEN rlike({text}, {quoted(p)}) THEN {quoted(c)} END' for c, p in patterns.items())}))"
 
-    def asserted(clause: Column, pattern: str) -> Column:
-        at, no = first_at(clause, pattern), first_at(clause, tx.NEGATION)
-        return (at > 0) & ((no == 0) | (at <= no))
 
-    def in_some(pattern: str) -> Column:
-        return F.exists(clauses, lambda s: asserted(s, pattern))
+def matching(text: Column, patterns: dict[str, str] | None = None) -> Column:
+    """Classes whose pattern the text matches, in class order."""
+    return let(text, f"t -> {_matching('t', patterns or tx.PATTERNS)}")
 
-    return F.array_compact(F.array(*[F.when(in_some(p), F.lit(c)) for c, p in patterns.items()]))
+
+def _answer(text: str, negation: bool, patterns: dict[str, str]) -> str:
+    # Clauses are parted by two marks, which no pattern crosses, and end before their first negation.
+    clauses = f"regexp_replace(lower({text}), {quoted(f'(?i){tx.CLAUSE_END}')}, '\u0001\u0001')"
+    said = f"regexp_replace({clauses}, {quoted(tx.NEGATION + '[^\u0001]*')}, '')" if negation else text
+    chosen = f"CASE WHEN size(h) > 0 THEN h WHEN rlike({text}, {quoted(f'(?i){tx.NORMAL_ANSWER}')}) THEN array('No Finding') ELSE cast(array() AS array<string>) END"
+    return let_sql("h", let_sql("a", said, _matching("a", patterns)), chosen)
 
 
 def answer_classes(text: Column, negation: bool = True, patterns: dict[str, str] | None = None) -> Column:
-    """Classes of a free-text diagnosis, in class order; {No Finding} for a normal one, nothing for blank text."""
-    patterns = patterns or tx.PATTERNS
-    plain = F.array_compact(F.array(*[F.when(F.coalesce(text, F.lit("")).rlike(p), F.lit(c)) for c, p in patterns.items()]))
-    hits = clause_classes(text, patterns) if negation else plain
-    return F.when(F.size(hits) > 0, hits).when(F.coalesce(text, F.lit("")).rlike(f"(?i){tx.NORMAL_ANSWER}"), literal(["No Finding"])).otherwise(literal([]))
+    """Classes of a free-text diagnosis, in class order: those that a clause names before its first negation; {No Finding} for a normal one, nothing for blank text."""
+    return let(F.coalesce(text, F.lit("")), f"t -> {_answer('t', negation, patterns or tx.PATTERNS)}")
+
+
+def answers_classes(texts: Column, negation: bool = True, patterns: dict[str, str] | None = None) -> Column:
+    """answer_classes of each of an array of texts, in one set."""
+    each = F.call_function("transform", F.transform(texts, lambda t: F.coalesce(t, F.lit(""))), F.expr(f"t -> {_answer('t', negation, patterns or tx.PATTERNS)}"))
+    return F.array_distinct(F.flatten(each))
 
 
 def findings_of(classes: Column) -> Column:

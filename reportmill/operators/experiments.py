@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
 from ..functions import sets
-from ..functions.text import literal
 
 
 def votes(samples: DataFrame, by: tuple[str, ...], present: str = "pred", classes=tx.FINDINGS) -> DataFrame:
@@ -108,7 +107,3 @@ def drop_groups(counts: list[tuple[str, int, int, int]]) -> list[str]:
         kept.remove(best)
         dropped.append(best[0])
     return dropped
-
-
-def literal_set(values) -> Column:
-    return literal(values)

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .. import taxonomy as tx
-from ..functions.text import answer_classes, findings_of, literal
+from ..functions.text import answer_classes, answers_classes, findings_of, let, literal, matching
 
-RESPONSE = (
-    "struct<primary_diagnosis:string,confidence:string,explanation:string,reasoning:string,findings:map<string,struct<presence:string,status:string,confidence:string>>,"
-    "extracted_evidence:array<struct<finding:string,location:string,presence:string,confidence:string>>,differential:array<struct<diagnosis:string,probability:double,rationale:string>>,cited_findings:array<string>>"
-)
+#: An answer as read first: entries of its lists and tables as text, so that one odd entry doesn't lose the others.
+RESPONSE = "struct<primary_diagnosis:string,confidence:string,explanation:string,reasoning:string,findings:map<string,string>,extracted_evidence:array<string>,differential:array<string>,cited_findings:array<string>>"
+FINDING = "struct<presence:string,status:string,confidence:string>"
+EVIDENCE = "struct<finding:string,location:string,presence:string,confidence:string>"
+CANDIDATE = "struct<diagnosis:string,probability:string,rationale:string>"
 _SPACE = re.compile(r"[ \t\n\r]*")
 _SCALAR = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity")
 
@@ -90,13 +91,38 @@ def _mended(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else mend(x))
 
 
+def read_answer(obj: Column) -> Column:
+    """The struct of an answer (a JSON text), null for null.
+
+    A field of another kind than it should have is null. Entries of findings, evidence and differential are read one by one: one
+    that is no object is null in its place, the others stay. A probability may be a quoted number; what is no number is null.
+    """
+    entry = lambda x, kind: F.when(x.startswith("{"), F.from_json(x, kind))
+    raw = F.from_json(obj, RESPONSE)
+
+    def fields(a: Column) -> Column:
+        candidate = lambda d: F.when(d.isNotNull(), F.struct(d["diagnosis"].alias("diagnosis"), F.nanvl(d["probability"].try_cast("double"), F.lit(None)).alias("probability"), d["rationale"].alias("rationale")))
+        return F.when(
+            a.isNotNull(),
+            F.struct(
+                *[a[k].alias(k) for k in ("primary_diagnosis", "confidence", "explanation", "reasoning")],
+                F.transform_values(a["findings"], lambda k, v: entry(v, FINDING)).alias("findings"),
+                F.transform(a["extracted_evidence"], lambda e: entry(e, EVIDENCE)).alias("extracted_evidence"),
+                F.transform(a["differential"], lambda d: candidate(entry(d, CANDIDATE))).alias("differential"),
+                a["cited_findings"].alias("cited_findings"),
+            ),
+        )
+
+    return let(F.when(obj.isNotNull(), raw), fields)
+
+
 def parse(df: DataFrame, raw: str = "response") -> DataFrame:
     """df with `json` (text of the object, null if the answer can't be parsed) and `answer` (its struct)."""
     found = bare_json(F.col(raw))
     broken = F.col(raw).isNotNull() & F.col("json").isNull() & F.col(raw).contains("{")
     rows = df.withColumn("json", found)
     rows = rows.withColumn("json", F.when(broken, _mended(F.when(broken, F.col(raw)))).otherwise(F.col("json")))
-    return rows.withColumn("answer", F.from_json("json", RESPONSE))
+    return rows.withColumn("answer", read_answer(F.col("json")))
 
 
 def schema_errors(obj: Column) -> Column:
@@ -107,7 +133,7 @@ def schema_errors(obj: Column) -> Column:
     wrong = [F.when(kind(f"$.{k}").isNotNull() & ~kind(f"$.{k}").isin(t, "VOID"), f"{k} is no {n}") for k, t, n in (("primary_diagnosis", "STRING", "string"), ("confidence", "BIGINT", "integer"), ("explanation", "STRING", "string"))]
     confidence = F.try_variant_get(v, "$.confidence", "double")
     bounds = F.when((kind("$.confidence") == "BIGINT") & ~confidence.between(0, 100), "confidence is out of range")
-    parsed = F.from_json(obj, RESPONSE)
+    parsed = read_answer(obj)
     allowed = literal(["present", "absent", "uncertain"])
     bad = lambda arr, f: F.exists(F.coalesce(arr, F.array()), f)
     evidence = F.when(bad(parsed["extracted_evidence"], lambda e: e["finding"].isNull() | e["presence"].isNull() | ~F.array_contains(allowed, e["presence"])), "extracted_evidence is wrong")
@@ -136,29 +162,31 @@ def coerced(answer: Column) -> Column:
 def _named_classes(key: Column) -> Column:
     """Classes that a finding's name stands for: by the checklist, else as a diagnosis, else itself."""
     checklist = F.create_map(*[x for k, v in tx.CHECKLIST.items() for x in (F.lit(k), literal(v))])
-    hits = answer_classes(key)
-    return F.coalesce(F.element_at(checklist, F.trim(key)), F.when(F.size(hits) > 0, hits), F.array(F.trim(key)))
+    by_words = let(answer_classes(key), lambda hits: F.when(F.size(hits) > 0, hits).otherwise(F.array(F.trim(key))))
+    return F.coalesce(F.element_at(checklist, F.trim(key)), by_words)
 
 
 def structured_set(findings: Column, with_uncertain: bool = False) -> Column:
-    """Classes of the findings table only; nothing where there is none."""
+    """Classes of the findings table only; nothing where there is none. Entries that are no objects count for nothing."""
     state = lambda v: F.lower(F.trim(F.coalesce(v["presence"], v["status"], F.lit(""))))
     wanted = literal(["present", "uncertain"] if with_uncertain else ["present"])
     held = F.map_keys(F.map_filter(findings, lambda k, v: v.isNotNull() & F.array_contains(wanted, state(v))))
-    return F.coalesce(findings_of(F.array_distinct(F.flatten(F.transform(held, _named_classes)))), literal([]))
+    return F.coalesce(findings_of(F.array_distinct(F.flatten(F.transform(held, lambda k: _named_classes(k))))), literal([]))
 
 
 def predicted_set(answer: Column, fallback: Column, use_differential: bool = False, least: float = 50) -> Column:
-    """Predicted classes from the richest part of an answer; from the fallback diagnosis where it couldn't be parsed."""
-    dx = answer_classes(answer["primary_diagnosis"])
+    """Predicted classes from the richest part of an answer; from the fallback diagnosis where it couldn't be parsed.
+
+    Of a findings table only itself counts; evidence and differential count beside the diagnosis. Each text is normalised once.
+    """
+    dx = F.array(answer["primary_diagnosis"])
     seen = F.filter(answer["extracted_evidence"], lambda e: F.array_contains(literal(tx.EVIDENCE_PRESENT), F.lower(F.coalesce(e["presence"], F.lit("")))))
-    evidence = F.array_union(dx, F.flatten(F.transform(seen, lambda e: answer_classes(e["finding"]))))
     likely = F.filter(answer["differential"], lambda e: F.coalesce(e["probability"], F.lit(0.0)) >= least)
-    listed = F.array_union(dx, F.flatten(F.transform(likely, lambda e: answer_classes(e["diagnosis"]))))
-    out = F.when(answer.isNull(), answer_classes(fallback)).when(F.size(answer["findings"]) > 0, structured_set(answer["findings"])).when(F.size(answer["extracted_evidence"]) > 0, evidence)
+    texts = F.when(answer.isNull(), F.array(fallback)).when(F.size(answer["extracted_evidence"]) > 0, F.concat(dx, F.transform(seen, lambda e: e["finding"])))
     if use_differential:
-        out = out.when(F.size(answer["differential"]) > 0, listed)
-    return findings_of(out.otherwise(dx))
+        texts = texts.when(F.size(answer["differential"]) > 0, F.concat(dx, F.transform(likely, lambda e: e["diagnosis"])))
+    by_words = findings_of(answers_classes(texts.otherwise(dx)))
+    return F.when(F.size(answer["findings"]) > 0, structured_set(answer["findings"])).otherwise(by_words)
 
 
 def predicted(df: DataFrame, raw: str = "response", fallback: str = "primary_diagnosis", **how) -> DataFrame:
@@ -169,7 +197,6 @@ def predicted(df: DataFrame, raw: str = "response", fallback: str = "primary_dia
 def claims(answer: Column) -> Column:
     """Distinct (class, presence) claims of an answer; presence as stated, else from the words: denied, else hedged, else present."""
     by_words = lambda t: F.when(t.rlike(tx.NEGATION), "absent").when(t.rlike(tx.HEDGE), "uncertain").otherwise("present")
-    matched = lambda t: F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(c)) for c, p in tx.PATTERNS.items()]))
     text = lambda t, p: F.struct(F.coalesce(t, F.lit("")).alias("t"), p.alias("p"))
     none = F.array().cast("array<struct<t:string,p:string>>")
     evidence = F.transform(answer["extracted_evidence"], lambda e: text(e["finding"], F.when(e["presence"] != "", e["presence"])))
@@ -177,7 +204,7 @@ def claims(answer: Column) -> Column:
     named = F.transform(F.map_entries(answer["findings"]), lambda e: text(e["key"], F.when(F.lower(e["value"]["presence"]).isin("present", "absent", "uncertain"), F.lower(e["value"]["presence"]))))
     said = F.array(text(answer["explanation"], F.lit(None).cast("string")))
     texts = F.concat(F.coalesce(evidence, none), F.coalesce(cited, none), F.coalesce(named, none), said)
-    each = F.transform(texts, lambda x: F.transform(matched(x["t"]), lambda c: F.struct(c.alias("class"), F.coalesce(x["p"], by_words(x["t"])).alias("presence"))))
+    each = F.transform(texts, lambda x: F.transform(matching(x["t"]), lambda c: F.struct(c.alias("class"), F.coalesce(x["p"], by_words(x["t"])).alias("presence"))))
     return F.array_distinct(F.flatten(each))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
+from ..functions import text
 
 SENTENCES = (
     "There is a large pleural effusion.", "No pneumothorax.", "Findings may represent pneumonia.", "The heart is normal in size.", "Lungs are clear.",
@@ -31,11 +32,11 @@ FORMS = 5
 
 
 def pick(values, at: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values)).cast("int") + 1)
+    return F.element_at(F.expr(f"array({', '.join(text.quoted(v) for v in values)})"), (at % len(values)).cast("int") + 1)
 
 
-def quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+def quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
 
 
 def picked(values, at: str) -> str:
@@ -46,10 +47,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def study_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uid of every document, dealt by uid: only ids are moved, and what is grouped or joined by uid later needs no further shuffle."""
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"))
+    return ids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uid")
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, findings, impression, indication, problems and mesh: a report for each document."""
     u = F.col("uid")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid")).select(
+    return study_ids(spark, sf_dir).select(
         "uid",
         F.concat_ws(" ", pick(SENTENCES, u), pick(SENTENCES, u * 7 + 3)).alias("findings"),
         F.when(u % 11 == 0, "").otherwise(pick(SENTENCES, u * 3 + 5)).alias("impression"),
@@ -62,12 +69,14 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, k, prompt_condition, primary_diagnosis, confidence, response, api_error and prompt_tokens: five answers for each report."""
     u, k = F.col("uid"), F.col("k")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    rows = study_ids(spark, sf_dir).select("uid", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     rows = rows.withColumns({"form": (u + k) % FORMS, "dx": pick(DIAGNOSES, u * 5 + k * 3), "dx2": pick(DIAGNOSES, u * 3 + k + 1), "dx3": pick(DIAGNOSES, u + k * 5 + 4), "s1": pick(STATUSES, u + k), "s2": pick(STATUSES, u * 5 + k + 2), "n1": pick(NAMES, u * 3 + k), "n2": pick(NAMES, u * 3 + k + 3), "said": pick(SENTENCES, u * 3 + k * 7), "confidence": ((u * 37 + k * 11) % 101).cast("int")})
+    # Answers as models give them: a plain word among the findings, odd items of evidence, a quoted probability.
+    quote = F.when(u % 2 == 0, '"').otherwise("")
     extra = (
-        F.when(F.col("form") == 1, F.concat(F.lit(', "findings": {"'), "n1", F.lit('": {"presence": "'), "s1", F.lit('"}, "'), "n2", F.lit('": {"status": "'), "s2", F.lit('"}}')))
-        .when(F.col("form") == 2, F.concat(F.lit(', "extracted_evidence": [{"finding": "'), "dx2", F.lit('", "presence": "'), "s1", F.lit('"}, {"finding": "'), "dx3", F.lit('", "presence": "'), "s2", F.lit('"}], "cited_findings": ["'), pick(SENTENCES, u + k), F.lit('"]')))
-        .when(F.col("form") == 3, F.concat(F.lit(', "differential": [{"diagnosis": "'), "dx2", F.lit('", "probability": '), ((u * 13 + k) % 101).cast("string"), F.lit('}, {"diagnosis": "'), "dx3", F.lit('", "probability": '), ((u * 17 + k * 3) % 101).cast("string"), F.lit("}]")))
+        F.when(F.col("form") == 1, F.concat(F.lit(', "findings": {"'), "n1", F.lit('": {"presence": "'), "s1", F.lit('"}, "'), "n2", F.when(u % 3 == 0, F.concat(F.lit('": "'), "s2", F.lit('"}'))).otherwise(F.concat(F.lit('": {"status": "'), "s2", F.lit('"}}')))))
+        .when(F.col("form") == 2, F.concat(F.lit(', "extracted_evidence": ['), F.when(u % 4 == 1, '"word", 7, null, ').otherwise(""), F.lit('{"finding": "'), "dx2", F.lit('", "presence": "'), "s1", F.lit('"}, {"finding": "'), "dx3", F.lit('", "presence": "'), "s2", F.lit('"}], "cited_findings": ["'), pick(SENTENCES, u + k), F.lit('"]')))
+        .when(F.col("form") == 3, F.concat(F.lit(', "differential": [{"diagnosis": "'), "dx2", F.lit('", "probability": '), quote, ((u * 13 + k) % 101).cast("string"), quote, F.lit('}, {"diagnosis": "'), "dx3", F.lit('", "probability": '), ((u * 17 + k * 3) % 101).cast("string"), F.lit("}]")))
         .otherwise("")
     )
     body = F.concat(F.lit('{"primary_diagnosis": "'), "dx", F.lit('", "confidence": '), F.col("confidence").cast("string"), F.lit(', "explanation": "'), "said", F.lit('"'), extra, F.lit("}"))
@@ -140,9 +149,10 @@ CTES = {
     "norm": _norm(),
     "answers": f"""SELECT p.*, p.form <> 4 AS parsed, d.classes AS dx_classes,
         list_filter(CASE
-          WHEN form = 1 THEN list_distinct(list_concat(CASE WHEN lower(s1) = 'present' THEN f1.names ELSE [] END, CASE WHEN lower(s2) = 'present' THEN f2.names ELSE [] END))
+          WHEN form = 1 THEN list_distinct(list_concat(CASE WHEN lower(s1) = 'present' THEN f1.names ELSE [] END, CASE WHEN lower(s2) = 'present' AND uid % 3 <> 0 THEN f2.names ELSE [] END))
           WHEN form = 2 THEN list_distinct(list_concat(d.classes, CASE WHEN lower(s1) IN ('present', 'yes') THEN d2.classes ELSE [] END, CASE WHEN lower(s2) IN ('present', 'yes') THEN d3.classes ELSE [] END))
-          ELSE d.classes END, lambda c: c <> 'No Finding') AS pred
+          ELSE d.classes END, lambda c: c <> 'No Finding') AS pred,
+        CASE WHEN form = 3 THEN list_filter(list_distinct(list_concat(d.classes, CASE WHEN p1 >= 50 THEN d2.classes ELSE [] END, CASE WHEN p2 >= 50 THEN d3.classes ELSE [] END)), lambda c: c <> 'No Finding') END AS listed
       FROM predictions p JOIN norm d ON d.text = p.primary_diagnosis JOIN norm d2 ON d2.text = p.dx2 JOIN norm d3 ON d3.text = p.dx3
       JOIN named f1 ON f1.name = p.n1 JOIN named f2 ON f2.name = p.n2""",
     "scored": f"""SELECT a.*, t.pos, t.unc, t.neg, t.t_ignore, t.t_ones, CASE WHEN list_contains(t.t_ignore, 'No Finding') THEN len(a.pred) = 0 ELSE list_has_any(a.pred, t.t_ignore) END AS correct,

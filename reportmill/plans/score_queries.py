@@ -49,16 +49,16 @@ def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("uid", key_k(), F.col("json").isNotNull().alias("parsed"), F.col("answer.primary_diagnosis").alias("dx"), F.col("answer.confidence").cast("int").alias("confidence"))
 
 
-@query("mend_truncated", sql("SELECT uid, k, true AS mended, primary_diagnosis AS dx FROM predictions WHERE form < 4", "predictions"))
+@query("mend_truncated", sql("SELECT uid, k, NOT (form = 4 AND uid % 2 = 1) AS mended, CASE WHEN form = 4 AND uid % 2 = 1 THEN NULL ELSE primary_diagnosis END AS dx FROM predictions", "predictions"))
 def mend_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers cut off before their last characters still give their diagnosis."""
-    cut = derived.predictions(spark, sf_dir).filter("(uid + k) % 5 < 4").withColumn("response", F.expr("substring(response, 1, length(response) - 2)"))
-    rows = responses.parse(cut)
+    """Answers cut off before their last characters still give their diagnosis, however long they are; what holds no object gives none."""
+    longer = F.when(F.col("uid") % 97 == 0, F.replace("response", F.lit('{"primary'), F.lit('{"filler": "' + "x" * 30_000 + '", "primary'))).otherwise(F.col("response"))
+    rows = responses.parse(derived.predictions(spark, sf_dir).withColumn("response", longer).withColumn("response", F.expr("substring(response, 1, length(response) - 2)")))
     return rows.select("uid", key_k(), F.col("json").isNotNull().alias("mended"), F.col("answer.primary_diagnosis").alias("dx"))
 
 
 @query("validate_responses", sql("""SELECT uid, k, array_to_string(list_filter([CASE WHEN form = 4 THEN 'no object' END,
-    CASE WHEN form = 2 AND (s1 IN ('PRESENT', 'yes', 'possible') OR s2 IN ('PRESENT', 'yes', 'possible')) THEN 'extracted_evidence is wrong' END,
+    CASE WHEN form = 2 AND (uid % 4 = 1 OR s1 IN ('PRESENT', 'yes', 'possible') OR s2 IN ('PRESENT', 'yes', 'possible')) THEN 'extracted_evidence is wrong' END,
     CASE WHEN form = 1 AND s1 IN ('PRESENT', 'yes', 'possible') THEN 'presence is no state' END], lambda x: x IS NOT NULL), ';') AS errors FROM predictions""", "predictions"))
 def validate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.predictions(spark, sf_dir).select("uid", key_k(), F.array_join(responses.schema_errors(F.col("response")), ";").alias("errors"))
@@ -79,6 +79,12 @@ def predicted_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("uid", key_k(), sets.joined(F.col("pred")).alias("classes"))
 
 
+@query("differential_sets", sql(f"SELECT uid, k, {S('coalesce(listed, pred)')} AS classes FROM answers", "answers"))
+def differential_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted sets with the differential's likely candidates, whose probabilities may be quoted."""
+    return responses.predicted(derived.predictions(spark, sf_dir), use_differential=True).select("uid", key_k(), sets.joined(F.col("pred")).alias("classes"))
+
+
 @query("structured_sets", sql(f"SELECT uid, k, CASE WHEN form = 1 THEN {S('pred')} ELSE '' END AS classes FROM answers", "answers"))
 def structured_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.parse(derived.predictions(spark, sf_dir)).select("uid", key_k(), sets.joined(responses.structured_set(F.col("answer.findings"))).alias("classes"))
@@ -381,7 +387,7 @@ def vote_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.vote_sweep(vote_counts(spark, sf_dir), truth, "uid", 5)
 
 
-@query("presence_counts", sql("SELECT name, presence, count(*) AS n FROM (SELECT n1 AS name, lower(s1) AS presence FROM predictions WHERE form = 1 UNION ALL SELECT n2, lower(s2) FROM predictions WHERE form = 1) GROUP BY 1, 2", "predictions"))
+@query("presence_counts", sql("SELECT name, presence, count(*) AS n FROM (SELECT n1 AS name, lower(s1) AS presence FROM predictions WHERE form = 1 UNION ALL SELECT n2, CASE WHEN uid % 3 <> 0 THEN lower(s2) END FROM predictions WHERE form = 1) GROUP BY 1, 2", "predictions"))
 def presence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = responses.parse(derived.predictions(spark, sf_dir)).select(F.explode("answer.findings").alias("name", "v"))
     return rows.groupBy("name", F.lower(F.coalesce("v.presence", "v.status")).alias("presence")).agg(F.count(F.lit(1)).alias("n"))

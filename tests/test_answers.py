@@ -115,3 +115,28 @@ def test_mend_has_no_limit_of_length_or_places():
     bad = '{"primary_diagnosis": "Edema", "findings": {"a" "b"' + ', "c"' * 500
     assert json.loads(responses.mend(bad)) == {"primary_diagnosis": "Edema", "findings": {}}
     assert json.loads(responses.mend('```json\n{"a": [1, {"b": "c"}, 2')) == {"a": [1, {"b": "c"}]}
+
+
+def test_odd_entries_lose_nothing_else(spark):
+    mixed = {"Edema": {"presence": "present"}, "Pneumonia": "present", "Fracture": 3, "Atelectasis": None}
+    assert predicted(spark, primary_diagnosis="", findings=mixed) == ["Edema"]
+    odd = ["word", 4, None, [1], {"finding": "Edema", "presence": "yes"}]
+    assert predicted(spark, primary_diagnosis="", extracted_evidence=odd) == ["Edema"]
+    assert predicted(spark, primary_diagnosis="Fracture", extracted_evidence=["word"]) == ["Fracture"]
+    for probability, want in (("60", ["Pneumonia"]), (" 60.5 ", ["Pneumonia"]), (60, ["Pneumonia"]), ("40", []), ("about 60", []), ("nan", []), (None, []), ([60], [])):
+        raw = json.dumps({"primary_diagnosis": "", "differential": ["x", {"diagnosis": "pneumonia", "probability": probability}]})
+        got = parsed(spark, raw).select(responses.predicted_set(F.col("answer"), F.lit(""), use_differential=True)).first()[0]
+        assert got == want, probability
+    claims = parsed(spark, json.dumps({"explanation": "", "extracted_evidence": odd, "findings": mixed})).select(responses.claims(F.col("answer"))).first()[0]
+    assert ("Edema", "yes") in {(c["class"], c["presence"]) for c in claims} and ("Pneumonia", "present") in {(c["class"], c["presence"]) for c in claims}
+    assert errors(spark, {"primary_diagnosis": "x", "confidence": 80, "explanation": "y", "extracted_evidence": odd}) == ["extracted_evidence is wrong"]
+
+
+def test_clauses_and_their_negations(spark):
+    from reportmill.functions import text
+
+    cases = {"Pneumonia, no effusion": ["Pneumonia"], "no pneumonia but effusion": ["Pleural Effusion"], "effusion not edema": ["Pleural Effusion"], "ground,glass": [], "ground glass": ["Lung Opacity"], "no pneumonia": [], "Normal": ["No Finding"], "": [], "cardiomegaly without edema": ["Cardiomegaly"], "without edema and fracture": ["Fracture"]}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string").orderBy("i")
+    assert [r[0] for r in rows.select(text.answer_classes(F.col("t"))).collect()] == list(cases.values())
+    assert rows.filter("t = 'no pneumonia'").select(text.answer_classes(F.col("t"), negation=False)).first()[0] == ["Pneumonia"]
+    assert spark.range(1).select(text.answer_classes(F.lit(None).cast("string"))).first()[0] == []
