@@ -9,17 +9,27 @@ up to H + 1 some segment finds each pair that may link. How many segments of eit
 signatures to be shuffled against false candidates. Empty segments find nothing: bands have spare segments for them, and
 a set with more empty segments than that also gives the signatures of these.
 
-Sets that are equal are one class, so copies are never paired. Within a bucket of one signature the members are not
-paired with each other. A bucket's hub is the member that shares most signatures with others; first each set is held
-against the hub that it meets in most buckets, exactly, by the shingle sets themselves. Components of these links are made, and only members whose component
-isn't that of the bucket's majority are then held against the members of other components. So every pair that may link is
-either compared or known to be in one component already.
+A difference of one shingle in a segment means that one set's whole part equals the other's part with one left out, so two
+parts that both have one left out are never held against each other.
+
+Sets that are equal (by 128 bits of hash) are one class, so copies are never paired. Within a bucket of one signature the
+members are not paired with each other. A bucket's hub is the member that shares most signatures with others; first each
+set is held against the hub that it meets in most buckets. Components of these links are made, and only members whose
+component isn't that of the bucket's majority are then held against the members of other components. So every pair that may
+link is either compared or known to be in one component already.
+
+Buckets in which that would be more than BUCKET_PAIRS pairs, as where very many texts share a template and differ in words
+of their own, are split once more by prefixes: with all shingles of their members in one order, rarest first, two sets of
+similarity t share one of the first n - ceil(t * n) + 1 shingles of each. Their members are held against each other only
+where they share such a shingle, again without those of the majority's component, and in blocks of BLOCK_ROWS rows, so that
+no task holds a large bucket.
 
 No pair is formed that a parity sketch rules out: each bit of a set's sketch is the parity of the number of its shingles
 that hash to the bit, so two sketches differ in no more bits than the sets differ in shingles, and a pair whose sketches
-differ in more than H bits can't link.
+differ in more than H bits can't link. Pairs that are left are compared word by word.
 
-Hashes of shingles and sets have 64 bits; equal hashes are taken as equal shingles.
+Frequent signatures are found beforehand among the texts of one in HINT by hash, and dealt to SALTS tasks each; this
+decides where rows go, not which there are. Joins by hubs, roots and classes look frequent keys up in a bounded broadcast.
 
 Null and blank texts have an empty set (n_shingles 0) and are linked with nothing, not even each other. A row without
 id takes part, and its component is named by the smallest id that there is, or null. Rows with one id and several texts
@@ -39,6 +49,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, blocks, mix, signed, words
 from .components import components
+from .skew import join_hot
 from .store import written
 
 K = 3
@@ -52,6 +63,11 @@ FALSE_COST = 1_000.0
 SHARED = 0.75
 #: Up to so many ids of candidates are broadcast to read their texts again; beyond, they are joined by shuffle.
 BROADCAST_IDS = 400_000
+#: Pairs of a bucket that are formed without splitting it, and rows of a side of a block of one that is split.
+BUCKET_PAIRS = 1 << 16
+BLOCK_ROWS = 1_000
+#: One in so many texts is looked at for frequent signatures; those found HINT_ROWS times, HINTED at most, are dealt to SALTS tasks.
+HINT, HINT_ROWS, HINTED, SALTS = 64, 8, 50_000, 64
 #: Longs of a parity sketch.
 SKETCH = 8
 
@@ -99,12 +115,12 @@ def band_of(n: int, least: int, per: int) -> int:
     return i
 
 
-def signatures(shingles: np.ndarray, i: int, least: int, per: int) -> np.ndarray:
-    """Signatures in band i of a sorted array of distinct shingle hashes."""
+def signatures(shingles: np.ndarray, i: int, least: int, per: int) -> tuple[np.ndarray, int]:
+    """Signatures in band i of a sorted array of distinct shingle hashes, and how many of them, the first, are of whole parts."""
     _, _, d, e, spare = band(i, least, per)
     m = d + e
     if not m:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 0
     segment = ((shingles >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     cut = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
     value = mix(shingles ^ _C1)
@@ -116,9 +132,9 @@ def signatures(shingles: np.ndarray, i: int, least: int, per: int) -> np.ndarray
     if empty[d:].sum() <= spare:
         full = full[~empty | (np.arange(m) < d)]
     if not d:
-        return full
+        return full, len(full)
     own = segment[: cut[d]].astype(np.int64)
-    return np.r_[full, mix((part[own] - value[: cut[d]]) ^ name[own]) ^ name[own]]
+    return np.r_[full, mix((part[own] - value[: cut[d]]) ^ name[own]) ^ name[own]], len(full)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -149,9 +165,11 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bit, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.uint64)
 
 
-def set_hashes(found: list[np.ndarray]) -> np.ndarray:
-    total = np.array([np.sum(mix(s ^ _C2), dtype=np.uint64) for s in found], np.uint64)
-    return mix(total ^ np.array([len(s) for s in found], np.uint64))
+def set_names(found: list[np.ndarray]) -> pa.Array:
+    """A name of 128 bits for each set."""
+    sums = np.array([[np.sum(mix(s ^ _C2), dtype=np.uint64), np.sum(mix(~s ^ _C1), dtype=np.uint64)] for s in found], np.uint64).reshape(-1, 2)
+    names = mix(sums ^ np.array([len(s) for s in found], np.uint64)[:, None])
+    return pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(np.arange(0, 16 * len(found) + 1, 16, dtype=np.int32)), pa.py_buffer(names.tobytes())])
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -167,104 +185,184 @@ def sketch(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
         for batch in batches:
             for lo, hi, data, at in blocks(batch, "text"):
                 found = shingle_sets(data, at, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in found], pa.int32()), pa.array(signed(set_hashes(found))), _lists([parity_sketch(s) for s in found])], ["doc_id", "text_hash", "n", "set", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in found], pa.int32()), set_names(found), _lists([parity_sketch(s) for s in found])], ["doc_id", "text_hash", "n", "set", "bits"])
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text_hash long, n int, set long, bits array<long>")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text_hash long, n int, set binary, bits array<long>")
 
 
 def emit(docs: DataFrame, text: str, k: int, least: int, per: int) -> DataFrame:
-    """sig, set and n: the signatures of every row's set. n is negative in the band above the set's own, where larger sets may link."""
+    """sig, set, n and whole: the signatures of every row's set. n is negative in the band above the set's own, where larger sets may link; whole: of a whole part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, at in blocks(batch, "text"):
                 found = [s for s in shingle_sets(data, at, k) if len(s)]
-                sig, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+                sig, size, whole = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
                 times = []
                 for s in found:
                     n = len(s)
                     i = band_of(n, least, per)
-                    own = signatures(s, i, least, per)
-                    after = signatures(s, i + 1, least, per) if per * n >= least * (band(i, least, per)[1] + 1) else s[:0]
+                    own, w0 = signatures(s, i, least, per)
+                    after, w1 = signatures(s, i + 1, least, per) if per * n >= least * (band(i, least, per)[1] + 1) else (s[:0], 0)
                     sig += [own, after]
                     size.append(np.r_[np.full(len(own), n, np.int32), np.full(len(after), -n, np.int32)])
+                    whole.append(np.r_[np.arange(len(own)) < w0, np.arange(len(after)) < w1])
                     times.append(len(own) + len(after))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sig))), pa.array(signed(np.repeat(set_hashes(found), times))), pa.array(np.concatenate(size))], ["sig", "set", "n"])
+                names = set_names(found).take(pa.array(np.repeat(np.arange(len(found)), times)))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sig))), names, pa.array(np.concatenate(size)), pa.array(np.concatenate(whole))], ["sig", "set", "n", "whole"])
+
+    return docs.select(F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, "sig long, set binary, n int, whole boolean")
 
-    return docs.select(F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, "sig long, set long, n int")
+
+def _texts(docs: DataFrame, about: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """set and words (lower-cased, parted by single spaces) of the classes in pairs, from one text of each."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    ids = written(about.join(wanted, "set", "left_semi").select("set", F.col("kept.doc_id").alias("__id"), F.col("kept.text_hash").alias("__hash")), "candidates")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return written(rows.select("set", F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")).alias("words")).dropDuplicates(["set"]), "texts")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, least: int, per: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    of = lambda x: sets.select(F.col("set").alias(x), F.col("shingles").alias(f"s_{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return both.filter(per * common >= least * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, least: int, per: int) -> DataFrame:
+    """The pairs (a, b) of classes whose texts' sets of shingles link, by the words themselves."""
+    of = lambda x: texts.select(F.col("set").alias(x), F.col("words").alias(f"w_{x}"))
+    both = written(join_hot(pairs, of("a"), "a", size=F.octet_length("w_a")), "half-compared")
+    both = join_hot(both, of("b"), "b", size=F.octet_length("w_b"))
+
+    def shingles(text: str) -> frozenset:
+        w = text.split(" ")
+        return frozenset(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else frozenset([tuple(w)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[str, frozenset] = {}  # of this batch's texts, among them the hubs
+            of_text = lambda t: held.get(t) or held.setdefault(t, shingles(t))
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s, t = of_text(x), of_text(y)
+                common = len(s & t)
+                keep.append(per * common >= least * (len(s) + len(t) - common))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    return both.select("a", "b", "w_a", "w_b").mapInArrow(run, "a binary, b binary")
+
+
+def _split_pairs(docs: DataFrame, about: DataFrame, members: DataFrame, key: str, text: str, k: int, least: int, per: int) -> DataFrame:
+    """Pairs (set, x) with other roots that share a shingle of their prefixes, of members (set, root)."""
+    names = about.join(members.select("set"), "set", "left_semi").select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_hash").alias("__hash")).distinct()
+    names = written(names, "split-ids")
+    names = F.broadcast(names) if names.count() <= BROADCAST_IDS else names
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("h")).join(names, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__hash"))).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in blocks(batch, "text"):
+                found = [s for s in shingle_sets(data, at, k) if len(s)]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found]))
+                yield pa.RecordBatch.from_arrays([set_names(found).take(row), pa.array(signed(np.concatenate(found))) if found else pa.array([], pa.int64())], ["set", "shingle"])
+
+    each = written(rows.mapInArrow(run, "set binary, shingle long"), "split-shingles")
+    frequency = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    ordered = join_hot(each, frequency, "shingle").groupBy("set").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("s"))  # a text's own shingles
+    n = F.size("s")
+    prefix = F.slice("s", 1, (n - F.ceil(n * F.lit(least) / F.lit(per)).cast("int") + 1))
+    tokens = written(ordered.select("set", F.explode(prefix).alias("t")).select("set", F.col("t.shingle").alias("token")).join(members, "set"), "prefixes")
+    counts = tokens.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    counts = counts.select("token", F.col("m.root").alias("major"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK_ROWS).cast("int").alias("xs"), F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("ys"))
+    told = join_hot(tokens, counts, "token")
+    block = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    odd = told.filter("root != major").withColumn("xb", block("xs")).withColumn("yb", all_of("ys")).select("token", "xb", "yb", F.col("set").alias("x"), F.col("root").alias("x_root"))
+    every = told.withColumn("yb", block("ys")).withColumn("xb", all_of("xs")).select("token", "xb", "yb", "set", "root")
+    return odd.join(every, ["token", "xb", "yb"]).filter("root != x_root").select("set", "x")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = LEAST, per: int = PER) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, text_hash, n and set of every row, and set and root (the name of its component) of the sets that are linked."""
     each = written(sketch(docs, key, text, k), "sketches")
     filled = each.filter("n > 0")
-    # One row of each class gives its signatures; the rows of copies are few enough to be broadcast, or else are shuffled.
+    bits = [f"k{i}" for i in range(SKETCH)]
     row = F.struct("doc_id", "text_hash")
-    several = filled.groupBy("set").agg(F.min(row).alias("kept"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("set", "kept")
-    copies = written(filled.select("set", "doc_id", "text_hash").join(several, "set").filter(~row.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "copies")
+    about = filled.groupBy("set").agg(F.first("n").alias("size"), F.first("bits").alias("bits"), F.min(row).alias("kept"), F.count(F.lit(1)).alias("rows"))
+    about = written(about.select("set", "size", "kept", "rows", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(bits)]), "classes")
+    # One row of each class gives its signatures; the rows of copies are few enough to be broadcast, or else are shuffled.
+    several = about.filter("rows > 1").select("set", "kept")
+    copies = written(join_hot(filled.select("set", "doc_id", "text_hash"), several, "set").filter(~row.eqNullSafe(F.col("kept"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "copies")
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     classes = docs.join(copies, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
-    # Dealt once by signature; rows are three numbers, and copies are gone already.
-    of_sig = Window.partitionBy("sig")
-    emitted = emit(classes, text, k, least, per).withColumns({"members": F.count(F.lit(1)).over(of_sig), "largest": F.max("n").over(of_sig)})
-    buckets = written(emitted.filter("members > 1 and largest > 0").select("sig", "set", "n", "members").distinct(), "buckets")
-
-    bits = [f"k{i}" for i in range(SKETCH)]
-    about = written(filled.groupBy("set").agg(F.first("n").alias("size"), F.first("bits").alias("bits")).select("set", "size", *[F.get("bits", F.lit(i)).alias(k) for i, k in enumerate(bits)]), "about")
-    degree = buckets.groupBy("set").agg(F.sum(F.col("members") - 1).alias("degree"))
-    ranked = written(buckets.join(degree, "set").select("sig", "set", "n", "degree"), "ranked")
-    order = (F.least("set", "x").alias("a"), F.greatest("set", "x").alias("b"))
-    differ = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"x_{k}"))) for k in bits), F.lit(0))
+    # Dealt once by signature; frequent ones to several tasks.
+    some = emit(classes.filter(F.pmod(F.xxhash64(text), F.lit(HINT)) == 0), text, k, least, per)
+    hinted = some.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HINT_ROWS).orderBy(F.desc("c"), "sig").limit(HINTED).select("sig").collect()  # HINTED longs at most
+    emitted, by = emit(classes, text, k, least, per), ["sig"]
+    frequent = F.lit(False)
+    if hinted:
+        hints = docs.sparkSession.createDataFrame([(r["sig"], True) for r in hinted], "sig long, hot boolean")
+        frequent = F.coalesce("hot", F.lit(False))
+        emitted = emitted.join(F.broadcast(hints), "sig", "left").withColumn("salt", F.when(frequent, F.pmod(F.xxhash64("set"), F.lit(SALTS))).otherwise(0))
+        by = ["sig", "salt"]
+    of_sig = Window.partitionBy(*by)
+    emitted = emitted.withColumns({"members": F.count(F.lit(1)).over(of_sig), "largest": F.max("n").over(of_sig), "wholes": F.max("whole").over(of_sig)})
+    ranked = written(emitted.filter(frequent | ((F.col("members") > 1) & (F.col("largest") > 0) & F.col("wholes"))).select("sig", "set", "n", "whole", "members").distinct(), "buckets")
+
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x_{b}"))) for b in bits), F.lit(0))
     fits = lambda m, x: (m * per >= x * least) & (x * per >= m * least)
-    possible = lambda m, x: fits(m, x) & (differ * (per + least) <= (m + x) * (per - least))
+    possible = fits(F.col("size"), F.col("x_size")) & (differ * (per + least) <= (F.col("size") + F.col("x_size")) * (per - least))
+    own = about.select("set", "size", *bits)
+    other = about.select(F.col("set").alias("x"), F.col("size").alias("x_size"), *[F.col(b).alias(f"x_{b}") for b in bits])
+    order = (F.least("set", "x").alias("a"), F.greatest("set", "x").alias("b"))
+    # Pairs (set, x) that sketches leave; x may be a hub.
+    left = lambda pairs: join_hot(written(join_hot(pairs, own, "set"), "half-pairs"), other, "x").filter(possible).select(*order).distinct()
 
     # First each set is held against the one hub that it shares most buckets with.
-    hubs = ranked.filter("n > 0").groupBy("sig").agg(F.max(F.struct("degree", "set", "n")).alias("hub")).select("sig", F.col("hub.set").alias("x"), F.col("hub.n").alias("x_n"))
-    met = ranked.join(hubs, "sig").filter((F.col("set") != F.col("x")) & fits(F.abs("n"), F.abs("x_n"))).groupBy("set", "x").agg(F.count(F.lit(1)).alias("c"))
-    best = met.groupBy("set").agg(F.max(F.struct("c", "x")).alias("m")).select("set", F.col("m.x").alias("x"))
-    other = about.select(F.col("set").alias("x"), F.col("size").alias("x_size"), *[F.col(k).alias(f"x_{k}") for k in bits])
-    first = written(best.join(about, "set").join(other, "x").filter(possible(F.col("size"), F.col("x_size"))).select(*order).distinct(), "pairs")
-    links = written(_compared(first, _shingles(docs, filled, first, key, text, k), least, per), "links")
+    degree = ranked.groupBy("set").agg(F.sum(F.col("members") - 1).alias("degree"))
+    hubs = ranked.filter("n > 0").join(degree, "set").groupBy("sig").agg(F.max(F.struct("degree", "set", "n")).alias("hub")).select("sig", F.col("hub.set").alias("x"), F.col("hub.n").alias("x_n"))
+    met = join_hot(ranked, hubs, "sig").filter((F.col("set") != F.col("x")) & fits(F.abs("n"), F.abs("x_n"))).groupBy("set", "x").agg(F.count(F.lit(1)).alias("c"))
+    best = written(met.groupBy("set").agg(F.max(F.struct("c", "x")).alias("m")).select("set", F.col("m.x").alias("x")), "met")
+    first = written(left(best), "pairs")
+    links = written(_compared(first, _texts(docs, about, first, key, text), k, least, per), "links")
     roots = components(links)
+    each = each.select("doc_id", "text_hash", "n", "set")
 
     # Then those outside a bucket's largest component against the members of other components.
-    rooted = written(ranked.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", "n", F.coalesce("root", "set").alias("root")), "rooted")
-    by_root = rooted.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("sig", F.col("m.root").alias("major"))
-    split = rooted.join(by_root, "sig").join(about.drop("size"), "set")
-    odd = split.filter("root != major").select("sig", F.col("set").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"), *[F.col(k).alias(f"x_{k}") for k in bits])
-    second = odd.join(split, "sig").filter(possible(F.abs("n"), F.abs("x_n")) & (F.col("root") != F.col("x_root")) & ((F.col("n") > 0) | (F.col("x_n") > 0))).select(*order).distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = written(_compared(second, _shingles(docs, filled, second, key, text, k), least, per), "links")
-    roots = components(links.unionByName(more))
-    return each.select("doc_id", "text_hash", "n", "set"), roots.withColumnRenamed("node", "set")
+    rooted = written(ranked.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", "n", "whole", F.coalesce("root", "set").alias("root")), "rooted")
+    by_root = rooted.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("largest"), F.max("whole").alias("wholes")).groupBy("sig").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("all"), F.max("largest").alias("largest"), F.max("wholes").alias("wholes"))
+    by_root = by_root.filter("roots > 1 and largest > 0 and wholes").select("sig", F.col("m.root").alias("major"), ((F.col("all") - F.col("m.c")) * F.col("all") > BUCKET_PAIRS).alias("large"))
+    split = written(join_hot(rooted, by_root, "sig"), "split")
+    sizes = {r["large"]: r["n"] for r in split.groupBy("large").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return each, roots.withColumnRenamed("node", "set")
+    small = split.filter("not large")
+    odd = small.filter("root != major").select("sig", F.col("set").alias("x"), F.col("n").alias("x_n"), F.col("whole").alias("x_whole"), F.col("root").alias("x_root"))
+    met = odd.join(small, "sig").filter(fits(F.abs("n"), F.abs("x_n")) & (F.col("root") != F.col("x_root")) & ((F.col("n") > 0) | (F.col("x_n") > 0)) & (F.col("whole") | F.col("x_whole"))).select("set", "x").distinct()
+    if sizes.get(True):
+        members = written(split.filter("large").select("set", "root").distinct(), "large-buckets")
+        met = met.unionByName(_split_pairs(docs, about, members, key, text, k, least, per)).distinct()
+    second = written(left(written(met, "met")).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = written(_compared(second, _texts(docs, about, second, key, text), k, least, per), "links")
+    if more.limit(1).count():
+        roots = components(links.unionByName(more))
+    return each, roots.withColumnRenamed("node", "set")
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = LEAST, per: int = PER) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of docs."""
     each, roots = groups(docs, key, text, k, least, per)
     filled = each.filter("n > 0")
-    named = filled.groupBy("set").agg(F.min("doc_id").alias("m")).join(roots, "set", "left").select("set", "m", F.coalesce("root", "set").alias("root"))
+    named = written(filled.groupBy("set").agg(F.min("doc_id").alias("m")).join(roots, "set", "left").select("set", "m", F.coalesce("root", "set").alias("root")), "named")
     smallest = named.groupBy("root").agg(F.min("m").alias("component_id"))
-    of_set = named.select("root", "set").join(smallest, "root").select("set", "component_id")
-    out = filled.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set").join(of_set, "set").select("doc_id", "n_shingles", "component_id")
+    of_set = join_hot(named.select("root", "set"), smallest, "root").select("set", "component_id")
+    out = join_hot(filled.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set"), of_set, "set").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(each.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with one row of each component: that with the smallest id (a row without id only if there is no other). Rows with empty sets all stay."""
     each, roots = groups(docs, key, text, **how)
-    rows = each.filter("n > 0").join(roots, "set", "left").select("doc_id", "text_hash", F.coalesce("root", "set").alias("root"))
-    rows = rows.withColumn("name", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
+    rows = join_hot(each.filter("n > 0"), roots, "set", "left").select("doc_id", "text_hash", F.coalesce("root", "set").alias("root"))
+    rows = written(rows.withColumn("name", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")), "rooted-rows")
     kept = rows.groupBy("root").agg(F.min("name").alias("kept"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("root", "kept")
-    members = written(rows.join(kept, "root").select("doc_id", "text_hash", F.col("name").eqNullSafe(F.col("kept")).alias("is_kept")), "group-rows")
+    members = written(join_hot(rows, kept, "root").select("doc_id", "text_hash", F.col("name").eqNullSafe(F.col("kept")).alias("is_kept")), "group-rows")
     names = (F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     gone = members.filter("not is_kept").select(*names).distinct()
     twins = members.filter("is_kept").groupBy("doc_id", "text_hash").count().filter("count > 1").select(*names)
@@ -276,24 +374,3 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     twins = small(twins)
     again = left.join(twins, same, "left_semi").withColumn("__hash", F.xxhash64(text)).dropDuplicates([key, "__hash"]).drop("__hash")
     return left.join(twins, same, "left_anti").unionByName(again)
-
-
-def _shingles(docs: DataFrame, filled: DataFrame, pairs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """set and shingles (array of hashes) of the classes in pairs, from one text of each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    ids = written(filled.select("doc_id", "set").join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("__id")), "candidates")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(key).alias("__id"), F.coalesce(text, F.lit("")).alias("text"))
-    no_id = F.lit(-(1 << 63))
-    joined = texts.join(F.broadcast(ids) if few else ids, F.coalesce(texts["__id"], no_id) == F.coalesce(ids["__id"], no_id)).select("set", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, at in blocks(batch, "text"):
-                found = shingle_sets(data, at, k)
-                asked = batch.column(0).slice(lo, hi - lo)
-                # Rows with one id may have several texts: only the text that has this set counts.
-                same = signed(set_hashes(found)) == np.array(asked.to_pylist(), np.int64)
-                yield pa.RecordBatch.from_arrays([asked.filter(pa.array(same)), _lists([s for s, ok in zip(found, same, strict=True) if ok])], ["set", "shingles"])
-
-    return written(joined.mapInArrow(run, "set long, shingles array<long>").dropDuplicates(["set"]), "sets")

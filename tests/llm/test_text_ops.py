@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reportmill.llm import decontaminate, license_scan, ngram_join, pii
+from reportmill.llm import decontaminate, license_scan, ngram_join, pii, skew
 from reportmill.llm.components import components
 
 DOCS = "doc_id long, text string, source string"
@@ -190,6 +190,31 @@ def test_ngram_components_as_by_hand(spark, k, least, per, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components_by_hand(texts, k, least, per, ids))
 
 
+@pytest.mark.parametrize("k,least,per,seed", [(3, 90, 100, 5), (5, 80, 100, 6)])
+def test_large_buckets_and_frequent_keys_as_by_hand(spark, monkeypatch, k, least, per, seed):
+    """With every bucket split by prefixes in blocks of three rows, and every key that occurs twice a frequent one."""
+    for module, name, value in ((ngram_join, "BUCKET_PAIRS", 0), (ngram_join, "BLOCK_ROWS", 3), (ngram_join, "HINT", 1), (ngram_join, "HINT_ROWS", 2), (skew, "HOT_ROWS", 2), (skew, "HOT_KEYS", 40)):
+        monkeypatch.setattr(module, name, value)
+    texts = near_copies(seed) + ["a b c d e f g h i j k l m " + w for w in "n o p q r s t u v".split()] + ["same text as itself today"] * 9
+    ids = random.Random(seed).sample(range(1000), len(texts))
+    got = ngram_join.ngram_components(frame(spark, texts, ids), k=k, least=least, per=per).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components_by_hand(texts, k, least, per, ids))
+
+
+def test_parts_that_both_lack_a_shingle_are_no_candidates():
+    """Texts of a template and one word of their own: no signature of a whole part is shared, so no pair is formed."""
+    from reportmill.llm.bytewords import signed
+
+    def of(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        s = ngram_join.shingle_sets(data, np.array([0, len(data)]), 3)[0]
+        own, whole = ngram_join.signatures(s, ngram_join.band_of(len(s), 90, 100), 90, 100)
+        return set(signed(own[:whole]).tolist()), set(signed(own).tolist())
+
+    (w1, s1), (w2, s2) = (of("one two three four five six seven eight nine ten eleven twelve thirteen " + x) for x in ("alpha", "beta"))
+    assert s1 & s2 and not w1 & s2 and not w2 & s1
+
+
 def test_keep_one(spark):
     texts = near_copies(7) + ["same text as itself", "same text as itself", None]
     ids = [*range(len(texts) - 3), 5000, 5000, 6000]
