@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def paired(df: DataFrame, conditions: list[str], value: str, uid: str = "uid", condition: str = "prompt_condition") -> DataFrame:
     """uid and a column c0, c1, ... for each condition: the mean of its values, null where there are none."""
@@ -42,16 +44,30 @@ def binomial_p(k: int, n: int) -> float:
     return min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1)))
 
 
+def mcnemar_p(n01: int, n10: int, exact_below: int = 25) -> tuple[float, float]:
+    """Statistic and two-sided p: exact with fewer than exact_below discordant pairs, else chi-square with continuity correction; without discordant pairs 0 and 1."""
+    n = n01 + n10
+    if n < exact_below or not n:
+        return float(min(n01, n10)), binomial_p(n01, n)
+    statistic = (abs(n01 - n10) - 1) ** 2 / n
+    return statistic, chi_square_p(statistic)
+
+
+_MCNEMAR = "a string, b string, n long, mean_a double, mean_b double, n01 long, n10 long, statistic double, p_value double"
+
+
 def mcnemar(df: DataFrame, conditions: list[str], value: str = "correct", exact_below: int = 25, **how) -> DataFrame:
-    """mcnemar_counts with statistic, p_value and p_fdr."""
-    rows = [r.asDict() for r in mcnemar_counts(df, conditions, value, **how).collect()]  # a row for each pair of conditions
-    for r in rows:
-        r["n01"], r["n10"] = r["n01"] or 0, r["n10"] or 0
-        n = r["n01"] + r["n10"]
-        r["statistic"] = float(min(r["n01"], r["n10"])) if n < exact_below else (abs(r["n01"] - r["n10"]) - 1) ** 2 / n
-        r["p_value"] = binomial_p(r["n01"], n) if n < exact_below else chi_square_p(r["statistic"])
-    out = df.sparkSession.createDataFrame([tuple(r[k] for k in ("a", "b", "n", "mean_a", "mean_b", "n01", "n10", "statistic", "p_value")) for r in rows], "a string, b string, n long, mean_a double, mean_b double, n01 long, n10 long, statistic double, p_value double")
-    return fdr(out, [], "p_value")
+    """mcnemar_counts with statistic, p_value and p_fdr. exact_below=0: always chi-square."""
+    rows = mcnemar_counts(df, conditions, value, **how).collect()  # a row for each pair of conditions
+    out = [(r["a"], r["b"], r["n"], r["mean_a"], r["mean_b"], r["n01"] or 0, r["n10"] or 0, *mcnemar_p(r["n01"] or 0, r["n10"] or 0, exact_below)) for r in rows]
+    return fdr(df.sparkSession.createDataFrame(out, _MCNEMAR), [], "p_value")
+
+
+def mcnemar_best(df: DataFrame, conditions: list[str], best: str, value: str = "correct", alpha: float = 0.05, **how) -> DataFrame:
+    """condition, wins and losses of the best condition against it, p_value (always chi-square, with correction) and significant."""
+    rows = mcnemar_counts(df, [best, *[c for c in conditions if c != best]], value, **how).filter(F.col("a") == best).collect()  # a row for each other condition
+    out = [(r["b"], r["n10"] or 0, r["n01"] or 0, mcnemar_p(r["n01"] or 0, r["n10"] or 0, 0)[1]) for r in rows]
+    return df.sparkSession.createDataFrame([(*r, r[3] < alpha) for r in out], "condition string, wins long, losses long, p_value double, significant boolean")
 
 
 def fdr(df: DataFrame, by: list[str], p: str, name: str = "p_fdr") -> DataFrame:
@@ -63,26 +79,35 @@ def fdr(df: DataFrame, by: list[str], p: str, name: str = "p_fdr") -> DataFrame:
     return scaled.withColumn(name, F.least(F.lit(1.0), least)).drop("__r", "__s")
 
 
-def signed_ranks(df: DataFrame, conditions: list[str], value: str, digits: int = 3, **how) -> DataFrame:
-    """a, b, n (pairs with a difference), w_plus, w_minus and ties (sum of t^3 - t) of the signed-rank test, of differences rounded to `digits`.
-
-    Differences become a histogram for each pair of conditions, so ranks come from cumulative counts of bounded tables.
-    """
+def _pairs(df: DataFrame, conditions: list[str], value: str, **how) -> DataFrame:
+    """a, b, x and y of every uid that has both conditions of a pair."""
     wide = paired(df, conditions, value, **how)
-    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"c{i}") - F.col(f"c{j}"), digits).alias("d")) for (i, a), (j, b) in combinations(enumerate(conditions), 2)]
-    d = wide.select(F.explode(F.array(*each)).alias("p")).select("p.*").filter("d is not null and d != 0")
-    bins = d.groupBy("a", "b", F.abs("d").alias("m")).agg(F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("t"))
-    upto = F.sum("t").over(Window.partitionBy("a", "b").orderBy("m"))
-    ranked = bins.withColumn("rank", upto - (F.col("t") - 1) / 2)
-    return ranked.groupBy("a", "b").agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("pos"))).alias("w_minus"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y")) for (i, a), (j, b) in combinations(enumerate(conditions), 2)]
+    return wide.select(F.explode(F.array(*each)).alias("p")).select("p.*").filter("x is not null and y is not null")
 
 
-def wilcoxon_p(n: int, w_plus: float, w_minus: float, ties: float) -> float:
-    """Two-sided p: exact for up to 50 untied differences, else normal with the tie correction."""
-    if n < 5:
+def signed_ranks(df: DataFrame, conditions: list[str], value: str, **how) -> DataFrame:
+    """Of each pair of conditions that some uid has both of: a, b, pairs, n (pairs with a difference), medians, w_plus, w_minus and ties (sum of t^3 - t) of the signed-rank test.
+
+    Equal differences are counted first; ranks come from running counts.
+    """
+    rows = _pairs(df, conditions, value, **how)
+    d = F.col("x") - F.col("y")
+    bins = rows.groupBy("a", "b", F.abs(d).alias("s")).agg(F.sum(F.when(d > 0, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("t")).filter("s > 0")
+    ranked = running(bins, ["a", "b"], ["t"]).withColumn("rank", F.col("all_t") - F.col("upto_t") + (F.col("t") + 1) / 2)
+    sums = ranked.groupBy("a", "b").agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("pos"))).alias("w_minus"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
+    middle = lambda c: F.percentile(c, F.lit(0.5))
+    whole = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"), middle("x").alias("median_a"), middle("y").alias("median_b"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return whole.join(sums, ["a", "b"], "left").select("a", "b", "pairs", F.coalesce("n", F.lit(0)).alias("n"), "median_a", "median_b", zero("w_plus"), zero("w_minus"), zero("ties"))
+
+
+def wilcoxon_p(pairs: int, n: int, w_plus: float, w_minus: float, ties: float) -> float:
+    """Two-sided p of n differences in so many pairs: 1 with fewer than 5 pairs or no difference; exact for up to 50 pairs without ties and zeros, else normal with the tie correction."""
+    if pairs < 5 or not n:
         return 1.0
     w = min(w_plus, w_minus)
-    if n <= 50 and not ties:
+    if n == pairs <= 50 and not ties:
         ways = [1.0]
         for r in range(1, n + 1):
             longer = ways + [0.0] * r
@@ -94,25 +119,45 @@ def wilcoxon_p(n: int, w_plus: float, w_minus: float, ties: float) -> float:
     return math.erfc(abs(w - n * (n + 1) / 4) / sd / math.sqrt(2)) if sd else 1.0
 
 
-def wilcoxon(df: DataFrame, conditions: list[str], value: str, digits: int = 3, **how) -> DataFrame:
-    """signed_ranks with statistic, p_value, p_fdr and Cliff's delta of each pair."""
-    rows = signed_ranks(df, conditions, value, digits, **how).collect()  # a row for each pair of conditions
-    delta = {(r["a"], r["b"]): r["delta"] for r in cliffs_delta(df, conditions, value, digits, **how).collect()}
-    out = [(r["a"], r["b"], r["n"], float(min(r["w_plus"], r["w_minus"])), wilcoxon_p(r["n"], r["w_plus"], r["w_minus"], r["ties"]), float(delta.get((r["a"], r["b"]), 0.0))) for r in rows]
-    return fdr(df.sparkSession.createDataFrame(out, "a string, b string, n long, statistic double, p_value double, delta double"), [], "p_value")
-
-
-def cliffs_delta(df: DataFrame, conditions: list[str], value: str, digits: int = 3, **how) -> DataFrame:
-    """a, b and delta of each pair of conditions, from histograms of the values of uids that have both: no pairs of rows are formed."""
-    wide = paired(df, conditions, value, **how)
-    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"c{i}"), digits).alias("x"), F.round(F.col(f"c{j}"), digits).alias("y")) for (i, a), (j, b) in combinations(enumerate(conditions), 2)]
-    rows = wide.select(F.explode(F.array(*each)).alias("p")).select("p.*").filter("x is not null and y is not null")
-    values = rows.select("a", "b", F.explode(F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")), F.struct(F.col("y").alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb")))).alias("s"))
-    bins = values.groupBy("a", "b", "s.v").agg(F.sum("s.na").alias("na"), F.sum("s.nb").alias("nb"))
-    w = Window.partitionBy("a", "b")
-    below = F.coalesce(F.sum("nb").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    above = F.sum("nb").over(w) - below - F.col("nb")
-    return bins.withColumn("net", F.col("na") * (below - above).cast("double")).groupBy("a", "b").agg((F.sum("net") / (F.sum("na").cast("double") * F.sum("nb"))).alias("delta"))
+def wilcoxon(df: DataFrame, conditions: list[str], value: str, **how) -> DataFrame:
+    """A row for each pair of conditions: medians, statistic, p_value, p_fdr and Cliff's delta. Without a difference, or with fewer than 5 pairs, the statistic is null, p 1 and delta 0."""
+    rows = signed_ranks(df, conditions, value, **how).collect()  # a row for each pair of conditions
+    delta = {(r["a"], r["b"]): r["delta"] for r in cliffs_delta(df, conditions, value, **how).collect()}
+    out = []
+    for r in rows:
+        told = r["pairs"] >= 5 and r["n"] > 0
+        out.append((r["a"], r["b"], r["pairs"], r["median_a"], r["median_b"], float(min(r["w_plus"], r["w_minus"])) if told else None, wilcoxon_p(r["pairs"], r["n"], r["w_plus"], r["w_minus"], r["ties"]), float(delta[r["a"], r["b"]]) if told else 0.0))
+    return fdr(df.sparkSession.createDataFrame(out, "a string, b string, pairs long, median_a double, median_b double, statistic double, p_value double, delta double"), [], "p_value")
+
+
+def cliffs_delta(df: DataFrame, conditions: list[str], value: str, **how) -> DataFrame:
+    """a, b and delta of each pair of conditions, from counts of the values of uids that have both: no pairs of rows are formed."""
+    rows = _pairs(df, conditions, value, **how)
+    values = rows.select("a", "b", F.explode(F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")), F.struct(F.col("y").alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb")))).alias("p"))
+    bins = values.groupBy("a", "b", F.col("p.v").alias("s")).agg(F.sum("p.na").alias("na"), F.sum("p.nb").alias("nb"))
+    above = F.col("upto_nb") - F.col("nb")
+    net = F.col("na") * (F.col("all_nb") - F.col("upto_nb") - above).cast("double")
+    return running(bins, ["a", "b"], ["nb"]).withColumn("net", net).groupBy("a", "b").agg((F.sum("net") / (F.sum("na").cast("double") * F.sum("nb"))).alias("delta"))
+
+
+def paired_dissociation(df: DataFrame, base: str, conditions: list[str], persuasive: list[str], faithful: list[str], alpha: float = 0.05, **how) -> DataFrame:
+    """condition, and for each measure d_, p_ and n_: mean difference from the base, p of the paired signed-rank test (null with fewer than 10 pairs or no difference); persuasive_up and faithful_up (some measure rises significantly) and dissociation (the former without the latter)."""
+    found: dict[str, dict] = {c: {} for c in conditions if c != base}
+    for m in [*persuasive, *faithful]:
+        pairs = _pairs(df, [base, *found], m, **how).filter(F.col("a") == base)
+        means = {r["b"]: r for r in pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y") - F.col("x")).alias("d")).collect()}
+        tests = {r["b"]: r for r in signed_ranks(df, [base, *found], m, **how).filter(F.col("a") == base).collect()}  # a row for each condition
+        for c in found:
+            r, t = means.get(c), tests.get(c)
+            told = bool(r and t and r["n"] >= 10 and t["n"])
+            found[c][m] = (r["d"] if told else None, wilcoxon_p(t["pairs"], t["n"], t["w_plus"], t["w_minus"], t["ties"]) if told else None, r["n"] if r else 0)
+    rises = lambda x: x[1] is not None and x[1] < alpha and x[0] > 0
+    rows = []
+    for c, of in found.items():
+        p, f = any(rises(of[m]) for m in persuasive), any(rises(of[m]) for m in faithful)
+        rows.append((c, *[x for m in [*persuasive, *faithful] for x in of[m]], p, f, p and not f))
+    measures = ", ".join(f"d_{m} double, p_{m} double, n_{m} long" for m in [*persuasive, *faithful])
+    return df.sparkSession.createDataFrame(rows, f"prompt_condition string, {measures}, persuasive_up boolean, faithful_up boolean, dissociation boolean")
 
 
 def dissociation(df: DataFrame, base: str, coherence: str, faithfulness: str, condition: str = "prompt_condition", slack: float = 0.05) -> DataFrame:

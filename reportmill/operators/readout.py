@@ -1,12 +1,15 @@
 """Thresholds, AUROC, probes and prior shift over scores of (uid, class) cells.
 
-Classes are few and their cells many. Whatever needs an order of scores works on a histogram of scores rounded to
-`digits`, which has a bounded number of rows, so no window runs over all cells of a class.
+Classes are few and their cells many. Whatever needs an order of scores works on counts of cells by score, with running
+sums in ranges of scores (`ranks.running`), so no task holds all cells of a class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,88 +17,77 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sets import ratio
-from .sampling import order_key
-
-DIGITS = 4
-
+from .ranks import running, small
 
-def histogram(scores: DataFrame, by: list[str], digits: int = DIGITS, score: str = "score", y: str = "y") -> DataFrame:
-    """groups, s, n and pos: cells and positive cells at each rounded score."""
-    return scores.groupBy(*by, F.round(score, digits).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"))
+#: Digits to which probabilities are told apart when a prior is fitted, and quantiles when a threshold is chosen among them.
+PRIOR_DIGITS, QUANTILE_DIGITS = 4, 9
 
 
-def _falling(by: list[str]):
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    return w, w.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+def histogram(scores: DataFrame, by: list[str], score: str = "score", y: str = "y") -> DataFrame:
+    """groups, s, n and pos: cells and positive cells at each score."""
+    return scores.groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"))
 
 
-def auroc(scores: DataFrame, by: list[str], least: int = 1, digits: int = DIGITS, **how) -> DataFrame:
+def auroc(scores: DataFrame, by: list[str], least: int = 1, **how) -> DataFrame:
     """groups, n_pos, n_neg and auroc (ties count half); groups with fewer than `least` positives or negatives are left out."""
-    bins = histogram(scores, by, digits, **how)
-    w, upto = _falling(by)
-    neg = F.col("n") - F.col("pos")
-    below = F.sum(neg).over(w) - F.sum(neg).over(upto)
-    rows = bins.withColumn("net", F.col("pos") * (below + neg / 2.0)).withColumn("neg", neg)
+    bins = histogram(scores, by, **how).withColumn("neg", F.col("n") - F.col("pos"))
+    below = F.col("all_neg") - F.col("upto_neg")
+    rows = running(bins, by, ["neg"]).withColumn("net", F.col("pos") * (below + F.col("neg") / 2.0))
     total = rows.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("net").alias("net"))
     return total.filter((F.col("n_pos") >= least) & (F.col("n_neg") >= least)).select(*by, "n_pos", "n_neg", (F.col("net") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auroc"))
 
 
-def f1_threshold(scores: DataFrame, by: list[str], digits: int = DIGITS, **how) -> DataFrame:
+def f1_threshold(scores: DataFrame, by: list[str], **how) -> DataFrame:
     """groups, threshold and f1: the cutoff (calls are scores at or above it) with the best f1; of equals the largest cutoff."""
-    w, upto = _falling(by)
-    rows = histogram(scores, by, digits, **how).withColumns({"tp": F.sum("pos").over(upto), "called": F.sum("n").over(upto), "all": F.sum("pos").over(w)})
-    rows = rows.withColumn("f1", ratio(2.0 * F.col("tp"), F.col("called") + F.col("all")))
+    rows = running(histogram(scores, by, **how), by, ["pos", "n"])
+    rows = rows.withColumn("f1", ratio(2.0 * F.col("upto_pos"), F.col("upto_n") + F.col("all_pos")))
     return rows.groupBy(*by).agg(F.max(F.struct("f1", "s")).alias("m")).select(*by, F.col("m.s").alias("threshold"), F.col("m.f1").alias("f1"))
 
 
 def apply_threshold(scores: DataFrame, thresholds: DataFrame, by: list[str], score: str = "score") -> DataFrame:
-    """scores with called (0 or 1)."""
-    return scores.join(F.broadcast(thresholds.select(*by, "threshold")), by).withColumn("called", F.when(F.col(score) >= F.col("threshold"), 1).otherwise(0)).drop("threshold")
+    """scores with called (0 or 1). Thresholds are broadcast while they are few."""
+    return scores.join(small(thresholds.select(*by, "threshold")), by).withColumn("called", F.when(F.col(score) >= F.col("threshold"), 1).otherwise(0)).drop("threshold")
 
 
-def prevalence_threshold(dev: DataFrame, test: DataFrame, by: list[str], digits: int = DIGITS) -> DataFrame:
+def prevalence_threshold(dev: DataFrame, test: DataFrame, by: list[str]) -> DataFrame:
     """groups, k and threshold: k is the dev rate of positives times the test cells (half to even), the threshold the k-th largest test score."""
     rate = dev.groupBy(*by).agg(F.avg("y").alias("rate"))
-    _, upto = _falling(by)
-    bins = histogram(test, by, digits).withColumn("called", F.sum("n").over(upto))
+    bins = running(histogram(test, by), by, ["n"])
     size = test.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"))
     want = rate.join(size, by).select(*by, F.bround(F.col("rate") * F.col("cells")).cast("long").alias("k"))
-    return bins.join(want, by).filter(F.col("called") >= F.col("k")).groupBy(*by, "k").agg(F.max("s").alias("threshold"))
+    return bins.join(small(want), by).filter(F.col("upto_n") >= F.col("k")).groupBy(*by, "k").agg(F.max("s").alias("threshold"))
 
 
-def expected_f1_threshold(probabilities: DataFrame, by: list[str], digits: int = DIGITS) -> DataFrame:
+def expected_f1_threshold(probabilities: DataFrame, by: list[str]) -> DataFrame:
     """groups, k, threshold and expected f1: the number of calls, from the largest probability down, with the best 2 * sum(p) / (k + sum of all p)."""
-    w, upto = _falling(by)
-    rows = histogram(probabilities, by, digits).withColumns({"k": F.sum("n").over(upto), "mass": F.sum(F.col("n") * F.col("s")).over(upto), "all": F.sum(F.col("n") * F.col("s")).over(w)})
-    rows = rows.withColumn("f", ratio(2.0 * F.col("mass"), F.col("k") + F.col("all")))
-    return rows.groupBy(*by).agg(F.max(F.struct("f", "s", "k")).alias("m")).select(*by, F.col("m.k").alias("k"), F.col("m.s").alias("threshold"), F.col("m.f").alias("expected_f1"))
+    rows = running(histogram(probabilities, by).withColumn("mass", F.col("n") * F.col("s")), by, ["n", "mass"])
+    rows = rows.withColumn("f", ratio(2.0 * F.col("upto_mass"), F.col("upto_n") + F.col("all_mass")))
+    return rows.groupBy(*by).agg(F.max(F.struct("f", "s", "upto_n")).alias("m")).select(*by, F.col("m.upto_n").alias("k"), F.col("m.s").alias("threshold"), F.col("m.f").alias("expected_f1"))
 
 
-def quantile_threshold(scores: DataFrame, by: list[str], steps: int = 200, digits: int = DIGITS) -> DataFrame:
-    """groups, threshold and f1: the best of steps + 1 quantiles of the scores; of equals the smallest."""
+def quantile_threshold(scores: DataFrame, by: list[str], steps: int = 200) -> DataFrame:
+    """groups, threshold and f1: the best of steps + 1 quantiles of the scores, told apart to QUANTILE_DIGITS digits; of equals the smallest."""
     grid = scores.groupBy(*by).agg(F.percentile("score", F.array(*[F.lit(i / steps) for i in range(steps + 1)])).alias("q"))
-    cuts = grid.select(*by, F.explode(F.array_distinct(F.transform("q", lambda x: F.round(x, digits)))).alias("t"))
-    bins = histogram(scores, by, digits)
-    total = bins.join(F.broadcast(cuts), by).groupBy(*by, "t").agg(F.sum(F.when(F.col("s") >= F.col("t"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("s") >= F.col("t"), F.col("n")).otherwise(0)).alias("called"), F.sum("pos").alias("all"))
+    cuts = small(grid.select(*by, F.explode(F.array_distinct(F.transform("q", lambda x: F.round(x, QUANTILE_DIGITS)))).alias("t")))
+    total = histogram(scores, by).join(cuts, by).groupBy(*by, "t").agg(F.sum(F.when(F.col("s") >= F.col("t"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("s") >= F.col("t"), F.col("n")).otherwise(0)).alias("called"), F.sum("pos").alias("all"))
     rows = total.withColumn("f1", ratio(2.0 * F.col("tp"), F.col("called") + F.col("all")))
     return rows.groupBy(*by).agg(F.max(F.struct("f1", (-F.col("t")).alias("u"))).alias("m")).select(*by, (-F.col("m.u")).alias("threshold"), F.col("m.f1").alias("f1"))
 
 
-def matched_calls(scores: DataFrame, calls: DataFrame, by: list[str], uid: str = "uid", digits: int = DIGITS) -> DataFrame:
+def matched_calls(scores: DataFrame, calls: DataFrame, by: list[str], uid: str = "uid") -> DataFrame:
     """groups and uid of as many top scores as there are calls in each group, ties by uid.
 
-    The cutoff comes from the histogram; only the cells of the cutoff's bin are ranked, in salts of their group's bin.
+    The cutoff comes from running counts; only the cells at the cutoff are ranked, in salts of their group.
     """
-    _, upto = _falling(by)
     want = calls.groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
-    bins = histogram(scores.withColumn("y", F.lit(0)), by, digits).withColumn("upto", F.sum("n").over(upto)).join(want, by)
-    cut = bins.filter(F.col("upto") >= F.col("k")).groupBy(*by, "k").agg(F.max(F.struct("s", (F.col("upto") - F.col("n")).alias("before"))).alias("m")).select(*by, F.col("m.s").alias("cut"), (F.col("k") - F.col("m.before")).alias("left"))
-    rows = scores.withColumn("__s", F.round("score", digits)).join(F.broadcast(cut), by)
-    over = rows.filter(F.col("__s") > F.col("cut")).select(*by, uid)
-    edge = rows.filter(F.col("__s") == F.col("cut")).withColumn("__salt", F.pmod(F.xxhash64(uid), F.lit(64)))
-    first = F.row_number().over(Window.partitionBy(*by, "__salt").orderBy(F.desc("score"), uid))
+    bins = running(histogram(scores.withColumn("y", F.lit(0)), by), by, ["n"]).join(small(want), by)
+    cut = bins.filter(F.col("upto_n") >= F.col("k")).groupBy(*by, "k").agg(F.max(F.struct("s", (F.col("upto_n") - F.col("n")).alias("before"))).alias("m")).select(*by, F.col("m.s").alias("cut"), (F.col("k") - F.col("m.before")).alias("left"))
+    rows = scores.join(small(cut), by)
+    over = rows.filter(F.col("score") > F.col("cut")).select(*by, uid)
+    edge = rows.filter(F.col("score") == F.col("cut")).withColumn("__salt", F.pmod(F.xxhash64(uid), F.lit(64)))
+    first = F.row_number().over(Window.partitionBy(*by, "__salt").orderBy(uid))
     edge = edge.withColumn("__r", first).filter(F.col("__r") <= F.col("left"))
-    second = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), uid))
+    second = F.row_number().over(Window.partitionBy(*by).orderBy(uid))
     return over.unionByName(edge.withColumn("__r", second).filter(F.col("__r") <= F.col("left")).select(*by, uid))
 
 
@@ -106,45 +98,181 @@ def pool_tokens(vectors: DataFrame, by: list[str], vec: str = "vec") -> DataFram
     return each.groupBy(*by).agg(held.alias("d")).select(*by, F.concat(F.col("d.m"), F.col("d.x").cast("array<double>")).alias("vec"))
 
 
-def probe(features: DataFrame, classes: list, c_grid: tuple[float, ...] = (0.01, 0.1, 1.0), vec: str = "vec", label: str = "label", split: str = "split", shuffled: str | None = None, max_iter: int = 50) -> DataFrame:
-    """uid, class, y, split and p of a balanced logistic probe for each class; C is chosen by dev AUROC.
+def fit_logistic(rows: DataFrame, targets: int, c_grid: tuple[float, ...], most: int = 200, tolerance: float = 1e-5) -> np.ndarray:
+    """Weights [target, C, dimension + 1] of balanced L2 logistic regressions, all fitted at once.
 
-    shuffled: labels of the training rows are drawn anew at their own rate, hashed from this seed (a control).
+    rows: vec (doubles) and hot, the numbers of the targets that are positive for the row. Every pass over the rows gives
+    loss and gradient of all regressions at their trial points; L-BFGS with halved steps goes on for each by itself. A target
+    without both kinds of rows keeps weights of 0, and so probabilities of one half.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    n, d, grid = total["n"], total["d"] or 0, len(c_grid)
+    w = np.zeros((targets, grid, d + 1))
+    if not n or not targets:
+        return w
+    pos = np.zeros(targets)
+    for r in rows.select(F.explode("hot").alias("t")).groupBy("t").count().collect():  # a row for each target
+        pos[r["t"]] = r["count"]
+    live = np.flatnonzero((pos > 0) & (pos < n))
+    share = np.stack([n / (2 * np.maximum(1, n - pos)), n / (2 * np.maximum(1, pos))])[:, live]
+    penalty = 1 / (np.array(c_grid) * n)
+
+    def losses(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shared = spark.sparkContext.broadcast((points, live, share))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p, own, share = shared.value
+            flat = p.reshape(-1, d + 1)
+            f, g = np.zeros(len(flat)), np.zeros_like(flat)
+            place = np.full(targets, -1)
+            place[own] = np.arange(len(own))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = np.c_[b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d), np.ones(b.num_rows)]
+                y = np.zeros((b.num_rows, len(own)))
+                hot = b.column(1)
+                t = place[hot.flatten().to_numpy(zero_copy_only=False)] if len(hot.flatten()) else np.zeros(0, int)
+                row = np.repeat(np.arange(b.num_rows), hot.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                y[row[t >= 0], t[t >= 0]] = 1
+                z = (x @ flat.T).reshape(b.num_rows, len(own), grid)
+                weight = np.where(y == 1, share[1], share[0])[:, :, None]
+                signed = np.where(y[:, :, None] == 1, -z, z)
+                f += (weight * np.logaddexp(0, signed)).sum(axis=0).reshape(-1)
+                slope = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[:, :, None])
+                g += slope.reshape(b.num_rows, -1).T @ x
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(f), pa.array([v.tobytes() for v in g], pa.binary())], ["i", "f", "g"])
+
+        f, g = np.zeros(len(live) * grid), np.zeros((len(live) * grid, d + 1))
+        for r in rows.select("vec", "hot").mapInArrow(run, "i long, f double, g binary").toLocalIterator():  # a row for each partition and regression
+            f[r["i"]] += r["f"]
+            g[r["i"]] += np.frombuffer(bytes(r["g"]), np.float64)
+        shared.destroy()
+        ridge = np.tile(penalty, len(live))[:, None] * points.reshape(-1, d + 1)
+        ridge[:, -1] = 0
+        return f / n + (ridge * points.reshape(-1, d + 1)).sum(axis=1) / 2, g / n + ridge
+
+    x = np.zeros((len(live) * grid, d + 1))
+    f, g = losses(x)
+    past: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in x]
+    step, aim, done = np.ones(len(x)), -g, np.abs(g).max(axis=1) < tolerance
+    for _ in range(most):
+        if done.all():
+            break
+        trial = np.where(done[:, None], x, x + step[:, None] * aim)
+        f1, g1 = losses(trial)
+        for i in np.flatnonzero(~done):
+            if f1[i] <= f[i] + 1e-4 * step[i] * (g[i] @ aim[i]) or step[i] < 1e-6:
+                s, y = trial[i] - x[i], g1[i] - g[i]
+                if s @ y > 1e-12:
+                    past[i] = [*past[i][-9:], (s, y)]
+                gone = f[i] - f1[i]
+                x[i], f[i], g[i], step[i] = trial[i], f1[i], g1[i], 1.0
+                q, used = g[i].copy(), []
+                for s, y in reversed(past[i]):
+                    a = (s @ q) / (s @ y)
+                    used.append(a)
+                    q -= a * y
+                if past[i]:
+                    s, y = past[i][-1]
+                    q *= (s @ y) / (y @ y)
+                for (s, y), a in zip(past[i], reversed(used), strict=True):
+                    q += (a - (y @ q) / (s @ y)) * s
+                aim[i] = -q
+                done[i] = np.abs(g[i]).max() < tolerance or 0 <= gone < 1e-10
+            else:
+                step[i] /= 2
+    w[live] = x.reshape(len(live), grid, d + 1)
+    return w
+
+
+def _standardised(features: DataFrame, columns: list[str], vec: str, split: str) -> DataFrame:
+    """columns and vec, scaled by the training rows' mean and deviation."""
+    rows = features.select(*columns, array_to_vector(F.col(vec).cast("array<double>")).alias("raw"))
+    scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(rows.filter(F.col(split) == "train"))
+    return scaler.transform(rows).select(*columns, vector_to_array("scaled").alias("vec"))
+
+
+def _probabilities(rows: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """keep, target, c (numbers) and p of every row and regression."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        many, d = w.shape[0] * w.shape[1], w.shape[2]
+        target, c = (pa.array(a.reshape(-1).astype(np.int32)) for a in np.indices(w.shape[:2]))
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                x = np.c_[part.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, d - 1), np.ones(part.num_rows)]
+                p = 1 / (1 + np.exp(-np.clip(x @ w.reshape(many, d).T, -500, 500)))
+                at = pa.array(np.repeat(np.arange(part.num_rows), many))
+                tile = pa.array(np.tile(np.arange(many), part.num_rows))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(len(keep))), target.take(tile), c.take(tile), pa.array(p.reshape(-1))], [*keep, "target", "c", "p"])
+
+    return rows.select(*keep, "vec").mapInArrow(run, f"{kinds}, target int, c int, p double")
+
+
+def probe(features: DataFrame, classes: list, c_grid: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0), vec: str = "vec", label: str = "label", split: str = "split", uid: str = "uid") -> DataFrame:
+    """uid, class, y, split, c and p of a balanced logistic probe for each class, all fitted at once on the training rows; C is chosen by dev AUROC, of equals the first."""
+    rows = _standardised(features, [uid, label, split], vec, split).persist()
+    number = lambda c: F.coalesce(*[F.when(F.col(c) == v, F.lit(i)) for i, v in enumerate(classes)], F.lit(-1))
+    hot = F.when(number(label) >= 0, F.array(number(label))).otherwise(F.array().cast("array<int>"))
+    weights = fit_logistic(rows.filter(F.col(split) == "train").select("vec", hot.alias("hot")), len(classes), c_grid)
+    told = _probabilities(rows, weights, [uid, label, split]).withColumn("y", F.when(number(label) == F.col("target"), 1).otherwise(0))
+    quality = {(r["target"], r["c"]): r["auroc"] for r in auroc(told.filter(F.col(split) == "dev").withColumnRenamed("p", "score"), ["target", "c"]).collect()}  # a row for each class and C
+    best = np.array([max(range(len(c_grid)), key=lambda j: (quality.get((i, j), 0.5), -j)) for i in range(len(classes))], int)
+    rows.unpersist()
+    chosen = np.stack([weights[i, j] for i, j in enumerate(best)])[:, None, :]
+    out = _probabilities(_standardised(features, [uid, label, split], vec, split), chosen, [uid, label, split])
+    kind = features.schema[label].dataType.simpleString()
+    pick = lambda values, kind: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("target") + 1).cast(kind)
+    return out.select(uid, pick(classes, kind).alias("class"), F.when(number(label) == F.col("target"), 1).otherwise(0).alias("y"), split, pick([float(c_grid[j]) for j in best], "double").alias("c"), "p")
+
+
+def shuffled_null(features: DataFrame, classes: list, shuffles: int, c: float = 0.01, seed: str = "shuffle", vec: str = "vec", label: str = "label", split: str = "split", uid: str = "uid") -> DataFrame:
+    """class, auroc on the test rows, mean and 2.5 and 97.5 % points of the AUROCs of probes fitted on permuted training labels, and perm_p.
+
+    A permutation of 0/1 labels is a draw of as many rows as there are positives: the first by hash of seed, shuffle and uid.
     """
-    rows = features.select("uid", label, split, array_to_vector(F.col(vec).cast("array<double>")).alias("raw"))
-    train = rows.filter(F.col(split) == "train")
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-    rows = scaler.transform(rows).cache()
-    out = None
-    for c in classes:
-        own = rows.withColumn("y", F.when(F.col(label) == c, 1.0).otherwise(0.0))
-        fit_on = own.filter(F.col(split) == "train")
-        counts = fit_on.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
-        n, pos = counts["n"], counts["pos"] or 0.0
-        if not 0 < pos < n:
-            continue
-        if shuffled is not None:
-            u = F.conv(F.substring(order_key(f"{shuffled}|{c}", "uid"), 1, 13), 16, 10).cast("double") / float(1 << 52)
-            fit_on = fit_on.withColumn("y", F.when(u < pos / n, 1.0).otherwise(0.0))
-        fit_on = fit_on.withColumn("w", F.when(F.col("y") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
-        best = None
-        for strength in c_grid:
-            model = LogisticRegression(labelCol="y", weightCol="w", regParam=1 / (strength * n), standardization=False, maxIter=max_iter).fit(fit_on)
-            scored = model.transform(own).select("uid", F.lit(c).alias("class"), F.col("y").cast("int").alias("y"), split, vector_to_array("probability")[1].alias("p"))
-            dev = auroc(scored.filter(F.col(split) == "dev").withColumnRenamed("p", "score"), ["class"]).first()
-            quality = dev["auroc"] if dev else 0.5
-            if best is None or quality > best[0]:
-                best = quality, scored
-        out = best[1] if out is None else out.unionByName(best[1])
-    return out if out is not None else features.sparkSession.createDataFrame([], "uid long, class int, y int, split string, p double")
-
-
-def platt(dev: DataFrame, scores: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """scores with p, by a logistic regression of y on the score over dev."""
-    both = lambda df: df.withColumn("__f", array_to_vector(F.array(F.col(score).cast("double"))))
-    model = LogisticRegression(featuresCol="__f", labelCol="__y", maxIter=100).fit(both(dev).withColumn("__y", F.col(y).cast("double")))
-    a, b = float(model.coefficients[0]), float(model.intercept)
-    return scores.withColumn("p", 1 / (1 + F.exp(-(F.lit(a) * F.col(score) + F.lit(b)))))
+    rows = _standardised(features, [uid, label, split], vec, split).persist()
+    train = rows.filter(F.col(split) == "train").select(uid, label)
+    plain = train.filter(F.col(label).isin(classes)).withColumn("class", F.col(label))
+    numbered = train.select(uid, F.explode(F.array(*[F.struct(F.lit(i * (shuffles + 1) + s + 1).alias("target"), F.lit(v).alias("class"), F.lit(s).alias("s")) for i, v in enumerate(classes) for s in range(shuffles)])).alias("t")).select(uid, "t.*")
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("class").cast("string"), F.col("s").cast("string"), F.col(uid).cast("string"))), 1, 13), 16, 10).cast("double")
+    wanted = plain.join(F.broadcast(numbered.select("class", "target").distinct()), "class").select("target", uid)  # a row for each class and shuffle
+    drawn = matched_calls(numbered.withColumn("score", u).select("target", uid, "score"), wanted, ["target"], uid)
+    real = plain.select(uid, F.coalesce(*[F.when(F.col("class") == v, F.lit(i * (shuffles + 1))) for i, v in enumerate(classes)]).alias("target"))
+    hot = real.unionByName(drawn.select(uid, "target")).groupBy(uid).agg(F.sort_array(F.collect_list("target")).alias("hot"))  # at most a number for each class and shuffle
+    fitted = rows.filter(F.col(split) == "train").join(hot, uid, "left").select("vec", F.coalesce("hot", F.array().cast("array<int>")).alias("hot"))
+    weights = fit_logistic(fitted, len(classes) * (shuffles + 1), (c,))
+    told = _probabilities(rows.filter(F.col(split) == "test"), weights, [uid, label])
+    own = F.element_at(F.array(*[F.lit(v) for v in classes]), F.floor(F.col("target") / (shuffles + 1)).cast("int") + 1)
+    got = auroc(told.withColumn("y", F.when(F.col(label) == own, 1).otherwise(0)).withColumnRenamed("p", "score"), ["target"]).collect()  # a row for each class and shuffle
+    rows.unpersist()
+    by_class: dict[int, dict[int, float]] = {}
+    for r in got:
+        by_class.setdefault(r["target"] // (shuffles + 1), {})[r["target"] % (shuffles + 1)] = r["auroc"]
+    out = []
+    for i, of in sorted(by_class.items()):
+        null = [x for s, x in of.items() if s]
+        if 0 in of and null:
+            lo, hi = np.percentile(null, [2.5, 97.5])
+            out.append((classes[i], of[0], float(np.mean(null)), float(lo), float(hi), permutation_p(of[0], null)))
+    return features.sparkSession.createDataFrame(out, f"class {features.schema[label].dataType.simpleString()}, auroc double, null_mean double, null_lo double, null_hi double, perm_p double")
+
+
+def platt(dev: DataFrame, scores: DataFrame, by: str = "class", score: str = "score", y: str = "y") -> DataFrame:
+    """scores with p, by a logistic regression of y on the score for each class over dev; classes that dev hasn't are left out."""
+    lines = []
+    for r in dev.select(by).distinct().orderBy(by).collect():  # a fit for each class
+        own = dev.filter(F.col(by) == r[by]).select(array_to_vector(F.array(F.col(score).cast("double"))).alias("f"), F.col(y).cast("double").alias("y"))
+        model = LogisticRegression(featuresCol="f", labelCol="y", maxIter=100).fit(own)
+        lines.append((r[by], float(model.coefficients[0]), float(model.intercept)))
+    fitted = F.broadcast(scores.sparkSession.createDataFrame(lines, f"{by} {dev.schema[by].dataType.simpleString()}, __a double, __b double"))
+    return scores.join(fitted, by).withColumn("p", 1 / (1 + F.exp(-(F.col("__a") * F.col(score) + F.col("__b"))))).drop("__a", "__b")
 
 
 def em_prior(bins: list[tuple[float, int]], source: float, tolerance: float = 1e-7, most: int = 200) -> float:
@@ -165,10 +293,10 @@ def shifted(p, source: float, prior: float):
     return p * a / (p * a + (1 - p) * b)
 
 
-def shift_prior(scores: DataFrame, source: dict, by: str = "class", digits: int = DIGITS, p: str = "p") -> DataFrame:
-    """scores with prior (by EM for each class, on a histogram of at most 10 ** digits + 1 bins) and p_shifted."""
+def shift_prior(scores: DataFrame, source: dict, by: str = "class", digits: int = PRIOR_DIGITS, p: str = "p") -> DataFrame:
+    """scores with prior (by EM for each class, on the means of at most 10 ** digits + 1 bins) and p_shifted."""
     bins: dict = {}
-    for r in scores.groupBy(by, F.round(p, digits).alias("p")).count().collect():
+    for r in scores.groupBy(by, F.round(p, digits)).agg(F.avg(p).alias("p"), F.count(F.lit(1)).alias("count")).select(by, "p", "count").collect():
         bins.setdefault(r[by], []).append((r["p"], r["count"]))
     prior = {c: em_prior(b, source[c]) for c, b in bins.items()}
     pick = lambda d: F.coalesce(*[F.when(F.col(by) == c, F.lit(float(v))) for c, v in d.items()]) if d else F.lit(None).cast("double")

@@ -7,13 +7,15 @@ rows are partitioned, and a replicate is a weighted sum that partitions add up f
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Weights that are held at once.
+HELD = 2_000_000
 _CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 
 
@@ -36,8 +38,9 @@ def replicate_sums(rows: DataFrame, key: str, columns: list[str], replicates: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(columns) + 1, replicates))
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            step = max(1, HELD // replicates)
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
                 w = poisson_weights(part.column(0).to_numpy(zero_copy_only=False), replicates, seed)
                 values = np.stack([np.ones(part.num_rows), *(part.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(columns)))])
                 total += values @ w
@@ -47,46 +50,119 @@ def replicate_sums(rows: DataFrame, key: str, columns: list[str], replicates: in
     return sums.groupBy("replicate").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def interval(sums: DataFrame, statistic: Callable) -> DataFrame:
-    """point, ci_low, ci_high and p (two-sided, of 0) of a column expression over the sums."""
-    rows = sums.select("replicate", statistic.alias("v"))
-    low = F.percentile(F.when(F.col("replicate") > 0, F.col("v")), F.lit(0.025))
-    high = F.percentile(F.when(F.col("replicate") > 0, F.col("v")), F.lit(0.975))
-    share = lambda c: F.avg(F.when(F.col("replicate") > 0, F.when(c, 1.0).otherwise(0.0)))
-    return rows.agg(F.max(F.when(F.col("replicate") == 0, F.col("v"))).alias("point"), low.alias("ci_low"), high.alias("ci_high"), F.least(F.lit(1.0), 2 * F.least(share(F.col("v") <= 0), share(F.col("v") >= 0))).alias("p"))
+def auroc_replicates(cells: DataFrame, key: str, scores: list[str], replicates: int, least: int = 5, bins: int = 64, seed: int = 0) -> DataFrame:
+    """replicate, and for each score pooled_<score> (AUROC over all cells) and macro_<score> (mean of the classes' AUROCs, of those with `least` positives).
+
+    cells: key, class, y and the scores. The weights of positives and negatives are added up by replicate, class and bin
+    of the score, so each replicate has its own weighted histograms; scores are told apart by at most `bins` bins of about as
+    many cells (exact with fewer distinct scores), and cells of one bin count as tied.
+    """
+    cuts = []
+    for s in scores:
+        few = sorted(r["v"] for r in cells.select(F.col(s).cast("double").alias("v")).distinct().limit(bins + 1).collect())
+        if len(few) > bins:
+            few = sorted(set(cells.agg(F.percentile_approx(F.col(s).cast("double"), [i / bins for i in range(1, bins)], F.lit(10_000))).first()[0]))
+            few = [float("-inf"), *few]
+        cuts.append(np.array(few))
+    kept = cells.select(F.xxhash64(key).alias("k"), F.col("class").cast("string").alias("class"), F.col("y").cast("int").alias("y"), *[F.col(s).cast("double").alias(f"s{i}") for i, s in enumerate(scores)]).dropna()
+    names = [f"{sign}{i}" for i in range(len(scores)) for sign in ("pos", "neg")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}  # by class: [score, y, bin, replicate]
+        for b in batches:
+            step = max(1, HELD // replicates)
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                w = poisson_weights(part.column(0).to_numpy(zero_copy_only=False), replicates, seed)
+                of, y = np.array(part.column(1).to_pylist(), object), part.column(2).to_numpy(zero_copy_only=False)
+                at = [np.searchsorted(c, part.column(3 + i).to_numpy(zero_copy_only=False), "right") - 1 for i, c in enumerate(cuts)]
+                for c in set(of.tolist()):
+                    total = held.setdefault(c, np.zeros((len(scores), 2, bins + 1, replicates)))
+                    own = np.flatnonzero(of == c)
+                    for i in range(len(scores)):
+                        np.add.at(total[i], (np.where(y[own] == 1, 0, 1), np.maximum(0, at[i][own])), w[own])
+        for c, total in held.items():
+            for b in range(bins + 1):
+                if total[:, :, b].any():
+                    cols = [pa.array(total[i, j, b]) for i in range(len(scores)) for j in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array([c] * replicates), pa.array(np.full(replicates, b, np.int32)), *cols], ["replicate", "class", "bin", *names])
+
+    sums = kept.mapInArrow(run, "replicate long, class string, bin int, " + ", ".join(f"{n} double" for n in names))
+    by_class = sums.groupBy("replicate", "class", "bin").agg(*[F.sum(n).alias(n) for n in names])
+
+    def areas(rows: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most bins + 1 rows
+        for i in range(len(scores)):
+            below = F.coalesce(F.sum(f"neg{i}").over(w), F.lit(0.0))
+            rows = rows.withColumn(f"net{i}", F.col(f"pos{i}") * (below + F.col(f"neg{i}") / 2))
+        total = rows.groupBy(*by).agg(*[F.sum(f"{x}{i}").alias(f"{x}{i}") for i in range(len(scores)) for x in ("pos", "neg", "net")])
+        return total.select(*by, F.col("pos0").alias("positives"), *[F.when((F.col(f"pos{i}") > 0) & (F.col(f"neg{i}") > 0), F.col(f"net{i}") / (F.col(f"pos{i}") * F.col(f"neg{i}"))).alias(s) for i, s in enumerate(scores)])
+
+    pooled = areas(by_class.groupBy("replicate", "bin").agg(*[F.sum(n).alias(n) for n in names]), ["replicate"]).select("replicate", *[F.col(s).alias(f"pooled_{s}") for s in scores])
+    macro = areas(by_class, ["replicate", "class"]).filter(F.col("positives") >= least).groupBy("replicate").agg(*[F.avg(s).alias(f"macro_{s}") for s in scores])
+    return pooled.join(macro, "replicate", "left")
+
+
+def interval(sums: DataFrame, statistic: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """point, ci_low, ci_high and p (two-sided, of 0) of a column expression over the sums, for each group of `by`. Replicates in which it is null don't count."""
+    rows = sums.select(*by, "replicate", statistic.alias("v"))
+    drawn = F.when(F.col("replicate") > 0, F.col("v"))
+    share = lambda c: F.avg(F.when(drawn.isNotNull(), F.when(c, 1.0).otherwise(0.0)))
+    aggs = [F.max(F.when(F.col("replicate") == 0, F.col("v"))).alias("point"), F.percentile(drawn, F.lit(0.025)).alias("ci_low"), F.percentile(drawn, F.lit(0.975)).alias("ci_high"), F.least(F.lit(1.0), 2 * F.least(share(F.col("v") <= 0), share(F.col("v") >= 0))).alias("p")]
+    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+
+
+def _per_uid(columns: int):
+    """mapInArrow function: of groups' rows ([x..., y] each), by number of rows, how many groups and the sums of z z' over rows and of (sum z)(sum z)' over groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            each = b.column(0)
+            sizes = each.value_lengths().to_numpy(zero_copy_only=False)
+            flat = each.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
+            start = np.r_[0, np.cumsum(sizes)]
+            for n in set(sizes.tolist()):
+                if n == 0:
+                    continue
+                own = np.flatnonzero(sizes == n)
+                z = flat[(start[own][:, None] + np.arange(n)).reshape(-1)].reshape(len(own), n, columns)
+                total = held.setdefault(n, [0, np.zeros((columns, columns)), np.zeros((columns, columns))])
+                total[0] += len(own)
+                rows, sums = z.reshape(-1, columns), z.sum(axis=1)
+                total[1] += rows.T @ rows
+                total[2] += sums.T @ sums
+        out = sorted(held.items())
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([t[0] for _, t in out], pa.int64()), pa.array([t[1].tobytes() for _, t in out], pa.binary()), pa.array([t[2].tobytes() for _, t in out], pa.binary())], ["n", "uids", "zz", "ss"])
+
+    return run
 
 
 def random_intercept(df: DataFrame, columns: list[str], outcome: str, uid: str = "uid") -> list[tuple[str, float, float]]:
     """(term, estimate, standard error) of outcome on 0/1 or numeric columns with a random intercept for each uid, by REML.
 
     Spark reduces the rows to products of sums for each number of rows that a uid has; the one variance ratio is then
-    searched on the driver over these few rows. The last two entries are the residual and the intercept's variance.
+    searched on the driver over these few matrices. No rows: no entries. The last two entries are the residual and the intercept's variance.
     """
     p = len(columns)
-    rows = df.select(uid, F.col(outcome).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    per = rows.groupBy(uid).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") ** 2).alias("yy"), *[F.sum(f"x{i}").alias(f"x{i}") for i in range(p)], *[F.sum(F.col(f"x{i}") * F.col("y")).alias(f"xy{i}") for i in range(p)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"xx{i}_{j}") for i, j in pairs])
-    by_n = per.groupBy("n").agg(
-        F.count(F.lit(1)).alias("uids"), F.sum("yy").alias("yy"), F.sum(F.col("y") ** 2).alias("sy"),
-        *[F.sum(f"xy{i}").alias(f"xy{i}") for i in range(p)], *[F.sum(F.col(f"x{i}") * F.col("y")).alias(f"sxy{i}") for i in range(p)],
-        *[F.sum(f"xx{i}_{j}").alias(f"xx{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"sxx{i}_{j}") for i, j in pairs],
-    ).collect()  # a row for each number of rows of a uid
-    total = sum(r["n"] * r["uids"] for r in by_n)
-
-    def matrix(r, name: str) -> np.ndarray:
-        m = np.zeros((p, p))
-        for i, j in pairs:
-            m[i, j] = m[j, i] = r[f"{name}{i}_{j}"]
-        return m
+    rows = df.select(uid, F.array(*[F.col(c).cast("double") for c in (*columns, outcome)]).alias("z")).filter(F.forall("z", lambda x: x.isNotNull()))
+    groups = rows.groupBy(uid).agg(F.collect_list("z").alias("z")).select("z")  # a uid's own rows
+    by_n: dict[int, list] = {}
+    for r in groups.mapInArrow(_per_uid(p + 1), "n long, uids long, zz binary, ss binary").toLocalIterator():  # a row for each partition and number of rows of a uid
+        total = by_n.setdefault(r["n"], [0, 0.0, 0.0])
+        total[0] += r["uids"]
+        for i, k in ((1, "zz"), (2, "ss")):
+            total[i] = total[i] + np.frombuffer(bytes(r[k]), np.float64).reshape(p + 1, p + 1)
+    total = sum(n * t[0] for n, t in by_n.items())
+    if not total:
+        return []
 
     def solve(ratio: float):
-        a, b, c, logs = np.zeros((p, p)), np.zeros(p), 0.0, 0.0
-        for r in by_n:
-            shrink = ratio / (1 + ratio * r["n"])
-            a += matrix(r, "xx") - shrink * matrix(r, "sxx")
-            b += np.array([r[f"xy{i}"] - shrink * r[f"sxy{i}"] for i in range(p)])
-            c += r["yy"] - shrink * r["sy"]
-            logs += r["uids"] * math.log1p(ratio * r["n"])
+        m, logs = np.zeros((p + 1, p + 1)), 0.0
+        for n, (uids, zz, ss) in by_n.items():
+            m += zz - ratio / (1 + ratio * n) * ss
+            logs += uids * math.log1p(ratio * n)
+        a, b, c = m[:p, :p], m[:p, p], m[p, p]
         beta = np.linalg.lstsq(a, b, rcond=None)[0]
         rss = max(1e-12, c - b @ beta)
         sign, det = np.linalg.slogdet(a + 1e-9 * np.eye(p))

@@ -63,7 +63,7 @@ def verified_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("probe_report", sql("""SELECT class, 2.0::DOUBLE * tp_m / (pos + called) AS f1_model, 2.0::DOUBLE * tp_r / (pos + called) AS f1_probe, 2.0::DOUBLE * tp_r / (pos + called) - 2.0::DOUBLE * tp_m / (pos + called) AS gain, CAST(misses AS BIGINT) AS misses, CAST(recovered AS BIGINT) AS recovered
   FROM (SELECT class, sum(y) AS pos, sum(m) AS called, sum(y * m) AS tp_m, sum(CASE WHEN r <= k THEN y ELSE 0 END) AS tp_r, sum(y * (1 - m)) AS misses, sum(CASE WHEN r <= k THEN y * (1 - m) ELSE 0 END) AS recovered
-    FROM (SELECT *, CASE WHEN other > 0.15 THEN 1 ELSE 0 END AS m, row_number() OVER (PARTITION BY class ORDER BY round(score, 4) DESC, score DESC, uid) AS r, sum(CASE WHEN other > 0.15 THEN 1 ELSE 0 END) OVER (PARTITION BY class) AS k FROM cells) GROUP BY class)""", more=CELLS))
+    FROM (SELECT *, CASE WHEN other > 0.15 THEN 1 ELSE 0 END AS m, row_number() OVER (PARTITION BY class ORDER BY score DESC, uid) AS r, sum(CASE WHEN other > 0.15 THEN 1 ELSE 0 END) OVER (PARTITION BY class) AS k FROM cells) GROUP BY class)""", more=CELLS))
 def probe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells(spark, sf_dir)
     return readout.probe_report(rows, rows.filter("other > 0.15"), ["class"])

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itertools import combinations
+
+from .. import taxonomy as tx
 from ..functions import sets
 from ..operators import pairstats, readout, resampling
 from ..sources import studies
-from .derived import sql, table
+from .derived import CONDITIONS, sql, table
 from .score_queries import EVENTS, events, scored
 from .text_queries import query
 
@@ -35,11 +38,21 @@ def mcnemar_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairstats.mcnemar(rows, ["direct", "cot", "ddx", "evidence_first", "uncertainty_first"], "ok")
 
 
-_WX = {"ev": EVENTS, "wide": _wide("value"), "d": " UNION ALL ".join(f"SELECT '{TYPES[i]}' AS a, '{TYPES[j]}' AS b, round(c{i} - c{j}, 3) AS d FROM wide WHERE c{i} IS NOT NULL AND c{j} IS NOT NULL" for i, j in _PAIRS)}
+@query("mcnemar_best", None)
+def mcnemar_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The condition that is right most often against each other one."""
+    rows = scored(spark, sf_dir).withColumn("ok", F.when(F.col("correct"), 1).otherwise(0))
+    best = rows.groupBy("prompt_condition").agg(F.avg("ok").alias("v")).orderBy(F.desc("v"), "prompt_condition").first()["prompt_condition"]
+    return pairstats.mcnemar_best(rows, list(CONDITIONS), best, "ok")
+
+
+_XY = {"ev": EVENTS, "wide": _wide("value"), "xy": " UNION ALL ".join(f"SELECT '{TYPES[i]}' AS a, '{TYPES[j]}' AS b, c{i} AS x, c{j} AS y, c{i} - c{j} AS d FROM wide WHERE c{i} IS NOT NULL AND c{j} IS NOT NULL" for i, j in _PAIRS)}
+_RANKS = {"r": "SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY a, b, abs(d)) AS t FROM xy WHERE d <> 0"}
 
 
-@query("wilcoxon_pairs", sql("""SELECT a, b, CAST(count(*) AS BIGINT) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, sum(CAST(t AS DOUBLE) * t - 1) AS ties
-  FROM (SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY a, b, abs(d)) AS t FROM d WHERE d <> 0) GROUP BY a, b""", more=_WX))
+@query("wilcoxon_pairs", sql("""SELECT p.a, p.b, p.pairs, coalesce(w.n, 0) AS n, p.median_a, p.median_b, coalesce(w_plus, 0.0::DOUBLE) AS w_plus, coalesce(w_minus, 0.0::DOUBLE) AS w_minus, coalesce(ties, 0.0::DOUBLE) AS ties
+  FROM (SELECT a, b, count(*) AS pairs, quantile_cont(x, 0.5) AS median_a, quantile_cont(y, 0.5) AS median_b FROM xy GROUP BY a, b) p
+  LEFT JOIN (SELECT a, b, CAST(count(*) AS BIGINT) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY a, b) w USING (a, b)""", more=_XY | _RANKS))
 def wilcoxon_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairstats.signed_ranks(events(spark, sf_dir), TYPES, "value")
 
@@ -49,10 +62,7 @@ def wilcoxon_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairstats.wilcoxon(events(spark, sf_dir), TYPES, "value")
 
 
-_CD = {"ev": EVENTS, "wide": _wide("value"), "xy": " UNION ALL ".join(f"SELECT '{TYPES[i]}' AS a, '{TYPES[j]}' AS b, round(c{i}, 3) AS x, round(c{j}, 3) AS y FROM wide WHERE c{i} IS NOT NULL AND c{j} IS NOT NULL" for i, j in _PAIRS)}
-
-
-@query("cliffs_delta", sql("SELECT p.a, p.b, sum(CASE WHEN p.x > q.y THEN 1.0 WHEN p.x < q.y THEN -1.0 ELSE 0.0 END) / count(*) AS delta FROM xy p JOIN xy q ON p.a = q.a AND p.b = q.b GROUP BY 1, 2", more=_CD))
+@query("cliffs_delta", sql("SELECT p.a, p.b, sum(CASE WHEN p.x > q.y THEN 1.0 WHEN p.x < q.y THEN -1.0 ELSE 0.0 END) / count(*) AS delta FROM xy p JOIN xy q ON p.a = q.a AND p.b = q.b GROUP BY 1, 2", more=_XY))
 def cliffs_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairstats.cliffs_delta(events(spark, sf_dir), TYPES, "value")
 
@@ -69,46 +79,72 @@ def dissociation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairstats.dissociation(events(spark, sf_dir), "click", "value", "confidence")
 
 
+@query("paired_dissociation", None)
+def paired_dissociation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions whose value or confidence rises significantly against the base while neither rate of right answers does."""
+    rows = events(spark, sf_dir).withColumns({"rate": F.col("correct") * 1.0, "surety": F.col("confidence") * F.col("correct")})
+    return pairstats.paired_dissociation(rows, "click", TYPES, ["value", "confidence"], ["rate", "surety"])
+
+
+def _by_pair(sums: DataFrame, names, statistic) -> DataFrame:
+    """replicate, a, b and v of each pair of names from one table of replicates."""
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), statistic(i, j).alias("v")) for (i, a), (j, b) in combinations(enumerate(names), 2)])
+    return sums.select("replicate", F.explode(each).alias("s")).select("replicate", "s.*")
+
+
 @query("bootstrap_diff", None)
 def bootstrap_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = pairstats.paired(events(spark, sf_dir), TYPES[:2], "value").filter("c0 is not null and c1 is not null")
-    return resampling.interval(resampling.replicate_sums(wide, "uid", ["c0", "c1"], 1000), (F.col("c0") - F.col("c1")) / F.col("n"))
+    """Mean difference of each of the ten pairs of conditions over the uids that have both, with 10,000 replicates."""
+    wide = pairstats.paired(events(spark, sf_dir), TYPES, "value")
+    both = lambda i, j: F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
+    named = {f"d{i}{j}": F.when(both(i, j), F.col(f"c{i}") - F.col(f"c{j}")).otherwise(0.0) for i, j in _PAIRS} | {f"n{i}{j}": F.when(both(i, j), 1.0).otherwise(0.0) for i, j in _PAIRS}
+    sums = resampling.replicate_sums(wide.select("uid", *[c.alias(n) for n, c in named.items()]), "uid", list(named), 10_000)
+    pairs = _by_pair(sums, TYPES, lambda i, j: F.when(F.col(f"n{i}{j}") > 0, F.col(f"d{i}{j}") / F.col(f"n{i}{j}")))
+    return resampling.interval(pairs, F.col("v"), ("a", "b"))
 
 
 def _arm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .. import taxonomy as tx
-
-    rows = scored(spark, sf_dir).filter("k < 2").select("uid", "k", "difficulty", *sets.confusion(F.col("truth_h"), F.col("pred_h"), tx.FINDINGS), F.when(F.col("correct"), 1).otherwise(0).alias("ok"))
-    return rows.groupBy("uid").agg(*[F.sum(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in (0, 1) for c in ("tp", "fp", "fn", "ok")], F.max("difficulty").alias("difficulty"))
+    rows = scored(spark, sf_dir).select("uid", "k", "difficulty", *sets.confusion(F.col("truth_h"), F.col("pred_h"), tx.FINDINGS), F.when(F.col("correct"), 1).otherwise(0).alias("ok"))
+    return rows.groupBy("uid").agg(*[F.sum(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(5) for c in ("tp", "fp", "fn", "ok")], F.max("difficulty").alias("difficulty"))
 
 
 @query("bootstrap_f1", None)
 def bootstrap_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [f"{c}{k}" for k in (0, 1) for c in ("tp", "fp", "fn")]
-    sums = resampling.replicate_sums(_arm_counts(spark, sf_dir), "uid", names, 1000)
+    """Difference of micro f1 (b - a) of each of the ten pairs of conditions."""
+    names = [f"{c}{k}" for k in range(5) for c in ("tp", "fp", "fn")]
+    sums = resampling.replicate_sums(_arm_counts(spark, sf_dir), "uid", names, 2000)
     f1 = lambda k: sets.ratio(2 * F.col(f"tp{k}"), 2 * F.col(f"tp{k}") + F.col(f"fp{k}") + F.col(f"fn{k}"))
-    return resampling.interval(sums, f1(1) - f1(0))
+    return resampling.interval(_by_pair(sums, CONDITIONS, lambda i, j: f1(j) - f1(i)), F.col("v"), ("a", "b"))
 
 
 @query("bootstrap_did", None)
 def bootstrap_did(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _arm_counts(spark, sf_dir).withColumn("d", F.col("ok1") - F.col("ok0"))
+    """Of each condition: its gain over the first one among ambiguous reports less that among the others."""
     in_ = F.col("difficulty") == "ambiguous"
-    rows = rows.withColumns({"n1": F.when(in_, 1).otherwise(0), "d1": F.when(in_, F.col("d")).otherwise(0), "n0": F.when(in_, 0).otherwise(1), "d0": F.when(in_, 0).otherwise(F.col("d"))})
-    sums = resampling.replicate_sums(rows, "uid", ["n1", "d1", "n0", "d0"], 1000)
-    return resampling.interval(sums, sets.ratio(F.col("d1"), F.col("n1")) - sets.ratio(F.col("d0"), F.col("n0")))
+    named = {"n1": F.when(in_, 1).otherwise(0), "n0": F.when(in_, 0).otherwise(1)}
+    for k in range(1, 5):
+        d = F.col(f"ok{k}") - F.col("ok0")
+        named |= {f"d1{k}": F.when(in_, d).otherwise(0), f"d0{k}": F.when(in_, 0).otherwise(d)}
+    sums = resampling.replicate_sums(_arm_counts(spark, sf_dir).select("uid", *[c.alias(n) for n, c in named.items()]), "uid", list(named), 2000)
+    each = F.array(*[F.struct(F.lit(CONDITIONS[k]).alias("prompt_condition"), (sets.ratio(F.col(f"d1{k}"), F.col("n1")) - sets.ratio(F.col(f"d0{k}"), F.col("n0"))).alias("v")) for k in range(1, 5)])
+    return resampling.interval(sums.select("replicate", F.explode(each).alias("s")).select("replicate", "s.*"), F.col("v"), ("prompt_condition",))
+
 
+LABELS = 10
 
-def cells(spark: SparkSession, sf_dir: str, classes: int = 5) -> DataFrame:
-    """uid, class, score, y, split of each embedding and class: the score is one component."""
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uid, class, score, other, y and split of each embedding and class: every tenth component of the first half makes the score, of the second half another."""
     e = table(spark, sf_dir, "embeddings")
-    each = F.array(*[F.struct(F.lit(c).alias("class"), F.get("embedding", F.lit(c)).cast("double").alias("score"), F.get("embedding", F.lit(c + 10)).cast("double").alias("other"), F.when(F.col("label") % 5 == c, 1).otherwise(0).alias("y")) for c in range(classes)])
+    part_sum = lambda at, c: F.aggregate(F.filter(F.slice("v", at, 32), lambda x, i: i % LABELS == c), F.lit(0.0), lambda a, x: a + x)
+    each = F.transform(F.sequence(F.lit(0), F.lit(LABELS - 1)), lambda c: F.struct(c.alias("class"), part_sum(1, c).alias("score"), part_sum(33, c).alias("other"), F.when(F.col("label") == c, 1).otherwise(0).alias("y")))
     part = F.when(F.col("vec_id") % 10 < 6, "train").when(F.col("vec_id") % 10 < 8, "dev").otherwise("test")
-    return e.select(F.col("vec_id").alias("uid"), part.alias("split"), F.explode(each).alias("c")).select("uid", "split", "c.*")
+    return e.select(F.col("vec_id").alias("uid"), part.alias("split"), F.col("embedding").cast("array<double>").alias("v"), "label").select("uid", "split", F.explode(each).alias("c")).select("uid", "split", "c.*")
 
 
-CELLS = {"cells": "SELECT vec_id AS uid, CASE WHEN vec_id % 10 < 6 THEN 'train' WHEN vec_id % 10 < 8 THEN 'dev' ELSE 'test' END AS split, CAST(c AS INTEGER) AS class, CAST(embedding[c + 1] AS DOUBLE) AS score, CAST(embedding[c + 11] AS DOUBLE) AS other, CASE WHEN label % 5 = c THEN 1 ELSE 0 END AS y FROM embeddings, (SELECT unnest(generate_series(0, 4)) AS c)"}
-_BINS = lambda where="TRUE": f"SELECT class, round(score, 4) AS s, count(*) AS n, sum(y) AS pos FROM cells WHERE {where} GROUP BY 1, 2"
+_PART = lambda at: f"list_sum(list_filter(CAST(embedding[{at}:{at + 31}] AS DOUBLE[]), lambda x, i: (i - 1) % 10 = c))"
+CELLS = {"cells": f"SELECT vec_id AS uid, CASE WHEN vec_id % 10 < 6 THEN 'train' WHEN vec_id % 10 < 8 THEN 'dev' ELSE 'test' END AS split, CAST(c AS INTEGER) AS class, {_PART(1)} AS score, {_PART(33)} AS other, CASE WHEN label = c THEN 1 ELSE 0 END AS y FROM embeddings, (SELECT unnest(generate_series(0, 9)) AS c)"}
+_BINS = lambda where="TRUE": f"SELECT class, score AS s, count(*) AS n, sum(y) AS pos FROM cells WHERE {where} GROUP BY 1, 2"
 
 
 @query("auroc", sql("SELECT class, CAST(any_value(np) AS BIGINT) AS n_pos, CAST(any_value(nn) AS BIGINT) AS n_neg, sum(pos * (below + (n - pos) / 2.0)) / (any_value(np) * any_value(nn)) AS auroc FROM (SELECT *, sum(pos) OVER (PARTITION BY class) AS np, sum(n - pos) OVER (PARTITION BY class) AS nn, coalesce(sum(n - pos) OVER (PARTITION BY class ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM bins) GROUP BY class", more=CELLS | {"bins": _BINS()}))
@@ -119,7 +155,7 @@ def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("confidence_auroc", sql("SELECT prompt_condition, CAST(any_value(np) AS BIGINT) AS n_pos, CAST(any_value(nn) AS BIGINT) AS n_neg, sum(pos * (below + (n - pos) / 2.0)) / (any_value(np) * any_value(nn)) AS auroc FROM (SELECT *, sum(pos) OVER (PARTITION BY prompt_condition) AS np, sum(n - pos) OVER (PARTITION BY prompt_condition) AS nn, coalesce(sum(n - pos) OVER (PARTITION BY prompt_condition ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM bins) GROUP BY 1", "scored", more={"bins": "SELECT prompt_condition, confidence AS s, count(*) AS n, sum(CASE WHEN correct THEN 1 ELSE 0 END) AS pos FROM scored GROUP BY 1, 2"}))
 def confidence_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).select("prompt_condition", F.col("confidence").cast("double").alias("score"), F.when(F.col("correct"), 1).otherwise(0).alias("y"))
-    return readout.auroc(rows, ["prompt_condition"], digits=0)
+    return readout.auroc(rows, ["prompt_condition"])
 
 
 _CUM = "SELECT class, s, n, sum(pos) OVER w AS tp, sum(n) OVER w AS called, sum(pos) OVER (PARTITION BY class) AS total FROM bins WINDOW w AS (PARTITION BY class ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -143,7 +179,7 @@ def prevalence_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readout.prevalence_threshold(rows.filter("split = 'dev'"), rows.filter("split = 'test'"), ["class"])
 
 
-_PROB = {"prob": "SELECT class, round((score + 1) / 2, 4) AS s, count(*) AS n FROM cells GROUP BY 1, 2", "cump": "SELECT class, s, CAST(sum(n) OVER w AS BIGINT) AS k, sum(n * s) OVER w AS mass, sum(n * s) OVER (PARTITION BY class) AS total FROM prob WINDOW w AS (PARTITION BY class ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
+_PROB = {"prob": "SELECT class, (score + 1) / 2 AS s, count(*) AS n FROM cells GROUP BY 1, 2", "cump": "SELECT class, s, CAST(sum(n) OVER w AS BIGINT) AS k, sum(n * s) OVER w AS mass, sum(n * s) OVER (PARTITION BY class) AS total FROM prob WINDOW w AS (PARTITION BY class ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
 
 
 @query("expected_f1_threshold", sql("SELECT class, k, s AS threshold, f AS expected_f1 FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY f DESC, s DESC) AS r FROM (SELECT *, 2.0 * mass / (k + total) AS f FROM cump)) WHERE r = 1", more=CELLS | _PROB))
@@ -152,12 +188,12 @@ def expected_f1_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("quantile_threshold", sql("""SELECT class, t AS threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY f1 DESC, t) AS r FROM (
-  SELECT b.class, q.t, 2.0::DOUBLE * sum(CASE WHEN s >= t THEN pos ELSE 0 END) / (sum(CASE WHEN s >= t THEN n ELSE 0 END) + sum(pos)) AS f1 FROM bins b JOIN (SELECT DISTINCT class, round(unnest(quantile_cont(score, [i / 200.0 for i in range(201)])), 4) AS t FROM cells WHERE split = 'dev' GROUP BY class) q USING (class) GROUP BY 1, 2)) WHERE r = 1""".replace("[i / 200.0 for i in range(201)]", "[" + ", ".join(str(i / 200) for i in range(201)) + "]"), more=CELLS | {"bins": _BINS("split = 'dev'")}))
+  SELECT b.class, q.t, 2.0::DOUBLE * sum(CASE WHEN s >= t THEN pos ELSE 0 END) / (sum(CASE WHEN s >= t THEN n ELSE 0 END) + sum(pos)) AS f1 FROM bins b JOIN (SELECT DISTINCT class, round(unnest(quantile_cont(score, [i / 200.0 for i in range(201)])), 9) AS t FROM cells WHERE split = 'dev' GROUP BY class) q USING (class) GROUP BY 1, 2)) WHERE r = 1""".replace("[i / 200.0 for i in range(201)]", "[" + ", ".join(str(i / 200) for i in range(201)) + "]"), more=CELLS | {"bins": _BINS("split = 'dev'")}))
 def quantile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readout.quantile_threshold(cells(spark, sf_dir).filter("split = 'dev'"), ["class"])
 
 
-@query("matched_commitment", sql("SELECT class, uid FROM (SELECT class, uid, row_number() OVER (PARTITION BY class ORDER BY round(score, 4) DESC, score DESC, uid) AS r, sum(CASE WHEN other > 0.15 THEN 1 ELSE 0 END) OVER (PARTITION BY class) AS k FROM cells) WHERE r <= k", more=CELLS))
+@query("matched_commitment", sql("SELECT class, uid FROM (SELECT class, uid, row_number() OVER (PARTITION BY class ORDER BY score DESC, uid) AS r, sum(CASE WHEN other > 0.15 THEN 1 ELSE 0 END) OVER (PARTITION BY class) AS k FROM cells) WHERE r <= k", more=CELLS))
 def matched_commitment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cells(spark, sf_dir)
     return readout.matched_calls(rows, rows.filter("other > 0.15"), ["class"])
@@ -184,12 +220,12 @@ def token_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.withColumn("h", half.cast("int")).select("label", "h", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - F.lit(1).cast("long"))).alias("dim")).select("label", "dim", F.get("vec", F.col("dim").cast("int")).alias("mean"), F.get("vec", (F.col("dim") + F.col("h")).cast("int")).alias("largest"))
 
 
-@query("feature_concat", "SELECT vec_id AS uid, len(embedding[1:8]) + len(embedding[9:12]) AS dims, CAST(embedding[9] AS DOUBLE) AS first, CAST(embedding[8] AS DOUBLE) AS last FROM embeddings")
+@query("feature_concat", "SELECT vec_id AS uid, len(embedding) AS dims, CAST(embedding[41] AS DOUBLE) AS first, CAST(embedding[40] AS DOUBLE) AS last, list_sum(CAST(embedding AS DOUBLE[])) AS total FROM embeddings")
 def feature_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").cast("array<double>").alias("v"))
-    sites = e.select("uid", F.explode(F.array(F.struct(F.lit("proj").alias("site"), F.slice("v", 1, 8).alias("vec")), F.struct(F.lit("layer").alias("site"), F.slice("v", 9, 4).alias("vec")))).alias("s")).select("uid", "s.*")
+    sites = e.select("uid", F.explode(F.array(F.struct(F.lit("proj").alias("site"), F.slice("v", 1, 40).alias("vec")), F.struct(F.lit("layer").alias("site"), F.slice("v", 41, 24).alias("vec")))).alias("s")).select("uid", "s.*")
     both = studies.load_features(sites, ["layer", "proj"])
-    return both.select("uid", F.size("vec").cast("long").alias("dims"), F.get("vec", F.lit(0)).alias("first"), F.element_at("vec", -1).alias("last"))
+    return both.select("uid", F.size("vec").cast("long").alias("dims"), F.get("vec", F.lit(0)).alias("first"), F.element_at("vec", -1).alias("last"), F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 def _probe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,50 +239,50 @@ def _tested(p: DataFrame) -> DataFrame:
 
 @query("probe_fit", None)
 def probe_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tested(readout.probe(_probe_rows(spark, sf_dir), [0, 1], c_grid=(0.1, 1.0)))
+    """AUROC on the test rows of a probe for each label, C of four chosen on the dev rows."""
+    return _tested(readout.probe(_probe_rows(spark, sf_dir), list(range(LABELS))))
 
 
 @query("shuffle_control", None)
 def shuffle_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tested(readout.probe(_probe_rows(spark, sf_dir), [0], c_grid=(0.1,), shuffled="control"))
+    """AUROC of each label's probe against 20 probes fitted on permuted labels."""
+    return readout.shuffled_null(_probe_rows(spark, sf_dir), list(range(LABELS)), shuffles=20)
 
 
 @query("platt", None)
 def platt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cells(spark, sf_dir).filter("class = 1")
+    rows = cells(spark, sf_dir)
     p = readout.platt(rows.filter("split = 'dev'"), rows.filter("split = 'test'"))
-    return p.agg(F.avg("p").alias("mean_p"), F.avg("y").alias("rate"), F.count(F.lit(1)).alias("n"))
+    return p.groupBy("class").agg(F.avg("p").alias("mean_p"), F.avg("y").alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
 @query("em_prior", None)
 def em_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cells(spark, sf_dir).withColumn("p", F.round((F.col("score") + 1) / 2, 4))
-    out = readout.shift_prior(rows, {c: 0.5 for c in range(5)})
+    rows = cells(spark, sf_dir).withColumn("p", (F.col("score") + 1) / 2)
+    out = readout.shift_prior(rows, {c: 0.5 for c in range(LABELS)})
     return out.groupBy("class").agg(F.max("prior").alias("prior"), F.avg("p_shifted").alias("mean_p"), F.count(F.lit(1)).alias("n"))
 
 
 @query("bootstrap_auroc", None)
 def bootstrap_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Difference of two scores' shares of concordant calls at their medians, by uid; the pooled rank sums of each uid's cells are added up by replicate."""
-    rows = cells(spark, sf_dir)
-    ranked = rows
-    for s in ("score", "other"):
-        bins = rows.groupBy(F.round(s, 2).alias("b")).agg(F.sum(1 - F.col("y")).alias("neg"))
-        from pyspark.sql import Window
+    """Difference of two scores' AUROCs, over all cells and as the mean of the classes' (of those with five positives)."""
+    sums = resampling.auroc_replicates(cells(spark, sf_dir), "uid", ["score", "other"], 2000)
+    each = F.array(*[F.struct(F.lit(k).alias("form"), (F.col(f"{k}_score") - F.col(f"{k}_other")).alias("v")) for k in ("pooled", "macro")])
+    return resampling.interval(sums.select("replicate", F.explode(each).alias("s")).select("replicate", "s.*"), F.col("v"), ("form",))
+
 
-        w = Window.partitionBy(F.lit(1)).orderBy("b")
-        below = bins.select("b", (F.sum("neg").over(w) - F.col("neg") / 2).alias(f"below_{s}"))  # some 200 bins
-        ranked = ranked.withColumn("b", F.round(s, 2)).join(F.broadcast(below), "b").drop("b")
-    per = ranked.groupBy("uid").agg(F.sum(F.col("y") * F.col("below_score")).alias("a"), F.sum(F.col("y") * F.col("below_other")).alias("b"), F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    sums = resampling.replicate_sums(per, "uid", ["a", "b", "pos", "neg"], 500)
-    return resampling.interval(sums, sets.ratio(F.col("a") - F.col("b"), F.col("pos") * F.col("neg")))
+STRATA = ("easy_normal", "easy_abnormal", "intermediate", "hard_multi", "rare", "ambiguous")
 
 
 @query("glmm_interaction", None)
 def glmm_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Right or wrong on condition, stratum and their interaction, with a random intercept for each report."""
+    """Right or wrong on condition, stratum (those that occur, against the first) and their interaction, with a random intercept for each report."""
     one = lambda c: F.when(c, 1).otherwise(0)
-    hard = F.col("difficulty") == "ambiguous"
-    rows = scored(spark, sf_dir).select("uid", one(F.col("correct")).alias("ok"), F.lit(1).alias("base"), one(hard).alias("hard"), *[one(F.col("k") == k).alias(f"cond{k}") for k in (1, 2, 3, 4)], *[one(hard & (F.col("k") == k)).alias(f"hard_cond{k}") for k in (1, 2, 3, 4)])
-    terms = ["base", "hard", *[f"cond{k}" for k in (1, 2, 3, 4)], *[f"hard_cond{k}" for k in (1, 2, 3, 4)]]
-    return spark.createDataFrame(resampling.random_intercept(rows, terms, "ok"), "term string, estimate double, std_error double")
+    rows = scored(spark, sf_dir).select("uid", "k", "difficulty", one(F.col("correct")).alias("ok"))
+    there = {r["difficulty"] for r in rows.select("difficulty").distinct().collect()}  # six at most
+    strata = [s for s in STRATA if s in there][1:]
+    at, is_ = (lambda k: F.col("k") == k), (lambda s: F.col("difficulty") == s)
+    terms = {"base": F.lit(1)} | {CONDITIONS[k]: one(at(k)) for k in range(1, 5)} | {s: one(is_(s)) for s in strata} | {f"{CONDITIONS[k]}:{s}": one(at(k) & is_(s)) for k in range(1, 5) for s in strata}
+    fitted = resampling.random_intercept(rows.select("uid", "ok", *[c.alias(f"t{i}") for i, c in enumerate(terms.values())]), [f"t{i}" for i in range(len(terms))], "ok")
+    named = {f"t{i}": n for i, n in enumerate(terms)}
+    return spark.createDataFrame([(named.get(t, t), b, e) for t, b, e in fitted], "term string, estimate double, std_error double")

@@ -2,12 +2,14 @@
 
 import math
 import random
+import statistics
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reportmill.operators import pairstats, readout, resampling, sampling, zones
+from reportmill.operators import pairstats, ranks, readout, resampling, sampling, zones
 from reportmill.sources import studies
 
 
@@ -68,20 +70,53 @@ def test_mcnemar(spark):
     assert pairstats.binomial_p(1, 5) == pytest.approx(0.375) and pairstats.chi_square_p(3.841459) == pytest.approx(0.05, abs=1e-5)
 
 
-def test_wilcoxon_and_delta(spark):
+def test_mcnemar_without_discordant_pairs_and_best(spark):
+    same = spark.createDataFrame([(u, c, u % 2) for u in range(40) for c in "ab"], "uid long, prompt_condition string, ok int")
+    for least in (0, 25):
+        (r,) = pairstats.mcnemar(same, ["a", "b"], "ok", exact_below=least).collect()
+        assert (r.n01, r.n10, r.statistic, r.p_value, r.p_fdr) == (0, 0, 0.0, 1.0, 1.0)
+    rows = [(u, c, int(u < k)) for u in range(40) for c, k in (("a", 10), ("b", 30), ("c", 30))]
+    got = {r.condition: r for r in pairstats.mcnemar_best(spark.createDataFrame(rows, "uid long, prompt_condition string, ok int"), ["a", "b", "c"], "b", "ok").collect()}
+    assert (got["a"].wins, got["a"].losses, got["a"].significant) == (20, 0, True) and got["a"].p_value == pytest.approx(math.erfc(math.sqrt(19**2 / 20 / 2)))
+    assert (got["c"].wins, got["c"].losses, got["c"].p_value) == (0, 0, 1.0)
+
+
+def test_wilcoxon_and_delta(spark, monkeypatch):
     rows = paired_rows()
     df = spark.createDataFrame(rows, "uid long, prompt_condition string, ok int, v double")
     value = {(u, c): v for u, c, _, v in rows}
-    got = {(r.a, r.b): r for r in pairstats.wilcoxon(df, ["a", "b", "c"], "v").collect()}
-    ranks = {(r.a, r.b): r for r in pairstats.signed_ranks(df, ["a", "b", "c"], "v").collect()}
-    for a, b in combinations("abc", 2):
-        both = [(value[u, a], value[u, b]) for u in range(60) if (u, a) in value and (u, b) in value]
-        d = [round(x - y, 3) for x, y in both if round(x - y, 3)]
-        rank = lambda m: sum(abs(x) < m for x in d) + (sum(abs(x) == m for x in d) + 1) / 2
-        assert ranks[a, b].w_plus == pytest.approx(sum(rank(abs(x)) for x in d if x > 0))
-        delta = sum((x > y) - (x < y) for x, _ in both for _, y in both) / len(both) ** 2
-        assert got[a, b].delta == pytest.approx(delta) and 0 < got[a, b].p_value <= 1
-    assert pairstats.wilcoxon_p(6, 21, 0, 0) == pytest.approx(2 / 64)
+    for few in (200_000, 0):  # one window, and running sums by ranges
+        monkeypatch.setattr(ranks, "FEW_VALUES", few)
+        got = {(r.a, r.b): r for r in pairstats.wilcoxon(df, ["a", "b", "c"], "v").collect()}
+        told = {(r.a, r.b): r for r in pairstats.signed_ranks(df, ["a", "b", "c"], "v").collect()}
+        for a, b in combinations("abc", 2):
+            both = [(value[u, a], value[u, b]) for u in range(60) if (u, a) in value and (u, b) in value]
+            d = [x - y for x, y in both if x != y]
+            rank = lambda m: sum(abs(x) < m for x in d) + (sum(abs(x) == m for x in d) + 1) / 2
+            assert told[a, b].w_plus == pytest.approx(sum(rank(abs(x)) for x in d if x > 0)) and (told[a, b].pairs, told[a, b].n) == (len(both), len(d))
+            assert told[a, b].w_plus + told[a, b].w_minus == pytest.approx(len(d) * (len(d) + 1) / 2)
+            delta = sum((x > y) - (x < y) for x, _ in both for _, y in both) / len(both) ** 2
+            assert got[a, b].delta == pytest.approx(delta) and 0 < got[a, b].p_value <= 1
+            assert got[a, b].median_a == pytest.approx(statistics.median(x for x, _ in both))
+    assert pairstats.wilcoxon_p(6, 6, 21, 0, 0) == pytest.approx(2 / 64)
+    # A zero among the pairs: normal, not exact.
+    assert pairstats.wilcoxon_p(7, 6, 21, 0, 0) == pytest.approx(math.erfc(10.5 / math.sqrt(6 * 7 * 13 / 24) / math.sqrt(2)))
+    assert pairstats.wilcoxon_p(4, 4, 10, 0, 0) == 1.0 and pairstats.wilcoxon_p(10, 4, 10, 0, 0) < 1.0
+
+
+def test_wilcoxon_has_a_row_for_pairs_without_a_difference(spark):
+    rows = [(u, c, float(u + (c == "c" and u < 4))) for u in range(10) for c in "abc"] + [(100 + u, c, float(u)) for u in range(3) for c in "d"]
+    got = {(r.a, r.b): r for r in pairstats.wilcoxon(spark.createDataFrame(rows, "uid long, prompt_condition string, v double"), list("abcd"), "v").collect()}
+    assert sorted(got) == [("a", "b"), ("a", "c"), ("b", "c")]
+    assert (got["a", "b"].pairs, got["a", "b"].statistic, got["a", "b"].p_value, got["a", "b"].delta) == (10, None, 1.0, 0.0)
+    assert got["a", "c"].p_value == pytest.approx(math.erfc(5 / math.sqrt(4 * 5 * 9 / 24 - 60 / 48) / math.sqrt(2))) and got["a", "c"].p_fdr > got["a", "c"].p_value
+
+
+def test_paired_dissociation(spark):
+    rows = [(u, c, u % 7 + (c == "b") * (1 + u % 3), u % 5 + (c == "c") * (1 + u % 2)) for u in range(40) for c in "abc"]
+    got = {r.prompt_condition: r for r in pairstats.paired_dissociation(spark.createDataFrame(rows, "uid long, prompt_condition string, coherent int, faithful int"), "a", list("abc"), ["coherent"], ["faithful"]).collect()}
+    assert got["b"].persuasive_up and not got["b"].faithful_up and got["b"].dissociation and got["b"].p_faithful is None
+    assert got["c"].faithful_up and not got["c"].dissociation and got["b"].d_coherent == pytest.approx(sum(1 + u % 3 for u in range(40)) / 40)
 
 
 def test_fdr(spark):
@@ -157,3 +192,64 @@ def test_feature_tables(spark):
     codes = spark.createDataFrame([(1, 0, 3), (2, 1, 2)], "uid long, Edema int, Fracture int")
     got = sorted((r.uid, r["class"], r.state) for r in studies.external_labels(codes, "x").collect() if r.state is not None)
     assert got == [(1, "Fracture", -1), (2, "Edema", 1), (2, "Fracture", 0)]
+
+
+def test_running_sums_by_ranges(spark, monkeypatch):
+    pick = random.Random(3)
+    rows = [(g, pick.randrange(500) / 7, pick.randrange(1, 4)) for g in "abc" for _ in range(400)]
+    bins = spark.createDataFrame(rows, "g string, s double, n int").groupBy("g", "s").agg(F.sum("n").alias("n"))
+    plain = {(r.g, r.s): (r.upto_n, r.all_n) for r in ranks.running(bins, ["g"], ["n"]).collect()}
+    monkeypatch.setattr(ranks, "FEW_VALUES", 0)
+    assert {(r.g, r.s): (r.upto_n, r.all_n) for r in ranks.running(bins, ["g"], ["n"]).collect()} == plain
+    for (g, s), (upto, total) in plain.items():
+        assert upto == sum(n for h, t, n in rows if h == g and t >= s) and total == sum(n for h, _, n in rows if h == g)
+    whole = ranks.running(bins.groupBy("s").agg(F.sum("n").alias("n")), [], ["n"]).collect()
+    assert max(r.upto_n for r in whole) == sum(n for _, _, n in rows) == whole[0].all_n
+
+
+def area(pos, neg, wp, wn):
+    net = sum(a * b * ((x > y) + 0.5 * (x == y)) for x, a in zip(pos, wp) for y, b in zip(neg, wn))
+    return net / sum(wp) / sum(wn) if sum(wp) and sum(wn) else None
+
+
+def test_auroc_replicates_as_by_hand(spark):
+    pick = random.Random(5)
+    rows = [(u, c, int(pick.random() < 0.3), pick.randrange(20) / 10, pick.randrange(20) / 10) for u in range(60) for c in ("x", "y")]
+    got = {r.replicate: r for r in resampling.auroc_replicates(spark.createDataFrame(rows, "uid long, class string, y int, a double, b double").repartition(3), "uid", ["a", "b"], 20, least=5).collect()}
+    keys = {r.uid: r.k for r in spark.range(60).withColumnRenamed("id", "uid").select("uid", F.xxhash64("uid").alias("k")).collect()}
+    w = resampling.poisson_weights(np.array([keys[u] for u in range(60)]), 20, 0)
+    for r in range(20):
+        part = lambda c, s, y: ([x[s] for x in rows if x[1] in c and x[2] == y], [w[x[0], r] for x in rows if x[1] in c and x[2] == y])
+        of = lambda c, s: area(part(c, s, 1)[0], part(c, s, 0)[0], part(c, s, 1)[1], part(c, s, 0)[1])
+        assert got[r].pooled_a == pytest.approx(of("xy", 3)) and got[r].pooled_b == pytest.approx(of("xy", 4))
+        counted = [c for c in "xy" if sum(part(c, 3, 1)[1]) >= 5]
+        assert got[r].macro_a == pytest.approx(sum(of(c, 3) for c in counted) / len(counted))
+
+
+def probe_rows(spark, n=400):
+    pick = random.Random(9)
+    rows = []
+    for u in range(n):
+        label = u % 3
+        rows.append((u, label, "train" if u % 10 < 6 else "dev" if u % 10 < 8 else "test", [pick.gauss(label == 1, 1), pick.gauss(2 * (label == 2), 1), pick.gauss(0, 3)]))
+    return spark.createDataFrame(rows, "uid long, label int, split string, vec array<double>")
+
+
+def test_probe_fits_all_classes_at_once(spark):
+    df = probe_rows(spark)
+    got = readout.probe(df, [0, 1, 2, 7], c_grid=(0.01, 1.0))
+    quality = {r["class"]: r.auroc for r in readout.auroc(got.filter("split = 'test'").withColumnRenamed("p", "score"), ["class"]).collect()}
+    assert sorted(quality) == [0, 1, 2] and quality[2] > 0.8 and got.filter("class = 7 and p != 0.5").count() == 0
+    # The optimum: the gradient of the balanced, penalised loss vanishes, for a class by itself.
+    train = df.filter("split = 'train'").select("vec", F.when(F.col("label") == 2, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("hot"))
+    x = np.array([[*r.vec, 1.0] for r in train.collect()])
+    y = np.array([len(r.hot) for r in train.collect()])
+    w = readout.fit_logistic(train, 1, (0.5,))[0, 0]
+    weight = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (1 - y).sum())
+    slope = ((1 / (1 + np.exp(-x @ w)) - y) * weight) @ x + np.r_[w[:-1], 0] / 0.5
+    assert np.abs(slope / len(y)).max() < 1e-4
+
+
+def test_shuffled_null(spark):
+    got = {r["class"]: r for r in readout.shuffled_null(probe_rows(spark), [0, 1, 2], shuffles=12).collect()}
+    assert got[2].auroc > got[2].null_hi and got[2].perm_p == pytest.approx(1 / 13) and all(0.3 < r.null_mean < 0.7 and r.null_lo <= r.null_mean <= r.null_hi for r in got.values())
