@@ -64,7 +64,7 @@ SHARED = 0.75
 #: Up to so many ids of candidates are broadcast to read their texts again; beyond, they are joined by shuffle.
 BROADCAST_IDS = 400_000
 #: Pairs of a bucket that are formed without splitting it, and rows of a side of a block of one that is split.
-BUCKET_PAIRS = 1 << 16
+BUCKET_PAIRS = 1 << 12
 BLOCK_ROWS = 1_000
 #: One in so many texts is looked at for frequent signatures; those found HINT_ROWS times, HINTED at most, are dealt to SALTS tasks.
 HINT, HINT_ROWS, HINTED, SALTS = 64, 8, 50_000, 64
@@ -248,8 +248,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, least: int, per: int)
     return both.select("a", "b", "w_a", "w_b").mapInArrow(run, "a binary, b binary")
 
 
-def _split_pairs(docs: DataFrame, about: DataFrame, members: DataFrame, key: str, text: str, k: int, least: int, per: int) -> DataFrame:
-    """Pairs (set, x) with other roots that share a shingle of their prefixes, of members (set, root)."""
+def _split_pairs(docs: DataFrame, about: DataFrame, members: DataFrame, possible, key: str, text: str, k: int, least: int, per: int) -> DataFrame:
+    """Pairs (set, x) with other roots that share a shingle of their prefixes and are possible, of members (set, root, size and sketch)."""
     names = about.join(members.select("set"), "set", "left_semi").select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_hash").alias("__hash")).distinct()
     names = written(names, "split-ids")
     names = F.broadcast(names) if names.count() <= BROADCAST_IDS else names
@@ -268,14 +268,15 @@ def _split_pairs(docs: DataFrame, about: DataFrame, members: DataFrame, key: str
     n = F.size("s")
     prefix = F.slice("s", 1, (n - F.ceil(n * F.lit(least) / F.lit(per)).cast("int") + 1))
     tokens = written(ordered.select("set", F.explode(prefix).alias("t")).select("set", F.col("t.shingle").alias("token")).join(members, "set"), "prefixes")
+    sketch_of = [c for c in members.columns if c not in ("set", "root")]
     counts = tokens.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     counts = counts.select("token", F.col("m.root").alias("major"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK_ROWS).cast("int").alias("xs"), F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("ys"))
     told = join_hot(tokens, counts, "token")
     block = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    odd = told.filter("root != major").withColumn("xb", block("xs")).withColumn("yb", all_of("ys")).select("token", "xb", "yb", F.col("set").alias("x"), F.col("root").alias("x_root"))
-    every = told.withColumn("yb", block("ys")).withColumn("xb", all_of("xs")).select("token", "xb", "yb", "set", "root")
-    return odd.join(every, ["token", "xb", "yb"]).filter("root != x_root").select("set", "x")
+    odd = told.filter("root != major").withColumn("xb", block("xs")).withColumn("yb", all_of("ys")).select("token", "xb", "yb", F.col("set").alias("x"), F.col("root").alias("x_root"), *[F.col(c).alias(f"x_{c}") for c in sketch_of])
+    every = told.withColumn("yb", block("ys")).withColumn("xb", all_of("xs")).select("token", "xb", "yb", "set", "root", *sketch_of)
+    return odd.join(every, ["token", "xb", "yb"]).filter((F.col("root") != F.col("x_root")) & possible).select("set", "x")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = LEAST, per: int = PER) -> tuple[DataFrame, DataFrame]:
@@ -328,17 +329,17 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     rooted = written(ranked.join(roots.withColumnRenamed("node", "set"), "set", "left").select("sig", "set", "n", "whole", F.coalesce("root", "set").alias("root")), "rooted")
     by_root = rooted.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("largest"), F.max("whole").alias("wholes")).groupBy("sig").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("all"), F.max("largest").alias("largest"), F.max("wholes").alias("wholes"))
     by_root = by_root.filter("roots > 1 and largest > 0 and wholes").select("sig", F.col("m.root").alias("major"), ((F.col("all") - F.col("m.c")) * F.col("all") > BUCKET_PAIRS).alias("large"))
-    split = written(join_hot(rooted, by_root, "sig"), "split")
+    split = written(join_hot(rooted, by_root, "sig").join(own, "set"), "split")
     sizes = {r["large"]: r["n"] for r in split.groupBy("large").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return each, roots.withColumnRenamed("node", "set")
     small = split.filter("not large")
-    odd = small.filter("root != major").select("sig", F.col("set").alias("x"), F.col("n").alias("x_n"), F.col("whole").alias("x_whole"), F.col("root").alias("x_root"))
-    met = odd.join(small, "sig").filter(fits(F.abs("n"), F.abs("x_n")) & (F.col("root") != F.col("x_root")) & ((F.col("n") > 0) | (F.col("x_n") > 0)) & (F.col("whole") | F.col("x_whole"))).select("set", "x").distinct()
+    odd = small.filter("root != major").select("sig", F.col("set").alias("x"), F.col("n").alias("x_n"), F.col("whole").alias("x_whole"), F.col("root").alias("x_root"), *[F.col(c).alias(f"x_{c}") for c in ("size", *bits)])
+    met = odd.join(small, "sig").filter(possible & (F.col("root") != F.col("x_root")) & ((F.col("n") > 0) | (F.col("x_n") > 0)) & (F.col("whole") | F.col("x_whole"))).select("set", "x")
     if sizes.get(True):
-        members = written(split.filter("large").select("set", "root").distinct(), "large-buckets")
-        met = met.unionByName(_split_pairs(docs, about, members, key, text, k, least, per)).distinct()
-    second = written(left(written(met, "met")).join(first, ["a", "b"], "left_anti"), "pairs")
+        members = written(split.filter("large").select("set", "root", "size", *bits).distinct(), "large-buckets")
+        met = met.unionByName(_split_pairs(docs, about, members, possible, key, text, k, least, per))
+    second = written(met.select(*order).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     more = written(_compared(second, _texts(docs, about, second, key, text), k, least, per), "links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
