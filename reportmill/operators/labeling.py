@@ -91,3 +91,34 @@ def with_confidence(cells: DataFrame, labelers: list[str]) -> DataFrame:
     consensus = F.when(committed == n, F.when(pos >= neg, "PRESENT").otherwise("ABSENT")).otherwise(F.when(pos > neg, "PRESENT").when(neg > pos, "ABSENT").otherwise("UNCERTAIN"))
     level = F.when(committed == n, F.when(agree == n, "HIGH").when(agree >= (n + 1) // 2, "MEDIUM").otherwise("LOW")).otherwise(F.when((agree == committed) & (agree >= 2), "MEDIUM").otherwise("LOW"))
     return rows.withColumns({"consensus": consensus, "agreement": F.concat(agree.cast("string"), F.lit(f"/{n}")), "confidence": level})
+
+
+def positive_agreement(rows: DataFrame, a: str, b: str, classes=tx.FINDINGS) -> DataFrame:
+    """class, n, agreement and kappa of two labelers' positive sets (array columns) over all cells; counted in one pass, nothing is shuffled but a row of counts."""
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(classes) for x in (one(F.array_contains(a, c) & F.array_contains(b, c)).alias(f"both{i}"), one(F.array_contains(a, c)).alias(f"a{i}"), one(F.array_contains(b, c)).alias(f"b{i}"))])
+    each = counts.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("class"), *[F.col(f"{k}{i}").alias(k) for k in ("both", "a", "b")]) for i, c in enumerate(classes)])).alias("c")).select("n", "c.*")
+    n = F.col("n").cast("double")
+    po = (n - F.col("a") - F.col("b") + 2 * F.col("both")) / n
+    pe = (F.col("a") * F.col("b") + (n - F.col("a")) * (n - F.col("b"))) / (n * n)
+    return each.select("class", "n", po.alias("agreement"), F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(F.lit(1.0)).alias("kappa"))
+
+
+def agreement_summary(rows: DataFrame, a: str, b: str, classes=tx.FINDINGS) -> DataFrame:
+    """mean_kappa over the classes, exact (share of equal positive sets), and micro precision, recall and f1 of a against b. Two passes, two rows joined."""
+    from ..functions.sets import confusion, prf
+
+    kappa = positive_agreement(rows, a, b, classes).agg(F.avg("kappa").alias("mean_kappa"))
+    total = rows.select(F.when(F.array_sort(a) == F.array_sort(b), 1.0).otherwise(0.0).alias("same"), *confusion(F.col(b), F.col(a), classes)).agg(F.avg("same").alias("exact"), *[F.sum(k).alias(k) for k in ("tp", "fp", "fn")])
+    return kappa.crossJoin(total.select("exact", *prf("tp", "fp", "fn")))  # a row each
+
+
+#: Levels of confidence from the least.
+LEVELS = ("LOW", "MEDIUM", "HIGH")
+
+
+def level_rows(level: Column) -> Column:
+    """Array of (level, cumulative) that a cell of this confidence counts in: its own, and every level not above it."""
+    exact = F.array(F.struct(level.alias("level"), F.lit(False).alias("cumulative")))
+    upto = F.filter(F.array(*[F.lit(x) for x in LEVELS]), lambda x: F.array_position(F.array(*[F.lit(v) for v in LEVELS]), x) <= F.array_position(F.array(*[F.lit(v) for v in LEVELS]), level))
+    return F.concat(exact, F.transform(upto, lambda x: F.struct(x.alias("level"), F.lit(True).alias("cumulative"))))

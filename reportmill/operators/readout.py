@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sets import ratio
 from .ranks import running, small
+from .sums import Passes, minimise
 
 #: Digits to which probabilities are told apart when a prior is fitted, and quantiles when a threshold is chosen among them.
 PRIOR_DIGITS, QUANTILE_DIGITS = 4, 9
@@ -118,72 +119,34 @@ def fit_logistic(rows: DataFrame, targets: int, c_grid: tuple[float, ...], most:
     share = np.stack([n / (2 * np.maximum(1, n - pos)), n / (2 * np.maximum(1, pos))])[:, live]
     penalty = 1 / (np.array(c_grid) * n)
 
+    passes = Passes(rows.select("vec", "hot"))
+
     def losses(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         shared = spark.sparkContext.broadcast((points, live, share))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(b: pa.RecordBatch) -> np.ndarray:
             p, own, share = shared.value
-            flat = p.reshape(-1, d + 1)
-            f, g = np.zeros(len(flat)), np.zeros_like(flat)
             place = np.full(targets, -1)
             place[own] = np.arange(len(own))
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.c_[b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d), np.ones(b.num_rows)]
-                y = np.zeros((b.num_rows, len(own)))
-                hot = b.column(1)
-                t = place[hot.flatten().to_numpy(zero_copy_only=False)] if len(hot.flatten()) else np.zeros(0, int)
-                row = np.repeat(np.arange(b.num_rows), hot.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                y[row[t >= 0], t[t >= 0]] = 1
-                z = (x @ flat.T).reshape(b.num_rows, len(own), grid)
-                weight = np.where(y == 1, share[1], share[0])[:, :, None]
-                signed = np.where(y[:, :, None] == 1, -z, z)
-                f += (weight * np.logaddexp(0, signed)).sum(axis=0).reshape(-1)
-                slope = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[:, :, None])
-                g += slope.reshape(b.num_rows, -1).T @ x
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(f), pa.array([v.tobytes() for v in g], pa.binary())], ["i", "f", "g"])
-
-        f, g = np.zeros(len(live) * grid), np.zeros((len(live) * grid, d + 1))
-        for r in rows.select("vec", "hot").mapInArrow(run, "i long, f double, g binary").toLocalIterator():  # a row for each partition and regression
-            f[r["i"]] += r["f"]
-            g[r["i"]] += np.frombuffer(bytes(r["g"]), np.float64)
+            x = np.c_[b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d), np.ones(b.num_rows)]
+            y = np.zeros((b.num_rows, len(own)))
+            hot = b.column(1)
+            t = place[hot.flatten().to_numpy(zero_copy_only=False)] if len(hot.flatten()) else np.zeros(0, int)
+            row = np.repeat(np.arange(b.num_rows), hot.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            y[row[t >= 0], t[t >= 0]] = 1
+            z = (x @ p.T).reshape(b.num_rows, len(own), grid)
+            weight = np.where(y == 1, share[1], share[0])[:, :, None]
+            f = (weight * np.logaddexp(0, np.where(y[:, :, None] == 1, -z, z))).sum(axis=0)
+            slope = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[:, :, None])
+            return np.r_[f.reshape(-1), (slope.reshape(b.num_rows, -1).T @ x).reshape(-1)]
+
+        total = passes.total(add, points.size + len(points))
         shared.destroy()
-        ridge = np.tile(penalty, len(live))[:, None] * points.reshape(-1, d + 1)
+        ridge = np.tile(penalty, len(live))[:, None] * points
         ridge[:, -1] = 0
-        return f / n + (ridge * points.reshape(-1, d + 1)).sum(axis=1) / 2, g / n + ridge
+        return total[: len(points)] / n + (ridge * points).sum(axis=1) / 2, total[len(points) :].reshape(points.shape) / n + ridge
 
-    x = np.zeros((len(live) * grid, d + 1))
-    f, g = losses(x)
-    past: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in x]
-    step, aim, done = np.ones(len(x)), -g, np.abs(g).max(axis=1) < tolerance
-    for _ in range(most):
-        if done.all():
-            break
-        trial = np.where(done[:, None], x, x + step[:, None] * aim)
-        f1, g1 = losses(trial)
-        for i in np.flatnonzero(~done):
-            if f1[i] <= f[i] + 1e-4 * step[i] * (g[i] @ aim[i]) or step[i] < 1e-6:
-                s, y = trial[i] - x[i], g1[i] - g[i]
-                if s @ y > 1e-12:
-                    past[i] = [*past[i][-9:], (s, y)]
-                gone = f[i] - f1[i]
-                x[i], f[i], g[i], step[i] = trial[i], f1[i], g1[i], 1.0
-                q, used = g[i].copy(), []
-                for s, y in reversed(past[i]):
-                    a = (s @ q) / (s @ y)
-                    used.append(a)
-                    q -= a * y
-                if past[i]:
-                    s, y = past[i][-1]
-                    q *= (s @ y) / (y @ y)
-                for (s, y), a in zip(past[i], reversed(used), strict=True):
-                    q += (a - (y @ q) / (s @ y)) * s
-                aim[i] = -q
-                done[i] = np.abs(g[i]).max() < tolerance or 0 <= gone < 1e-10
-            else:
-                step[i] /= 2
-    w[live] = x.reshape(len(live), grid, d + 1)
+    w[live] = minimise(losses, np.zeros((len(live) * grid, d + 1)), most, tolerance).reshape(len(live), grid, d + 1)
     return w
 
 

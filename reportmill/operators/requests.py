@@ -28,3 +28,20 @@ def stage_b_text(positive: Column, uncertain: Column, classes=tx.FINDINGS) -> Co
     """Findings of a first stage as lines in class order."""
     state = lambda c: F.when(F.array_contains(positive, c), "PRESENT").when(F.array_contains(uncertain, c), "UNCERTAIN").otherwise("ABSENT")
     return F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), state(c)) for c in classes])
+
+
+def evidence_text(positive: Column, uncertain: Column, negative: Column, evidence: Column, classes=tx.FINDINGS) -> Column:
+    """Findings of a first stage as lines in class order, with what a present one rests on; a class without a state is 'not assessed'. evidence: map of class to text."""
+
+    def line(c: str) -> Column:
+        why = F.trim(F.coalesce(F.element_at(evidence, F.lit(c)), F.lit("")))
+        present = F.concat(F.lit("PRESENT"), F.when(why != "", F.concat(F.lit(" (evidence: "), why, F.lit(")"))).otherwise(""))
+        state = F.when(F.array_contains(positive, c), present).when(F.array_contains(uncertain, c), "UNCERTAIN").when(F.array_contains(negative, c), "ABSENT").otherwise("not assessed")
+        return F.concat(F.lit(f"- {c}: "), state)
+
+    return F.concat_ws("\n", *[line(c) for c in classes])
+
+
+def judge_table(predictions: DataFrame, groundedness: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Every prediction with its groundedness, 0 where there is none."""
+    return predictions.join(groundedness.select(*keys, *columns), keys, "left").fillna(0, columns)

@@ -148,7 +148,7 @@ def random_intercept(df: DataFrame, columns: list[str], outcome: str, uid: str =
     rows = df.select(uid, F.array(*[F.col(c).cast("double") for c in (*columns, outcome)]).alias("z")).filter(F.forall("z", lambda x: x.isNotNull()))
     groups = rows.groupBy(uid).agg(F.collect_list("z").alias("z")).select("z")  # a uid's own rows
     by_n: dict[int, list] = {}
-    for r in groups.mapInArrow(_per_uid(p + 1), "n long, uids long, zz binary, ss binary").toLocalIterator():  # a row for each partition and number of rows of a uid
+    for r in groups.mapInArrow(_per_uid(p + 1), "n long, uids long, zz binary, ss binary").collect():  # a row for each partition and number of rows of a uid
         total = by_n.setdefault(r["n"], [0, 0.0, 0.0])
         total[0] += r["uids"]
         for i, k in ((1, "zz"), (2, "ss")):

@@ -56,6 +56,16 @@ def enriched(df: DataFrame, disputed: str, classes, per_class: int, seed: str, k
     return ranked(rows, ["class"], per_class, seed, key).select(key, "class")
 
 
+def topped_up(df: DataFrame, disputed: str, classes, per_class: int, total: int, seed: str, key: str = "uid") -> DataFrame:
+    """enriched(), and as many further rows with anything disputed, in the seed's order and with class null, as are missing to `total`."""
+    picked = enriched(df, disputed, classes, per_class, seed, key)
+    n = picked.count()  # per_class rows of each class at most
+    rest = df.filter(F.size(disputed) > 0).join(picked.select(key), key, "left_anti").select(key, F.lit(None).cast("string").alias("class"))
+    if n >= total:
+        return picked
+    return picked.unionByName(ranked(rest, ["class"], total - n, f"{seed} more", key).select(key, "class"))
+
+
 def balanced(df: DataFrame, wanted: Column, ratio: float, copies: int, seed: str, key: str = "doc_id") -> DataFrame:
     """All wanted rows, `copies` times each, and ratio times as many of the others; `copy` counts from 1."""
     rows = df.withColumn("__w", wanted)

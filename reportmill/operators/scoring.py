@@ -113,3 +113,30 @@ def masked_counts(df: DataFrame, truth: Column, pred: Column, mask: DataFrame, b
     one = lambda c: F.when(c, 1).otherwise(0)
     in_t, in_p = F.array_contains("t", F.col("class")), F.array_contains("p", F.col("class"))
     return rows.select(uid, *by, "class", one(in_t & in_p).alias("tp"), one(~in_t & in_p).alias("fp"), one(in_t & ~in_p).alias("fn")).join(mask, [uid, "class"])
+
+
+def policy_spread(df: DataFrame, variants: dict[str, tuple[Column, Column]], levels: dict[str, tuple], by: str = "prompt_condition") -> DataFrame:
+    """level, condition, f1 under each policy (f1_<policy>) and their spread. variants: truth and prediction by policy; levels: classes by name."""
+    each = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(k).alias("policy"), *sets.confusion(t, p, classes)) for n, classes in levels.items() for k, (t, p) in variants.items()])
+    total = df.select(by, F.explode(each).alias("v")).groupBy(by, "v.level", "v.policy").agg(*[F.sum(f"v.{k}").alias(k) for k in ("tp", "fp", "fn")])
+    f1 = total.select(by, "level", "policy", sets.prf("tp", "fp", "fn")[2])
+    wide = f1.groupBy("level", by).agg(*[F.max(F.when(F.col("policy") == k, F.col("f1"))).alias(f"f1_{k}") for k in variants])
+    columns = [F.col(f"f1_{k}") for k in variants]
+    return wide.withColumn("spread", F.greatest(*columns) - F.least(*columns))
+
+
+def policy_ranks(spread: DataFrame, policies, by: str = "prompt_condition") -> DataFrame:
+    """level, the conditions in falling order of f1 under each policy, and stable: whether the orders are the same. spread: a row for each level and condition."""
+    ranked = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col(f"f1_{k}")).alias("f"), F.col(by).alias("c")))), lambda x: x["c"]), " > ")
+    rows = spread.groupBy("level").agg(*[ranked(k).alias(f"rank_{k}") for k in policies])
+    first, *others = [F.col(f"rank_{k}") for k in policies]
+    same = F.lit(True)
+    for o in others:
+        same = same & (first == o)
+    return rows.withColumn("stable", same)
+
+
+def uncertain_share(df: DataFrame, unc: str = "unc", classes=tx.FINDINGS) -> DataFrame:
+    """n_uncertain cells and their share of all."""
+    n = F.sum(F.size(F.array_intersect(unc, literal(classes))))
+    return df.agg(n.alias("n_uncertain"), (n / (F.count(F.lit(1)) * len(classes))).alias("share"))

@@ -80,6 +80,19 @@ def assign_wrong(df: DataFrame, seed: str, key: str = "uid") -> DataFrame:
     return df.filter("zone is not null").select(key, F.col("zone").alias("own"), out.alias("zone"))
 
 
+def caption(zone: Column) -> Column:
+    """What is said of a zone's crop ('band/side'); empty for a whole view."""
+    band, side = F.split(zone, "/")[0], F.split(zone, "/")[1]
+    return F.when(F.coalesce(zone, F.lit("")) == "", "").otherwise(F.concat(F.lit("^ "), F.initcap(side), F.lit(" "), band, F.lit(" zone (patient "), side, F.lit("), higher resolution.")))
+
+
+def load_manifest(parts: DataFrame, uid: str = "uid") -> DataFrame:
+    """uid, frontal (whole views and their crops), captions (of these, one for one) and lateral paths, in the order of the parts. parts: uid, part_idx, kind, path, zone."""
+    side = F.col("kind") == "lateral"
+    rows = parts.groupBy(uid).agg(F.array_sort(F.collect_list(F.when(~side, F.struct("part_idx", "path", caption(F.col("zone")).alias("caption"))))).alias("f"), F.array_sort(F.collect_list(F.when(side, F.struct("part_idx", "path")))).alias("l"))  # a study's own parts
+    return rows.select(uid, F.col("f.path").alias("frontal"), F.col("f.caption").alias("captions"), F.col("l.path").alias("lateral"))
+
+
 def regroup(parts: DataFrame, columns: list[str], order: str = "part_idx") -> DataFrame:
     """A row for each uid with arrays of the columns in the order of its parts."""
     each = F.array_sort(F.collect_list(F.struct(order, *columns)))  # a study's own parts

@@ -128,7 +128,7 @@ CTES = {
     "reports": f"""SELECT doc_id AS uid, {picked(SENTENCES, 'doc_id')} || ' ' || {picked(SENTENCES, 'doc_id * 7 + 3')} AS findings,
       CASE WHEN doc_id % 11 = 0 THEN '' ELSE {picked(SENTENCES, 'doc_id * 3 + 5')} END AS impression,
       {picked(INDICATIONS, 'doc_id')} AS indication, {picked(PROBLEMS, 'doc_id')} AS problems, {picked(MESH, 'doc_id')} AS mesh FROM documents""",
-    "texts": "SELECT uid, 'report' AS src, trim(findings || ' ' || impression) AS text FROM reports UNION ALL SELECT uid, 'impression', impression FROM reports",
+    "texts": "SELECT uid, 'report' AS src, trim(findings || ' ' || impression) AS text FROM reports UNION ALL SELECT uid, 'impression', impression FROM reports UNION ALL SELECT uid, 'findings', findings FROM reports",
     "sents": r"SELECT uid, src, trim(s) AS s FROM (SELECT uid, src, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.;])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM texts) WHERE trim(s) <> ''",
     "mentions": _sentence_classes(),
     "ranks": f"""SELECT uid, src, class, max(CASE

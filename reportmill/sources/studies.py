@@ -78,6 +78,13 @@ def read_expert_labels(spark: SparkSession, path: str, classes=tx.FINDINGS) -> D
     return wide.select("uid", *[F.lower(F.trim(F.col(f"`label_{c}`"))).alias(c) for c in classes]).unpivot("uid", list(classes), "class", "presence").filter("presence <> ''")
 
 
+def blinded_manifest(studies: DataFrame, seed: str) -> DataFrame:
+    """study (a hash of seed and uid), indication, and names of the first frontal and lateral image as the expert sees them: nothing of report, labels or answers, nor the uid or the files' own names."""
+    study = F.md5(F.concat_ws("|", F.lit(seed), F.col("uid").cast("string")))
+    name = lambda c, s: F.when(F.size(c) > 0, F.concat(F.substring(study, 1, 12), F.lit(f"_{s}.png"))).otherwise("")
+    return studies.select(study.alias("study"), F.coalesce("indication", F.lit("")).alias("indication"), name("frontal_paths", "f").alias("frontal"), name("lateral_paths", "l").alias("lateral"))
+
+
 def write_table(df: DataFrame, path: str, by: str | None = None, fmt: str = "parquet", mode: str = "overwrite") -> None:
     writer = df.write.mode(mode).format(fmt)
     (writer.partitionBy(by) if by else writer).save(path)
