@@ -64,8 +64,10 @@ SHARED = 0.75
 #: Up to so many ids of candidates are broadcast to read their texts again; beyond, they are joined by shuffle.
 BROADCAST_IDS = 400_000
 #: Pairs of a bucket that are formed without splitting it, and rows of a side of a block of one that is split.
-BUCKET_PAIRS = 1 << 12
+BUCKET_PAIRS = 1 << 13
 BLOCK_ROWS = 1_000
+#: Shingles whose frequency decides their place in a split bucket's prefixes.
+FREQUENT = 500_000
 #: One in so many texts is looked at for frequent signatures; those found HINT_ROWS times, HINTED at most, are dealt to SALTS tasks.
 HINT, HINT_ROWS, HINTED, SALTS = 64, 8, 50_000, 64
 #: Longs of a parity sketch.
@@ -255,19 +257,35 @@ def _split_pairs(docs: DataFrame, about: DataFrame, members: DataFrame, possible
     names = F.broadcast(names) if names.count() <= BROADCAST_IDS else names
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("h")).join(names, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__hash"))).select("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in blocks(batch, "text"):
+                shingle, n = np.unique(np.concatenate(shingle_sets(data, at, k)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(shingle)), pa.array(n)], ["shingle", "n"])
+
+    # Any one order will do; the FREQUENT most frequent shingles come last, so that prefixes hold rare ones.
+    frequency = rows.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df")).filter("df > 1")
+    told = frequency.orderBy(F.desc("df"), "shingle").limit(FREQUENT).toArrow()
+    shingle, df = told.column("shingle").to_numpy().view(np.uint64), told.column("df").to_numpy()
+    by_name = np.argsort(shingle)
+    shared = docs.sparkSession.sparkContext.broadcast((shingle[by_name], df[by_name]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df = shared.value
         for batch in batches:
             for _, _, data, at in blocks(batch, "text"):
                 found = [s for s in shingle_sets(data, at, k) if len(s)]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found]))
-                yield pa.RecordBatch.from_arrays([set_names(found).take(row), pa.array(signed(np.concatenate(found))) if found else pa.array([], pa.int64())], ["set", "shingle"])
-
-    each = written(rows.mapInArrow(run, "set binary, shingle long"), "split-shingles")
-    frequency = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    ordered = join_hot(each, frequency, "shingle").groupBy("set").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("s"))  # a text's own shingles
-    n = F.size("s")
-    prefix = F.slice("s", 1, (n - F.ceil(n * F.lit(least) / F.lit(per)).cast("int") + 1))
-    tokens = written(ordered.select("set", F.explode(prefix).alias("t")).select("set", F.col("t.shingle").alias("token")).join(members, "set"), "prefixes")
+                kept = []
+                for s in found:
+                    times = np.ones(len(s), np.int64)
+                    if len(known):
+                        i = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        times = np.where(known[i] == s, df[i], 1)
+                    kept.append(s[np.lexsort((s, times))[: len(s) + least * len(s) // -per + 1]])
+                row = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in kept]))
+                yield pa.RecordBatch.from_arrays([set_names(found).take(row), pa.array(signed(np.concatenate(kept))) if kept else pa.array([], pa.int64())], ["set", "token"])
+
+    tokens = written(rows.mapInArrow(prefixes, "set binary, token long").distinct().join(members, "set"), "prefixes")
     sketch_of = [c for c in members.columns if c not in ("set", "root")]
     counts = tokens.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     counts = counts.select("token", F.col("m.root").alias("major"), F.ceil((F.col("all") - F.col("m.c")) / BLOCK_ROWS).cast("int").alias("xs"), F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("ys"))
