@@ -7,18 +7,17 @@
    is fitted to these counts by EM; labels of the learning fold are seen where there are any. Pairs of voters that agree
    more often within a class than the model says are correlated; the votes of correlated voters are weighed less, and
    the model is fitted once more.
-3. Classifier. A logistic regression over words and word beginnings learns the label model's posteriors, of labelled and
-   unlabelled rows alike, on a bounded sample of the learning fold, and scores every whole text. Labels reach it through
-   the label model and the choice of features only.
+3. Classifier. A logistic regression over words and word beginnings learns the label model's posteriors of all rows of
+   the learning fold, labelled and unlabelled alike, and scores every whole text. Their features are written once; each step
+   of the fit is a sum over them. Labels reach it through the label model and the choice of features only.
 
 Rows whose crc32(id as text) mod 4 is 2 are held out: nothing is learnt from them. Labels, language, source and id are no
 inputs of a score. Null text is scored as empty, null id isn't held out. Labels are joined by id; of several labels of an
-id the largest counts. Repeated rows get equal scores. Without labels the voters alone decide; an empty table gives an
-empty result. Only the named columns are read.
+id the largest counts. Repeated rows get equal scores. Without labels the lexicons and patterns alone make the label model,
+whose posteriors are learnt all the same. An empty table gives an empty result. Only the named columns are read.
 
-Bounds (documented parameters): features are mined from at most SAMPLE labelled rows; the classifier is fitted on at most
-FITTED rows, labelled or not as they come, so that unlabelled ones have their share of the learning fold at every size. Both
-are chosen by a hash of the id. The classifier has at most FEATURES features.
+Bounds (documented parameters): features are mined from at most SAMPLE labelled rows, chosen by a hash of the id; there are
+at most FEATURES of them besides the lexicons' terms.
 """
 
 from __future__ import annotations
@@ -32,15 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sums import Passes, minimise
 from .bytewords import LETTERS, blocks, signed, words
 from .store import fresh, written
 
 SAMPLE = 30_000
-FITTED = 35_000
+#: Steps of the fit at most.
+STEPS = 40
 FEATURES = 4_096
 MINED = 512
 MINED_GROUPS = 6
 PREFIXES = (4, 5, 6)
+#: How much more often a voter votes in toxic texts, at least, where no label tells.
+BETTER = 3.0
 THRESHOLD = 0.3
 
 #: Terms of abuse by lexicon (one voter each).
@@ -134,7 +137,8 @@ class Voters:
 def label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, voters: int, prior: float | None = None) -> dict:
     """A latent class with a vote rate for each voter and class, fitted to counts of (pattern, label or -1).
 
-    Gives rates, the correlation of each pair of voters within the classes beyond the model, weights, and the posterior
+    Where no label is seen, votes are held to be at least BETTER times as frequent in toxic texts as in others, without which
+    the two classes could change places. Gives rates, the correlation of each pair of voters within the classes beyond the model, weights, and the posterior
     of each pattern with and without its label.
     """
     votes = (patterns[:, None] >> np.arange(voters)) & 1
@@ -152,6 +156,8 @@ def label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, vo
             m1, m0 = counts * q, counts * (1 - q)
             rate1 = (m1 @ votes + 0.5) / (m1.sum() + 1)
             rate0 = (m0 @ votes + 0.05) / (m0.sum() + 1)
+            if not known.any():
+                rate1 = np.clip(rate1, np.minimum(0.99, BETTER * rate0), 0.99)
             each = np.where(votes == 1, np.log(rate1 / rate0), np.log((1 - rate1) / (1 - rate0))) * weight
             odds = np.log(prior / (1 - prior)) + each.sum(axis=1)
             new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
@@ -184,35 +190,17 @@ def _residual_correlation(a: np.ndarray, b: np.ndarray, q: np.ndarray, n: np.nda
     return float((n * left[0] * left[1]).sum() / size) if size > 1e-9 else 0.0
 
 
-def logistic(row: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int, l2: float = 1.0, steps: int = 500, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2 logistic regression on soft labels over presence features, by Adam on whole gradients."""
-    n = max(1, len(y))
-    w = np.zeros(features + 1)
-    w[-1] = np.log((y.sum() + 1) / (n - y.sum() + 1))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        z = np.bincount(row, weights=w[feature], minlength=n) + w[-1]
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y if len(y) else np.zeros(n)
-        g = np.r_[np.bincount(feature, weights=d[row], minlength=features) + l2 * w[:-1], d.sum()] / n
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return w[:-1], float(w[-1])
-
-
 def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Ids, labels (null where unlabelled) and __fits, if the classifier is fitted on them, of the bounded learning sample."""
+    """Ids and labels of the bounded sample of labelled rows of the learning fold."""
     ids = docs.select(F.col(key).alias("__id")).filter(F.col("__id").isNotNull() & ~held_out("__id")).distinct()
-    joined = ids.join(labels, "__id", "left")
-    some = lambda df, n: df.orderBy(F.xxhash64("__id"), "__id").limit(n)
-    both = some(joined, FITTED).withColumn("__fits", F.lit(True)).unionByName(some(joined.filter(F.col("__y").isNotNull()), SAMPLE).withColumn("__fits", F.lit(False)))
-    return both.groupBy("__id").agg(F.max("__y").alias("__y"), F.max("__fits").alias("__fits"))
+    return ids.join(labels, "__id").orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
 
 
-def mine(sample: DataFrame) -> tuple[list[int], list[int]]:
+def mine(labelled: DataFrame) -> tuple[list[int], list[int]]:
     """Hashes of the features that tell toxic from other labelled rows, and of those that are toxic nearly always."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +229,6 @@ def mine(sample: DataFrame) -> tuple[list[int], list[int]]:
         if held:
             yield out()
 
-    labelled = sample.filter(F.col("y").isNotNull())
     totals = labelled.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("n1")).first()
     n1, n0 = float(totals["n1"]), float(totals["n"] - totals["n1"])
     if not n1 or not n0:
@@ -270,49 +257,63 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     gold = labels.select(F.col(label_key).alias("__id"), F.col(label).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out("__id")).groupBy("__id").agg(F.max("__y").alias("__y"))
     ids = written(_sample(docs, gold, key), "toxicity-sample")
     texts = docs.select(F.col(key).alias("__id"), F.coalesce(text, F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(ids), "__id").select("text", F.col("__y").alias("y"), "__id", "__fits")  # ids: SAMPLE + FITTED rows at most
-    features, sure = mine(sample)
+    features, sure = mine(texts.join(F.broadcast(ids), "__id").select("text", F.col("__y").alias("y")))  # ids: SAMPLE rows at most
     voters = Voters.of(sure)
-    lexicon = [int(x) for x in voters.terms[: len(voters.terms)]]
-    chosen = np.array(list(dict.fromkeys([*features, *lexicon])), np.uint64)
+    chosen = np.array(list(dict.fromkeys([*features, *(int(x) for x in voters.terms)])), np.uint64)
     shared = spark.sparkContext.broadcast((voters, Members(voters.terms), Members(hashes(" ".join(_YOU))), Members(chosen)))
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, members, you, _ = shared.value
-        for batch in batches:
-            bits = [v.vote(data, at, members, you) for _, _, data, at in blocks(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))], ["__id", "pattern"])
-
-    id_type = texts.schema["__id"].dataType.simpleString()
-    patterns = texts.mapInArrow(vote, f"__id {id_type}, pattern long")
-    # At most 3 * 2 ** voters rows, whatever the input.
-    table = patterns.join(gold, "__id", "left").groupBy("pattern", F.coalesce("__y", F.lit(-1)).alias("y")).count().collect()
-    p, y, n = (np.array([r[k] for r in table], np.int64) for k in ("pattern", "y", "count"))
-    model = label_model(p, y, n.astype(float), len(voters.names))
-    posterior = {int(a): float(b) for a, b in zip(p, model["posterior"], strict=True)}
-
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, members, you, wanted = shared.value
         for batch in batches:
-            for lo, hi, data, at in blocks(batch, "text"):  # features as packed ints, small to collect
-                bits = v.vote(data, at, members, you)
+            for lo, hi, data, at in blocks(batch, "text"):
                 row, f = feature_hits(words(data, at, LETTERS, PREFIXES), wanted)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([f[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(bits), batch.column(1).slice(lo, hi - lo)], ["f", "pattern", "id"])
-
-    rows = sample.filter("__fits").select("text", "__id").mapInArrow(extract, f"f binary, pattern long, id {id_type}").dropDuplicates(["id"]).select("f", "pattern").collect()  # the bounded sample
-    soft = [posterior.get(r["pattern"], model["prior"]) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(r["f"]) // 4 for r in rows]) if rows else np.zeros(0, np.int64)
-    feature = np.frombuffer(b"".join(bytes(r["f"]) for r in rows), np.int32)
-    del rows
-    if not (y >= 0).any():
-        # Without labels the voters' own terms decide.
-        weights, bias = np.where(np.isin(chosen, voters.terms), 3.0, 0.0), -2.5
-    else:
-        weights, bias = logistic(row, feature, np.array(soft), len(chosen))
+                packed = [f[a:b].astype(np.uint16).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(v.vote(data, at, members, you)), pa.array(packed, pa.binary())], ["__id", "pattern", "f"])
+
+    table = written(texts.mapInArrow(extract, f"__id {texts.schema['__id'].dataType.simpleString()}, pattern long, f binary"), "toxicity-features")
+    # At most 3 * 2 ** voters rows, whatever the input.
+    counts = table.join(gold, "__id", "left").groupBy("pattern", F.coalesce("__y", F.lit(-1)).alias("y")).count().collect()
+    p, y, n = (np.array([r[k] for r in counts], np.int64) for k in ("pattern", "y", "count"))
+    model = label_model(p, y, n.astype(float), len(voters.names))
+    known, first = np.unique(p, return_index=True)
+    weights, bias = learn(table.filter(F.col("__id").isNotNull() & ~held_out("__id")).select("pattern", "f"), known, model["posterior"][first], len(chosen))
     return Model(chosen, weights, bias, model, voters.names)
 
 
+def learn(rows: DataFrame, patterns: np.ndarray, posterior: np.ndarray, features: int, l2: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2 logistic regression of the posteriors of rows' patterns (sorted) on their features (f, packed numbers)."""
+    passes, context = Passes(rows), rows.sparkSession.sparkContext
+    total = rows.groupBy("pattern").count().collect()  # at most 2 ** voters rows
+    n = sum(r["count"] for r in total)
+    if not n:
+        return np.zeros(features), 0.0
+    mass = sum(r["count"] * posterior[np.searchsorted(patterns, r["pattern"])] for r in total)
+    start = np.zeros((1, features + 1))
+    start[0, -1] = np.log((mass + 1) / (n - mass + 1))
+
+    def losses(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shared = context.broadcast((points[0], patterns, posterior))
+
+        def add(b: pa.RecordBatch) -> np.ndarray:
+            w, known, q = shared.value
+            packed = b.column(1).to_pylist()
+            row = np.repeat(np.arange(len(packed)), [len(x) // 2 for x in packed])
+            f = np.frombuffer(b"".join(packed), np.uint16).astype(np.int64)
+            y = q[np.searchsorted(known, b.column(0).to_numpy(zero_copy_only=False))]
+            z = np.bincount(row, weights=w[f], minlength=len(packed)) + w[-1]
+            d = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+            return np.r_[(np.logaddexp(0, z) - y * z).sum(), np.bincount(f, weights=d[row], minlength=features), d.sum()]
+
+        sums = passes.total(add, features + 2)
+        shared.destroy()
+        ridge = l2 * np.r_[points[0, :-1], 0.0]
+        return np.array([(sums[0] + (ridge @ points[0]) / 2) / n]), (sums[1:] + ridge)[None] / n
+
+    w = minimise(losses, start, STEPS, tolerance=1e-6, gain=1e-6)[0]
+    return w[:-1], float(w[-1])
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score and predicted of every row, and the columns of keep (but for the text)."""
     shared = docs.sparkSession.sparkContext.broadcast((Members(model.features), model.weights, model.bias))
