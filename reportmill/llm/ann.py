@@ -12,7 +12,9 @@ rows, and probes is the least number of leaves that holds TARGET of them.
 Identical vectors are one class; of a class only the k + 1 smallest ids can be among k neighbours, so no more are carried
 into the ranking, and this loses nothing. Leaves with many members or queries are dealt in chunks to many tasks.
 
-Vectors that are null, zero, of another length than the longest, or hold null or non-finite components take no part, nor
+The sample and the planes, which are broadcast, have at most HELD_BYTES each, whatever the dimension.
+
+Vectors that are null, zero, of another length than most (the longer, of equally frequent lengths), or hold null or non-finite components take no part, nor
 do rows without id. A repeated row counts once. With no queries or no candidates the result is empty; a query with fewer
 than k candidates has all of them, where the leaves opened hold them. Only the named columns are read.
 """
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import join_hot
 from .store import written
 
 TREES = 4
@@ -38,6 +41,7 @@ SAMPLE = 16_384
 LEAF = 1_024
 #: Levels of a tree at most, so that its leaves rest on at least four vectors of the sample.
 DEEPEST = 12
+HELD_BYTES = 64 << 20
 TUNED = 64
 TARGET = 0.95
 #: Members or queries of a leaf that are worked on at once.
@@ -163,26 +167,29 @@ def nearest(vectors: DataFrame, k: int = 20, queries=None, key: str = "vec_id",
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     good = F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = rows.filter(F.coalesce(good, F.lit(False)))
-    dim = rows.agg(F.max(F.size("x")).alias("d")).first()["d"]
+    lengths = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     result = "query_id long, rank int, vec_id long, score double"
-    if not dim:
+    if not lengths:
         return spark.createDataFrame([], result)
-    # -0.0 + 0.0 is 0.0: equal vectors have equal bytes.
-    rows = rows.filter(F.size("x") == dim).select("id", F.transform("x", lambda v: v + F.lit(0.0)).alias("x")).distinct()
-    grouped = rows.groupBy("x").agg(F.min("id").alias("c"))
+    dim = lengths["d"]
+    # -0.0 + 0.0 is 0.0: equal vectors have equal names, of 128 bits.
+    rows = rows.filter(F.size("x") == dim).select("id", F.transform("x", lambda v: v + F.lit(0.0)).alias("x"))
+    rows = rows.withColumn("name", F.concat(F.hex(F.xxhash64("x")), F.lit(":"), F.hex(F.xxhash64(F.lit(1), "x"))))
+    grouped = rows.groupBy("name").agg(F.min("id").alias("c"), F.first("x").alias("x"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            flat = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             norm = np.sqrt((flat * flat).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in flat], pa.binary()), pa.array(norm)], ["c", "v", "norm"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in flat], pa.binary()), pa.array(norm)], ["name", "c", "v", "norm"])
 
-    classes = written(grouped.select("c", "x").mapInArrow(pack, "c long, v binary, norm double"), "classes")
-    of_class = rows.join(grouped, "x").select("id", "c")
-    of_class = written(of_class, "members")
+    classes = written(grouped.select("name", "c", "x").mapInArrow(pack, "name string, c long, v binary, norm double"), "classes")
+    named = written(rows.select("id", "name").distinct(), "names")
+    of_class = written(join_hot(named, classes.select("name", "c"), "name").select("id", "c"), "members")
     total = classes.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).first()
-    sample = classes.orderBy(F.xxhash64("c"), "c").limit(SAMPLE).select("v").collect()
-    depth = int(min(DEEPEST, max(0, np.ceil(np.log2(max(1, total["n"] / LEAF))))))
+    sample = classes.orderBy(F.xxhash64("c"), "c").limit(max(4, min(SAMPLE, HELD_BYTES // (8 * dim)))).select("v").collect()
+    deepest = int(np.log2(max(1, HELD_BYTES // (8 * (dim + 1) * trees)) + 1))
+    depth = int(min(DEEPEST, deepest, int(np.log2(max(4, len(sample)) / 4)), max(0, np.ceil(np.log2(max(1, total["n"] / LEAF))))))
     forest = grow(_matrix([r["v"] for r in sample], dim), total["norm"], depth, trees, seed)
     asked = of_class.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "c")
     asked_classes = classes.join(asked.select("c").distinct(), "c", "left_semi")
@@ -260,8 +267,11 @@ def nearest(vectors: DataFrame, k: int = 20, queries=None, key: str = "vec_id",
     scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, "q long, c long, score double")
     scored = scored.groupBy("q", "c").agg(F.max("score").alias("score"))
     best = scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("place") <= k + 1).drop("place")
-    few = of_class.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("id"))).filter(F.col("place") <= k + 1).select("c", F.col("id").alias("vec_id"))
+    # The k + 1 smallest ids of each class, first of each of its salts: a common vector may hold very many.
+    some = of_class.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("place", F.row_number().over(Window.partitionBy("c", "salt").orderBy("id"))).filter(F.col("place") <= k + 1)
+    few = some.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("id"))).filter(F.col("place") <= k + 1).select("c", F.col("id").alias("vec_id"))
     listed = best.join(few, "c").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= k + 1)
-    own = asked.join(listed.select(F.col("q").alias("c"), "vec_id", "score"), "c").filter("query_id != vec_id")
+    lists = written(listed.groupBy(F.col("q").alias("c")).agg(F.collect_list(F.struct("vec_id", "score")).alias("near")), "lists")  # k + 1 each
+    own = join_hot(asked, lists, "c").select("query_id", F.explode("near").alias("n")).select("query_id", "n.*").filter("query_id != vec_id")
     own = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return own.select("query_id", "rank", "vec_id", "score")
