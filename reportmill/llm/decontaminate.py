@@ -10,7 +10,8 @@ are scored exactly, and every item at or above the threshold is retrieved. A ret
 sentence, or the last quarter where there is one sentence) both overlap with the passage: of the question's shingles and of
 the answer's words the shares `question` and `answer` at least.
 
-Items are broadcast in shards of at most SHARD_ITEMS; each further shard is a further pass over the texts. Document
+Items are indexed in shards of at most SHARD_ITEMS; a pass over the texts holds the indexes of HELD_SHARDS of them, and
+words are hashed once for all. Document
 frequencies and lengths are those of all items, whatever the shards. Items longer than LONGEST words are indexed in parts.
 
 Case is folded in all scripts. Null text is empty and never contaminated; items without words are left out. A table without rows, or a benchmark without
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 QUESTION, ANSWER = 0.5, 0.6
 SHARD_ITEMS = 20_000
+#: Shards whose indexes are broadcast together (some 15 MB each).
+HELD_SHARDS = 16
 #: Items beyond so many words are indexed in parts of so many.
 LONGEST = 256
 #: Words of a question's shingles (of all its words, if it has fewer).
@@ -117,9 +121,8 @@ class Index:
             p, b = divmod(x, len(self.blocks))
             yield *divmod(p, width), b
 
-    def hits(self, data: np.ndarray, at: np.ndarray, threshold: float, question: float, answer: float) -> Iterator[tuple[int, int, int, float, float, float]]:
-        """(row, item, first word, score, question overlap, answer overlap) of the verified items of each text."""
-        w = words(data, at, WORD_CHARS)
+    def hits(self, w, threshold: float, question: float, answer: float) -> Iterator[tuple[int, int, int, float, float, float]]:
+        """(row, item, first word, score, question overlap, answer overlap) of the verified items of each text, by its words."""
         for r, win, b in self.candidates(w):
             lo = int(w.row_start[r]) + win * self.stride
             own = w.hash[lo : min(int(w.row_start[r + 1]), lo + 2 * self.stride)]
@@ -219,6 +222,12 @@ def build_indexes(items: DataFrame, item_key: str = "item_id", text: str = "text
         )
 
 
+def held_indexes(indexes: Iterator[Index]) -> Iterator[list[Index]]:
+    """HELD_SHARDS indexes at a time."""
+    while held := list(islice(indexes, HELD_SHARDS)):
+        yield held
+
+
 def _block(weights: list[dict[int, float]], lo: int, threshold: float) -> tuple[Block, list[tuple[int, float]]]:
     """A block of items, and its essential terms with their block maxima: all but the slightest, which together stay below half the threshold."""
     own = weights[lo : lo + BLOCK]
@@ -238,17 +247,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", t
     kinds = {n: f.schema[c].dataType.simpleString() for n, f, c in (("doc_id", docs, key), ("item_id", items, item_columns.get("item_key", "item_id")))}
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, first_word long, score double, question_overlap double, answer_overlap double"
     found = docs.sparkSession.createDataFrame([], schema)
-    for index in build_indexes(items, threshold=threshold, **item_columns):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in held_indexes(build_indexes(items, threshold=threshold, **item_columns)):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0)
                 for lo, _, data, at in blocks(batch, "text"):
-                    rows = list(shared.value.hits(data, at, threshold, question, answer))
+                    w = words(data, at, WORD_CHARS)
+                    rows = [(r, index.items[i], *rest) for index in shared.value for r, i, *rest in index.hits(w, threshold, question, answer)]
                     if rows:
                         r, i, p, s, q, a = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + x for x in r])), pa.array([shared.value.items[x] for x in i]), pa.array(p, pa.int64()), pa.array(s), pa.array(q), pa.array(a)], ["doc_id", "item_id", "first_word", "score", "question_overlap", "answer_overlap"])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + x for x in r])), pa.array(i), pa.array(p, pa.int64()), pa.array(s), pa.array(q), pa.array(a)], ["doc_id", "item_id", "first_word", "score", "question_overlap", "answer_overlap"])
 
         found = found.unionByName(kept.mapInArrow(run, schema))
     best = F.max(F.struct("score", (-F.col("first_word")).alias("p"), "question_overlap", "answer_overlap")).alias("m")
@@ -259,15 +269,16 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", thr
     """The rows of docs that hold no item; nothing is shuffled."""
     (plain,) = fresh(docs.columns, "plain_text")
     columns = docs.columns
-    for index in build_indexes(items, threshold=threshold, **item_columns):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in held_indexes(build_indexes(items, threshold=threshold, **item_columns)):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, data, at in blocks(batch, plain):
-                    clean = np.ones(hi - lo, bool)
-                    for hit in shared.value.hits(data, at, threshold, question, answer):
-                        clean[hit[0]] = False
+                    clean, w = np.ones(hi - lo, bool), words(data, at, WORD_CHARS)
+                    for index in shared.value:
+                        for hit in index.hits(w, threshold, question, answer):
+                            clean[hit[0]] = False
                     if clean.any():
                         yield pa.RecordBatch.from_arrays([c.slice(lo, hi - lo).filter(pa.array(clean)) for c in batch.columns[:-1]], columns)
 
