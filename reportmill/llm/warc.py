@@ -6,9 +6,11 @@ refer to it. A block longer than `segment` bytes is cut into a first record and
 first one's identifier, their number, and at last the total length. Spark's text writer writes the archives: a record's
 end, two line ends, is the writer's line separator.
 
-Reading: archives are read as whole files of bounded size and cut into records by their Content-Length. Records that
+Reading: archives are read once, as whole files of bounded size, and cut into records by their Content-Length. Records that
 are not segmented are decoded where they are read. Segments, and only those, are grouped by the origin's identifier by a
-shuffle, ordered by segment number, joined, held against the total length, and then the chunked framing is decoded.
+shuffle, ordered by segment number, joined, held against the total length, and then the chunked framing is decoded. Revisits
+take length and digest from the response that they refer to, and are whole if that one is and has the digest they state.
+An archive that ends early or can't be unpacked gives its records up to there, and one row of type 'broken' for the rest.
 
 Null html is an empty payload, null url is left out, a null page_id stays null. Repeated rows make a record each; of
 several rows with the same largest page_id and payload one is the response. An empty table gives an empty result. Other
@@ -17,15 +19,16 @@ columns don't take part, whatever their names.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import join_hot
 from .store import new_path, written
 
 #: A block beyond so many bytes is cut into segments.
@@ -113,7 +116,8 @@ def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, segment: int = SEGMENT_BYTES) -> None:
     """Archives of all pages, as gzip files below path."""
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    base = base.withColumn("record", F.monotonically_increasing_id()).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
+    # Written once, so that a record keeps its number whatever is computed again.
+    base = written(base.withColumn("record", F.monotonically_increasing_id()).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long")), "numbered-pages")
     largest = base.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))), "page_id", "record")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     largest = written(largest.select(F.col("digest").alias("same"), F.col("size").alias("same_size"), F.col("m.page_id").alias("refers_to"), F.col("m.record").alias("refers_record")), "equal-payloads")
     small = F.broadcast(largest) if largest.count() <= BROADCAST_GROUPS else largest
@@ -135,7 +139,23 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     rows.mapInPandas(run, "value string").write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-_ROW = "page_id long, record_type string, stated_digest string, refers_to long, payload_bytes long, payload_digest string, whole boolean"
+_ROW = "page_id long, record_type string, stated_digest string, refers_to long, payload_bytes long, payload_digest string, whole boolean, record string, refers_record string"
+_NUMBERS = ("page_id", "refers_to", "payload_bytes")
+
+
+def unpacked(content: bytes) -> tuple[bytes, bool]:
+    """What a gzip file holds as far as it can be unpacked, and whether that is all."""
+    out = []
+    while content:
+        part = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        try:
+            out.append(part.decompress(content))
+        except zlib.error:
+            return b"".join(out), False
+        if not part.eof:
+            return b"".join(out), False
+        content = part.unused_data
+    return b"".join(out), True
 
 
 def _decoded(fields: dict[str, str], block: bytes) -> tuple:
@@ -144,14 +164,14 @@ def _decoded(fields: dict[str, str], block: bytes) -> tuple:
     head, _, body = block.partition(b"\r\n\r\n")
     http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
     if fields["warc-type"] == "revisit":
-        return number("page-id"), "revisit", stated, number("refers-to-page-id"), int(http.get("content-length", 0)), stated, True
+        return number("page-id"), "revisit", stated, number("refers-to-page-id"), None, None, True, fields.get("warc-record-id"), fields.get("warc-refers-to")
     payload = dechunked(body) if http.get("transfer-encoding", "").lower() == "chunked" else body
     digest = hashlib.sha1(payload).hexdigest()
-    return number("page-id"), fields["warc-type"], stated, None, len(payload), digest, digest == stated
+    return number("page-id"), fields["warc-type"], stated, None, len(payload), digest, digest == stated, fields.get("warc-record-id"), None
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and `whole` (total length and digest as stated) of every record."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and `whole` (total length and digest as stated, of revisits by the record they refer to) of every record."""
     names = [x.split(" ")[0] for x in _ROW.split(", ")]
     segments = "origin string, number int, total long, fields string, block binary"
 
@@ -159,17 +179,38 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         import json
 
         columns = [*names, "origin", "number", "total", "fields", "block"]
+        empty = [None] * len(names)
+
+        def rows(content: bytes) -> Iterator[tuple]:
+            data, ended = unpacked(content)
+            try:
+                for fields, block in parsed(data):
+                    if len(block) < int(fields["content-length"]):
+                        ended = False
+                    elif "warc-segment-number" in fields:
+                        total = fields.get("warc-segment-total-length")
+                        yield (*empty, fields.get("warc-segment-origin-id", fields["warc-record-id"]), int(fields["warc-segment-number"]), None if total is None else int(total), json.dumps(fields) if fields["warc-segment-number"] == "1" else None, block)
+                    else:
+                        try:
+                            row = _decoded(fields, block)
+                        except ValueError:  # broken chunked framing: the record is told, but not whole
+                            row = (int(fields["page-id"]) if "page-id" in fields else None, fields.get("warc-type"), None, None, None, None, False, fields.get("warc-record-id"), None)
+                        yield (*row, None, None, None, None, None)
+            except (ValueError, KeyError):
+                ended = False
+            if not ended:
+                yield (None, "broken", None, None, None, None, False, None, None, None, None, None, None, None)
+
         for frame in frames:
             for content in frame["content"]:
                 out = []
-                for fields, block in parsed(gzip.decompress(content)):
-                    if "warc-segment-number" in fields:
-                        total = fields.get("warc-segment-total-length")
-                        out.append((*[None] * 7, fields.get("warc-segment-origin-id", fields["warc-record-id"]), int(fields["warc-segment-number"]), None if total is None else int(total), json.dumps(fields) if fields["warc-segment-number"] == "1" else None, block))
-                    else:
-                        out.append((*_decoded(fields, block), None, None, None, None, None))
-                for lo in range(0, len(out), 1000):
-                    yield pd.DataFrame(out[lo : lo + 1000], columns=columns).astype({k: "Int64" for k in ("page_id", "refers_to", "payload_bytes", "number", "total")})
+                for row in rows(content):
+                    out.append(row)
+                    if len(out) == 1000:
+                        yield pd.DataFrame(out, columns=columns).astype({k: "Int64" for k in (*_NUMBERS, "number", "total")})
+                        out = []
+                if out:
+                    yield pd.DataFrame(out, columns=columns).astype({k: "Int64" for k in (*_NUMBERS, "number", "total")})
 
     def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -184,17 +225,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 except (ValueError, TypeError):
                     fields = json.loads(r.fields) if r.fields else {}
                     page, stated = fields.get("page-id"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    row = (None if page is None else int(page), fields.get("warc-type"), stated, None, None, None, False)
-                out.append((*row[:6], bool(row[6] and complete)))
-            yield pd.DataFrame(out, columns=names).astype({k: "Int64" for k in ("page_id", "refers_to", "payload_bytes")})
+                    row = (None if page is None else int(page), fields.get("warc-type"), stated, None, None, None, False, fields.get("warc-record-id"), None)
+                out.append((*row[:6], bool(row[6] and complete), *row[7:]))
+            yield pd.DataFrame(out, columns=names).astype({k: "Int64" for k in _NUMBERS})
 
-    read = spark.read.format("binaryFile").load(path).select("content").mapInPandas(first, f"{_ROW}, {segments}")
-    # Both branches read the archives, so that the blocks of whole records never pass a shuffle.
-    alone = read.filter(F.col("origin").isNull()).select(*names)
+    read = written(spark.read.format("binaryFile").load(path).select("content").mapInPandas(first, f"{_ROW}, {segments}"), "records")
     each = F.sort_array(F.collect_list(F.struct("number", "block")))  # a record's own segments only
     grouped = read.filter(F.col("origin").isNotNull()).groupBy("origin").agg(each.alias("s"), F.max("total").alias("total"), F.max("fields").alias("fields"))
-    joined = grouped.select(F.col("s.number").alias("numbers"), F.col("s.block").alias("blocks"), "total", "fields").mapInPandas(second, _ROW)
-    return alone.unionByName(joined).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole")
+    joined = written(grouped.select(F.col("s.number").alias("numbers"), F.col("s.block").alias("blocks"), "total", "fields").mapInPandas(second, _ROW), "joined-records")
+    rows = read.filter(F.col("origin").isNull()).select(*names).unionByName(joined)
+    # Only records that are referred to are looked up; one may be referred to by very many.
+    again = rows.filter("record_type = 'revisit'")
+    of = rows.filter("record_type = 'response'").select(F.col("record").alias("refers_record"), F.col("payload_bytes").alias("__bytes"), F.col("payload_digest").alias("__digest"), F.col("whole").alias("__whole"))
+    told = join_hot(again, of, "refers_record", "left").select("page_id", F.col("__bytes").alias("payload_bytes"), F.col("__digest").alias("payload_digest"), "record_type", "refers_to", F.coalesce(F.col("__whole") & (F.col("__digest") == F.col("stated_digest")), F.lit(False)).alias("whole"))
+    return rows.filter("record_type <> 'revisit' or record_type is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole").unionByName(told)
 
 
 def pages_through_warc(pages: DataFrame, **how) -> DataFrame:
