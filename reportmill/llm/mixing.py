@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .store import fresh
 
-#: Up to so many sources their rates (with a distribution of about 40 to 700 doubles each) are broadcast; more are joined by shuffle.
-BROADCAST_SOURCES = 2_000
+#: Up to so many sources their distributions (of about 40 to 700 doubles each) are broadcast, up to so many more their rates
+#: (some 30 bytes and the name), from which each row makes its distribution; beyond, rows are dealt to SALTS tasks a source.
+BROADCAST_SOURCES, BROADCAST_RATES, SALTS = 2_000, 300_000, 32
 #: A larger mean is drawn as a sum of equal parts with at most this mean each.
 LARGEST_MEAN = 400.0
 
@@ -44,7 +45,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, size: int | N
     as many as docs has by default.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "copy"])
-    w, n, mean, parts, cdf, sid, row_key, count, uniforms = fresh([*docs.columns, "copy"], "w", "n", "mean", "parts", "cdf", "sid", "row_key", "count", "uniforms")
+    w, n, mean, parts, cdf, sid, row_key, count, uniforms, salt = fresh([*docs.columns, "copy"], "w", "n", "mean", "parts", "cdf", "sid", "row_key", "count", "uniforms", "salt")
     rates = docs.groupBy(F.col(source).alias(sid)).agg(F.count(F.lit(1)).alias(n))
     if targets is None:
         rates = rates.withColumn(w, F.pow(F.col(n).cast("double"), F.lit(temperature)))
@@ -57,12 +58,21 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, size: int | N
         size = docs.count()
     size = total["n"] or 0 if size is None else size
     rates = rates.withColumn(mean, F.lit(float(size)) * F.col(w) / F.lit(total["w"] or 1.0) / F.col(n))
-    rates = rates.withColumn(parts, F.ceil(F.col(mean) / LARGEST_MEAN).cast("int")).withColumn(cdf, poisson_cdf(F.col(mean) / F.col(parts))).select(sid, parts, cdf)
-    rates = F.broadcast(rates) if total["sources"] <= BROADCAST_SOURCES else rates
+    rates = rates.withColumn(parts, F.ceil(F.col(mean) / LARGEST_MEAN).cast("int")).select(sid, mean, parts)
+    made = F.when(F.col(mean).isNotNull(), poisson_cdf(F.col(mean) / F.col(parts)))
     keyed = docs.withColumn(row_key, F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))))
     us = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda i: hashed_uniform(seed, F.col(row_key), i.cast("string")))
     one = F.aggregate(F.col(uniforms), F.lit(0).cast("long"), lambda a, u: a + F.size(F.filter(F.col(cdf), lambda c: c <= u)))
-    counted = keyed.join(rates, F.col(source).eqNullSafe(F.col(sid)), "inner").withColumn(uniforms, us).withColumn(count, one).filter(F.col(count) > 0)
+    same = F.col(source).eqNullSafe(F.col(sid))
+    if total["sources"] <= BROADCAST_SOURCES:
+        told = keyed.join(F.broadcast(rates.withColumn(cdf, made)), same)
+    elif total["sources"] <= BROADCAST_RATES:
+        told = keyed.join(F.broadcast(rates), same).withColumn(cdf, made)
+    else:
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        (own,) = fresh([*docs.columns, "copy", salt], "own_salt")
+        told = keyed.withColumn(own, F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int")).join(salted, same & (F.col(own) == F.col(salt))).withColumn(cdf, made)
+    counted = told.withColumn(uniforms, us).withColumn(count, one).filter(F.col(count) > 0)
     copies = counted.select(*docs.columns, row_key, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))).alias("copy"))
     (order,) = fresh(copies.columns, "order")
     dealt = copies.withColumn(order, F.xxhash64(F.lit(seed), F.col(row_key), F.col("copy"))).repartition(F.col(order))

@@ -250,9 +250,16 @@ def term_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def find_disclosures(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+def find_disclosures(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **how) -> DataFrame:
     """doc_id, text_hash, n_email ... n_phone, base (spans as kind:start:end) and terms (array of start, end, action) of every row."""
     found = written(find_entities(docs, key, text, window), "entities")
+    spans = marked(docs, key, text, flagged_terms(docs, found, text, **how)).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    joined = found.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    return joined.select("doc_id", "text_hash", *[f"n_{k}" for k in KINDS], "base", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,action:string>>")).alias("terms"))
+
+
+def flagged_terms(docs: DataFrame, found: DataFrame, text: str, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+    """term (its hash) and action of the terms that disclose too much; found: the written table of find_entities()."""
     once = found.filter(F.size("entities") > 0).dropDuplicates(["doc_id", "text_hash"])
     total = found.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(f"n_{k}") > 0, 1)).alias(k) for k in KINDS]).first()
     n = float(max(total["n"], 1))
@@ -268,9 +275,7 @@ def find_disclosures(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     enough = F.col("of_kind") | (pmi > F.log2(F.lit(n) / df_kind))
     action = F.when((content > 0) & (pmi >= remove * content), "remove").when((content > 0) & (pmi >= generalise * content) & enough, "generalise")
     strongest = scored.select("term", action.alias("action")).filter(F.col("action").isNotNull()).groupBy("term").agg(F.max("action").alias("action"))  # "remove" is the larger
-    spans = marked(docs, key, text, written(strongest, "flagged-terms")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    joined = found.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
-    return joined.select("doc_id", "text_hash", *[f"n_{k}" for k in KINDS], "base", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,action:string>>")).alias("terms"))
+    return written(strongest, "flagged-terms")
 
 
 def bitmap(flagged: DataFrame) -> np.ndarray:
@@ -339,12 +344,58 @@ def replaced(text: str, base: str, terms: list) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with their texts sanitised; texts with nothing to hide stay as they are, null stays null."""
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, **how) -> DataFrame:
+    """docs with their texts sanitised; texts with nothing to hide stay as they are, null stays null.
+
+    The texts are rewritten where they are read: the flagged terms are sent out, and no text is shuffled. Only with more than
+    FLAGGED_HELD flagged terms the places are joined to the texts that have some.
+    """
+    found = written(find_entities(docs, key, text, window), "entities")
+    flagged = flagged_terms(docs, found, text, **how)
+    if flagged.count() > FLAGGED_HELD:
+        return _sanitise_by_join(docs, key, text, found, flagged)
+    actions = flagged.toArrow()  # FLAGGED_HELD rows of a long and a word at most
+    order = np.argsort(actions.column("term").to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast((actions.column("term").to_numpy()[order], np.array(actions.column("action").to_pylist(), object)[order]))
+    at_text, columns = docs.columns.index(text), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, action = shared.value
+        for batch in batches:
+            out = []
+            for lo, hi, data, at in blocks(batch, text):
+                places: dict[int, list[tuple[int, int, str]]] = {}
+                if len(terms):
+                    w = words(data, at, WORD_CHARS)
+                    h = signed(w.hash)
+                    i = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+                    hits = np.flatnonzero(terms[i] == h)
+                    if len(hits):
+                        chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+                        row = np.searchsorted(w.row_start, hits, "right") - 1
+                        for x, r in zip(hits.tolist(), row.tolist(), strict=True):
+                            first = chars[at[r]]
+                            places.setdefault(r, []).append((int(chars[w.start[x]] - first), int(chars[w.end[x]] - first), action[i[x]]))
+                for r, t in enumerate(batch.column(at_text).slice(lo, hi - lo).to_pylist()):
+                    spans = base_spans(t) if t else []
+                    if not spans and r not in places:
+                        out.append(t)
+                        continue
+                    covered = Covered(spans)
+                    own = [{"start": a, "end": b, "action": x} for a, b, x in places.get(r, ()) if covered.free(a, b)]
+                    out.append(replaced(t, ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans), own))
+            yield pa.RecordBatch.from_arrays([pa.array(out, c.type) if i == at_text else c for i, c in enumerate(batch.columns)], columns)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _sanitise_by_join(docs: DataFrame, key: str, text: str, found: DataFrame, flagged: DataFrame) -> DataFrame:
+    spans = marked(docs, key, text, flagged)
+    places = found.select("doc_id", "text_hash", "base").join(spans.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    places = places.filter((F.col("base") != "") | F.col("terms").isNotNull()).dropDuplicates(["doc_id", "text_hash"])
+    places = places.select(F.col("doc_id").alias("__pii_id"), F.col("text_hash").alias("__pii_hash"), F.col("base").alias("__pii_base"), F.coalesce("terms", F.array().cast("array<struct<start:long,end:long,action:string>>")).alias("__pii_terms"))
     (row_hash,) = fresh(docs.columns, "row_hash")
-    found = find_disclosures(docs, key, text, **how).filter((F.col("base") != "") | (F.size("terms") > 0)).dropDuplicates(["doc_id", "text_hash"])
-    found = found.select(F.col("doc_id").alias("__pii_id"), F.col("text_hash").alias("__pii_hash"), F.col("base").alias("__pii_base"), F.col("terms").alias("__pii_terms"))
-    joined = docs.withColumn(row_hash, F.xxhash64(text)).join(found, F.col(key).eqNullSafe(F.col("__pii_id")) & (F.col(row_hash) == F.col("__pii_hash")), "left")
+    joined = docs.withColumn(row_hash, F.xxhash64(text)).join(places, F.col(key).eqNullSafe(F.col("__pii_id")) & (F.col(row_hash) == F.col("__pii_hash")), "left")
 
     @F.pandas_udf("string")
     def clean(t, base, terms):

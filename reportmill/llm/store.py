@@ -9,18 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one of our own where it is unset, as in tests."""
+    """This application's folder within the cluster's shared folder (spark.checkpoint.dir).
+
+    Where that is unset, a temporary one of our own if Spark runs in this machine alone, as in tests; else an error, as
+    executors would write to their own disks what the driver can't read.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='reportmill-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return f"{where.rstrip('/')}/reportmill-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written here. For the end of a job, when its results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: this cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)

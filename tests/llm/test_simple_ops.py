@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from reportmill.llm import token_counts, warc
+from reportmill.llm import mixing, token_counts, warc
 from reportmill.llm.mixing import mix_sources
 from reportmill.llm.store import new_path
 
@@ -96,6 +96,17 @@ def test_mixing_reaches_targets_and_large_means(spark):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_is_the_same_with_many_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "" if i % 50 == 1 else "x" * 100_000 if i == 7 else None if i == 8 else "t", f"s{i % 9}" if i % 3 else "hot" if i % 2 else None) for i in range(500)], DOCS).withColumn("salt", F.lit(1))
+    told = lambda: sorted((r.doc_id, r.copy, r.salt) for r in mix_sources(docs, size=1500).collect())
+    want = told()
+    assert len({i for i, _, _ in want}) > 300
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert told() == want
+    monkeypatch.setattr(mixing, "BROADCAST_RATES", 1)
+    assert told() == want
+
+
 def pages_frame(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
@@ -124,3 +135,46 @@ def test_missing_segments_show(spark):
         assert row.whole is (k == 2) and row.page_id == 1
     with pytest.raises(ValueError):
         warc.dechunked(b"3\r\nabcd\r\n0\r\n\r\n")
+
+
+def test_broken_archives_give_what_is_whole(spark, tmp_path):
+    digest = lambda p: hashlib.sha1(p).hexdigest()
+    one, two = (b"a" * 50, b"b" * 3000)
+    records = [*warc.records(1, "u", one, 50, digest(one), 1, None, None), *warc.records(2, "u", None, 50, digest(one), 2, 1, 1), *warc.records(3, "u", None, 50, digest(two), 3, 1, 1), *warc.records(4, "u", None, 50, digest(one), 4, 9, 99), *warc.records(5, "u", two, 3000, digest(two), 5, None, None)]
+    archive = "".join(r + warc.RECORD_END for r in records).encode()
+    whole = gzip.compress(archive)
+    cases = {"whole": whole, "cut": whole[:-30], "short": gzip.compress(archive[:-200]), "not": b"no gzip file", "framing": gzip.compress(archive.replace(b"32\r\n" + one, b"31\r\n" + one))}
+    got = {}
+    for name, content in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.gz").write_bytes(content)
+        got[name] = {(r.page_id, r.record_type): r for r in warc.read_archives(spark, str(tmp_path / name)).collect()}
+    rows = got["whole"]
+    assert sorted(p for p, _ in rows) == [1, 2, 3, 4, 5] and [rows[p, t].whole for p, t in ((1, "response"), (2, "revisit"), (5, "response"))] == [True] * 3
+    # A revisit is held against the record it refers to: another digest, or no such record, isn't whole.
+    assert rows[2, "revisit"].payload_digest == digest(one) and not rows[3, "revisit"].whole and not rows[4, "revisit"].whole and rows[4, "revisit"].payload_bytes is None
+    assert sorted(got["not"]) == [(None, "broken")] and not got["not"][None, "broken"].whole
+    for name in ("cut", "short"):
+        assert (None, "broken") in got[name] and (1, "response") in got[name] and (5, "response") not in got[name]
+    assert not got["framing"][1, "response"].whole and got["framing"][5, "response"].whole and not got["framing"][2, "revisit"].whole
+
+
+def test_shared_folder(spark):
+    from reportmill.llm import store
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Cluster)
+    assert store.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    df = store.written(spark.range(3).toDF("x"), "x")
+    assert df.count() == 3
+    store.clear(spark)
+    import os
+
+    assert not os.path.exists(store.shared_dir(spark).removeprefix("file://"))

@@ -110,6 +110,78 @@ def test_flagged_terms_are_marked_wherever_they_stand(spark, monkeypatch, held):
     assert len(clean) == len(texts) + 1 and not any("zanzibar" in (r.text or "").lower() or "Qétaro" in (r.text or "") for r in clean)
 
 
+def test_terms_as_by_hand(spark):
+    """Flagged terms from counts and mutual information written out."""
+    pick = random.Random(11)
+    pool = ["w" + str(i) for i in range(60)]
+    texts = []
+    for i in range(250):
+        t = [pick.choice(pool) for _ in range(pick.randint(0, 40))]
+        if i % 5 == 0:
+            who = pick.choice(["boss@corp.example.com", "aide@corp.example.com", f"u{i}@x.example.com", "10.1.2.3"])
+            near = {"boss@corp.example.com": "Zanzibar", "10.1.2.3": "Router"}.get(who, "mail") if pick.random() < 0.9 else "w1"
+            at = pick.randrange(len(t) + 1)
+            t[at:at] = [near, who, pick.choice(pool)]
+        texts.append(" ".join(t))
+    texts += ["Zanzibar w3", "x " * 60_000 + "Router 10.1.2.3"]
+    docs = frame(spark, texts)
+    term = lambda x: x.translate(str.maketrans(license_scan.UPPER, license_scan.LOWER))
+    n, df, of, co, contexts, kinds, co_kind, low_high = len(texts), {}, {}, {}, {}, {}, {}, {}
+    for t in texts:
+        for w in {term(m[0]) for m in pii._TERM.finditer(t)}:
+            df[w] = df.get(w, 0) + 1
+        spans = pii.base_spans(t)
+        values = [(k, t[a:b].lower()) for k, a, b in spans]
+        for v in set(values):
+            of[v] = of.get(v, 0) + 1
+        for k in {k for k, _ in values}:
+            kinds[k] = kinds.get(k, 0) + 1
+        pairs, by_kind = {}, {}
+        for j, places in pii.contexts(t, spans, pii.WINDOW):
+            around = [term(t[a:b]) for a, b in places]
+            for w in around:
+                pairs.setdefault((values[j], w), tuple(around))
+                by_kind.setdefault((values[j][0], w), set()).add(tuple(around))
+        for key, c in pairs.items():
+            co[key] = co.get(key, 0) + 1
+            contexts.setdefault(key, set()).add(c)
+        for key, c in by_kind.items():
+            co_kind[key] = co_kind.get(key, 0) + 1
+            low_high.setdefault(key, set()).update(c)
+    action = {}
+
+    def told(w, c, d, k, of_kind):
+        pmi, content = math.log2(c * n / (d * df[w])), math.log2(n / d)
+        got = "remove" if content > 0 and pmi >= pii.REMOVE * content else "generalise" if content > 0 and pmi >= pii.GENERALISE * content and (of_kind or pmi > math.log2(n / kinds[k])) else None
+        if got:
+            action[w] = max(action.get(w, ""), got)
+
+    for (v, w), c in co.items():
+        if c >= pii.SUPPORT and len(contexts[v, w]) >= 2:
+            told(w, c, of[v], v[0], False)
+    for (k, w), c in co_kind.items():
+        if c >= pii.SUPPORT and len(low_high[k, w]) >= 2:
+            told(w, c, kinds[k], k, True)
+    assert {"zanzibar", "router"} & set(action)
+    for r in pii.find_disclosures(docs).collect():
+        t = texts[r.doc_id]
+        covered = pii.Covered(pii.base_spans(t))
+        want = [(m.start(), m.end(), action[term(m[0])]) for m in pii._TERM.finditer(t) if term(m[0]) in action and covered.free(*m.span())]
+        assert [(x.start, x.end, x.action) for x in r.terms] == want
+
+
+def test_sanitising_in_place_and_by_join_are_the_same(spark, monkeypatch):
+    pick = random.Random(8)
+    noise = lambda n: " ".join("w" + str(pick.randint(0, 300)) for _ in range(n))
+    texts = [f"{noise(9)} Zanzibar, é boss@corp.example.com {noise(9)} +1 212 555 7713" for _ in range(9)] + [noise(60) for _ in range(200)] + [None, "", "Zanzibar 10.0.0.1"]
+    docs = frame(spark, [*texts, texts[0]], [*range(len(texts)), 0])
+    plain = sorted(((r.doc_id, r.text or "") for r in pii.sanitise(docs).collect()))
+    assert "[EMAIL]" in plain[0][1] and "[PHONE]" in plain[0][1] and "Zanzibar" not in plain[0][1]
+    monkeypatch.setattr(pii, "FLAGGED_HELD", 0)
+    assert sorted((r.doc_id, r.text or "") for r in pii.sanitise(docs).collect()) == plain
+    assert pii.sanitise(docs.limit(0)).count() == 0 and {r.doc_id for r in pii.sanitise(docs).collect() if r.text is None} == {209}
+
+
 # ---- Licences. ----
 
 
@@ -289,7 +361,8 @@ def test_retrieval_finds_every_item_above_the_threshold(spark):
         words = (d or "").split()
         windows = [" ".join(words[i : i + 2 * index.stride]) for i in range(0, max(1, len(words)), index.stride)]
         data = (d or "").encode()
-        found = {(w, i) for _, i, w, *_ in index.hits(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 0.3, 0.0, 0.0)}
+        w = decontaminate.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), decontaminate.WORD_CHARS)
+        found = {(win, i) for _, i, win, *_ in index.hits(w, 0.3, 0.0, 0.0)}
         want = {(n * index.stride, i) for n, row in enumerate(bm25_by_hand(windows, kept)) for i, s in enumerate(row) if s >= 0.3 + 1e-6}
         assert want <= found
 
@@ -307,4 +380,40 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.find_contamination(rows, table.limit(0)).count() == 0 and decontaminate.find_contamination(rows.limit(0), table).count() == 0
     assert decontaminate.drop_contaminated(rows, table.limit(0)).count() == len(docs)
     monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 10)
+    monkeypatch.setattr(decontaminate, "HELD_SHARDS", 3)
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(rows, table).collect()} == hits
+    assert {r.doc_id for r in decontaminate.drop_contaminated(rows, table).collect()} == left
+
+
+def test_decontamination_output_as_by_hand(spark):
+    """Best passage, score and both overlaps of every hit, from words and BM25 written out."""
+    items, docs = contaminated(3)
+    docs.append("pad " * 100_000 + items[5])
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    kept = [(i, x) for i, x in enumerate(items) if x]
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    stride = max(16, max(len(words(x)) for _, x in kept))
+    shingles = lambda w, k: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}
+    want = {}
+    for d, doc in enumerate(docs):
+        w = words(doc or "")
+        windows = [w[a : a + 2 * stride] for a in range(0, max(1, len(w)), stride)]
+        if d == len(docs) - 1:
+            windows = [x if set(x) != {"pad"} else [] for x in windows]
+        for n, scores in enumerate(bm25_by_hand([" ".join(x) for x in windows], [x for _, x in kept])):
+            for (i, item), score in zip(kept, scores):
+                if score < decontaminate.THRESHOLD - 1e-9:
+                    continue
+                q, a = (words(x) for x in decontaminate.split_item(item.lower()))
+                if not q or not a:
+                    q = a = words(item)
+                k = min(3, len(q))
+                own = shingles(windows[n], k)
+                qs = shingles(q, k)
+                over = (len(qs & own) / len(qs), len(set(a) & set(windows[n])) / len(set(a)))
+                if over[0] >= decontaminate.QUESTION and over[1] >= decontaminate.ANSWER:
+                    want[d, i] = max(want.get((d, i), (0, 0)), (round(min(score, 1.0), 9), -n * stride, *(round(x, 9) for x in over)))
+    got = {(r.doc_id, r.item_id): (round(r.score, 9), -r.first_word, round(r.question_overlap, 9), round(r.answer_overlap, 9)) for r in decontaminate.find_contamination(frame(spark, docs), table).collect()}
+    assert set(got) == set(want) and (len(docs) - 1, 5) in got
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-7), k
