@@ -102,7 +102,7 @@ def pool_tokens(vectors: DataFrame, by: list[str], vec: str = "vec") -> DataFram
 def fit_logistic(rows: DataFrame, targets: int, c_grid: tuple[float, ...], most: int = 200, tolerance: float = 1e-5) -> np.ndarray:
     """Weights [target, C, dimension + 1] of balanced L2 logistic regressions, all fitted at once.
 
-    rows: vec (doubles) and hot, the numbers of the targets that are positive for the row. Every pass over the rows gives
+    rows, which are kept (cached or written): vec (doubles) and hot, the numbers of the targets that are positive for the row. Every pass over the rows gives
     loss and gradient of all regressions at their trial points; L-BFGS with halved steps goes on for each by itself. A target
     without both kinds of rows keeps weights of 0, and so probabilities of one half.
     """
@@ -209,8 +209,9 @@ def shuffled_null(features: DataFrame, classes: list, shuffles: int, c: float =
     drawn = matched_calls(numbered.withColumn("score", u).select("target", uid, "score"), wanted, ["target"], uid)
     real = plain.select(uid, F.coalesce(*[F.when(F.col("class") == v, F.lit(i * (shuffles + 1))) for i, v in enumerate(classes)]).alias("target"))
     hot = real.unionByName(drawn.select(uid, "target")).groupBy(uid).agg(F.sort_array(F.collect_list("target")).alias("hot"))  # at most a number for each class and shuffle
-    fitted = rows.filter(F.col(split) == "train").join(hot, uid, "left").select("vec", F.coalesce("hot", F.array().cast("array<int>")).alias("hot"))
+    fitted = rows.filter(F.col(split) == "train").join(hot, uid, "left").select("vec", F.coalesce("hot", F.array().cast("array<int>")).alias("hot")).persist()
     weights = fit_logistic(fitted, len(classes) * (shuffles + 1), (c,))
+    fitted.unpersist()
     told = _probabilities(rows.filter(F.col(split) == "test"), weights, [uid, label])
     own = F.element_at(F.array(*[F.lit(v) for v in classes]), F.floor(F.col("target") / (shuffles + 1)).cast("int") + 1)
     got = auroc(told.withColumn("y", F.when(F.col(label) == own, 1).otherwise(0)).withColumnRenamed("p", "score"), ["target"]).collect()  # a row for each class and shuffle
