@@ -77,6 +77,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import prove
+
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    now = {"text": F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    proof = F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256")
+    return prove(table(spark, sf_dir, "documents"), now).select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    rows = decode(ids, path, keep=("doc_id", "ids"))
+    return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -129,6 +149,52 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM g
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT DISTINCT doc_id, list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda ch: list_transform(range(8), lambda j: (CAST(ascii(ch) AS BIGINT) >> CAST(j AS INTEGER)) & 1)))) AS b FROM documents WHERE doc_id IS NOT NULL
+), crcs AS (
+  SELECT doc_id, xor(list_reduce(b, lambda c, x: CASE WHEN (xor(c, x) & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS crc FROM bits
+), told AS (
+  SELECT d.doc_id, d.source, d.lang, d.n_chars, d.text, CASE WHEN crc % 2 = 0 THEN replace(d.text, chr(10), '') ELSE d.text END AS now FROM documents d LEFT JOIN crcs USING (doc_id)
+), front AS (
+  SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS start FROM told
+), leaves AS (
+  SELECT doc_id, source, sha256(start || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(start || coalesce(strlen(now) || ':' || now, '-')) AS held FROM front
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves
+), nodes(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 3
+), ends AS (
+  SELECT tree, level AS height, h AS subroot FROM nodes WHERE n = 1
+), tops(level, pos, h, n) AS (
+  SELECT 0, tree, subroot, count(*) OVER () FROM ends
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, pos // 3
+), steps AS (
+  SELECT p.tree, p.pos, n.level, string_agg(n.h, '' ORDER BY n.pos) FILTER (WHERE n.pos < p.pos // CAST(pow(3, n.level) AS BIGINT)) AS l,
+    string_agg(n.h, '' ORDER BY n.pos) FILTER (WHERE n.pos > p.pos // CAST(pow(3, n.level) AS BIGINT)) AS r
+  FROM placed p JOIN nodes n ON n.tree = p.tree AND n.n > 1 AND n.pos // 3 = p.pos // CAST(pow(3, n.level + 1) AS BIGINT) GROUP BY ALL
+  UNION ALL
+  SELECT p.tree, p.pos, e.height + t.level, string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos < p.tree // CAST(pow(3, t.level) AS BIGINT)),
+    string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos > p.tree // CAST(pow(3, t.level) AS BIGINT))
+  FROM placed p JOIN ends e USING (tree) JOIN tops t ON t.n > 1 AND t.pos // 3 = p.tree // CAST(pow(3, t.level + 1) AS BIGINT) GROUP BY ALL
+), proofs AS (
+  SELECT tree, pos, sha256(string_agg(coalesce(l, '') || coalesce(r, ''), '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY tree, pos
+), folds(tree, pos, level, h) AS (
+  SELECT tree, pos, 0, held FROM placed
+  UNION ALL
+  SELECT f.tree, f.pos, f.level + 1, sha256(coalesce(s.l, '') || f.h || coalesce(s.r, '')) FROM folds f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.level = f.level
+), folded AS (
+  SELECT tree, pos, arg_max(h, level) AS folded_root FROM folds GROUP BY tree, pos
+)
+SELECT p.doc_id, p.leaf, e.subroot, t.h AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = t.h AS verified
+FROM placed p JOIN ends e USING (tree) JOIN folded f ON f.tree = p.tree AND f.pos = p.pos LEFT JOIN proofs q ON q.tree = p.tree AND q.pos = p.pos CROSS JOIN (SELECT h FROM tops WHERE n = 1) t
+"""
+
 QUERIES = {
     "op1_disclosure": op1_disclosure,
     "op2_ngram_join": op2_ngram_join,
@@ -140,6 +206,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
-ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_warc": OP9_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_warc": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
