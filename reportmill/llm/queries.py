@@ -97,6 +97,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -195,6 +201,40 @@ SELECT p.doc_id, p.leaf, e.subroot, t.h AS root, coalesce(q.proof_sha256, sha256
 FROM placed p JOIN ends e USING (tree) JOIN folded f ON f.tree = p.tree AND f.pos = p.pos LEFT JOIN proofs q ON q.tree = p.tree AND q.pos = p.pos CROSS JOIN (SELECT h FROM tops WHERE n = 1) t
 """
 
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces
+), places AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, count(*) AS n FROM places WHERE size = 1 GROUP BY lang
+), cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first_part, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS rest
+  FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE k < size
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score, c.k
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first_part JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT lang, unnest(list_transform(range(1, size - n + 2), lambda i: array_to_string(string_split(phrase, ' ')[i : i + n - 1], ' '))) AS phrase, f
+  FROM f, (SELECT unnest([2, 3]) AS n) WHERE n < size
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM inner_phrases GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN longer USING (lang, phrase) WHERE longer.f IS NULL OR 100 * longer.f < 80 * s.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_disclosure": op1_disclosure,
     "op2_ngram_join": op2_ngram_join,
@@ -208,6 +248,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_warc": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLE_SQL = {"op2_ngram_join": OP2_SQL, "op5_mix_sources": OP5_SQL, "op9_warc": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_collocations": OP13_SQL}
