@@ -32,7 +32,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .token_counts import LONG_TEXT, PATTERN
 
 #: So many pieces, of so many characters at most, and so many pairs of tokens are remembered by a worker; then it starts anew.
-REMEMBERED, LONG_PIECE, PAIRS = 400_000, 64, 2_000_000
+REMEMBERED, LONG_PIECE, PAIRS = 250_000, 64, 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
