@@ -6,7 +6,7 @@ refer to it. A block longer than `segment` bytes is cut into a first record and
 first one's identifier, their number, and at last the total length. Spark's text writer writes the archives: a record's
 end, two line ends, is the writer's line separator.
 
-Reading: archives are read once, as whole files of bounded size, and cut into records by their Content-Length. Records that
+Reading: archives are read once, as whole files, whose size is bounded by the number of records and the size of a segment, and cut into records by their Content-Length. Records that
 are not segmented are decoded where they are read. Segments, and only those, are grouped by the origin's identifier by a
 shuffle, ordered by segment number, joined, held against the total length, and then the chunked framing is decoded. Revisits
 take length and digest from the response that they refer to, and are whole if that one is and has the digest they state.
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from .skew import join_hot
 from .store import new_path, written
 
-#: A block beyond so many bytes is cut into segments.
-SEGMENT_BYTES = 32 << 10
+#: A block beyond so many bytes is cut into segments: less than most pages have.
+SEGMENT_BYTES = 2 << 10
 #: Bytes of payload in an HTTP chunk.
 CHUNK_BYTES = 8 << 10
-#: Records in an archive file at most.
-FILE_RECORDS = 4_000
+#: Records in an archive file at most: of a segment and its head each, so some 40 MB.
+FILE_RECORDS = 16_000
 #: Up to so many groups of equal payloads are broadcast (some 100 bytes each); beyond, they are joined by shuffle.
 BROADCAST_GROUPS = 50_000
 
