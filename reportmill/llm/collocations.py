@@ -41,13 +41,13 @@ PIECE_ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 NO_LANG = "und"
 SCALE = 2_000_000
 #: Phrase places that a hash partition is to have, and bytes of text to a phrase place at least: their number is set from the texts' bytes.
-PARTITION_MASS, PLACE_BYTES = 4_000_000, 1.2
+PARTITION_MASS, PLACE_BYTES = 2_000_000, 1.2
 #: Phrase places that a task gathers before it hands on what they add up to.
-GATHERED = 4_000_000
+GATHERED = 2_000_000
 #: Entries of summaries that are merged at once at least.
-MERGED = 500_000
-#: Bits of the bitmap at most (64 MB), and bits to a possible survivor.
-BITMAP_BITS, BITS_EACH = 29, 16
+MERGED = 250_000
+#: Bits of the bitmap at most (32 MB), and bits to a possible survivor.
+BITMAP_BITS, BITS_EACH = 28, 8
 #: Tasks that a language's best phrases are looked for in.
 SALTS = 32
 
@@ -161,6 +161,7 @@ def _summaries(bits: int, longest: int):
                 if n >= GATHERED:
                     yield hand_on(gathered)
                     gathered, n = [], 0
+                    pa.default_memory_pool().release_unused()
         if n:
             yield hand_on(gathered)
 
@@ -212,9 +213,10 @@ def _counts(told, mark_bits: int, longest: int):
                     n += len(one)
                 all_words = np.bincount(block.lang, minlength=len(names))
                 gathered.append(pa.table([pa.array(names), pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(all_words, pa.int64())], ["lang", "size", "phrase", "f"]))
-            if n >= GATHERED // 8:
+            if n >= GATHERED // 4:
                 yield from hand_on(gathered)
                 gathered, n = [], 0
+                pa.default_memory_pool().release_unused()
         if gathered:
             yield from hand_on(gathered)
 
