@@ -35,12 +35,13 @@ from .skew import join_hot
 from .store import written
 
 TREES = 4
-#: Vectors of the sample that the trees are fitted on, and members that a leaf is to have. A leaf is ranked by one matrix
-#: product; a query moves a row for each leaf that it opens, so large leaves move fewer rows for the same members.
+#: Vectors of the sample that the trees are fitted on: the usual number, and four for each leaf in large tables.
 SAMPLE = 16_384
+#: Members that a leaf is to have: four times the square root of the table's vectors, LEAF at most. A leaf is ranked by one
+#: matrix product; a query moves a row for each leaf that it opens, so large leaves move fewer rows for the same members.
 LEAF = 1_024
-#: Levels of a tree at most, so that its leaves rest on at least four vectors of the sample.
-DEEPEST = 12
+#: Levels of a tree at most: beyond LEAF << DEEPEST vectors (16 million) leaves grow with the table.
+DEEPEST = 14
 HELD_BYTES = 64 << 20
 TUNED = 64
 TARGET = 0.95
@@ -187,9 +188,11 @@ def nearest(vectors: DataFrame, k: int = 20, queries=None, key: str = "vec_id",
     named = written(rows.select("id", "name").distinct(), "names")
     of_class = written(join_hot(named, classes.select("name", "c"), "name").select("id", "c"), "members")
     total = classes.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("norm")).first()
-    sample = classes.orderBy(F.xxhash64("c"), "c").limit(max(4, min(SAMPLE, HELD_BYTES // (8 * dim)))).select("v").collect()
+    leaf = min(LEAF, 4 * float(np.sqrt(total["n"])))
     deepest = int(np.log2(max(1, HELD_BYTES // (8 * (dim + 1) * trees)) + 1))
-    depth = int(min(DEEPEST, deepest, int(np.log2(max(4, len(sample)) / 4)), max(0, np.ceil(np.log2(max(1, total["n"] / LEAF))))))
+    depth = int(min(DEEPEST, deepest, max(0, np.ceil(np.log2(max(1, total["n"] / leaf))))))
+    sample = classes.orderBy(F.xxhash64("c"), "c").limit(max(4, min(max(SAMPLE, 4 << depth), HELD_BYTES // (8 * dim)))).select("v").collect()
+    depth = min(depth, int(np.log2(max(4, len(sample)) / 4)))
     forest = grow(_matrix([r["v"] for r in sample], dim), total["norm"], depth, trees, seed)
     asked = of_class.filter(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "c")
     asked_classes = classes.join(asked.select("c").distinct(), "c", "left_semi")
@@ -242,7 +245,7 @@ def nearest(vectors: DataFrame, k: int = 20, queries=None, key: str = "vec_id",
 
     members = classes.select("c", "v").mapInArrow(route, "c long, v binary, leaf long")
     probed = asked_classes.select("c", "v").mapInArrow(ask, "q long, v binary, leaf long, least double")
-    # At most trees << DEEPEST rows: chunks of members and of queries of each leaf.
+    # At most trees << DEEPEST rows (65,536): chunks of members and of queries of each leaf.
     sizes = members.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("ms")).join(probed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("qs")), "leaf")
     sizes = F.broadcast(written(sizes, "leaves"))
     dealt = lambda df, mine, all_of, name: df.join(sizes, "leaf").withColumn(name[0], F.pmod(F.xxhash64(mine), F.col(all_of[0])).cast("int")).withColumn(name[1], F.explode(F.sequence(F.lit(0), F.col(all_of[1]) - 1)))
