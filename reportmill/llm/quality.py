@@ -5,8 +5,8 @@ Two views of a document: its text (shapes of characters, words and lines of the
 folds; then, for some rounds, each view labels those unlabelled documents of the learning folds that it is surest of, in the
 labelled rows' proportion of classes and by a likelihood ratio of 19 at least, and hands them to the other view, which is
 fitted again with them. At last both views'
-log-odds are calibrated together on labelled rows that neither view was fitted on, and every document gets the combined
-probability of being good.
+log-odds are calibrated together on labelled rows that neither view was fitted on, with weights that aren't negative (a view that
+would count against itself has none), and every document gets the combined probability of being good.
 
 All rows take part, in proportion to the input: both views' features are written once; each step of a fit is a sum over
 them, and the surest rows are those beyond thresholds from histograms of the log-odds of all rows not yet handed over. Which
@@ -130,6 +130,8 @@ class Model:
     text: View | None
     meta: View | None
     mix: np.ndarray
+    #: Rows that the text view and the metadata view handed over in each round.
+    handed: tuple[tuple[int, int], ...] = ()
 
 
 #: A round: both views, and of each the log-odds up to which and from which it handed rows to the other.
@@ -210,6 +212,7 @@ def co_train(passes: Passes, context, width: tuple[int, int], rounds: int = ROUN
         at += 2 * d
         views.append(View(mean, np.maximum(np.sqrt(np.maximum(0, square - mean**2)), 1e-3), np.zeros((2 - i) * d + 1), i == 0))
     done: list[Round] = []
+    handed: list[tuple[int, int]] = []
 
     def slopes(y, fold, x, views, done) -> np.ndarray:
         told, _ = targets(y, fold, x, done)
@@ -227,17 +230,27 @@ def co_train(passes: Passes, context, width: tuple[int, int], rounds: int = ROUN
             break
         found = over(free_odds, (tuple(views), done), 2 * BINS)
         many = share * pool
-        done.append((tuple(views), tuple(cuts_of(found[i * BINS : (i + 1) * BINS], many * (1 - good / n), many * good / n, prior, EVIDENCE) for i in (0, 1))))
+        each = [found[i * BINS : (i + 1) * BINS] for i in (0, 1)]
+        cuts = tuple(cuts_of(x, many * (1 - good / n), many * good / n, prior, EVIDENCE) for x in each)
+        edges = np.linspace(-LIMIT, LIMIT, BINS + 1)
+        handed.append(tuple(int(x[edges[1:] <= lo + 1e-9].sum() + x[edges[:-1] >= hi - 1e-9].sum()) for x, (lo, hi) in zip(each, cuts, strict=True)))
+        done.append((tuple(views), cuts))
 
-    def calibrating(y, fold, x, views, w) -> np.ndarray:
+    def calibrating(y, fold, x, views, w, used) -> np.ndarray:
         own = (y >= 0) & (fold == 3)
-        z = np.c_[views[0].odds(x[0][own]), views[1].odds(x[1][own]), np.ones(own.sum())]
+        z = np.c_[views[0].odds(x[0][own]), views[1].odds(x[1][own]), np.ones(own.sum())] * used
         return np.r_[own.sum(), y[own].sum(), _slopes(z, y[own], w)]
 
-    calibrated = lambda w: over(calibrating, (tuple(views), w), 14)
-    many, positive = calibrated(np.zeros(3))[:2]
-    mix = newton(lambda w: calibrated(w[0])[2:], [np.zeros(3)], 0.5)[0] if 0 < positive < many else np.array([0.7, 0.3, 0.0])
-    return Model(views[0], views[1], mix)
+    calibrated = lambda w, used: over(calibrating, (tuple(views), w, used), 14)
+    used = np.ones(3)
+    many, positive = calibrated(np.zeros(3), used)[:2]
+    if not 0 < positive < many:
+        return Model(views[0], views[1], np.array([0.7, 0.3, 0.0]), tuple(handed))
+    while True:
+        mix = newton(lambda w: calibrated(w[0], used)[2:], [np.zeros(3)], 0.5)[0]
+        if mix[:2].min() >= 0:
+            return Model(views[0], views[1], mix, tuple(handed))
+        used[int(np.argmin(mix[:2]))] = 0.0
 
 
 def _both(keep: int):
