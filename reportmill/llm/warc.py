@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     """Archives of all pages, as gzip files below path."""
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     # Written once, so that a record keeps its number whatever is computed again.
-    base = written(base.withColumn("record", F.monotonically_increasing_id()).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long")), "numbered-pages")
+    base = written(base.withColumn("record", F.monotonically_increasing_id()).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long")), "numbered-pages", "zstd")
     largest = base.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))), "page_id", "record")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     largest = written(largest.select(F.col("digest").alias("same"), F.col("size").alias("same_size"), F.col("m.page_id").alias("refers_to"), F.col("m.record").alias("refers_record")), "equal-payloads")
     small = F.broadcast(largest) if largest.count() <= BROADCAST_GROUPS else largest
@@ -141,6 +141,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 
 _ROW = "page_id long, record_type string, stated_digest string, refers_to long, payload_bytes long, payload_digest string, whole boolean, record string, refers_record string"
 _NUMBERS = ("page_id", "refers_to", "payload_bytes")
+_SEGMENT = ["origin", "number", "total", "fields", "block"]
 
 
 def unpacked(content: bytes) -> tuple[bytes, bool]:
@@ -175,42 +176,50 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     names = [x.split(" ")[0] for x in _ROW.split(", ")]
     segments = "origin string, number int, total long, fields string, block binary"
 
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        columns = [*names, "origin", "number", "total", "fields", "block"]
-        empty = [None] * len(names)
-
-        def rows(content: bytes) -> Iterator[tuple]:
-            data, ended = unpacked(content)
-            try:
-                for fields, block in parsed(data):
-                    if len(block) < int(fields["content-length"]):
-                        ended = False
-                    elif "warc-segment-number" in fields:
-                        total = fields.get("warc-segment-total-length")
-                        yield (*empty, fields.get("warc-segment-origin-id", fields["warc-record-id"]), int(fields["warc-segment-number"]), None if total is None else int(total), json.dumps(fields) if fields["warc-segment-number"] == "1" else None, block)
-                    else:
+    def found(content: bytes) -> Iterator[tuple[dict[str, str], bytes] | None]:
+        """Records of an archive, and None for what can't be read of it."""
+        data, ended = unpacked(content)
+        try:
+            for fields, block in parsed(data):
+                if len(block) < int(fields["content-length"]):
+                    ended = False
+                else:
+                    yield fields, block
+        except (ValueError, KeyError):
+            ended = False
+        if not ended:
+            yield None
+
+    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                out = []
+                for record in found(content):
+                    if record is None:
+                        out.append((None, "broken", None, None, None, None, False, None, None))
+                    elif "warc-segment-number" not in record[0]:
+                        fields = record[0]
                         try:
-                            row = _decoded(fields, block)
+                            out.append(_decoded(*record))
                         except ValueError:  # broken chunked framing: the record is told, but not whole
-                            row = (int(fields["page-id"]) if "page-id" in fields else None, fields.get("warc-type"), None, None, None, None, False, fields.get("warc-record-id"), None)
-                        yield (*row, None, None, None, None, None)
-            except (ValueError, KeyError):
-                ended = False
-            if not ended:
-                yield (None, "broken", None, None, None, None, False, None, None, None, None, None, None, None)
+                            out.append((int(fields["page-id"]) if "page-id" in fields else None, fields.get("warc-type"), None, None, None, None, False, fields.get("warc-record-id"), None))
+                yield pd.DataFrame(out, columns=names).astype({k: "Int64" for k in _NUMBERS})
+
+    def segment(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
 
         for frame in frames:
             for content in frame["content"]:
                 out = []
-                for row in rows(content):
-                    out.append(row)
+                for fields, block in filter(None, found(content)):
+                    if "warc-segment-number" in fields:
+                        total, number = fields.get("warc-segment-total-length"), int(fields["warc-segment-number"])
+                        out.append((fields.get("warc-segment-origin-id", fields["warc-record-id"]), number, None if total is None else int(total), json.dumps(fields) if number == 1 else None, block))
                     if len(out) == 1000:
-                        yield pd.DataFrame(out, columns=columns).astype({k: "Int64" for k in (*_NUMBERS, "number", "total")})
+                        yield pd.DataFrame(out, columns=_SEGMENT).astype({"number": "Int64", "total": "Int64"})
                         out = []
                 if out:
-                    yield pd.DataFrame(out, columns=columns).astype({k: "Int64" for k in (*_NUMBERS, "number", "total")})
+                    yield pd.DataFrame(out, columns=_SEGMENT).astype({"number": "Int64", "total": "Int64"})
 
     def second(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -229,11 +238,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 out.append((*row[:6], bool(row[6] and complete), *row[7:]))
             yield pd.DataFrame(out, columns=names).astype({k: "Int64" for k in _NUMBERS})
 
-    read = written(spark.read.format("binaryFile").load(path).select("content").mapInPandas(first, f"{_ROW}, {segments}"), "records")
+    archives = spark.read.format("binaryFile").load(path).select("content")
     each = F.sort_array(F.collect_list(F.struct("number", "block")))  # a record's own segments only
-    grouped = read.filter(F.col("origin").isNotNull()).groupBy("origin").agg(each.alias("s"), F.max("total").alias("total"), F.max("fields").alias("fields"))
+    grouped = archives.mapInPandas(segment, segments).groupBy("origin").agg(each.alias("s"), F.max("total").alias("total"), F.max("fields").alias("fields"))
     joined = written(grouped.select(F.col("s.number").alias("numbers"), F.col("s.block").alias("blocks"), "total", "fields").mapInPandas(second, _ROW), "joined-records")
-    rows = read.filter(F.col("origin").isNull()).select(*names).unionByName(joined)
+    rows = written(archives.mapInPandas(alone, _ROW), "records").unionByName(joined)
     # Only records that are referred to are looked up; one may be referred to by very many.
     again = rows.filter("record_type = 'revisit'")
     of = rows.filter("record_type = 'response'").select(F.col("record").alias("refers_record"), F.col("payload_bytes").alias("__bytes"), F.col("payload_digest").alias("__digest"), F.col("whole").alias("__whole"))
