@@ -11,7 +11,8 @@
    the learning fold, labelled and unlabelled alike, and scores every whole text. Their features are written once; each step
    of the fit is a sum over them. Labels reach it through the label model and the choice of features only.
 
-Rows whose crc32(id as text) mod 4 is 2 are held out: nothing is learnt from them. Labels, language, source and id are no
+Rows whose crc32(id as text) mod 4 is 2 are held out: neither their labels nor their words are learnt from; only how often
+their voters vote alike is counted with all rows' in the label model. Labels, language, source and id are no
 inputs of a score. Null text is scored as empty, null id isn't held out. Labels are joined by id; of several labels of an
 id the largest counts. Repeated rows get equal scores. Without labels the lexicons and patterns alone make the label model,
 whose posteriors are learnt all the same. An empty table gives an empty result. Only the named columns are read.
