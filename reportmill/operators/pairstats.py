@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import running
+from .ranks import quantiles, running, small
 
 
 def paired(df: DataFrame, conditions: list[str], value: str, uid: str = "uid", condition: str = "prompt_condition") -> DataFrame:
@@ -25,12 +25,6 @@ def mcnemar_counts(df: DataFrame, conditions: list[str], value: str = "correct",
     return wide.agg(*[e.alias(f"p{k}") for k, e in enumerate(each)]).select(F.explode(F.array(*[F.col(f"p{k}") for k in range(len(each))])).alias("p")).select("p.*")
 
 
-def mcnemar_statistic(n01: Column, n10: Column) -> Column:
-    """Smaller count where the exact test is used (fewer than 25 discordant pairs), else chi-square with continuity correction."""
-    n = n01 + n10
-    return F.when(n < 25, F.least(n01, n10).cast("double")).otherwise((F.abs(n01 - n10) - 1) ** 2 / n)
-
-
 def chi_square_p(x: float) -> float:
     """Upper tail with one degree of freedom."""
     return math.erfc(math.sqrt(max(0.0, x) / 2))
@@ -71,12 +65,18 @@ def mcnemar_best(df: DataFrame, conditions: list[str], best: str, value: str = "
 
 
 def fdr(df: DataFrame, by: list[str], p: str, name: str = "p_fdr") -> DataFrame:
-    """Benjamini-Hochberg values within each group."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ranked = df.withColumn("__r", F.rank().over(w.orderBy(p)) + F.count(F.lit(1)).over(w.partitionBy(*by, p) if by else Window.partitionBy(p)) - 1)
-    scaled = ranked.withColumn("__s", F.col(p) * F.count(F.lit(1)).over(w) / F.col("__r"))
-    least = F.min("__s").over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
-    return scaled.withColumn(name, F.least(F.lit(1.0), least)).drop("__r", "__s")
+    """Benjamini-Hochberg values within each group; null for a null p, which counts for nothing.
+
+    Equal p-values are counted first; ranks and the least of all scaled values from a p on upwards run over ranges of p, so a
+    family of any size lies in many tasks.
+    """
+    bins = df.filter(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("s")).agg(F.count(F.lit(1)).alias("t"))
+    ranked = running(bins, by, ["t"]).withColumn("x", F.col("s") * F.col("all_t") / (F.col("all_t") - F.col("upto_t") + F.col("t")))
+    told = running(ranked.select(*by, "s", "x"), by, [], least=("x",)).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("s").alias("__s"), F.least(F.lit(1.0), "lowest_x").alias(name))
+    on = F.col(p) == F.col("__s")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return df.join(small(told), on, "left").drop("__s", *[f"__{c}" for c in by])
 
 
 def _pairs(df: DataFrame, conditions: list[str], value: str, **how) -> DataFrame:
@@ -89,15 +89,18 @@ def _pairs(df: DataFrame, conditions: list[str], value: str, **how) -> DataFrame
 def signed_ranks(df: DataFrame, conditions: list[str], value: str, **how) -> DataFrame:
     """Of each pair of conditions that some uid has both of: a, b, pairs, n (pairs with a difference), medians, w_plus, w_minus and ties (sum of t^3 - t) of the signed-rank test.
 
-    Equal differences are counted first; ranks come from running counts.
+    Equal differences and equal values are counted first; ranks and medians come from running counts.
     """
     rows = _pairs(df, conditions, value, **how)
     d = F.col("x") - F.col("y")
     bins = rows.groupBy("a", "b", F.abs(d).alias("s")).agg(F.sum(F.when(d > 0, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("t")).filter("s > 0")
     ranked = running(bins, ["a", "b"], ["t"]).withColumn("rank", F.col("all_t") - F.col("upto_t") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy("a", "b").agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("pos"))).alias("w_minus"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
-    middle = lambda c: F.percentile(c, F.lit(0.5))
-    whole = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"), middle("x").alias("median_a"), middle("y").alias("median_b"))
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("s")) for k, c in (("a", "x"), ("b", "y"))])
+    values = rows.select("a", "b", F.explode(sides).alias("v")).groupBy("a", "b", "v.side", "v.s").agg(F.count(F.lit(1)).alias("n"))
+    middle = quantiles(values, ["a", "b", "side"], 2).filter("i = 1")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("t")))
+    whole = middle.groupBy("a", "b").agg(F.max("all_n").alias("pairs"), of("a").alias("median_a"), of("b").alias("median_b"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return whole.join(sums, ["a", "b"], "left").select("a", "b", "pairs", F.coalesce("n", F.lit(0)).alias("n"), "median_a", "median_b", zero("w_plus"), zero("w_minus"), zero("ties"))
 

@@ -10,12 +10,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights that are held at once.
 HELD = 2_000_000
+#: Tasks to a core that the sums of replicates are made in at most.
+TASKS = 4
 _CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 
 
@@ -33,7 +36,9 @@ def poisson_weights(keys: np.ndarray, replicates: int, seed: int) -> np.ndarray:
 
 def replicate_sums(rows: DataFrame, key: str, columns: list[str], replicates: int, seed: int = 0) -> DataFrame:
     """replicate and the weighted sum of each column; null counts as 0, and n is the sum of weights."""
-    kept = rows.select(F.xxhash64(key).alias("k"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(columns)])
+    # Partitions share tasks, each with one sum for all of its partitions: what is shuffled grows with the cluster, not with the rows.
+    slots = rows.sparkSession.sparkContext.defaultParallelism * TASKS
+    kept = rows.select(F.xxhash64(key).alias("k"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(columns)]).coalesce(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(columns) + 1, replicates))
@@ -50,57 +55,111 @@ def replicate_sums(rows: DataFrame, key: str, columns: list[str], replicates: in
     return sums.groupBy("replicate").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def auroc_replicates(cells: DataFrame, key: str, scores: list[str], replicates: int, least: int = 5, bins: int = 64, seed: int = 0) -> DataFrame:
+class _Area:
+    """Sums of one class's cells in ascending order of their scores, for all replicates: of positives, of negatives, and of wins (positives over negatives below, ties half)."""
+
+    def __init__(self, replicates: int):
+        self.pos, self.neg, self.net = (np.zeros(replicates) for _ in range(3))
+        self.value, self.tied = None, np.zeros((2, replicates))
+
+    def _settle(self) -> None:
+        self.net += self.tied[0] * (self.neg + self.tied[1] / 2)
+        self.pos += self.tied[0]
+        self.neg += self.tied[1]
+
+    def add(self, scores: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        """Further cells, not below those before."""
+        begins = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
+        pos, neg = np.add.reduceat(w * (y == 1)[:, None], begins), np.add.reduceat(w * (y != 1)[:, None], begins)
+        if self.value == scores[0]:
+            pos[0] += self.tied[0]
+            neg[0] += self.tied[1]
+        else:
+            self._settle()
+        self.value, self.tied = scores[-1], np.stack([pos[-1], neg[-1]])
+        pos, neg = pos[:-1], neg[:-1]
+        below = np.cumsum(neg, axis=0) - neg + self.neg
+        self.net += (pos * (below + neg / 2)).sum(axis=0)
+        self.pos += pos.sum(axis=0)
+        self.neg += neg.sum(axis=0)
+
+    def done(self) -> list[bytes]:
+        self._settle()
+        self.tied = np.zeros_like(self.tied)
+        return [x.tobytes() for x in (self.pos, self.neg, self.net)]
+
+
+def _carried(parts: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a class over its ranges of scores, lower ranges' negatives carried on. Parts of one range are of one score."""
+    pos = neg = net = 0.0
+    for _, own in parts.sort_values("range").groupby("range"):
+        p, n, wins = (sum(np.frombuffer(v, np.float64) for v in own[c]) for c in ("pos", "neg", "net"))
+        net = net + (wins if len(own) == 1 else p * n / 2) + p * neg
+        pos, neg = pos + p, neg + n
+    return pd.DataFrame({"form": parts["form"].iloc[0], "class": parts["class"].iloc[0], "replicate": np.arange(len(pos)), "pos": pos, "neg": neg, "net": net})
+
+
+def _below(score: Column):
+    return lambda cut: cut < score
+
+
+def auroc_replicates(cells: DataFrame, key: str, scores: list[str], replicates: int, least: int = 5, ranges: int = 256, salts: int = 32, seed: int = 0) -> DataFrame:
     """replicate, and for each score pooled_<score> (AUROC over all cells) and macro_<score> (mean of the classes' AUROCs, of those with `least` positives).
 
-    cells: key, class, y and the scores. The weights of positives and negatives are added up by replicate, class and bin
-    of the score, so each replicate has its own weighted histograms; scores are told apart by at most `bins` bins of about as
-    many cells (exact with fewer distinct scores), and cells of one bin count as tied.
+    cells: key, class, y and the scores; rows with a null among them are left out. Exact for any number of scores: cells are dealt to `ranges` ranges of scores,
+    in a range they are read in order with their weights' sums for all replicates, and lower ranges' sums are carried on. What leaves a range is three
+    vectors a class, however many cells and partitions there are. A score that fills ranges by itself is dealt over `salts` tasks.
     """
-    cuts = []
-    for s in scores:
-        few = sorted(r["v"] for r in cells.select(F.col(s).cast("double").alias("v")).distinct().limit(bins + 1).collect())
-        if len(few) > bins:
-            few = sorted(set(cells.agg(F.percentile_approx(F.col(s).cast("double"), [i / bins for i in range(1, bins)], F.lit(10_000))).first()[0]))
-            few = [float("-inf"), *few]
-        cuts.append(np.array(few))
     kept = cells.select(F.xxhash64(key).alias("k"), F.col("class").cast("string").alias("class"), F.col("y").cast("int").alias("y"), *[F.col(s).cast("double").alias(f"s{i}") for i, s in enumerate(scores)]).dropna()
-    names = [f"{sign}{i}" for i in range(len(scores)) for sign in ("pos", "neg")]
+    grid = [i / ranges for i in range(1, ranges)]
+    cuts = [row or [] for row in kept.agg(*[F.percentile_approx(f"s{i}", grid, F.lit(10_000)) for i in range(len(scores))]).first()]
+    each = []
+    for i, found in enumerate(cuts):
+        ends = sorted(set(found))
+        # Every cut ends a range; one that is several quantiles is a range of its own.
+        full = {v for v in ends if found.count(v) > 1}
+        bounds = sorted({*ends, *(math.nextafter(v, -math.inf) for v in full)})
+        score = F.col(f"s{i}")
+        at = F.size(F.filter(F.lit(bounds).cast("array<double>") if bounds else F.array().cast("array<double>"), _below(score)))
+        own = F.when(F.array_contains(F.array(*[F.lit(bounds.index(v)) for v in sorted(full)]), at), F.pmod(F.xxhash64("k"), F.lit(salts))).otherwise(0) if full else F.lit(0)
+        each.append(F.struct(F.lit(i).alias("form"), at.alias("range"), own.cast("int").alias("salt"), score.alias("s")))
+    dealt = kept.select("k", "class", "y", F.explode(F.array(*each)).alias("v")).select("k", "class", "y", "v.*")
+    ordered = dealt.repartition("form", "range", "salt").sortWithinPartitions("form", "range", "salt", "s").select("form", "range", "salt", "class", "k", "y", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}  # by class: [score, y, bin, replicate]
+        now, held = None, {}
+
+        def hand_on():
+            out = [(now[0], now[1], c, *area.done()) for c, area in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 3), strict=True)], ["form", "range", "class", "pos", "neg", "net"])
+
         for b in batches:
+            names = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            cut = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
             step = max(1, HELD // replicates)
-            for lo in range(0, b.num_rows, step):
-                part = b.slice(lo, step)
-                w = poisson_weights(part.column(0).to_numpy(zero_copy_only=False), replicates, seed)
-                of, y = np.array(part.column(1).to_pylist(), object), part.column(2).to_numpy(zero_copy_only=False)
-                at = [np.searchsorted(c, part.column(3 + i).to_numpy(zero_copy_only=False), "right") - 1 for i, c in enumerate(cuts)]
-                for c in set(of.tolist()):
-                    total = held.setdefault(c, np.zeros((len(scores), 2, bins + 1, replicates)))
-                    own = np.flatnonzero(of == c)
-                    for i in range(len(scores)):
-                        np.add.at(total[i], (np.where(y[own] == 1, 0, 1), np.maximum(0, at[i][own])), w[own])
-        for c, total in held.items():
-            for b in range(bins + 1):
-                if total[:, :, b].any():
-                    cols = [pa.array(total[i, j, b]) for i in range(len(scores)) for j in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array([c] * replicates), pa.array(np.full(replicates, b, np.int32)), *cols], ["replicate", "class", "bin", *names])
-
-    sums = kept.mapInArrow(run, "replicate long, class string, bin int, " + ", ".join(f"{n} double" for n in names))
-    by_class = sums.groupBy("replicate", "class", "bin").agg(*[F.sum(n).alias(n) for n in names])
-
-    def areas(rows: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most bins + 1 rows
-        for i in range(len(scores)):
-            below = F.coalesce(F.sum(f"neg{i}").over(w), F.lit(0.0))
-            rows = rows.withColumn(f"net{i}", F.col(f"pos{i}") * (below + F.col(f"neg{i}") / 2))
-        total = rows.groupBy(*by).agg(*[F.sum(f"{x}{i}").alias(f"{x}{i}") for i in range(len(scores)) for x in ("pos", "neg", "net")])
-        return total.select(*by, F.col("pos0").alias("positives"), *[F.when((F.col(f"pos{i}") > 0) & (F.col(f"neg{i}") > 0), F.col(f"net{i}") / (F.col(f"pos{i}") * F.col(f"neg{i}"))).alias(s) for i, s in enumerate(scores)])
-
-    pooled = areas(by_class.groupBy("replicate", "bin").agg(*[F.sum(n).alias(n) for n in names]), ["replicate"]).select("replicate", *[F.col(s).alias(f"pooled_{s}") for s in scores])
-    macro = areas(by_class, ["replicate", "class"]).filter(F.col("positives") >= least).groupBy("replicate").agg(*[F.avg(s).alias(f"macro_{s}") for s in scores])
-    return pooled.join(macro, "replicate", "left")
+            for begin, end in zip(cut[:-1], cut[1:], strict=True):
+                if now != (told := tuple(names[begin].tolist())):
+                    if held:
+                        yield hand_on()
+                    now, held = told, {}
+                for lo in range(begin, end, step):
+                    part = b.slice(lo, min(step, end - lo))
+                    w = poisson_weights(part.column(4).to_numpy(zero_copy_only=False), replicates, seed)
+                    of, y, s = np.array(part.column(3).to_pylist(), object), part.column(5).to_numpy(zero_copy_only=False), part.column(6).to_numpy(zero_copy_only=False)
+                    held.setdefault(None, _Area(replicates)).add(s, y, w)
+                    for c in dict.fromkeys(of.tolist()):
+                        own = np.flatnonzero(of == c)
+                        held.setdefault(c, _Area(replicates)).add(s[own], y[own], w[own])
+        if held:
+            yield hand_on()
+
+    parts = ordered.mapInArrow(run, "form int, range int, class string, pos binary, neg binary, net binary")
+    sums = parts.groupBy("form", "class").applyInPandas(_carried, "form int, class string, replicate long, pos double, neg double, net double")
+    area = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("net") / (F.col("pos") * F.col("neg")))
+    of = lambda i, c: F.when((F.col("form") == i) & c, area)
+    pooled = [F.max(of(i, F.col("class").isNull())).alias(f"pooled_{s}") for i, s in enumerate(scores)]
+    macro = [F.avg(of(i, F.col("class").isNotNull() & (F.col("pos") >= least))).alias(f"macro_{s}") for i, s in enumerate(scores)]
+    return sums.groupBy("replicate").agg(*pooled, *macro)
 
 
 def interval(sums: DataFrame, statistic: Column, by: tuple[str, ...] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .. import taxonomy as tx
+from .schema import compiled
 from ..functions.text import answer_classes, answers_classes, findings_of, let, literal, matching
 
 #: An answer as read first: entries of its lists and tables as text, so that one odd entry doesn't lose the others.
-RESPONSE = "struct<primary_diagnosis:string,confidence:string,explanation:string,reasoning:string,findings:map<string,string>,extracted_evidence:array<string>,differential:array<string>,cited_findings:array<string>>"
+RESPONSE = "struct<primary_diagnosis:variant,confidence:string,explanation:string,reasoning:string,findings:map<string,string>,extracted_evidence:array<string>,differential:array<string>,cited_findings:array<string>>"
 FINDING = "struct<presence:string,status:string,confidence:string>"
 EVIDENCE = "struct<finding:string,location:string,presence:string,confidence:string>"
 CANDIDATE = "struct<diagnosis:string,probability:string,rationale:string>"
@@ -76,40 +77,69 @@ def _closable(text: str, start: int, stop: int) -> tuple[int, list[str]]:
     return last, open_now
 
 
+_FENCED = re.compile(r"\s*(?:```(?:json)?)?\s*")
+
+
 def mend(text: str) -> str | None:
-    """A truncated JSON object, closed after its last whole member; null if that gives none. Two passes, whatever the length."""
-    start = text.find("{")
-    if start < 0:
+    """A truncated JSON object that begins the answer (after a code fence), closed after its last whole member. Two passes, whatever the length.
+
+    Null for prose before the object, and where no member is whole. Of members with one name the last stays.
+    """
+    start = _FENCED.match(text).end()
+    if not text.startswith("{", start):
         return None
     end, _ = _closable(text, start, len(text))
-    return text[start:end] + "".join(reversed(_closable(text, start, end)[1]))
+    told = text[start:end] + "".join(reversed(_closable(text, start, end)[1]))
+    return _last_of_each_name(told) if told.strip("{} \t\n\r") else None
+
+
+def _last_of_each_name(text: str) -> str:
+    """A JSON text whose objects have each name once, and null for what is no number; nested too deeply for Python, it stays as it is."""
+    try:
+        return json.dumps(json.loads(text, parse_constant=lambda _: None), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return text
+
+
+def _whole(text: str) -> str | None:
+    """The object of an answer that is whole JSON, though with repeated names or numbers that are none."""
+    inner = re.search(r"(?s)\{.*\}", text)
+    try:
+        return json.dumps(json.loads(inner.group(), parse_constant=lambda _: None), ensure_ascii=False) if inner else None
+    except (ValueError, RecursionError):
+        return None
 
 
 @F.pandas_udf(StringType())
 def _mended(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda x: None if x is None else mend(x))
+        yield s.map(lambda x: None if x is None else _whole(x) or mend(x))
 
 
 def read_answer(obj: Column) -> Column:
     """The struct of an answer (a JSON text), null for null.
 
-    A field of another kind than it should have is null. Entries of findings, evidence and differential are read one by one: one
-    that is no object is null in its place, the others stay. A probability may be a quoted number; what is no number is null.
+    A field of another kind than it should have is null; said_diagnosis is the diagnosis as written, whatever its kind. Entries of findings,
+    evidence and differential are read one by one: one that is no object is null in its place, the others stay. A finding's
+    state is its presence, where it has one ('none' for null), else its status. A probability may be a quoted number; what is no number is null.
     """
     entry = lambda x, kind: F.when(x.startswith("{"), F.from_json(x, kind))
     raw = F.from_json(obj, RESPONSE)
 
     def fields(a: Column) -> Column:
+        told = lambda x: let(entry(x, FINDING), lambda f: F.when(f.isNotNull(), f.withField("state", F.coalesce(f["presence"], F.when(F.array_contains(F.json_object_keys(x), "presence"), "none"), f["status"]))))
+        dx = a["primary_diagnosis"]
         candidate = lambda d: F.when(d.isNotNull(), F.struct(d["diagnosis"].alias("diagnosis"), F.nanvl(d["probability"].try_cast("double"), F.lit(None)).alias("probability"), d["rationale"].alias("rationale")))
         return F.when(
             a.isNotNull(),
             F.struct(
-                *[a[k].alias(k) for k in ("primary_diagnosis", "confidence", "explanation", "reasoning")],
-                F.transform_values(a["findings"], lambda k, v: entry(v, FINDING)).alias("findings"),
+                F.when(F.schema_of_variant(dx) == "STRING", F.try_variant_get(dx, "$", "string")).alias("primary_diagnosis"),
+                *[a[k].alias(k) for k in ("confidence", "explanation", "reasoning")],
+                F.transform_values(a["findings"], lambda k, v: told(v)).alias("findings"),
                 F.transform(a["extracted_evidence"], lambda e: entry(e, EVIDENCE)).alias("extracted_evidence"),
                 F.transform(a["differential"], lambda d: candidate(entry(d, CANDIDATE))).alias("differential"),
                 a["cited_findings"].alias("cited_findings"),
+                F.when(~F.is_variant_null(dx), F.coalesce(F.try_variant_get(dx, "$", "string"), F.to_json(dx))).alias("said_diagnosis"),
             ),
         )
 
@@ -125,20 +155,13 @@ def parse(df: DataFrame, raw: str = "response") -> DataFrame:
     return rows.withColumn("answer", read_answer(F.col("json")))
 
 
-def schema_errors(obj: Column) -> Column:
-    """Codes of what is wrong with a parsed answer (a JSON text); empty if it is valid."""
-    v = F.try_parse_json(obj)
-    kind = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant"))
-    missing = [F.when(kind(f"$.{k}").isNull() | (kind(f"$.{k}") == "VOID"), f"{k} is missing") for k in ("primary_diagnosis", "confidence", "explanation")]
-    wrong = [F.when(kind(f"$.{k}").isNotNull() & ~kind(f"$.{k}").isin(t, "VOID"), f"{k} is no {n}") for k, t, n in (("primary_diagnosis", "STRING", "string"), ("confidence", "BIGINT", "integer"), ("explanation", "STRING", "string"))]
-    confidence = F.try_variant_get(v, "$.confidence", "double")
-    bounds = F.when((kind("$.confidence") == "BIGINT") & ~confidence.between(0, 100), "confidence is out of range")
-    parsed = read_answer(obj)
-    allowed = literal(["present", "absent", "uncertain"])
-    bad = lambda arr, f: F.exists(F.coalesce(arr, F.array()), f)
-    evidence = F.when(bad(parsed["extracted_evidence"], lambda e: e["finding"].isNull() | e["presence"].isNull() | ~F.array_contains(allowed, e["presence"])), "extracted_evidence is wrong")
-    presence = F.when(F.exists(F.coalesce(F.map_values(parsed["findings"]), F.array()), lambda e: e["presence"].isNotNull() & ~F.array_contains(allowed, e["presence"])), "presence is no state")
-    return F.when(v.isNull(), F.array(F.lit("no object"))).otherwise(F.array_compact(F.array(*missing, *wrong, bounds, evidence, presence)))
+#: The errors of an answer by the study's contract.
+_contract = compiled(tx.RESPONSE_SCHEMA)
+
+
+def schema_errors(obj: Column, errors: Callable[[Column], Column] = _contract) -> Column:
+    """What is wrong with an answer (a JSON text, as parse() gives it) as sorted `path: rule`; empty if it is valid, 'no object' where there is none."""
+    return let(F.try_parse_json(obj), lambda v: F.coalesce(errors(v), F.array(F.lit("no object"))))
 
 
 def coerced_confidence(text: Column) -> Column:
@@ -154,8 +177,8 @@ def coerced_presence(text: Column) -> Column:
 
 
 def coerced(answer: Column) -> Column:
-    """An answer with confidence and presences put right."""
-    findings = F.transform_values(answer["findings"], lambda k, v: F.struct(coerced_presence(v["presence"]).alias("presence"), coerced_presence(v["status"]).alias("status"), v["confidence"].alias("confidence")))
+    """An answer with confidence and presences put right; findings that are no objects stay null."""
+    findings = F.transform_values(answer["findings"], lambda k, v: F.when(v.isNotNull(), F.struct(coerced_presence(v["presence"]).alias("presence"), coerced_presence(v["status"]).alias("status"), v["confidence"].alias("confidence"), coerced_presence(v["state"]).alias("state"))))
     return answer.withField("confidence", F.when(answer["confidence"].isNotNull(), coerced_confidence(answer["confidence"]))).withField("findings", findings)
 
 
@@ -168,7 +191,7 @@ def _named_classes(key: Column) -> Column:
 
 def structured_set(findings: Column, with_uncertain: bool = False) -> Column:
     """Classes of the findings table only; nothing where there is none. Entries that are no objects count for nothing."""
-    state = lambda v: F.lower(F.trim(F.coalesce(v["presence"], v["status"], F.lit(""))))
+    state = lambda v: F.lower(F.trim(F.coalesce(v["state"], F.lit(""))))
     wanted = literal(["present", "uncertain"] if with_uncertain else ["present"])
     held = F.map_keys(F.map_filter(findings, lambda k, v: v.isNotNull() & F.array_contains(wanted, state(v))))
     return F.coalesce(findings_of(F.array_distinct(F.flatten(F.transform(held, lambda k: _named_classes(k))))), literal([]))
@@ -195,13 +218,13 @@ def predicted(df: DataFrame, raw: str = "response", fallback: str = "primary_dia
 
 
 def claims(answer: Column) -> Column:
-    """Distinct (class, presence) claims of an answer; presence as stated, else from the words: denied, else hedged, else present."""
+    """Distinct (class, presence) claims of an answer; presence as stated, else from the words: denied, else hedged, else present. Findings that are no objects claim nothing."""
     by_words = lambda t: F.when(t.rlike(tx.NEGATION), "absent").when(t.rlike(tx.HEDGE), "uncertain").otherwise("present")
     text = lambda t, p: F.struct(F.coalesce(t, F.lit("")).alias("t"), p.alias("p"))
     none = F.array().cast("array<struct<t:string,p:string>>")
     evidence = F.transform(answer["extracted_evidence"], lambda e: text(e["finding"], F.when(e["presence"] != "", e["presence"])))
     cited = F.transform(answer["cited_findings"], lambda c: text(c, F.lit(None).cast("string")))
-    named = F.transform(F.map_entries(answer["findings"]), lambda e: text(e["key"], F.when(F.lower(e["value"]["presence"]).isin("present", "absent", "uncertain"), F.lower(e["value"]["presence"]))))
+    named = F.transform(F.map_entries(F.map_filter(answer["findings"], lambda k, v: v.isNotNull())), lambda e: text(e["key"], F.when(F.lower(e["value"]["presence"]).isin("present", "absent", "uncertain"), F.lower(e["value"]["presence"]))))
     said = F.array(text(answer["explanation"], F.lit(None).cast("string")))
     texts = F.concat(F.coalesce(evidence, none), F.coalesce(cited, none), F.coalesce(named, none), said)
     each = F.transform(texts, lambda x: F.transform(matching(x["t"]), lambda c: F.struct(c.alias("class"), F.coalesce(x["p"], by_words(x["t"])).alias("presence"))))
@@ -232,11 +255,17 @@ def render_slots(classes_held: Column, classes=tx.FINDINGS, between: str = "\n")
 
 
 def sample_presence(obj: Column, classes=tx.FINDINGS) -> Column:
-    """Array of (class, presence) of one sampled answer (a JSON text): from the findings, given as objects or plain words; where there are none, from the diagnosis."""
+    """Array of (class, presence) of one sampled answer (a JSON text): from the findings, given as objects with a presence ('none' for null) or as plain words; where there are none, from the diagnosis."""
     v = F.try_parse_json(obj)
-    said = lambda c: F.lower(F.coalesce(F.try_variant_get(v, f'$.findings["{c}"].presence', "string"), F.when(F.schema_of_variant(F.try_variant_get(v, f'$.findings["{c}"]', "variant")) == "STRING", F.try_variant_get(v, f'$.findings["{c}"]', "string"))))
-    pair = lambda c, p: F.struct(F.lit(c).alias("class"), p.alias("presence"))
-    held = F.filter(F.array(*[pair(c, said(c)) for c in classes]), lambda x: x["presence"].isNotNull())
-    dx = answer_classes(F.try_variant_get(v, "$.primary_diagnosis", "string"))
-    by_dx = F.array(*[pair(c, F.when(F.array_contains(dx, c), "present").otherwise("absent")) for c in classes])
-    return F.when(F.size(held) > 0, held).otherwise(by_dx)
+    text = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    named = F.try_variant_get(v, "$.findings", "map<string,variant>")
+
+    def said(x: Column) -> Column:
+        stated = F.coalesce(F.try_variant_get(x, "$.presence", "string"), F.when(F.is_variant_null(F.try_variant_get(x, "$.presence", "variant")), "none"))
+        return F.lower(F.coalesce(stated, text(x)))
+
+    pair = lambda c, p: F.struct(c.alias("class"), p.alias("presence"))
+    held = let(named, lambda m: F.filter(F.transform(literal(classes), lambda c: pair(c, let(F.try_element_at(m, c), said))), lambda x: x["presence"].isNotNull()))
+    dx = answer_classes(text(F.try_variant_get(v, "$.primary_diagnosis", "variant")))
+    by_dx = let(dx, lambda hits: F.transform(literal(classes), lambda c: pair(c, F.when(F.array_contains(hits, c), "present").otherwise("absent"))))
+    return let(held, lambda h: F.when(F.size(h) > 0, h).otherwise(by_dx))

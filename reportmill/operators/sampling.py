@@ -50,10 +50,20 @@ def split(df: DataFrame, by: str, n_test: int, dev_share: float, test_seed: str,
 
 
 def enriched(df: DataFrame, disputed: str, classes, per_class: int, seed: str, key: str = "uid") -> DataFrame:
-    """uid and class: each row under its first disputed class in the given order, per_class rows of each class."""
-    first = F.coalesce(*[F.when(F.array_contains(disputed, c), F.lit(c)) for c in classes])
-    rows = df.select(key, first.alias("class")).filter("class is not null")
-    return ranked(rows, ["class"], per_class, seed, key).select(key, "class")
+    """uid and class: for one class after the other, in the given order, per_class rows in which it is disputed and that no earlier class has taken.
+
+    Of the i-th class only the first i * per_class rows in the seed's order can be taken, as no more than the others are gone by then: so many of each class, found
+    in salts, are all that the driver chooses among.
+    """
+    classes = list(classes)
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.array_contains(disputed, c).alias("held")) for i, c in enumerate(classes)])
+    rows = df.select(key, F.explode(F.filter(each, lambda x: x["held"])).alias("x")).select(key, "x.i")
+    first = ranked(rows, ["i"], (F.col("i") + 1) * per_class, seed, key).select(key, "i", "place").collect()
+    taken: dict = {}
+    for i in range(len(classes)):
+        free = [r[key] for r in sorted((r for r in first if r["i"] == i), key=lambda r: r["place"]) if r[key] not in taken]
+        taken |= dict.fromkeys(free[:per_class], classes[i])
+    return df.sparkSession.createDataFrame(list(taken.items()), f"{key} {df.schema[key].dataType.simpleString()}, class string")
 
 
 def topped_up(df: DataFrame, disputed: str, classes, per_class: int, total: int, seed: str, key: str = "uid") -> DataFrame:

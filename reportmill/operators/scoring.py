@@ -53,7 +53,8 @@ def ladder(df: DataFrame, truth: Column, pred: Column, by: tuple[str, ...]) -> D
 
 def full_response_set(answer: Column, fallback: Column) -> Column:
     """Classes of diagnosis and explanation together."""
-    return findings_of(F.array_union(answer_classes(F.coalesce(answer["primary_diagnosis"], fallback)), answer_classes(answer["explanation"])))
+    dx = F.when(answer.isNull(), fallback).otherwise(answer["said_diagnosis"])
+    return findings_of(F.array_union(answer_classes(dx), answer_classes(answer["explanation"])))
 
 
 def judged_claims(df: DataFrame, answer: str = "answer", pos: str = "pos", unc: str = "unc", neg: str = "neg") -> DataFrame:
@@ -77,7 +78,7 @@ def judged_claims(df: DataFrame, answer: str = "answer", pos: str = "pos", unc:
 def hallucinations(judged: DataFrame, answer: str = "answer", dx: str = "primary_diagnosis", pos: str = "pos") -> DataFrame:
     """judged with hallucinated (a contradicted claim or a fabrication), omitted classes and omission_rate."""
     fab = F.coalesce(fabrications(F.col(answer), False), F.lit(0))
-    stated = F.array_union(answer_classes(F.coalesce(F.col(answer)["primary_diagnosis"], F.col(dx))), F.transform(F.filter("claims", lambda c: c["presence"] == "present"), lambda c: c["class"]))
+    stated = F.array_union(answer_classes(F.when(F.col(answer).isNull(), F.col(dx)).otherwise(F.col(answer)["primary_diagnosis"])), F.transform(F.filter("claims", lambda c: c["presence"] == "present"), lambda c: c["class"]))
     omitted = F.array_except(F.col(pos), stated)
     return judged.withColumns({"n_fabricated_prose": fab, "hallucinated": (F.col("contradicted") > 0) | (fab > 0), "n_omitted": F.size(omitted), "n_ref_positive": F.size(pos), "omission_rate": sets.ratio(F.size(omitted), F.size(pos))})
 

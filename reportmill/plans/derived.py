@@ -27,6 +27,7 @@ STATUSES = ("present", "absent", "uncertain", "PRESENT", "yes", "possible")
 CONDITIONS = ("direct", "cot", "ddx", "evidence_first", "uncertainty_first")
 PROBLEMS = ("normal", "Cardiomegaly", "No Indexing", "Pleural Effusion;Opacity", "")
 MESH = ("normal", "Consolidation/lung/base/left;Opacity/lung/apex/right", "Opacity/lung/apex/right/irregular", "Density/cardiophrenic angle/left", "Cardiomegaly/borderline", "Opacity/lung/bilateral")
+ODDITIES = (', "differential": [{"probability": "high"}]', ', "abstained": "no"', ', "extracted_evidence": [{"finding": "spot", "presence": "absent", "confidence": 900}]', ', "findings": "garbage"', ', "cited_findings": "effusion"')
 INDICATIONS = ("chest pain", "", "cough and fever")
 FORMS = 5
 
@@ -71,16 +72,21 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, k = F.col("uid"), F.col("k")
     rows = study_ids(spark, sf_dir).select("uid", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     rows = rows.withColumns({"form": (u + k) % FORMS, "dx": pick(DIAGNOSES, u * 5 + k * 3), "dx2": pick(DIAGNOSES, u * 3 + k + 1), "dx3": pick(DIAGNOSES, u + k * 5 + 4), "s1": pick(STATUSES, u + k), "s2": pick(STATUSES, u * 5 + k + 2), "n1": pick(NAMES, u * 3 + k), "n2": pick(NAMES, u * 3 + k + 3), "said": pick(SENTENCES, u * 3 + k * 7), "confidence": ((u * 37 + k * 11) % 101).cast("int")})
-    # Answers as models give them: a plain word among the findings, odd items of evidence, a quoted probability.
+    # Answers as models give them: plain words, null presences and repeated names among the findings, odd items of evidence, quoted
+    # probabilities, fields of a wrong kind, a diagnosis that is a list, prose with a brace.
+    odd = (F.col("form") == 0) & (u % 2 == 1)
+    oddity = F.floor(u / 5).cast("int") % 6
     quote = F.when(u % 2 == 0, '"').otherwise("")
     extra = (
-        F.when(F.col("form") == 1, F.concat(F.lit(', "findings": {"'), "n1", F.lit('": {"presence": "'), "s1", F.lit('"}, "'), "n2", F.when(u % 3 == 0, F.concat(F.lit('": "'), "s2", F.lit('"}'))).otherwise(F.concat(F.lit('": {"status": "'), "s2", F.lit('"}}')))))
+        F.when(F.col("form") == 1, F.concat(F.lit(', "findings": {"'), F.when(u % 11 == 4, F.concat("n1", F.lit('": {"presence": "present"}, "'))).otherwise(""), "n1", F.lit('": {"presence": "'), "s1", F.lit('"}, "'), "n2", F.when(u % 3 == 0, F.concat(F.lit('": "'), "s2", F.lit('"}'))).otherwise(F.concat(F.when(u % 3 == 1, F.lit('": {"presence": null, "status": "')).otherwise(F.lit('": {"status": "')), "s2", F.lit('"}}')))))
         .when(F.col("form") == 2, F.concat(F.lit(', "extracted_evidence": ['), F.when(u % 4 == 1, '"word", 7, null, ').otherwise(""), F.lit('{"finding": "'), "dx2", F.lit('", "presence": "'), "s1", F.lit('"}, {"finding": "'), "dx3", F.lit('", "presence": "'), "s2", F.lit('"}], "cited_findings": ["'), pick(SENTENCES, u + k), F.lit('"]')))
         .when(F.col("form") == 3, F.concat(F.lit(', "differential": [{"diagnosis": "'), "dx2", F.lit('", "probability": '), quote, ((u * 13 + k) % 101).cast("string"), quote, F.lit('}, {"diagnosis": "'), "dx3", F.lit('", "probability": '), ((u * 17 + k * 3) % 101).cast("string"), F.lit("}]")))
+        .when(odd & (oddity < 5), pick(ODDITIES, oddity))
         .otherwise("")
     )
-    body = F.concat(F.lit('{"primary_diagnosis": "'), "dx", F.lit('", "confidence": '), F.col("confidence").cast("string"), F.lit(', "explanation": "'), "said", F.lit('"'), extra, F.lit("}"))
-    raw = F.when((F.col("form") == 4) & (u % 2 == 1), F.lit("no answer")).when(F.col("form") == 4, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    dx = F.when((F.col("form") == 0) & (u % 13 == 6), F.concat(F.lit('["'), "dx", F.lit('"]'))).otherwise(F.concat(F.lit('"'), "dx", F.lit('"')))
+    body = F.concat(F.lit('{"primary_diagnosis": '), dx, F.lit(', "confidence": '), F.col("confidence").cast("string"), F.when(odd & (oddity == 5), ".0").otherwise(""), F.lit(', "explanation": "'), "said", F.lit('"'), extra, F.lit("}"))
+    raw = F.when((F.col("form") == 4) & (u % 2 == 1), F.when(u % 4 == 1, "I think {maybe} it is bad").otherwise("no answer")).when(F.col("form") == 4, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     return rows.select("uid", "k", pick(CONDITIONS, k).alias("prompt_condition"), F.col("dx").alias("primary_diagnosis"), "confidence", raw.alias("response"), F.when(u % 29 == 3, "timeout").otherwise("").alias("api_error"), ((u * 31 + k * 101) % 900 + 100).cast("int").alias("prompt_tokens"), ((u + k) % 3 + 1).cast("int").alias("n_image_parts"))
 
 
@@ -123,6 +129,21 @@ def _lists(values) -> str:
 
 _CHILDREN = _lists(tx.CHILDREN)
 
+
+def _bad(s: str) -> str:
+    return f"{s} NOT IN ('present', 'absent', 'uncertain')"
+
+
+#: What the contract finds wrong with an answer, rule by rule.
+_ERRORS = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {when} THEN {quoted(code)} END" for when, code in [
+    ("form = 4 AND uid % 2 = 1", "no object"),
+    ("form = 0 AND uid % 13 = 6", "primary_diagnosis: type"),
+    *[(f"form = 0 AND uid % 2 = 1 AND (uid // 5) % 6 = {i}", code) for i, code in [(0, "differential[].diagnosis: required"), (0, "differential[].probability: type"), (1, "abstained: type"), (2, "extracted_evidence[].confidence: maximum"), (3, "findings: type"), (4, "cited_findings: type")]],
+    (f"form = 1 AND {_bad('s1')}", "findings.*.presence: enum"), ("form = 1 AND uid % 3 = 0", "findings.*: type"), ("form = 1 AND uid % 3 = 1", "findings.*.presence: enum"),
+    *[("form = 2 AND uid % 4 = 1", "extracted_evidence[]: type")] * 3, *[(f"form = 2 AND {_bad(s)}", "extracted_evidence[].presence: enum") for s in ("s1", "s2")],
+    ("form = 3 AND uid % 2 = 0", "differential[].probability: type"),
+]) + "], lambda e: e IS NOT NULL))"
+
 #: Name and SQL of the derived tables, each after those that it needs.
 CTES = {
     "reports": f"""SELECT doc_id AS uid, {picked(SENTENCES, 'doc_id')} || ' ' || {picked(SENTENCES, 'doc_id * 7 + 3')} AS findings,
@@ -140,20 +161,21 @@ CTES = {
       FROM texts t LEFT JOIN ranks r ON r.uid = t.uid AND r.src = t.src GROUP BY t.uid, t.src""",
     "truth": f"""SELECT *, CASE WHEN len(pos) > 0 THEN pos ELSE ['No Finding'] END AS t_ignore, CASE WHEN len(pos) + len(unc) > 0 THEN list_concat(pos, unc) ELSE ['No Finding'] END AS t_ones,
         CASE WHEN len(pos) = 0 AND len(unc) = 0 AND normal THEN 1 WHEN len(pos) > 0 THEN 0 END AS no_finding FROM labels_wide""",
-    "predictions": f"""SELECT uid, k, list_extract({_lists(CONDITIONS)}, CAST(k AS INTEGER) + 1) AS prompt_condition, dx AS primary_diagnosis, confidence, form, dx2, dx3, s1, s2, n1, n2, said, cited, p1, p2,
+    "predictions": f"""SELECT uid, k, list_extract({_lists(CONDITIONS)}, CAST(k AS INTEGER) + 1) AS prompt_condition, dx AS primary_diagnosis, confidence, form, dx2, dx3, s1, s2, n1, n2, said, cited, p1, p2, CASE WHEN form = 0 AND uid % 13 = 6 THEN '' ELSE dx END AS said_dx,
+        {_ERRORS} AS errors,
         CASE WHEN uid % 29 = 3 THEN 'timeout' ELSE '' END AS api_error, CAST((uid * 31 + k * 101) % 900 + 100 AS INTEGER) AS prompt_tokens, CAST((uid + k) % 3 + 1 AS INTEGER) AS n_image_parts
       FROM (SELECT doc_id AS uid, k, (doc_id + k) % {FORMS} AS form, {picked(DIAGNOSES, 'doc_id * 5 + k * 3')} AS dx, {picked(DIAGNOSES, 'doc_id * 3 + k + 1')} AS dx2, {picked(DIAGNOSES, 'doc_id + k * 5 + 4')} AS dx3,
         {picked(STATUSES, 'doc_id + k')} AS s1, {picked(STATUSES, 'doc_id * 5 + k + 2')} AS s2, {picked(NAMES, 'doc_id * 3 + k')} AS n1, {picked(NAMES, 'doc_id * 3 + k + 3')} AS n2,
         {picked(SENTENCES, 'doc_id * 3 + k * 7')} AS said, {picked(SENTENCES, 'doc_id + k')} AS cited, (doc_id * 13 + k) % 101 AS p1, (doc_id * 17 + k * 3) % 101 AS p2, CAST((doc_id * 37 + k * 11) % 101 AS INTEGER) AS confidence
         FROM documents, (SELECT unnest(generate_series(0, 4)) AS k))""",
     "norm": _norm(),
-    "answers": f"""SELECT p.*, p.form <> 4 AS parsed, d.classes AS dx_classes,
+    "answers": f"""SELECT p.*, p.form <> 4 AS parsed, n.classes AS dx_classes, d.classes AS said_classes,
         list_filter(CASE
-          WHEN form = 1 THEN list_distinct(list_concat(CASE WHEN lower(s1) = 'present' THEN f1.names ELSE [] END, CASE WHEN lower(s2) = 'present' AND uid % 3 <> 0 THEN f2.names ELSE [] END))
+          WHEN form = 1 THEN list_distinct(list_concat(CASE WHEN lower(s1) = 'present' THEN f1.names ELSE [] END, CASE WHEN lower(s2) = 'present' AND uid % 3 = 2 THEN f2.names ELSE [] END))
           WHEN form = 2 THEN list_distinct(list_concat(d.classes, CASE WHEN lower(s1) IN ('present', 'yes') THEN d2.classes ELSE [] END, CASE WHEN lower(s2) IN ('present', 'yes') THEN d3.classes ELSE [] END))
           ELSE d.classes END, lambda c: c <> 'No Finding') AS pred,
         CASE WHEN form = 3 THEN list_filter(list_distinct(list_concat(d.classes, CASE WHEN p1 >= 50 THEN d2.classes ELSE [] END, CASE WHEN p2 >= 50 THEN d3.classes ELSE [] END)), lambda c: c <> 'No Finding') END AS listed
-      FROM predictions p JOIN norm d ON d.text = p.primary_diagnosis JOIN norm d2 ON d2.text = p.dx2 JOIN norm d3 ON d3.text = p.dx3
+      FROM predictions p JOIN norm n ON n.text = p.primary_diagnosis JOIN norm d ON d.text = p.said_dx JOIN norm d2 ON d2.text = p.dx2 JOIN norm d3 ON d3.text = p.dx3
       JOIN named f1 ON f1.name = p.n1 JOIN named f2 ON f2.name = p.n2""",
     "scored": f"""SELECT a.*, t.pos, t.unc, t.neg, t.t_ignore, t.t_ones, CASE WHEN list_contains(t.t_ignore, 'No Finding') THEN len(a.pred) = 0 ELSE list_has_any(a.pred, t.t_ignore) END AS correct,
         CASE WHEN list_has_any(a.pred, {_CHILDREN}) THEN list_distinct(list_append(a.pred, 'Lung Opacity')) ELSE a.pred END AS pred_h,

@@ -25,17 +25,18 @@ def image_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMED = ", ".join(derived.quoted(c) for c in tx.FINDINGS)
-_SAID = f"form = 1 AND (n1 IN ({_NAMED}) OR (uid % 3 = 0 AND n2 IN ({_NAMED})))"
+_SAID = f"form = 1 AND (n1 IN ({_NAMED}) OR (uid % 3 < 2 AND n2 IN ({_NAMED})))"
 
 
 @query("sample_presence", sql(f"""SELECT class, presence, count(*) AS n FROM (
   SELECT n1 AS class, lower(s1) AS presence FROM answers WHERE form = 1 AND n1 IN ({_NAMED})
-  UNION ALL SELECT n2, lower(s2) FROM answers WHERE form = 1 AND uid % 3 = 0 AND n2 IN ({_NAMED})
-  UNION ALL SELECT c.class, CASE WHEN list_contains(dx_classes, c.class) THEN 'present' ELSE 'absent' END FROM answers, (SELECT unnest({_lists(tx.FINDINGS)}) AS class) c
+  UNION ALL SELECT n2, CASE WHEN uid % 3 = 0 THEN lower(s2) ELSE 'none' END FROM answers WHERE form = 1 AND uid % 3 < 2 AND n2 IN ({_NAMED})
+  UNION ALL SELECT c.class, CASE WHEN list_contains(said_classes, c.class) THEN 'present' ELSE 'absent' END FROM answers, (SELECT unnest({_lists(tx.FINDINGS)}) AS class) c
     WHERE NOT (form = 4 AND uid % 2 = 1) AND NOT ({_SAID})) GROUP BY 1, 2""", "answers"))
 def sample_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = responses.parse(derived.predictions(spark, sf_dir)).filter("json is not null")
-    return rows.select(F.explode(responses.sample_presence(F.col("json"))).alias("s")).groupBy("s.class", "s.presence").agg(F.count(F.lit(1)).alias("n"))
+    rows = responses.parse(derived.predictions(spark, sf_dir))
+    said = F.when(F.col("json").isNotNull(), responses.sample_presence(F.col("json")))
+    return rows.select(F.explode_outer(said).alias("s")).groupBy("s.class", "s.presence").agg(F.count(F.lit(1)).alias("n")).filter("class is not null")
 
 
 _WIDE = "SELECT uid, " + ", ".join(f"max(CASE WHEN k = {k} THEN CASE WHEN contradicted > 0 OR fab_prose > 0 THEN 1 ELSE 0 END END) AS c{k}" for k in range(5)) + " FROM omit GROUP BY uid"

@@ -19,6 +19,11 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.predicted(derived.predictions(spark, sf_dir))
 
 
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers parsed, with what the contract finds wrong with them."""
+    return responses.parse(derived.predictions(spark, sf_dir)).withColumn("errors", responses.schema_errors(F.col("json")))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with predicted sets, the impression's labels, truth sets under both policies, and the report's stratum."""
     report = labeling.stratify(labelled(spark, sf_dir)).select("uid", "impression", "difficulty")
@@ -43,35 +48,35 @@ def counts(truth: str, pred: str, classes) -> str:
     return f"{tp} AS tp, len({p}) - {tp} AS fp, len({t}) - {tp} AS fn"
 
 
-@query("parse_responses", sql("SELECT uid, k, NOT (form = 4 AND uid % 2 = 1) AS parsed, CASE WHEN form = 4 AND uid % 2 = 1 THEN NULL ELSE primary_diagnosis END AS dx, CASE WHEN form = 4 AND uid % 2 = 1 THEN NULL ELSE confidence END AS confidence FROM predictions", "predictions"))
+@query("parse_responses", sql("SELECT uid, k, NOT (form = 4 AND uid % 2 = 1) AS parsed, CASE WHEN (form = 4 AND uid % 2 = 1) OR (form = 0 AND uid % 13 = 6) THEN NULL ELSE primary_diagnosis END AS dx, CASE WHEN form = 4 AND uid % 2 = 1 THEN NULL ELSE confidence END AS confidence FROM predictions", "predictions"))
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = responses.parse(derived.predictions(spark, sf_dir))
-    return rows.select("uid", key_k(), F.col("json").isNotNull().alias("parsed"), F.col("answer.primary_diagnosis").alias("dx"), F.col("answer.confidence").cast("int").alias("confidence"))
+    return rows.select("uid", key_k(), F.col("json").isNotNull().alias("parsed"), F.col("answer.primary_diagnosis").alias("dx"), F.col("answer.confidence").try_cast("double").cast("int").alias("confidence"))
 
 
-@query("mend_truncated", sql("SELECT uid, k, NOT (form = 4 AND uid % 2 = 1) AS mended, CASE WHEN form = 4 AND uid % 2 = 1 THEN NULL ELSE primary_diagnosis END AS dx FROM predictions", "predictions"))
+@query("mend_truncated", sql("SELECT uid, k, mended, CASE WHEN mended AND NOT (form = 0 AND uid % 13 = 6) THEN primary_diagnosis END AS dx FROM (SELECT *, CASE WHEN form = 4 THEN uid % 2 = 0 ELSE uid % 7 <> 5 END AS mended FROM predictions)", "predictions"))
 def mend_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers cut off before their last characters still give their diagnosis, however long they are; what holds no object gives none."""
+    """Answers cut off before their last characters still give their diagnosis, however long they are; what holds no object, or has prose before a cut one, gives none."""
     longer = F.when(F.col("uid") % 97 == 0, F.replace("response", F.lit('{"primary'), F.lit('{"filler": "' + "x" * 30_000 + '", "primary'))).otherwise(F.col("response"))
-    rows = responses.parse(derived.predictions(spark, sf_dir).withColumn("response", longer).withColumn("response", F.expr("substring(response, 1, length(response) - 2)")))
+    rows = responses.parse(derived.predictions(spark, sf_dir).withColumn("response", longer).withColumn("response", F.expr("concat(CASE WHEN uid % 7 = 5 THEN 'Sure: ' ELSE '' END, substring(response, 1, length(response) - 2))")))
     return rows.select("uid", key_k(), F.col("json").isNotNull().alias("mended"), F.col("answer.primary_diagnosis").alias("dx"))
 
 
-@query("validate_responses", sql("""SELECT uid, k, array_to_string(list_filter([CASE WHEN form = 4 THEN 'no object' END,
-    CASE WHEN form = 2 AND (uid % 4 = 1 OR s1 IN ('PRESENT', 'yes', 'possible') OR s2 IN ('PRESENT', 'yes', 'possible')) THEN 'extracted_evidence is wrong' END,
-    CASE WHEN form = 1 AND s1 IN ('PRESENT', 'yes', 'possible') THEN 'presence is no state' END], lambda x: x IS NOT NULL), ';') AS errors FROM predictions""", "predictions"))
+@query("validate_responses", sql("SELECT uid, k, array_to_string(errors, ';') AS errors FROM predictions", "predictions"))
 def validate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.predictions(spark, sf_dir).select("uid", key_k(), F.array_join(responses.schema_errors(F.col("response")), ";").alias("errors"))
+    return checked(spark, sf_dir).select("uid", key_k(), F.array_join("errors", ";").alias("errors"))
 
 
 _SYN = "CASE {0} WHEN 'possible' THEN 'uncertain' WHEN 'yes' THEN 'present' ELSE lower({0}) END"
 
 
-@query("coerce_responses", sql(f"SELECT uid, k, CAST(least(100, greatest(0, round_even(confidence * 1.5 - 20.5, 0))) AS INTEGER) AS confidence, CASE WHEN form = 1 THEN {_SYN.format('s1')} END AS presence FROM predictions", "predictions"))
+@query("coerce_responses", sql(f"SELECT uid, k, CASE WHEN NOT (form = 4 AND uid % 2 = 1) THEN CAST(least(100, greatest(0, round_even(confidence * 1.5 - 20.5, 0))) AS INTEGER) END AS confidence, CASE WHEN form = 1 THEN {_SYN.format('s1')} END AS presence FROM predictions", "predictions"))
 def coerce_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = responses.parse(derived.predictions(spark, sf_dir))
-    first = F.get(F.map_values(F.transform_values(F.col("answer.findings"), lambda k, v: responses.coerced_presence(v["presence"]))), F.lit(0))
-    return rows.select("uid", key_k(), responses.coerced_confidence((F.col("confidence") * 1.5 - 20.5).cast("string")).alias("confidence"), first.alias("presence"))
+    given = F.col("answer").withField("confidence", (F.col("confidence") * 1.5 - 20.5).cast("string"))
+    rows = rows.withColumn("coerced", F.when(F.col("answer").isNotNull(), responses.coerced(given)))
+    first = F.get(F.map_values("coerced.findings"), F.lit(0))["presence"]
+    return rows.select("uid", key_k(), F.col("coerced.confidence").cast("int").alias("confidence"), first.alias("presence"))
 
 
 @query("predicted_sets", sql(f"SELECT uid, k, {S('pred')} AS classes FROM answers", "answers"))
@@ -265,14 +270,14 @@ def h4_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BY_WORDS = lambda t: f"CASE WHEN regexp_matches({t}, {quoted(tx.NEGATION)}) THEN 'absent' WHEN regexp_matches({t}, {quoted(tx.HEDGE)}) THEN 'uncertain' ELSE 'present' END"
 _CLAIMS = {
     "said_texts": """SELECT uid, k, dx2 AS t, s1 AS p FROM predictions WHERE form = 2 UNION ALL SELECT uid, k, dx3, s2 FROM predictions WHERE form = 2 UNION ALL SELECT uid, k, cited, NULL FROM predictions WHERE form = 2
-      UNION ALL SELECT uid, k, n1, CASE WHEN lower(s1) IN ('present', 'absent', 'uncertain') THEN lower(s1) END FROM predictions WHERE form = 1 UNION ALL SELECT uid, k, n2, NULL FROM predictions WHERE form = 1
+      UNION ALL SELECT uid, k, n1, CASE WHEN lower(s1) IN ('present', 'absent', 'uncertain') THEN lower(s1) END FROM predictions WHERE form = 1 UNION ALL SELECT uid, k, n2, NULL FROM predictions WHERE form = 1 AND uid % 3 <> 0
       UNION ALL SELECT uid, k, said, NULL FROM predictions WHERE NOT (form = 4 AND uid % 2 = 1)""",
     "matched": " UNION ".join(f"SELECT uid, k, {quoted(c)} AS class, coalesce(p, {_BY_WORDS('t')}) AS presence FROM said_texts WHERE regexp_matches(t, {quoted(p)})" for c, p in tx.PATTERNS.items()),
 }
 _JUDGED = _CLAIMS | {
     "verdicts": """SELECT m.uid, m.k, m.class, m.presence, CASE WHEN r.rank IS NULL THEN 'unverifiable' WHEN r.rank = 2 THEN 'unsupported_plausible' WHEN (m.presence = 'present') = (r.rank = 3) THEN 'supported' ELSE 'contradicted' END AS verdict
       FROM matched m LEFT JOIN ranks r ON r.uid = m.uid AND r.class = m.class AND r.src = 'report'""",
-    "judged": f"""SELECT p.uid, p.k, p.prompt_condition, p.primary_diagnosis, count(v.class) AS n_claims, count(*) FILTER (WHERE verdict = 'supported') AS supported, count(*) FILTER (WHERE verdict = 'contradicted') AS contradicted, count(*) FILTER (WHERE verdict = 'unverifiable') AS unverifiable,
+    "judged": f"""SELECT p.uid, p.k, p.prompt_condition, p.said_dx, count(v.class) AS n_claims, count(*) FILTER (WHERE verdict = 'supported') AS supported, count(*) FILTER (WHERE verdict = 'contradicted') AS contradicted, count(*) FILTER (WHERE verdict = 'unverifiable') AS unverifiable,
         count(*) FILTER (WHERE verdict = 'unsupported_plausible') AS unsupported_plausible, any_value(CASE WHEN p.form = 4 AND p.uid % 2 = 1 THEN 0 ELSE len(regexp_extract_all(p.said || ' ' || CASE WHEN p.form = 2 THEN p.cited ELSE '' END, {quoted(tx.FABRICATION)})) END) AS fab_prose,
         any_value(CASE WHEN p.form = 4 AND p.uid % 2 = 1 THEN 0 ELSE len(regexp_extract_all(p.said || ' ' || CASE WHEN p.form = 2 THEN p.cited || ' ' || p.dx2 || ' ' || p.dx3 ELSE '' END, {quoted(tx.FABRICATION)})) END) AS fab, coalesce(list(v.class) FILTER (WHERE v.presence = 'present'), []) AS stated
       FROM predictions p LEFT JOIN verdicts v ON v.uid = p.uid AND v.k = p.k GROUP BY 1, 2, 3, 4""",
@@ -296,7 +301,7 @@ def groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).groupBy("prompt_condition").agg(F.avg("support_rate").alias("support_rate"), F.avg("contradiction_rate").alias("contradiction_rate"), F.avg("n_claims").alias("mean_claims"), F.avg("unverifiable").alias("unverifiable"), F.avg("n_fabricated").alias("fabricated"))
 
 
-_OMIT = _JUDGED | {"omit": "SELECT j.*, t.pos, len(list_filter(t.pos, lambda c: NOT list_contains(j.stated, c) AND NOT list_contains(n.classes, c))) AS n_omitted FROM judged j JOIN truth t ON t.uid = j.uid AND t.src = 'report' JOIN norm n ON n.text = j.primary_diagnosis"}
+_OMIT = _JUDGED | {"omit": "SELECT j.*, t.pos, len(list_filter(t.pos, lambda c: NOT list_contains(j.stated, c) AND NOT list_contains(n.classes, c))) AS n_omitted FROM judged j JOIN truth t ON t.uid = j.uid AND t.src = 'report' JOIN norm n ON n.text = j.said_dx"}
 
 
 def hallucinated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,10 +392,11 @@ def vote_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.vote_sweep(vote_counts(spark, sf_dir), truth, "uid", 5)
 
 
-@query("presence_counts", sql("SELECT name, presence, count(*) AS n FROM (SELECT n1 AS name, lower(s1) AS presence FROM predictions WHERE form = 1 UNION ALL SELECT n2, CASE WHEN uid % 3 <> 0 THEN lower(s2) END FROM predictions WHERE form = 1) GROUP BY 1, 2", "predictions"))
+@query("presence_counts", sql("SELECT n1 AS name, lower(s1) AS presence, count(*) AS n FROM predictions WHERE form = 1 AND lower(s1) IN ('present', 'uncertain') GROUP BY 1, 2", "predictions"))
 def presence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = responses.parse(derived.predictions(spark, sf_dir)).select(F.explode("answer.findings").alias("name", "v"))
-    return rows.groupBy("name", F.lower(F.coalesce("v.presence", "v.status")).alias("presence")).agg(F.count(F.lit(1)).alias("n"))
+    rows = responses.parse(derived.predictions(spark, sf_dir)).select(F.explode_outer("answer.findings").alias("name", "v"))  # no filter on the parsed answer, which would parse it twice
+    said = rows.groupBy("name", F.lower("v.presence").alias("presence")).agg(F.count(F.lit(1)).alias("n"))
+    return said.filter(F.col("presence").isin("present", "uncertain"))
 
 
 @query("verify_merge", sql(f"SELECT uid, k, {S('kept')} AS kept, len(pred) - len(kept) AS rejected FROM (SELECT uid, k, pred, list_filter(pred, lambda c: NOT list_contains(unc, c)) AS kept FROM scored)", "scored"))
@@ -493,7 +499,7 @@ def output_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("ddx_topk_mrr", sql("""SELECT prompt_condition, count(*) AS n, avg(CASE WHEN hit = 1 THEN 1.0 ELSE 0.0 END) AS top1, avg(CASE WHEN hit IS NOT NULL THEN 1.0 ELSE 0.0 END) AS top2, avg(CASE WHEN hit IS NOT NULL THEN 1.0 / hit ELSE 0.0 END) AS mrr
-  FROM (SELECT s.prompt_condition, CASE WHEN list_has_any(a.classes, s.t_ignore) THEN 1 WHEN list_has_any(b.classes, s.t_ignore) THEN 2 END AS hit FROM scored s JOIN norm a ON a.text = s.dx2 JOIN norm b ON b.text = s.dx3 WHERE s.form = 3) GROUP BY 1""", "scored"))
+  FROM (SELECT s.prompt_condition, CASE WHEN form = 0 THEN NULL WHEN list_has_any(a.classes, s.t_ignore) THEN 1 WHEN list_has_any(b.classes, s.t_ignore) THEN 2 END AS hit FROM scored s JOIN norm a ON a.text = s.dx2 JOIN norm b ON b.text = s.dx3 WHERE s.form = 3 OR (s.form = 0 AND s.uid % 2 = 1 AND (s.uid // 5) % 6 = 0)) GROUP BY 1""", "scored"))
 def ddx_topk_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).filter(F.size("answer.differential") > 0)
     hits = F.transform("answer.differential", lambda d, i: F.when(F.arrays_overlap(text.answer_classes(d["diagnosis"]), F.col("t_ignore")), i + 1))

@@ -9,10 +9,10 @@ from itertools import combinations
 
 from .. import taxonomy as tx
 from ..functions import sets
-from ..operators import pairstats, readout, resampling
+from ..operators import pairstats, ranks, readout, resampling, scoring
 from ..sources import studies
-from .derived import CONDITIONS, sql, table
-from .score_queries import EVENTS, events, scored
+from .derived import CONDITIONS, _lists, sql, table
+from .score_queries import _F1, _H, _LEVELS, _P, _R, EVENTS, events, scored
 from .text_queries import query
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -142,8 +142,19 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("uid"), part.alias("split"), F.col("embedding").cast("array<double>").alias("v"), "label").select("uid", "split", F.explode(each).alias("c")).select("uid", "split", "c.*")
 
 
+def rare_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cells, and those of class 10, which has no positives, and of class 11, whose scores are all the least."""
+    e = table(spark, sf_dir, "embeddings")
+    part = F.when(F.col("vec_id") % 10 < 6, "train").when(F.col("vec_id") % 10 < 8, "dev").otherwise("test")
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    each = F.array(*[F.struct(F.lit(c).alias("class"), s.alias("score"), at(1).alias("other"), F.lit(0).alias("y")) for c, s in ((LABELS, at(0)), (LABELS + 1, F.lit(-1.0)))])
+    return cells(spark, sf_dir).unionByName(e.select(F.col("vec_id").alias("uid"), part.alias("split"), F.explode(each).alias("c")).select("uid", "split", "c.*"))
+
+
 _PART = lambda at: f"list_sum(list_filter(CAST(embedding[{at}:{at + 31}] AS DOUBLE[]), lambda x, i: (i - 1) % 10 = c))"
 CELLS = {"cells": f"SELECT vec_id AS uid, CASE WHEN vec_id % 10 < 6 THEN 'train' WHEN vec_id % 10 < 8 THEN 'dev' ELSE 'test' END AS split, CAST(c AS INTEGER) AS class, {_PART(1)} AS score, {_PART(33)} AS other, CASE WHEN label = c THEN 1 ELSE 0 END AS y FROM embeddings, (SELECT unnest(generate_series(0, 9)) AS c)"}
+#: Cells of two more classes, one without positives and one without mass.
+RARE_CELLS = {"cells": f"{CELLS['cells']} UNION ALL SELECT vec_id, CASE WHEN vec_id % 10 < 6 THEN 'train' WHEN vec_id % 10 < 8 THEN 'dev' ELSE 'test' END, c, CASE WHEN c = 10 THEN CAST(embedding[1] AS DOUBLE) ELSE -1.0::DOUBLE END, CAST(embedding[2] AS DOUBLE), 0 FROM embeddings, (SELECT unnest([10, 11]) AS c)"}
 _BINS = lambda where="TRUE": f"SELECT class, score AS s, count(*) AS n, sum(y) AS pos FROM cells WHERE {where} GROUP BY 1, 2"
 
 
@@ -152,6 +163,14 @@ def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readout.auroc(cells(spark, sf_dir), ["class"])
 
 
+@query("auroc_summary", sql("SELECT 'pooled' AS form, CAST(any_value(np) AS BIGINT) AS n_pos, sum(pos * (below + (n - pos) / 2.0)) / (any_value(np) * any_value(nn)) AS auroc FROM (SELECT *, sum(pos) OVER () AS np, sum(n - pos) OVER () AS nn, coalesce(sum(n - pos) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT s, sum(n) AS n, sum(pos) AS pos FROM bins GROUP BY s)) UNION ALL SELECT 'macro', CAST(sum(np) AS BIGINT), avg(a) FROM (SELECT class, any_value(np) AS np, sum(pos * (below + (n - pos) / 2.0)) / (any_value(np) * any_value(nn)) AS a FROM (SELECT *, sum(pos) OVER (PARTITION BY class) AS np, sum(n - pos) OVER (PARTITION BY class) AS nn, coalesce(sum(n - pos) OVER (PARTITION BY class ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM bins) GROUP BY class HAVING any_value(np) >= 5)", more=RARE_CELLS | {"bins": _BINS()}))
+def auroc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC over all cells, and the mean of the classes' with five positives or more."""
+    rows = rare_cells(spark, sf_dir)
+    pooled = readout.auroc(rows, []).select(F.lit("pooled").alias("form"), "n_pos", "auroc")
+    return pooled.unionByName(readout.auroc(rows, ["class"], least=1).filter("n_pos >= 5").agg(F.sum("n_pos").alias("n_pos"), F.avg("auroc").alias("auroc")).select(F.lit("macro").alias("form"), "n_pos", "auroc"))
+
+
 @query("confidence_auroc", sql("SELECT prompt_condition, CAST(any_value(np) AS BIGINT) AS n_pos, CAST(any_value(nn) AS BIGINT) AS n_neg, sum(pos * (below + (n - pos) / 2.0)) / (any_value(np) * any_value(nn)) AS auroc FROM (SELECT *, sum(pos) OVER (PARTITION BY prompt_condition) AS np, sum(n - pos) OVER (PARTITION BY prompt_condition) AS nn, coalesce(sum(n - pos) OVER (PARTITION BY prompt_condition ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM bins) GROUP BY 1", "scored", more={"bins": "SELECT prompt_condition, confidence AS s, count(*) AS n, sum(CASE WHEN correct THEN 1 ELSE 0 END) AS pos FROM scored GROUP BY 1, 2"}))
 def confidence_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).select("prompt_condition", F.col("confidence").cast("double").alias("score"), F.when(F.col("correct"), 1).otherwise(0).alias("y"))
@@ -161,36 +180,52 @@ def confidence_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CUM = "SELECT class, s, n, sum(pos) OVER w AS tp, sum(n) OVER w AS called, sum(pos) OVER (PARTITION BY class) AS total FROM bins WINDOW w AS (PARTITION BY class ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query("f1max_threshold", sql("SELECT class, s AS threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY f1 DESC, s DESC) AS r FROM (SELECT class, s, 2.0::DOUBLE * tp / (called + total) AS f1 FROM cum)) WHERE r = 1", more=CELLS | {"bins": _BINS("split = 'dev'"), "cum": _CUM}))
+_BEST_CUT = "SELECT class, CASE WHEN total > 0 THEN s ELSE top + 1 END AS threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY f1 DESC, s DESC) AS r, max(s) OVER (PARTITION BY class) AS top FROM (SELECT class, s, total, 2.0::DOUBLE * tp / (called + total) AS f1 FROM cum)) WHERE r = 1"
+
+
+@query("f1max_threshold", sql(_BEST_CUT, more=RARE_CELLS | {"bins": _BINS("split = 'dev'"), "cum": _CUM}))
 def f1max_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readout.f1_threshold(cells(spark, sf_dir).filter("split = 'dev'"), ["class"])
+    return readout.f1_threshold(rare_cells(spark, sf_dir).filter("split = 'dev'"), ["class"])
 
 
-@query("threshold_on_test", sql("SELECT c.class, CAST(sum(CASE WHEN c.score >= t.s THEN 1 ELSE 0 END) AS BIGINT) AS called, CAST(sum(CASE WHEN c.score >= t.s THEN y ELSE 0 END) AS BIGINT) AS tp FROM cells c JOIN (SELECT class, s FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY 2.0::DOUBLE * tp / (called + total) DESC, s DESC) AS r FROM cum) WHERE r = 1) t USING (class) WHERE c.split = 'test' GROUP BY c.class", more=CELLS | {"bins": _BINS("split = 'dev'"), "cum": _CUM}))
+@query("threshold_on_test", sql("SELECT c.class, CAST(sum(CASE WHEN c.score >= t.threshold THEN 1 ELSE 0 END) AS BIGINT) AS called, CAST(sum(CASE WHEN c.score >= t.threshold THEN y ELSE 0 END) AS BIGINT) AS tp FROM cells c JOIN best t USING (class) WHERE c.split = 'test' GROUP BY c.class", more=RARE_CELLS | {"bins": _BINS("split = 'dev'"), "cum": _CUM, "best": _BEST_CUT}))
 def threshold_on_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cells(spark, sf_dir)
+    rows = rare_cells(spark, sf_dir)
     called = readout.apply_threshold(rows.filter("split = 'test'"), readout.f1_threshold(rows.filter("split = 'dev'"), ["class"]), ["class"])
     return called.groupBy("class").agg(F.sum("called").alias("called"), F.sum(F.col("called") * F.col("y")).alias("tp"))
 
 
-@query("prevalence_threshold", sql("SELECT class, k, max(s) AS threshold FROM cum JOIN (SELECT d.class, CAST(round_even(d.rate * t.n, 0) AS BIGINT) AS k FROM (SELECT class, avg(y) AS rate FROM cells WHERE split = 'dev' GROUP BY 1) d JOIN (SELECT class, count(*) AS n FROM cells WHERE split = 'test' GROUP BY 1) t USING (class)) USING (class) WHERE called >= k GROUP BY 1, 2", more=CELLS | {"bins": _BINS("split = 'test'"), "cum": _CUM}))
+@query("prevalence_threshold", sql("SELECT class, k, CASE WHEN k > 0 THEN max(s) ELSE max(s) + 1 END AS threshold FROM cum JOIN (SELECT d.class, CAST(round_even(d.rate * t.n, 0) AS BIGINT) AS k FROM (SELECT class, avg(y) AS rate FROM cells WHERE split = 'dev' GROUP BY 1) d JOIN (SELECT class, count(*) AS n FROM cells WHERE split = 'test' GROUP BY 1) t USING (class)) USING (class) WHERE called >= k GROUP BY 1, 2", more=RARE_CELLS | {"bins": _BINS("split = 'test'"), "cum": _CUM}))
 def prevalence_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cells(spark, sf_dir)
+    rows = rare_cells(spark, sf_dir)
     return readout.prevalence_threshold(rows.filter("split = 'dev'"), rows.filter("split = 'test'"), ["class"])
 
 
 _PROB = {"prob": "SELECT class, (score + 1) / 2 AS s, count(*) AS n FROM cells GROUP BY 1, 2", "cump": "SELECT class, s, CAST(sum(n) OVER w AS BIGINT) AS k, sum(n * s) OVER w AS mass, sum(n * s) OVER (PARTITION BY class) AS total FROM prob WINDOW w AS (PARTITION BY class ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}
 
 
-@query("expected_f1_threshold", sql("SELECT class, k, s AS threshold, f AS expected_f1 FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY f DESC, s DESC) AS r FROM (SELECT *, 2.0 * mass / (k + total) AS f FROM cump)) WHERE r = 1", more=CELLS | _PROB))
+@query("expected_f1_threshold", sql("SELECT class, CASE WHEN total > 0 THEN k ELSE 0 END AS k, CASE WHEN total > 0 THEN s ELSE 1.1::DOUBLE END AS threshold, CASE WHEN total > 0 THEN f ELSE 0.0::DOUBLE END AS expected_f1 FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY f DESC, s DESC) AS r FROM (SELECT *, 2.0 * mass / (k + total) AS f FROM cump)) WHERE r = 1", more=RARE_CELLS | _PROB))
 def expected_f1_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readout.expected_f1_threshold(cells(spark, sf_dir).withColumn("score", (F.col("score") + 1) / 2), ["class"])
+    return readout.expected_f1_threshold(rare_cells(spark, sf_dir).withColumn("score", (F.col("score") + 1) / 2), ["class"])
 
 
-@query("quantile_threshold", sql("""SELECT class, t AS threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY f1 DESC, t) AS r FROM (
-  SELECT b.class, q.t, 2.0::DOUBLE * sum(CASE WHEN s >= t THEN pos ELSE 0 END) / (sum(CASE WHEN s >= t THEN n ELSE 0 END) + sum(pos)) AS f1 FROM bins b JOIN (SELECT DISTINCT class, round(unnest(quantile_cont(score, [i / 200.0 for i in range(201)])), 9) AS t FROM cells WHERE split = 'dev' GROUP BY class) q USING (class) GROUP BY 1, 2)) WHERE r = 1""".replace("[i / 200.0 for i in range(201)]", "[" + ", ".join(str(i / 200) for i in range(201)) + "]"), more=CELLS | {"bins": _BINS("split = 'dev'")}))
+@query("quantile_threshold", sql("""SELECT class, CASE WHEN total > 0 THEN t ELSE 0.5::DOUBLE END AS threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY f1 DESC, t) AS r FROM (
+  SELECT b.class, q.t, sum(pos) AS total, 2.0::DOUBLE * sum(CASE WHEN s >= t THEN pos ELSE 0 END) / (sum(CASE WHEN s >= t THEN n ELSE 0 END) + sum(pos)) AS f1 FROM bins b JOIN grid q USING (class) GROUP BY 1, 2)) WHERE r = 1""", more=RARE_CELLS | {"bins": _BINS("split = 'dev'"),
+  "listed": "SELECT class, list_sort(list(score)) AS v, count(*) AS n FROM cells WHERE split = 'dev' GROUP BY class",
+  "places": "SELECT class, v[(i * (n - 1)) // 200 + 1] AS lo, v[least((i * (n - 1)) // 200 + 2, n)] AS hi, (i * (n - 1)) % 200 AS rest FROM listed, (SELECT unnest(range(201)) AS i)",
+  "grid": "SELECT DISTINCT class, CASE WHEN rest = 0 OR lo = hi THEN lo WHEN lo + (hi - lo) * rest / 200 > lo THEN least(lo + (hi - lo) * rest / 200, hi) ELSE hi END AS t FROM places"}))
 def quantile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readout.quantile_threshold(cells(spark, sf_dir).filter("split = 'dev'"), ["class"])
+    return readout.quantile_threshold(rare_cells(spark, sf_dir).filter("split = 'dev'"), ["class"])
+
+
+_SCORE_GRID = {"listed": "SELECT event_type AS name, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY 1", "places": "SELECT name, i, v[(i * (n - 1)) // 20 + 1] AS lo, v[least((i * (n - 1)) // 20 + 2, n)] AS hi, (i * (n - 1)) % 20 AS rest FROM listed, (SELECT unnest(range(21)) AS i)"}
+
+
+@query("value_quantiles", sql("SELECT name, CAST(i AS INTEGER) AS i, CASE WHEN rest = 0 OR lo = hi THEN lo ELSE lo + (hi - lo) * rest / 20 END AS t FROM places", more=_SCORE_GRID))
+def value_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact twentieths of each kind's values, from running counts by ranges."""
+    bins = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name"), F.col("value").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return ranks.quantiles(bins, ["name"], 20).select("name", F.col("i").cast("int").alias("i"), "t")
 
 
 @query("matched_commitment", sql("SELECT class, uid FROM (SELECT class, uid, row_number() OVER (PARTITION BY class ORDER BY score DESC, uid) AS r, sum(CASE WHEN other > 0.15 THEN 1 ELSE 0 END) OVER (PARTITION BY class) AS k FROM cells) WHERE r <= k", more=CELLS))
@@ -258,9 +293,11 @@ def platt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("em_prior", None)
 def em_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cells(spark, sf_dir).withColumn("p", (F.col("score") + 1) / 2)
-    out = readout.shift_prior(rows, {c: 0.5 for c in range(LABELS)})
-    return out.groupBy("class").agg(F.max("prior").alias("prior"), F.avg("p_shifted").alias("mean_p"), F.count(F.lit(1)).alias("n"))
+    """Priors of the test rows by EM from the training rows' rates, on probabilities calibrated on the dev rows."""
+    rows = cells(spark, sf_dir)
+    source = {r["class"]: float(r["rate"]) for r in rows.filter("split = 'train'").groupBy("class").agg(F.avg("y").alias("rate")).collect()}  # a row for each class
+    p = readout.platt(rows.filter("split = 'dev'"), rows.filter("split = 'test'").join(ranks.small(spark.createDataFrame([(c,) for c in source], "class int")), "class"))
+    return readout.shift_prior(p, source).groupBy("class").agg(F.max("prior").alias("prior"), F.avg("p_shifted").alias("mean_p"), F.count(F.lit(1)).alias("n"))
 
 
 @query("bootstrap_auroc", None)
@@ -286,3 +323,56 @@ def glmm_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = resampling.random_intercept(rows.select("uid", "ok", *[c.alias(f"t{i}") for i, c in enumerate(terms.values())]), [f"t{i}" for i in range(len(terms))], "ok")
     named = {f"t{i}": n for i, n in enumerate(terms)}
     return spark.createDataFrame([(named.get(t, t), b, e) for t, b, e in fitted], "term string, estimate double, std_error double")
+
+
+# ---- A ladder of two sites' posteriors. ----
+
+_SITES = {
+    "posts": """SELECT uid, split, class, y, site, least(greatest((x + 1) / 2, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p FROM (SELECT uid, split, class, y, 'score' AS site, score AS x FROM cells UNION ALL SELECT uid, split, class, y, 'other', other FROM cells)""",
+    "rates": "SELECT site, class, greatest(avg(y) FILTER (WHERE split = 'train'), 1e-6::DOUBLE) AS src, avg(y) FILTER (WHERE split = 'dev') AS tgt FROM posts GROUP BY 1, 2",
+    "shifted": "SELECT uid, site, class, p AS raw, (tgt / src * p) / greatest(tgt / src * p + (1 - tgt) / (1 - src) * (1 - p), 1e-12::DOUBLE) AS dev FROM posts JOIN rates USING (site, class) WHERE split = 'test'",
+    "configs": """SELECT 'one site' AS config, uid, class, raw AS s FROM shifted WHERE site = 'score' UNION ALL SELECT 'one site, dev prior', uid, class, dev FROM shifted WHERE site = 'score'
+      UNION ALL SELECT 'both sites', uid, class, avg(raw) FROM shifted GROUP BY 2, 3 UNION ALL SELECT 'both sites, dev prior', uid, class, avg(dev) FROM shifted GROUP BY 2, 3
+      UNION ALL SELECT 'one site, dev cutoff', uid, class, raw FROM shifted WHERE site = 'score' UNION ALL SELECT 'both sites, dev cutoff', uid, class, avg(raw) FROM shifted GROUP BY 2, 3""",
+    "devs": "SELECT 'one site, dev cutoff' AS config, uid, class, y, p AS s FROM posts WHERE split = 'dev' AND site = 'score' UNION ALL SELECT 'both sites, dev cutoff', uid, class, any_value(y), avg(p) FROM posts WHERE split = 'dev' GROUP BY 2, 3",
+    "mass": "SELECT config, class, s, sum(n) OVER w AS k, sum(n * s) OVER w AS mass, sum(n * s) OVER (PARTITION BY config, class) AS total FROM (SELECT config, class, s, count(*) AS n FROM configs WHERE config NOT LIKE '%cutoff' GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY config, class ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "curve": "SELECT config, class, s, sum(pos) OVER w AS tp, sum(n) OVER w AS k, sum(pos) OVER (PARTITION BY config, class) AS total, sum(n) OVER (PARTITION BY config, class) AS all_n FROM (SELECT config, class, s, count(*) AS n, sum(y) AS pos FROM devs GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY config, class ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "cuts": """SELECT config, class, s AS threshold FROM mass QUALIFY row_number() OVER (PARTITION BY config, class ORDER BY 2.0 * mass / (k + total) DESC, s DESC) = 1
+      UNION ALL SELECT config, class, s FROM curve WHERE total > 0 AND total < all_n QUALIFY row_number() OVER (PARTITION BY config, class ORDER BY 2.0::DOUBLE * tp / (k + total) DESC, s DESC) = 1""",
+    "names": "SELECT CAST(i - 1 AS INTEGER) AS class, list_extract(" + _lists(tx.FINDINGS) + ", CAST(i AS INTEGER)) AS name FROM (SELECT unnest(range(1, 11)) AS i)",
+    "sets": """SELECT c.config, c.uid, coalesce(list(n.name) FILTER (WHERE c.s >= t.threshold), []) AS pred FROM configs c JOIN names n USING (class) LEFT JOIN cuts t USING (config, class) GROUP BY 1, 2""",
+    "truths": "SELECT uid, coalesce(list(n.name) FILTER (WHERE y = 1), []) AS truth FROM cells JOIN names n USING (class) GROUP BY 1",
+    "scored": f"SELECT config AS prompt_condition, '' AS difficulty, {_H('pred')} AS pred_h, {_H('truth')} AS truth_h FROM sets JOIN truths USING (uid)",
+    "levels": _LEVELS,
+}
+
+
+def site_posteriors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Posteriors of the test rows by two sites, and the dev rows' probabilities and labels."""
+    p = lambda c: F.least(F.greatest((F.col(c) + 1) / 2, F.lit(1e-6)), F.lit(1 - 1e-6))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("site"), p(c).alias("p")) for c in ("score", "other")])).alias("s")
+    rows = cells(spark, sf_dir).select("uid", "split", "class", "y", each).select("uid", "split", "class", "y", "s.*")
+    of = {k: rows.filter(F.col("split") == k).drop("split") for k in ("train", "dev", "test")}
+    return readout.site_posteriors(of["test"], of["train"], of["dev"], ["site", "class"]), of["dev"]
+
+
+def ladder_configs(posteriors: DataFrame, dev: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """config, uid, class, score and called: of one site and of both sites' means, for each kind of posterior the cutoff of the best expected f1, and for the raw one the dev rows' best."""
+    both = posteriors.groupBy("uid", "class").agg(*[F.avg(k).alias(k) for k in kinds])
+    one = posteriors.filter("site = 'score'")
+    each = lambda df, name: df.select("uid", "class", F.explode(F.array(*[F.struct(F.lit(f"{name}{note}").alias("config"), F.col(k).alias("score")) for k, note in kinds.items()])).alias("c")).select("uid", "class", "c.*")
+    raw = lambda df, name, *more: df.select("uid", "class", F.lit(f"{name}, dev cutoff").alias("config"), F.col(more[0]).alias("score"), *more[1:])
+    chosen = readout.decide(each(one, "one site").unionByName(each(both, "both sites")), ["config", "class"])
+    told = raw(dev.filter("site = 'score'"), "one site", "p", "y").unionByName(raw(dev.groupBy("uid", "class").agg(F.avg("p").alias("p"), F.max("y").alias("y")), "both sites", "p", "y"))
+    held = readout.decide(raw(one, "one site", "raw").unionByName(raw(both, "both sites", "raw")), ["config", "class"], told)
+    return chosen.unionByName(held)
+
+
+@query("site_ladder", sql(f"SELECT prompt_condition AS config, level, {_P} AS precision, {_R} AS recall, {_F1} AS f1 FROM levels GROUP BY 1, 2", more=CELLS | _SITES))
+def site_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores at every level of the posteriors of one site and of two sites' means: as given, under the dev rows' prior, and with the dev rows' cutoffs."""
+    rows = ladder_configs(*site_posteriors(spark, sf_dir), {"raw": "", "dev": ", dev prior"})
+    name = F.element_at(F.array(*[F.lit(c) for c in tx.FINDINGS]), F.col("class") + 1)
+    pred = rows.groupBy("config", "uid").agg(F.collect_set(F.when(F.col("called") == 1, name)).alias("pred"))  # a name for each class at most
+    truth = cells(spark, sf_dir).filter("split = 'test'").groupBy("uid").agg(F.collect_set(F.when(F.col("y") == 1, name)).alias("truth"))
+    return scoring.ladder(pred.join(truth, "uid"), sets.with_parents(F.col("truth")), sets.with_parents(F.col("pred")), ("config",))

@@ -11,8 +11,8 @@ from ..operators import experiments, labeling, requests, responses, sampling, sc
 from ..sources import studies
 from . import derived
 from .derived import _lists, quoted, sql, table
-from .score_queries import _AB, _ACUTE, _F1, _H, _JUDGED, _P, _R, _VOTES, counts, judged, key_k, scored, vote_counts
-from .text_queries import S, images, labelled, query, split
+from .score_queries import _AB, _ACUTE, _F1, _H, _JUDGED, _P, _R, _VOTES, checked, counts, judged, key_k, scored, vote_counts
+from .text_queries import PICKS, S, images, labelled, query, split
 
 # ---- Labels and labelers. ----
 
@@ -43,10 +43,10 @@ def positive_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).groupBy(F.size("pos").alias("n_positive")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("top_errors", sql("SELECT prompt_condition, CAST(place AS INTEGER) AS place, text, n FROM (SELECT prompt_condition, errors AS text, count(*) AS n, row_number() OVER (PARTITION BY prompt_condition ORDER BY count(*) DESC, errors) AS place FROM e GROUP BY 1, 2) WHERE place <= 3", "predictions", more={"e": """SELECT prompt_condition, CASE WHEN form = 4 THEN 'no object' WHEN form = 2 AND (uid % 4 = 1 OR s1 IN ('PRESENT', 'yes', 'possible') OR s2 IN ('PRESENT', 'yes', 'possible')) THEN 'extracted_evidence is wrong' WHEN form = 1 AND s1 IN ('PRESENT', 'yes', 'possible') THEN 'presence is no state' ELSE '' END AS errors FROM predictions"""}))
+@query("top_errors", sql("SELECT prompt_condition, CAST(place AS INTEGER) AS place, text, n FROM (SELECT prompt_condition, errors AS text, count(*) AS n, row_number() OVER (PARTITION BY prompt_condition ORDER BY count(*) DESC, errors) AS place FROM e GROUP BY 1, 2) WHERE place <= 3", "predictions", more={"e": "SELECT prompt_condition, array_to_string(errors, ';') AS errors FROM predictions"}))
 def top_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most frequent error strings of each condition's answers ('' for valid ones)."""
-    rows = derived.predictions(spark, sf_dir).withColumn("errors", F.array_join(responses.schema_errors(F.col("response")), ";"))
+    rows = checked(spark, sf_dir).withColumn("errors", F.array_join("errors", ";"))
     return experiments.top_texts(rows, ("prompt_condition",), "errors", most=3)
 
 
@@ -145,7 +145,7 @@ def vote_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.vote_best_of(vote_counts(spark, sf_dir), truth, "uid", 5, tx.JUNK)
 
 
-_VALID = "NOT (form = 4 OR (form = 2 AND (uid % 4 = 1 OR s1 IN ('PRESENT', 'yes', 'possible') OR s2 IN ('PRESENT', 'yes', 'possible'))) OR (form = 1 AND s1 IN ('PRESENT', 'yes', 'possible')))"
+_VALID = "len(errors) = 0"
 _BPRF = lambda a, b: f"CASE WHEN {a} + {b} > 0 THEN sum(btp) * 1.0 / ({a} + {b}) ELSE 0.0 END"
 _RUNGS = f"""SELECT prompt_condition, count(*) AS n, quantile_cont(prompt_tokens, 0.5) AS median_tokens, {_P} AS precision, {_R} AS recall, {_F1} AS f1, avg(CASE WHEN ta = pa THEN 1.0 ELSE 0.0 END) AS binary_accuracy, {_BPRF('sum(btp)', 'sum(bfp)')} AS binary_precision, {_BPRF('sum(btp)', 'sum(bfn)')} AS binary_recall,
   CASE WHEN 2 * sum(btp) + sum(bfp) + sum(bfn) > 0 THEN 2.0 * sum(btp) / (2 * sum(btp) + sum(bfp) + sum(bfn)) ELSE 0.0 END AS binary_f1, avg(len(pred_h)) AS findings_per_study, sum(fp) * 1.0 / count(*) AS fp_per_study, sum(fn) * 1.0 / count(*) AS fn_per_study, avg(CASE WHEN pa THEN 1.0 ELSE 0.0 END) AS abnormal, avg(CASE WHEN {_VALID} THEN 1.0 ELSE 0.0 END) AS schema_valid
@@ -153,7 +153,7 @@ _RUNGS = f"""SELECT prompt_condition, count(*) AS n, quantile_cont(prompt_tokens
 
 
 def rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = F.size(responses.schema_errors(F.col("response"))) == 0
+    valid = F.size(responses.schema_errors(F.col("json"))) == 0
     return experiments.rung_scores(scored(spark, sf_dir), "prompt_condition", F.col("truth_h"), F.col("pred_h"), valid=valid)
 
 
@@ -169,15 +169,15 @@ def information_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("arm_validity", sql(f"SELECT prompt_condition, count(*) AS n, avg(CASE WHEN {_VALID} THEN 1.0 ELSE 0.0 END) AS valid, CAST(sum(CASE WHEN api_error <> '' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM predictions GROUP BY 1", "predictions"))
 def arm_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.predictions(spark, sf_dir).withColumn("valid", F.when(F.size(responses.schema_errors(F.col("response"))) == 0, 1.0).otherwise(0.0))
+    rows = checked(spark, sf_dir).withColumn("valid", F.when(F.size("errors") == 0, 1.0).otherwise(0.0))
     return rows.groupBy("prompt_condition").agg(F.count(F.lit(1)).alias("n"), F.avg("valid").alias("valid"), F.sum(F.when(F.col("api_error") != "", 1).otherwise(0)).alias("errors"))
 
 
 @query("samples_health", sql(f"SELECT count(*) AS n, CAST(sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without_valid, avg(v) AS mean_valid FROM (SELECT uid, sum(CASE WHEN {_VALID} AND uid % 3 <> 0 THEN 1 ELSE 0 END) AS v FROM predictions GROUP BY uid)", "predictions"))
 def samples_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Studies, those without a valid sample, and valid samples a study; samples of every third study count as failed."""
-    valid = (F.size(responses.schema_errors(F.col("response"))) == 0) & (F.col("uid") % 3 != 0)
-    rows = derived.predictions(spark, sf_dir).groupBy("uid").agg(F.sum(F.when(valid, 1).otherwise(0)).alias("v"))
+    valid = (F.size("errors") == 0) & (F.col("uid") % 3 != 0)
+    rows = checked(spark, sf_dir).groupBy("uid").agg(F.sum(F.when(valid, 1).otherwise(0)).alias("v"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("v") == 0, 1).otherwise(0)).alias("without_valid"), F.avg("v").alias("mean_valid"))
 
 
@@ -192,7 +192,7 @@ _G = {
 @query("arm_gates", sql(" UNION ALL ".join((_GATE("parts", "avg(CASE WHEN rendered IS NOT NULL THEN CASE WHEN sent = rendered THEN 1.0 ELSE 0.0 END END)", 1.0), _GATE("tokens", _ONE("tokens > 0"), 1e-12), _GATE("deferred", _ONE("dx = 'DEFERRED'"), 0.9), _GATE("findings", _ONE("findings NOT IN ('', '{}', 'nan')"), 0.9), _GATE("text_only", _ONE("sent_b = 0"), 1.0), _GATE("valid_a", _ONE("va"), 0.9), _GATE("valid_b", _ONE("vb"), 0.9), _GATE("payload", _ONE("tokens > tokens_0"), 0.9))), "predictions", more=_G))
 def arm_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checks of a two-stage arm: the first two answers of each report as its stages, the third as the baseline, the turns of conversations as rendered parts."""
-    rows = derived.predictions(spark, sf_dir).withColumn("valid", F.size(responses.schema_errors(F.col("response"))) == 0)
+    rows = checked(spark, sf_dir).withColumn("valid", F.size("errors") == 0)
     form = (F.col("uid") + F.col("k")) % 5
     a = rows.filter("k = 0").select("uid", "n_image_parts", "prompt_tokens", F.when(F.col("uid") % 20 == 1, F.col("primary_diagnosis")).otherwise("Deferred ").alias("primary_diagnosis"), "valid")
     b = rows.filter("k = 1").select("uid", F.when(F.col("uid") % 50 == 0, 1).otherwise(0).alias("n_image_parts"), F.when(form == 1, '{"x": 1}').when(form == 2, "").otherwise("none").alias("stage_a_findings"), "valid")
@@ -277,11 +277,7 @@ def stage_b_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("uid", F.md5(said).alias("prompt_hash"), F.length(said).cast("long").alias("chars"))
 
 
-_OVER = "SELECT uid, list_filter(pred_h, lambda c: NOT list_contains(truth_h, c)) AS over_called FROM scored WHERE k = 0"
-_FIRST = "CASE " + " ".join(f"WHEN list_contains(over_called, {quoted(c)}) THEN {quoted(c)}" for c in tx.OFTEN_DISPUTED) + " END"
-
-
-@query("disputed_sample", sql("SELECT uid, class FROM picked UNION ALL SELECT uid, NULL FROM (SELECT uid, row_number() OVER (ORDER BY md5('disputed more|' || uid), uid) AS place FROM over_all WHERE len(over_called) > 0 AND uid NOT IN (SELECT uid FROM picked)) WHERE place <= 70 - (SELECT count(*) FROM picked)", "scored", more={"over_all": _OVER, "picked": f"SELECT uid, class FROM (SELECT uid, class, row_number() OVER (PARTITION BY class ORDER BY md5('disputed|' || uid), uid) AS place FROM (SELECT uid, {_FIRST} AS class FROM over_all) WHERE class IS NOT NULL) WHERE place <= 15"}))
+@query("disputed_sample", sql("SELECT uid, class FROM picked UNION ALL SELECT uid, NULL FROM (SELECT uid, row_number() OVER (ORDER BY md5('disputed more|' || uid), uid) AS place FROM over_all WHERE len(over_called) > 0 AND uid NOT IN (SELECT uid FROM picked)) WHERE place <= 70 - (SELECT count(*) FROM picked)", "scored", more=PICKS))
 def disputed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifteen studies of each often disputed class, topped up to 70 with other disputed ones."""
     rows = scored(spark, sf_dir).filter("k = 0").select("uid", F.array_except("pred_h", "truth_h").alias("disputed"))

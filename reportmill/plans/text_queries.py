@@ -166,9 +166,14 @@ def proportional_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.draw_share(table(spark, sf_dir, "documents"), "source", 0.05, seed="expert", nearest=True).select("doc_id", "source")
 
 
-@query("enriched_sample", sql("""SELECT uid, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('disputed|' || uid), uid) AS place FROM (
-    SELECT uid, CASE WHEN list_contains(over_called, 'Atelectasis') THEN 'Atelectasis' WHEN list_contains(over_called, 'Support Devices') THEN 'Support Devices' WHEN list_contains(over_called, 'Lung Opacity') THEN 'Lung Opacity' WHEN list_contains(over_called, 'Cardiomegaly') THEN 'Cardiomegaly' END AS class
-    FROM (SELECT uid, list_filter(pred_h, lambda c: NOT list_contains(truth_h, c)) AS over_called FROM scored WHERE k = 0)) WHERE class IS NOT NULL) WHERE place <= 15""", "scored"))
+#: Of each often disputed class in turn the first studies that no earlier class has taken.
+PICKS = {"over_all": "SELECT uid, list_filter(pred_h, lambda c: NOT list_contains(truth_h, c)) AS over_called FROM scored WHERE k = 0"} | {
+    f"pick{i}": f"SELECT uid, {quoted(c)} AS class FROM over_all WHERE list_contains(over_called, {quoted(c)})" + "".join(f" AND uid NOT IN (SELECT uid FROM pick{j})" for j in range(i)) + " ORDER BY md5('disputed|' || uid), uid LIMIT 15"
+    for i, c in enumerate(tx.OFTEN_DISPUTED)
+} | {"picked": " UNION ALL ".join(f"SELECT * FROM pick{i}" for i in range(len(tx.OFTEN_DISPUTED)))}
+
+
+@query("enriched_sample", sql("SELECT uid, class FROM picked", "scored", more=PICKS))
 def enriched_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .score_queries import scored
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import taxonomy as tx
 from ..functions.text import cleaned, report_text
@@ -51,6 +56,11 @@ def replace_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
     return labels.join(new.select("labeler").distinct(), "labeler", "left_anti").unionByName(new)
 
 
+def put_labels(new: DataFrame, path: str) -> None:
+    """Writes new's labelers in the place of their old rows in a stored table of labels; other labelers' files aren't touched. Done again after a failure it gives the same table."""
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("labeler").parquet(path)
+
+
 def load_features(features: DataFrame, sites: list[str], uids: DataFrame | None = None) -> DataFrame:
     """uid and vec: each uid's vectors of all the sites, one behind the other in the order given; uids that lack a site are left out."""
     order = F.array_position(F.array(*[F.lit(s) for s in sites]), F.col("site"))
@@ -67,9 +77,37 @@ def audit_parts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("variant", "kind").agg(F.count(F.lit(1)).alias("parts"), F.countDistinct("uid").alias("studies"), (F.count("sha256") - F.countDistinct("sha256")).alias("duplicates"), F.min(side).alias("min_side"), F.percentile(side, F.lit(0.5)).alias("median_side"), F.max(side).alias("max_side"))
 
 
+def image_sides(content: bytes | None) -> tuple[int | None, int | None]:
+    """Width and height that the header of a PNG or JPEG file states; nulls for other or broken files."""
+    content = content or b""
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and content[12:16] == b"IHDR" and len(content) >= 24:
+        return struct.unpack(">II", content[16:24])
+    if content[:2] != b"\xff\xd8":
+        return None, None
+    at = 2
+    while at + 4 <= len(content) and content[at] == 0xFF:
+        kind = content[at + 1]
+        if kind == 0xFF or kind == 0x01 or 0xD0 <= kind <= 0xD8:  # padding, and markers without a length
+            at += 1 if kind == 0xFF else 2
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's header
+            return struct.unpack(">HH", content[at + 5 : at + 9])[::-1] if at + 9 <= len(content) else (None, None)
+        elif kind in (0xD9, 0xDA):
+            break
+        else:
+            at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return None, None
+
+
+@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType())]))
+def _sides(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in batches:
+        yield pd.DataFrame([image_sides(x) for x in s], columns=["width", "height"]).astype("Int32")
+
+
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and sha256 of image files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length, sha256, width and height of image files; sides are null where the header states none."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"), _sides("content").alias("s")).select("path", "length", "sha256", "s.*")
 
 
 def read_expert_labels(spark: SparkSession, path: str, classes=tx.FINDINGS) -> DataFrame:
@@ -90,6 +128,19 @@ def write_table(df: DataFrame, path: str, by: str | None = None, fmt: str = "par
     (writer.partitionBy(by) if by else writer).save(path)
 
 
+def put_done(rows: DataFrame, path: str, run: str) -> None:
+    """Appends a run's results to a stored table of checkpoints. A run that is done again replaces its own rows only, so a failed one leaves no row twice."""
+    rows.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def read_done(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The stored results, of each key that of the last run (by name); an empty folder's table has to be made by put_done first."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "run")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("run").cast("string")).alias("__last"))
+    return last.select(*keys, "__last.*")
+
+
 def still_to_do(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks whose key isn't among those done."""
     return tasks.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -1,6 +1,7 @@
 """Parsing, predicted sets, claims, scores and calibration on hand-written cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ def parsed(spark, *raw):
 def test_parsing_and_mending(spark):
     cut = '{"primary_diagnosis": "Edema", "confidence": 70, "extracted_evidence": [{"finding": "x", "presence": "pres'
     rows = parsed(spark, '```json\n{"primary_diagnosis": "Edema"}\n```', 'Sure: {"primary_diagnosis": "Edema"} done', cut, "nothing", None, "[1, 2]", '{"a": ').collect()
-    assert [r.json is not None for r in rows] == [True, True, True, False, False, False, False] or rows[6].json == "{}"
+    assert [r.json is not None for r in rows] == [True, True, True, False, False, False, False]
     assert all(r.answer.primary_diagnosis == "Edema" for r in rows[:3])
     assert rows[3].pred == ["Pneumonia"] and rows[4].pred == ["Pneumonia"]
 
@@ -57,9 +58,10 @@ def errors(spark, obj):
 def test_schema(spark):
     good = {"primary_diagnosis": "x", "confidence": 80, "explanation": "y"}
     assert errors(spark, good) == []
-    assert errors(spark, good | {"confidence": 130}) == ["confidence is out of range"]
-    assert errors(spark, {"confidence": "a"}) == ["primary_diagnosis is missing", "explanation is missing", "confidence is no integer"]
-    assert errors(spark, "no") == ["no object"]
+    assert errors(spark, good | {"confidence": 130}) == ["confidence: maximum"]
+    assert errors(spark, good | {"confidence": 85.0}) == []
+    assert errors(spark, {"confidence": "a"}) == ["confidence: type", "explanation: required", "primary_diagnosis: required"]
+    assert errors(spark, "no") == ["no object"] and errors(spark, [1]) == ["$: type"]
     conf = spark.createDataFrame([("130",), ("-4",), ("2.5",), ("3.5",), ("x",)], "c string").select(responses.coerced_confidence(F.col("c"))).collect()
     assert [r[0] for r in conf] == [100, 0, 2, 4, 50]
 
@@ -128,8 +130,8 @@ def test_odd_entries_lose_nothing_else(spark):
         got = parsed(spark, raw).select(responses.predicted_set(F.col("answer"), F.lit(""), use_differential=True)).first()[0]
         assert got == want, probability
     claims = parsed(spark, json.dumps({"explanation": "", "extracted_evidence": odd, "findings": mixed})).select(responses.claims(F.col("answer"))).first()[0]
-    assert ("Edema", "yes") in {(c["class"], c["presence"]) for c in claims} and ("Pneumonia", "present") in {(c["class"], c["presence"]) for c in claims}
-    assert errors(spark, {"primary_diagnosis": "x", "confidence": 80, "explanation": "y", "extracted_evidence": odd}) == ["extracted_evidence is wrong"]
+    # Findings that are plain words, numbers or null claim nothing.
+    assert {(c["class"], c["presence"]) for c in claims} == {("Edema", "yes"), ("Edema", "present")}
 
 
 def test_clauses_and_their_negations(spark):
@@ -140,3 +142,101 @@ def test_clauses_and_their_negations(spark):
     assert [r[0] for r in rows.select(text.answer_classes(F.col("t"))).collect()] == list(cases.values())
     assert rows.filter("t = 'no pneumonia'").select(text.answer_classes(F.col("t"), negation=False)).first()[0] == ["Pneumonia"]
     assert spark.range(1).select(text.answer_classes(F.lit(None).cast("string"))).first()[0] == []
+
+
+# ---- The whole contract, against a plain validator ----
+
+
+def broken(schema, v, path=""):
+    """What a schema finds wrong with a value, rule by rule as the draft states them."""
+    number = isinstance(v, (int, float)) and not isinstance(v, bool)
+    kinds = {"object": isinstance(v, dict), "array": isinstance(v, list), "string": isinstance(v, str), "boolean": isinstance(v, bool), "null": v is None, "number": number, "integer": number and float(v).is_integer()}
+    at, below, out = path or "$", f"{path}." if path else "", []
+    told = schema.get("type", [])
+    if told and not any(kinds[k] for k in ([told] if isinstance(told, str) else told)):
+        out.append(f"{at}: type")
+    if "enum" in schema and not any(type(v) is type(x) and v == x for x in schema["enum"]):
+        out.append(f"{at}: enum")
+    if number:
+        out += [f"{at}: {name}" for name, bad in (("minimum", v < schema.get("minimum", v)), ("maximum", v > schema.get("maximum", v))) if bad]
+    if isinstance(v, dict):
+        known = schema.get("properties", {})
+        out += [f"{below}{k}: required" for k in schema.get("required", []) if k not in v]
+        for k, x in v.items():
+            more = schema.get("additionalProperties", True)
+            if k in known:
+                out += broken(known[k], x, f"{below}{k}")
+            elif more is False:
+                out.append(f"{at}: additionalProperties")
+            elif more is not True:
+                out += broken(more, x, f"{below}*")
+    if isinstance(v, list):
+        out += [e for x in v for e in broken(schema.get("items", {}), x, f"{path}[]")]
+        out += [f"{at}: {name}" for name, bad in (("minItems", len(v) < schema.get("minItems", 0)), ("maxItems", len(v) > schema.get("maxItems", len(v)))) if bad]
+    return out
+
+
+def test_contract_as_a_plain_validator(spark):
+    from reportmill import taxonomy as tx
+
+    pick = random.Random(7)
+    odd = [None, True, False, 0, 5, -1, 101, 85.0, 85.5, 1e2, 1e300, "", "x", "present", "absent", "PRESENT", [], {}, [1], {"a": 1}]
+    some = lambda: pick.choice(odd)
+
+    def part(names):
+        return pick.choice([some(), {n: some() for n in names if pick.random() < 0.8}, {n: pick.choice(["present", "x", 7]) for n in names}])
+
+    answers = []
+    for _ in range(260):
+        a = {k: some() for k in ("primary_diagnosis", "confidence", "explanation", "reasoning", "uncertainty_statement", "abstained", "other") if pick.random() < 0.5}
+        a |= {"primary_diagnosis": "x", "confidence": 70, "explanation": "y"} if pick.random() < 0.6 else {}
+        for k, names in (("extracted_evidence", ("finding", "location", "presence", "confidence")), ("differential", ("diagnosis", "probability", "rationale"))):
+            if pick.random() < 0.6:
+                a[k] = pick.choice([some(), [part(names) for _ in range(pick.randint(0, 4))]])
+        if pick.random() < 0.6:
+            a["findings"] = pick.choice([some(), {f"f{i}": part(("presence", "status", "confidence")) for i in range(pick.randint(0, 3))}])
+        if pick.random() < 0.4:
+            a["cited_findings"] = pick.choice([some(), [some(), "x"]])
+        answers.append(a)
+    answers += [[1, 2], "text", 7, None, {}]
+    rows = spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(answers)], "i int, r string")
+    got = {r.i: r.e for r in rows.select("i", responses.schema_errors(F.col("r")).alias("e")).collect()}
+    for i, a in enumerate(answers):
+        assert got[i] == sorted(broken(tx.RESPONSE_SCHEMA, a)), a
+    assert sum(not e for e in got.values()) > 5 and len({e for x in got.values() for e in x}) > 20
+
+
+def test_other_rules_of_schemas(spark):
+    from reportmill.operators.schema import compiled
+
+    schema = {"type": ["object", "null"], "properties": {"a": {"type": "array", "items": {"enum": [1, "x", None, True]}, "minItems": 1, "maxItems": 2}, "b": {"type": "number", "minimum": 0}}, "additionalProperties": False}
+    values = [None, {}, {"a": []}, {"a": [1, "x", None]}, {"a": [2, False]}, {"b": -1}, {"b": 0.5, "c": 1, "d": 2}, "no"]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, r string")
+    got = {r.i: r.e for r in rows.select("i", compiled(schema)(F.parse_json("r")).alias("e")).collect()}
+    assert [got[i] for i in range(len(values))] == [sorted(broken(schema, v)) for v in values]
+    with pytest.raises(ValueError, match="not supported"):
+        compiled({"oneOf": []})(F.parse_json(F.lit("1")))
+
+
+def test_prose_and_broken_objects_keep_the_fallback(spark):
+    rows = parsed(spark, "I think {maybe} it is bad", 'Sure: {"primary_diagnosis": "Edema", "x": [1', "{maybe", '```json\n{"primary_diagnosis": "Edema", "x": [1', '{"primary_diagnosis": ').collect()
+    assert [r.json is not None for r in rows] == [False, False, False, True, False]
+    assert [r.pred for r in rows] == [["Pneumonia"], ["Pneumonia"], ["Pneumonia"], ["Edema"], ["Pneumonia"]]
+
+
+def test_null_presences_and_repeated_names(spark):
+    assert predicted(spark, primary_diagnosis="", findings={"Edema": {"presence": None, "status": "present"}, "Fracture": {"status": "present"}}) == ["Fracture"]
+    twice = '{"primary_diagnosis": "", "findings": {"Edema": {"presence": "present"}, "Edema": {"presence": "absent"}, "Fracture": {"presence": "absent", "presence": "present"}}}'
+    row = parsed(spark, twice).withColumn("e", responses.schema_errors(F.col("json"))).first()
+    assert row.pred == ["Fracture"] and row.e == ["confidence: required", "explanation: required"]
+    nan = parsed(spark, '{"primary_diagnosis": "Edema", "confidence": NaN}').first()
+    assert nan.pred == ["Edema"] and nan.answer.confidence is None
+
+
+def test_a_diagnosis_that_is_no_text(spark):
+    for dx in (["Pneumonia"], {"a": "Pneumonia"}, 5, None, True):
+        row = parsed(spark, json.dumps({"primary_diagnosis": dx, "explanation": "edema"})).first()
+        assert row.pred == [] and row.answer.primary_diagnosis is None
+    # The whole response's set reads what is written, whatever its kind.
+    rows = parsed(spark, json.dumps({"primary_diagnosis": ["Pneumonia"], "explanation": "edema"}), "nothing")
+    assert [sorted(r[0]) for r in rows.select(scoring.full_response_set(F.col("answer"), F.col("primary_diagnosis"))).collect()] == [["Edema", "Pneumonia"], ["Pneumonia"]]

@@ -253,3 +253,181 @@ def test_probe_fits_all_classes_at_once(spark):
 def test_shuffled_null(spark):
     got = {r["class"]: r for r in readout.shuffled_null(probe_rows(spark), [0, 1, 2], shuffles=12).collect()}
     assert got[2].auroc > got[2].null_hi and got[2].perm_p == pytest.approx(1 / 13) and all(0.3 < r.null_mean < 0.7 and r.null_lo <= r.null_mean <= r.null_hi for r in got.values())
+
+
+# ---- Cutoffs, quantiles, false discovery rates ----
+
+
+def cells_of(spark, rows):
+    return spark.createDataFrame(rows, "uid long, class string, score double, y int")
+
+
+def test_cutoffs_that_call_nothing(spark):
+    """A class without positives, one without mass, one of a single cell, beside a usual one."""
+    pick = random.Random(3)
+    rows = [(u, "usual", round(pick.random(), 2), int(u % 4 == 0)) for u in range(40)] + [(u, "none", round(pick.random(), 2), 0) for u in range(40)] + [(u, "massless", 0.0, 0) for u in range(5)] + [(1, "single", 0.4, 1)]
+    df = cells_of(spark, rows)
+    of = lambda found: {r["class"]: r for r in found.collect()}
+    scores = lambda c: [r[2] for r in rows if r[1] == c]
+    f1 = of(readout.f1_threshold(df, ["class"]))
+    assert f1["none"].threshold == max(scores("none")) + 1 and f1["massless"].threshold == 1.0 and f1["single"].threshold == 0.4
+    prevalence = of(readout.prevalence_threshold(df, df, ["class"]))
+    assert prevalence["none"].k == 0 and prevalence["none"].threshold == max(scores("none")) + 1
+    assert prevalence["usual"].k == 10 and prevalence["usual"].threshold == sorted(scores("usual"))[-10]
+    expected = of(readout.expected_f1_threshold(df, ["class"]))
+    assert (expected["massless"].k, expected["massless"].threshold, expected["massless"].expected_f1) == (0, 1.1, 0.0)
+    quantile = of(readout.quantile_threshold(df, ["class"]))
+    assert quantile["none"].threshold == quantile["massless"].threshold == 0.5 and quantile["single"].threshold == 0.4
+    for name, cut in (("f1", f1), ("prevalence", prevalence)):
+        called = readout.apply_threshold(df, spark.createDataFrame([(c, r.threshold) for c, r in cut.items()], "class string, threshold double"), ["class"])
+        assert called.filter("class in ('none', 'massless') and called = 1").count() == 0, name
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_quantiles_as_numpy(spark, monkeypatch, few):
+    """Also with groups cut into ranges: no cutoff is rounded, and one that lies on a score is that score."""
+    monkeypatch.setattr(ranks, "FEW_VALUES", few)
+    monkeypatch.setattr(ranks, "RANGES", 8)
+    pick = random.Random(8)
+    groups = {"many": [pick.random() for _ in range(700)], "tied": [pick.choice([0.1, 0.2, 1 / 3]) for _ in range(300)], "two": [0.1, 0.7], "one": [0.3]}
+    bins = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v], "g string, s double").groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"))
+    got = {(r.g, r.i): r for r in ranks.quantiles(bins, ["g"], 200).collect()}
+    assert len(got) == 4 * 201
+    for g, v in groups.items():
+        for i in range(201):
+            r, want = got[g, i], np.quantile(v, i / 200)
+            assert r.t == pytest.approx(want, abs=1e-12)
+            assert r.upto_n == sum(x >= r.t for x in v) and r.all_n == len(v)
+            if i * (len(v) - 1) % 200 == 0:
+                assert r.t == sorted(v)[i * (len(v) - 1) // 200]
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_fdr_by_ranges(spark, monkeypatch, few):
+    monkeypatch.setattr(ranks, "FEW_VALUES", few)
+    monkeypatch.setattr(ranks, "RANGES", 8)
+    pick = random.Random(4)
+    rows = [(f, pick.choice([1.0, pick.random() ** 3, round(pick.random(), 1)])) for f in ("a", "a", "b", None) for _ in range(150)] + [("a", None), ("c", 0.2)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, f string, p double")
+    got = {r.i: r.p_fdr for r in pairstats.fdr(df, ["f"], "p").collect()}
+    assert len(got) == len(rows)
+    for f in {f for f, _ in rows}:
+        own = sorted((p, i) for i, (g, p) in enumerate(rows) if g == f and p is not None)
+        least = 1.0
+        for at in range(len(own), 0, -1):
+            least = min(least, own[at - 1][0] * len(own) / at)
+            assert got[own[at - 1][1]] == pytest.approx(least, abs=1e-12)
+    assert got[rows.index(("a", None))] is None
+
+
+def test_auroc_replicates_with_many_scores_and_a_filled_range(spark):
+    """Replicate 0 is the AUROC, however many scores there are; a score of a third of all cells is dealt over several tasks."""
+    pick = random.Random(6)
+    rows = [(u, "xy"[u % 2], int(pick.random() < 0.2), 0.25 if pick.random() < 0.35 else pick.gauss(0, 1), pick.random()) for u in range(10_000)]
+    df = spark.createDataFrame(rows, "uid long, class string, y int, a double, b double").repartition(6)
+    got = {r.replicate: r for r in resampling.auroc_replicates(df, "uid", ["a", "b"], 3, ranges=16, salts=4).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for s in "ab":
+        cells = df.select("class", F.col(s).alias("score"), "y")
+        assert got[0][f"pooled_{s}"] == pytest.approx(readout.auroc(cells, []).first().auroc, abs=1e-12)
+        assert got[0][f"macro_{s}"] == pytest.approx(np.mean([r.auroc for r in readout.auroc(cells, ["class"]).collect()]), abs=1e-12)
+    other = {r.replicate: r for r in resampling.auroc_replicates(df.repartition(3), "uid", ["a", "b"], 3, ranges=5, salts=2).collect()}
+    assert all(other[r][c] == pytest.approx(got[r][c], abs=1e-12) for r in got for c in ("pooled_a", "macro_a", "pooled_b", "macro_b"))
+
+
+@pytest.mark.parametrize("digit", [12, 3])
+def test_smallest_numbers(spark, digit):
+    keys = spark.range(500).select(F.xxhash64("id").alias("k")).repartition(3).persist()
+    wanted = np.array([0, 1, 250, 500, 37, 2])
+    upto = readout.smallest(keys, wanted, digit)
+    x = readout.drawn_numbers(np.array([r.k for r in keys.collect()]), len(wanted))
+    assert [(x[:, t] <= upto[t]).sum() for t in range(1, len(wanted))] == wanted[1:].tolist()
+
+
+def test_platt_is_the_likeliest_line(spark):
+    pick = random.Random(2)
+    rows = [(u, c, round(pick.gauss(0, 1), 2), 0) for u in range(300) for c in ("p", "q")]
+    rows = [(u, c, s, int(pick.random() < 1 / (1 + np.exp(-(2 * s - 1 if c == "p" else 0.3 - s))))) for u, c, s, _ in rows]
+    df = cells_of(spark, rows)
+    got = readout.platt(df, df).collect()
+    for c in "pq":
+        own = [r for r in got if r["class"] == c]
+        assert abs(sum(r.p - r.y for r in own)) < 1e-3 and abs(sum((r.p - r.y) * r.score for r in own)) < 1e-3
+    assert readout.platt(df.filter("class = 'p'"), df).select("class").distinct().count() == 1
+
+
+def test_posteriors_of_sites_and_decisions(spark):
+    """EM finds a shifted rate; classes without mass, or of one label on dev, call nothing."""
+    pick = random.Random(12)
+
+    def cells(n, rate, first):
+        out = []
+        for u in range(first, first + n):
+            y = int(pick.random() < rate)
+            for site in ("s", "t"):
+                odds = np.exp(pick.gauss(2.2 if y else -2.2, 2.1))
+                out.append((u, site, "x", float(0.5 * odds / (0.5 * odds + 0.5)), y))
+                out.append((u, site, "empty", 0.0, 0))
+        return spark.createDataFrame(out, "uid long, site string, class string, p double, y int")
+
+    train, dev, test = cells(400, 0.5, 0), cells(300, 0.15, 1000), cells(400, 0.15, 2000)
+    posts = readout.site_posteriors(test, train, dev, ["site", "class"])
+    means = {r["class"]: r for r in posts.groupBy("class").agg(F.avg("raw").alias("raw"), F.avg("em").alias("em"), F.avg("dev").alias("dev")).collect()}
+    assert abs(means["x"].em - 0.15) < 0.05 and abs(means["x"].dev - 0.15) < 0.06 and means["x"].raw > 0.2
+    both = readout.site_mean(posts.withColumn("score", F.col("em")), ["uid", "class"], "score")
+    called = {r["class"]: r.n for r in readout.decide(both, ["class"]).groupBy("class").agg(F.sum("called").alias("n")).collect()}
+    assert called["empty"] == 0 and 20 < called["x"] < 150
+    told = dev.groupBy("uid", "class").agg(F.avg("p").alias("score"), F.max("y").alias("y"))
+    held = {r["class"]: r.n for r in readout.decide(both, ["class"], told).groupBy("class").agg(F.sum("called").alias("n")).collect()}
+    assert held["empty"] == 0 and held["x"] > 0
+
+
+# ---- Stored tables and image files ----
+
+
+def test_labels_are_replaced_in_place(spark, tmp_path):
+    path = f"file://{tmp_path}/labels"
+    rows = lambda name, n: spark.createDataFrame([(u, name, "Edema", n) for u in range(3)], "uid long, labeler string, class string, state int")
+    studies.put_labels(rows("old", 1).unionByName(rows("other", 2)), path)
+    for _ in range(2):  # a retry changes nothing
+        studies.put_labels(rows("old", 5), path)
+    assert sorted((r.labeler, r.state) for r in spark.read.parquet(path).collect()) == [("old", 5)] * 3 + [("other", 2)] * 3
+
+
+def test_runs_are_resumed(spark, tmp_path):
+    """A run that broke off and is done again leaves no row twice, and what is done isn't asked for again."""
+    path = f"file://{tmp_path}/done"
+    tasks = spark.createDataFrame([(u, c) for u in range(4) for c in ("a", "b")], "uid long, arm string")
+    answers = lambda df, text: df.withColumn("answer", F.lit(text))
+    studies.put_done(answers(tasks.filter("uid < 2"), "first"), path, "0001")
+    with pytest.raises(Exception, match="broken off"):
+        studies.put_done(answers(tasks.filter("uid = 2"), "lost").withColumn("answer", F.raise_error(F.lit("broken off")).cast("string")), path, "0002")
+    done = studies.read_done(spark, path, ["uid", "arm"])
+    rest = studies.still_to_do(tasks, done, ["uid", "arm"])
+    assert sorted((r.uid, r.arm) for r in rest.collect()) == [(u, c) for u in (2, 3) for c in ("a", "b")]
+    for _ in range(2):
+        studies.put_done(answers(tasks.filter("uid >= 2"), "second"), path, "0002")
+    studies.put_done(answers(tasks.filter("uid = 0 and arm = 'a'"), "mended"), path, "0003")
+    got = {(r.uid, r.arm): r.answer for r in studies.read_done(spark, path, ["uid", "arm"]).collect()}
+    assert got == {(u, c): "mended" if (u, c) == (0, "a") else "first" if u < 2 else "second" for u in range(4) for c in ("a", "b")}
+
+
+def png(width, height):
+    return b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4, "big") + b"IHDR" + width.to_bytes(4, "big") + height.to_bytes(4, "big") + b"\x08\x02\x00\x00\x00rest"
+
+
+def jpeg(width, height, kind=0xC0):
+    part = lambda k, body: bytes([0xFF, k]) + (len(body) + 2).to_bytes(2, "big") + body
+    frame = b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"\x03"
+    return b"\xff\xd8" + part(0xE0, b"JFIF\x00") + b"\xff" + part(0xE1, b"\xff\xc0" * 300) + part(0xC4, b"table") + part(kind, frame) + part(0xDA, b"scan") + b"data"
+
+
+def test_sides_from_files(spark, tmp_path):
+    files = {"a.png": png(640, 480), "b.png": png(640, 480), "c.jpg": jpeg(1024, 2048), "d.jpg": jpeg(30, 20, 0xC2), "e.txt": b"no image", "f.png": b"\x89PNG", "g.jpg": b"\xff\xd8\xff\xe0\x00", "h.jpg": b"\xff"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: r for r in studies.read_parts(spark, f"file://{tmp_path}").collect()}
+    assert {n: (r.width, r.height) for n, r in got.items()} == {"a.png": (640, 480), "b.png": (640, 480), "c.jpg": (1024, 2048), "d.jpg": (30, 20), **{n: (None, None) for n in ("e.txt", "f.png", "g.jpg", "h.jpg")}}
+    parts = studies.read_parts(spark, f"file://{tmp_path}").withColumns({"variant": F.lit("v"), "kind": F.lit("k"), "uid": F.col("path")})
+    r = studies.audit_parts(parts.filter("width is not null")).first()
+    assert (r.parts, r.duplicates, r.min_side, r.median_side, r.max_side) == (4, 1, 30, 640.0, 2048)
