@@ -43,10 +43,10 @@ SCALE = 2_000_000
 #: Phrase places that a hash partition is to have, and bytes of text to a phrase place at least: their number is set from the texts' bytes.
 PARTITION_MASS, PLACE_BYTES = 2_000_000, 1.2
 #: Phrase places that a task gathers before it hands on what they add up to.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Entries of summaries that are merged at once at least.
 MERGED = 250_000
-#: Bits of the bitmap at most (32 MB), and bits to a possible survivor.
+#: Bits of the bitmap at most (32 MB), and bits to a survivor: it is made for as many as there can be, and folded to those there are.
 BITMAP_BITS, BITS_EACH = 28, 8
 #: Tasks that a language's best phrases are looked for in.
 SALTS = 32
@@ -90,9 +90,12 @@ class _Block:
 
     def texts(self, first: np.ndarray, size: int) -> list[str]:
         """The phrases that begin at these words."""
-        raw = self.lower
-        made = [[raw[a:b] for a, b in zip(self.words.start[first + j].tolist(), self.words.end[first + j].tolist(), strict=True)] for j in range(size)]
-        return [b" ".join(one).decode("utf-8") for one in zip(*made, strict=True)]
+        raw, out = self.lower, []
+        for lo in range(0, len(first), 10_000):
+            own = first[lo : lo + 10_000]
+            made = [[raw[a:b] for a, b in zip(self.words.start[own + j].tolist(), self.words.end[own + j].tolist(), strict=True)] for j in range(size)]
+            out += [b" ".join(one).decode("utf-8") for one in zip(*made, strict=True)]
+        return out
 
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -143,7 +146,11 @@ def _summaries(bits: int, longest: int):
     """A function from batches (lang, text) to rows (part, mass, keys, counts): key is the 32 bits of the hash after those that name the partition."""
 
     def hand_on(gathered: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(gathered), return_counts=True)
+        places = np.concatenate(gathered)
+        gathered.clear()
+        places.sort()
+        begins = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+        keys, counts = places[begins], np.diff(np.append(begins, len(places)))
         begins = np.searchsorted(keys >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
         low, told = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(counts, 0xFFFFFFFF).astype("<u4")
         spans = [(p, a, b) for p, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)) if b > a]
@@ -160,7 +167,7 @@ def _summaries(bits: int, longest: int):
                     n += len(gathered[-1])
                 if n >= GATHERED:
                     yield hand_on(gathered)
-                    gathered, n = [], 0
+                    n = 0
                     pa.default_memory_pool().release_unused()
         if n:
             yield hand_on(gathered)
@@ -213,10 +220,10 @@ def _counts(told, mark_bits: int, longest: int):
                     n += len(one)
                 all_words = np.bincount(block.lang, minlength=len(names))
                 gathered.append(pa.table([pa.array(names), pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(all_words, pa.int64())], ["lang", "size", "phrase", "f"]))
-            if n >= GATHERED // 4:
-                yield from hand_on(gathered)
-                gathered, n = [], 0
-                pa.default_memory_pool().release_unused()
+                if n >= GATHERED // 8:
+                    yield from hand_on(gathered)
+                    gathered, n = [], 0
+                    pa.default_memory_pool().release_unused()
         if gathered:
             yield from hand_on(gathered)
 
@@ -233,10 +240,15 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text: s
     mark_bits = min(max(bits + 3, 16, int(np.ceil(np.log2(max(1.0, BITS_EACH * places / least))))), BITMAP_BITS)
     summaries = texts.mapInArrow(_summaries(bits, longest), "part int, mass long, keys binary, counts binary")
     slices = summaries.groupBy("part").applyInPandas(_marks(bits, mark_bits, least), "part int, survivors long, marks binary")
+    rows = slices.collect()  # a slice for each partition, 2 ** BITMAP_BITS bits in all at most
+    survivors = sum(r["survivors"] for r in rows)
+    while mark_bits > max(bits + 3, 16) and BITS_EACH * survivors <= 1 << (mark_bits - 1):
+        mark_bits -= 1
     width = 1 << (mark_bits - bits - 3)
     marks = bytearray(1 << (mark_bits - 3))
-    for r in slices.collect():
-        marks[r["part"] * width : (r["part"] + 1) * width] = r["marks"]
+    for r in rows:
+        found = np.unpackbits(np.frombuffer(r["marks"], np.uint8))
+        marks[r["part"] * width : (r["part"] + 1) * width] = np.packbits(found.reshape(8 * width, -1).any(axis=1)).tobytes()
     told = spark.sparkContext.broadcast(bytes(marks))
     counted = texts.mapInArrow(_counts(told, mark_bits, longest), "lang string, size int, phrase string, f long")
     return written(counted.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0)), "frequent")
