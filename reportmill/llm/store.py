@@ -27,16 +27,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, where: str) -> None:
+    """Deletes a folder of new_path, when nothing is computed from it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this application has written here. For the end of a job, when its results are stored elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, shared_dir(spark))
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: this cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder (or to a new path there) and read again: this cuts the lineage and survives lost executors."""
+    path = path or new_path(df.sparkSession, name)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .skew import join_hot
-from .store import new_path, written
+from .store import delete, new_path, written
 
 #: A block beyond so many bytes is cut into segments: less than most pages have.
 SEGMENT_BYTES = 2 << 10
@@ -116,8 +116,9 @@ def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, segment: int = SEGMENT_BYTES) -> None:
     """Archives of all pages, as gzip files below path."""
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    # Written once, so that a record keeps its number whatever is computed again.
-    base = written(base.withColumn("record", F.monotonically_increasing_id()).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long")), "numbered-pages", "zstd")
+    # Written once, so that a record keeps its number whatever is computed again; not needed when the archives are there.
+    numbered = new_path(pages.sparkSession, "numbered-pages")
+    base = written(base.withColumn("record", F.monotonically_increasing_id()).withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long")), "numbered-pages", numbered)
     largest = base.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))), "page_id", "record")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     largest = written(largest.select(F.col("digest").alias("same"), F.col("size").alias("same_size"), F.col("m.page_id").alias("refers_to"), F.col("m.record").alias("refers_record")), "equal-payloads")
     small = F.broadcast(largest) if largest.count() <= BROADCAST_GROUPS else largest
@@ -137,6 +138,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 
     rows = rows.select(*[F.col(c).cast("string").alias(c) if c in ("page_id", "refers_to", "refers_record") else F.col(c) for c in rows.columns])
     rows.mapInPandas(run, "value string").write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    delete(pages.sparkSession, numbered)
 
 
 _ROW = "page_id long, record_type string, stated_digest string, refers_to long, payload_bytes long, payload_digest string, whole boolean, record string, refers_record string"
