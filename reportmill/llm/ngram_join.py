@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import NOT_SPACE, blocks, mix, signed, words
 from .components import components
-from .skew import join_hot
+from .skew import HOT_KEYS, HOT_ROWS, join_hot
 from .store import written
 
 K = 3
@@ -226,8 +226,22 @@ def _texts(docs: DataFrame, about: DataFrame, pairs: DataFrame, key: str, text:
     return written(rows.select("set", F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")).alias("words")).dropDuplicates(["set"]), "texts")
 
 
+def _hubs_last(pairs: DataFrame) -> DataFrame:
+    """pairs with the end that is in more pairs as b, where one is in very many: its text is looked up last, and stored with no pair."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS)
+    hubs = ends.orderBy(F.desc("n"), "set").limit(HOT_KEYS).collect()
+    if not hubs:
+        return pairs
+    known = pairs.sparkSession.createDataFrame(hubs, ends.schema)
+    of = lambda x: F.broadcast(known.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}")))
+    told = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    turn = F.coalesce("n_a", F.lit(0)) > F.coalesce("n_b", F.lit(0))
+    return told.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, least: int, per: int) -> DataFrame:
-    """The pairs (a, b) of classes whose texts' sets of shingles link, by the words themselves."""
+    """The pairs of classes whose texts' sets of shingles link, by the words themselves."""
+    pairs = _hubs_last(pairs)
     of = lambda x: texts.select(F.col("set").alias(x), F.col("words").alias(f"w_{x}"))
     both = written(join_hot(pairs, of("a"), "a", size=F.octet_length("w_a")), "half-compared")
     both = join_hot(both, of("b"), "b", size=F.octet_length("w_b"))
