@@ -10,8 +10,8 @@ are scored exactly, and every item at or above the threshold is retrieved. A ret
 sentence, or the last quarter where there is one sentence) both overlap with the passage: of the question's shingles and of
 the answer's words the shares `question` and `answer` at least.
 
-Items are indexed in shards of at most SHARD_ITEMS; a pass over the texts holds the indexes of HELD_SHARDS of them, and
-words are hashed once for all. Document
+Items are indexed in shards of at most SHARD_ITEMS; a pass over the texts holds the indexes of several of them, HELD_BYTES
+at most or else one, and words are hashed once for all. Document
 frequencies and lengths are those of all items, whatever the shards. Items longer than LONGEST words are indexed in parts.
 
 Case is folded in all scripts. Null text is empty and never contaminated; items without words are left out. A table without rows, or a benchmark without
@@ -21,10 +21,10 @@ only the named columns are read; drop_contaminated() keeps all columns of its ro
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 QUESTION, ANSWER = 0.5, 0.6
 SHARD_ITEMS = 20_000
-#: Shards whose indexes are broadcast together (some 15 MB each).
-HELD_SHARDS = 16
+#: Shards whose indexes are broadcast together, and their bytes (some 15 MB each), at most.
+HELD_SHARDS, HELD_BYTES = 16, 64 << 20
 #: Items beyond so many words are indexed in parts of so many.
 LONGEST = 256
 #: Words of a question's shingles (of all its words, if it has fewer).
@@ -223,8 +223,17 @@ def build_indexes(items: DataFrame, item_key: str = "item_id", text: str = "text
 
 
 def held_indexes(indexes: Iterator[Index]) -> Iterator[list[Index]]:
-    """HELD_SHARDS indexes at a time."""
-    while held := list(islice(indexes, HELD_SHARDS)):
+    """Up to HELD_SHARDS indexes at a time, of HELD_BYTES in all at most where there are several."""
+    held: list[Index] = []
+    size = 0
+    for index in indexes:
+        n = len(pickle.dumps(index, pickle.HIGHEST_PROTOCOL))
+        if held and (len(held) == HELD_SHARDS or size + n > HELD_BYTES):
+            yield held
+            held, size = [], 0
+        held.append(index)
+        size += n
+    if held:
         yield held
 
 
