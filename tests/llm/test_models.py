@@ -143,6 +143,78 @@ def test_co_training_hands_over_as_by_hand(spark):
     assert (told[:, (y < 0) & (fold == 3)] == -1).all() and not free[(told >= 0).any(axis=0)].any() and free.any() and (told[1] >= 0).sum() > (y[fold != 3] >= 0).sum()
 
 
+def co_training_data(seed, meta_tells, n=900):
+    """Rows with labels of a tenth; the text view always tells, the metadata's source tells or is noise."""
+    draw = np.random.default_rng(seed)
+    good = draw.random(n) < 0.5
+    t = np.c_[2.2 * good + draw.normal(0, 1, n), draw.normal(size=n)].astype(np.float32)
+    source = np.where(draw.random(n) < (0.03 if meta_tells else 0.5), ~good, good).astype(int)
+    m = np.c_[source, draw.integers(0, 2, n), np.zeros(n), draw.normal(3, 1, n)].astype(np.float32)
+    return t, m, np.where(draw.random(n) < 0.15, good, -1).astype(int), draw.choice([0, 1, 3], n), good
+
+
+def trained(spark, t, m, y, fold, **how):
+    df = spark.createDataFrame([(int(a), int(b), c.tobytes(), d.tobytes()) for a, b, c, d in zip(y, fold, t, m)], "y int, fold int, t binary, m binary")
+    return quality.co_train(Passes(df.repartition(3)), spark.sparkContext, (t.shape[1], 2 * quality.CELLS + 3), **how)
+
+
+def logistic(z, y, l2=2.0):
+    """Penalised logistic regression by many plain Newton steps, the last column unpenalised."""
+    w, ridge = np.zeros(z.shape[1]), np.r_[np.full(z.shape[1] - 1, l2), 1e-6]
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-(z @ w)))
+        w = w + np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+    return w
+
+
+def test_co_training_as_a_plain_loop(spark):
+    """Rounds written out row by row, with lists of what each view has been told: weights and hand-overs are the same, both ways."""
+    t, m, y, fold, _ = co_training_data(1, True)
+    rounds, share = 3, 0.05
+    model = trained(spark, t, m, y, fold, rounds=rounds, share=share)
+    known, pool = [i for i in range(len(y)) if y[i] >= 0 and fold[i] != 3], [i for i in range(len(y)) if y[i] < 0 and fold[i] != 3]
+    rate = sum(y[i] for i in known) / len(known)
+    prior, step = math.log(rate / (1 - rate)), 24.0 / quality.BINS
+    designs = []
+    for k, x in enumerate((t.astype(float), quality.meta_view(m))):
+        z = np.clip((x - x[known].mean(axis=0)) / np.maximum(x[known].std(axis=0), 1e-3), -8, 8)
+        designs.append(np.c_[z, z * z, np.ones(len(z))] if k == 0 else np.c_[z, np.ones(len(z))])
+    told, free, handed = [{i: int(y[i]) for i in known} for _ in range(2)], set(pool), []
+    for r in range(rounds + 1):
+        w = [logistic(z[sorted(d)], np.array([d[i] for i in sorted(d)])) for z, d in zip(designs, told)]
+        if r == rounds:
+            break
+        odds = [np.clip(z @ x, -12, 12) for z, x in zip(designs, w)]
+        cuts, label = [], []
+        for o in odds:
+            bins = [min(int((o[i] + 12) / step), quality.BINS - 1) for i in free]
+            many = share * len(pool)
+            low = next(e for e in range(quality.BINS) if sum(b <= e for b in bins) >= max(1.0, many * (1 - rate)))
+            high = next(e for e in range(quality.BINS - 1, -1, -1) if sum(b >= e for b in bins) >= max(1.0, many * rate))
+            cuts.append((min((low + 2) * step - 12 if low + 1 <= quality.BINS - 1 else 12.0, prior - math.log(19), -1e-9), max(high * step - 12, prior + math.log(19), 1e-9)))
+            label.append({i: 0 if o[i] <= cuts[-1][0] else 1 for i in free if o[i] <= cuts[-1][0] or o[i] >= cuts[-1][1]})
+        handed.append(tuple(len(x) for x in label))
+        for i in set(label[0]) | set(label[1]):
+            if i in label[0] and i in label[1] and label[0][i] != label[1][i]:
+                continue
+            for k in (0, 1):
+                if i in label[k]:
+                    told[1 - k][i] = label[k][i]
+            free.discard(i)
+    assert np.allclose(model.text.weights, w[0], atol=2e-3) and np.allclose(model.meta.weights, w[1], atol=2e-3)
+    assert all(abs(a - b) <= 3 for got, want in zip(model.handed, handed) for a, b in zip(got, want))
+    assert all(min(h) > 0 for h in model.handed[:1]) and (model.mix[:2] > 0).all()
+
+
+def test_a_view_that_knows_nothing_has_no_weight_against_it(spark):
+    for seed in range(3):
+        t, m, y, fold, good = co_training_data(10 + seed, False)
+        model = trained(spark, t, m, y, fold)
+        assert (model.mix[:2] >= 0).all() and sum(h[1] for h in model.handed) == 0
+        odds = np.c_[model.text.odds(t.astype(float)), model.meta.odds(quality.meta_view(m)), np.ones(len(t))] @ model.mix
+        assert auc(list(zip(odds[:300], good[:300]))) > 0.9
+
+
 def vectors(spark, n=600, d=8):
     draw = np.random.default_rng(3)
     x = draw.normal(size=(n, d)).astype(np.float32)

@@ -140,7 +140,7 @@ def test_missing_segments_show(spark):
 def test_broken_archives_give_what_is_whole(spark, tmp_path):
     digest = lambda p: hashlib.sha1(p).hexdigest()
     one, two = (b"a" * 50, b"b" * 3000)
-    records = [*warc.records(1, "u", one, 50, digest(one), 1, None, None), *warc.records(2, "u", None, 50, digest(one), 2, 1, 1), *warc.records(3, "u", None, 50, digest(two), 3, 1, 1), *warc.records(4, "u", None, 50, digest(one), 4, 9, 99), *warc.records(5, "u", two, 3000, digest(two), 5, None, None)]
+    records = [*warc.records(1, "u", one, 50, digest(one), 1, None, None), *warc.records(2, "u", None, 50, digest(one), 2, 1, 1), *warc.records(3, "u", None, 50, digest(two), 3, 1, 1), *warc.records(4, "u", None, 50, digest(one), 4, 9, 99), *warc.records(5, "u", two, 3000, digest(two), 5, None, None, segment=32 << 10)]
     archive = "".join(r + warc.RECORD_END for r in records).encode()
     whole = gzip.compress(archive)
     cases = {"whole": whole, "cut": whole[:-30], "short": gzip.compress(archive[:-200]), "not": b"no gzip file", "framing": gzip.compress(archive.replace(b"32\r\n" + one, b"31\r\n" + one))}
@@ -156,6 +156,13 @@ def test_broken_archives_give_what_is_whole(spark, tmp_path):
     assert sorted(got["not"]) == [(None, "broken")] and not got["not"][None, "broken"].whole
     for name in ("cut", "short"):
         assert (None, "broken") in got[name] and (1, "response") in got[name] and (5, "response") not in got[name]
+    # A record whose last segment is lost is told, but isn't whole.
+    parts = [*warc.records(6, "u", two, 3000, digest(two), 6, None, None), *warc.records(7, "u", one, 50, digest(one), 7, None, None)]
+    assert len(parts) == 3
+    (tmp_path / "lost").mkdir()
+    (tmp_path / "lost" / "a.gz").write_bytes(gzip.compress("".join(r + warc.RECORD_END for r in (parts[0], parts[2])).encode()))
+    lost = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "lost")).collect()}
+    assert sorted(lost) == [6, 7] and not lost[6].whole and lost[7].whole
     assert not got["framing"][1, "response"].whole and got["framing"][5, "response"].whole and not got["framing"][2, "revisit"].whole
 
 
