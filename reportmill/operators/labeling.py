@@ -9,15 +9,15 @@ from .. import taxonomy as tx
 from ..functions.text import class_ranks, classes_with, literal, scrubbed_share, sentences
 
 
-def label_texts(df: DataFrame, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """df with pos, unc and neg (classes by state), no_finding (1, 0 or null) and hedged, from the text column.
+def label_texts(df: DataFrame, text: str, patterns: dict[str, str] | None = None, negation: str = tx.NEGATION, hedge: str = tx.HEDGE, denied: str = tx.DENIED_AFTER, plain: str = tx.NORMAL) -> DataFrame:
+    """df with pos, unc and neg (classes by state), no_finding (1, 0 or null) and hedged, from the text column, by a lexicon of classes and cues (patterns; plain: of texts without a finding).
 
     All of a text's sentences are looked at within its row, so nothing is shuffled.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.withColumn("__s", sentences(t)).withColumn("__r", class_ranks(F.col("__s"), patterns))
-    rows = rows.withColumns({"pos": classes_with(F.col("__r"), 3), "unc": classes_with(F.col("__r"), 2), "neg": classes_with(F.col("__r"), 1), "hedged": t.rlike(tx.HEDGE)})
-    normal = (F.size("pos") == 0) & (F.size("unc") == 0) & t.rlike(tx.NORMAL)
+    rows = df.withColumn("__s", sentences(t)).withColumn("__r", class_ranks(F.col("__s"), patterns, negation, hedge, denied))
+    rows = rows.withColumns({"pos": classes_with(F.col("__r"), 3), "unc": classes_with(F.col("__r"), 2), "neg": classes_with(F.col("__r"), 1), "hedged": t.rlike(hedge)})
+    normal = (F.size("pos") == 0) & (F.size("unc") == 0) & t.rlike(plain)
     return rows.withColumn("no_finding", F.when(normal, 1).when(F.size("pos") > 0, 0)).drop("__s", "__r")
 
 

@@ -90,14 +90,23 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("uid", "k", pick(CONDITIONS, k).alias("prompt_condition"), F.col("dx").alias("primary_diagnosis"), "confidence", raw.alias("response"), F.when(u % 29 == 3, "timeout").otherwise("").alias("api_error"), ((u * 31 + k * 101) % 900 + 100).cast("int").alias("prompt_tokens"), ((u + k) % 3 + 1).cast("int").alias("n_image_parts"))
 
 
-def _sentence_classes() -> str:
+def sentence_classes(patterns: dict[str, str]) -> str:
+    """Where each class is first mentioned in a sentence."""
     each = []
-    for c, p in tx.PATTERNS.items():
+    for c, p in patterns.items():
         inner = p.removeprefix("(?i)")
         each.append(f"SELECT uid, src, s, {quoted(c)} AS class, length(regexp_extract(s, {quoted('(?is)^(.*?)' + inner)}, 1)) + 1 AS begins FROM sents WHERE regexp_matches(s, {quoted(p)})")
     return "\nUNION ALL ".join(each)
 
 
+def sentence_ranks(negation: str, hedge: str, denied: str) -> str:
+    """The highest rank of each class over a text's sentences."""
+    return f"""SELECT uid, src, class, max(CASE
+        WHEN {_before(hedge)} OR regexp_matches(substr(s, begins), {quoted(hedge)}) THEN 2
+        WHEN {_before(negation)} OR regexp_matches(substr(s, begins), {quoted('(?i)^(?:' + denied + ')')}) THEN 1 ELSE 3 END) AS rank
+      FROM mentions GROUP BY uid, src, class"""
+
+
 def _before(cue: str) -> str:
     return f"(regexp_matches(s, {quoted(cue)}) AND length(regexp_extract(s, {quoted('(?is)^(.*?)' + cue.removeprefix('(?i)'))}, 1)) + 1 < begins)"
 
@@ -151,11 +160,8 @@ CTES = {
       {picked(INDICATIONS, 'doc_id')} AS indication, {picked(PROBLEMS, 'doc_id')} AS problems, {picked(MESH, 'doc_id')} AS mesh FROM documents""",
     "texts": "SELECT uid, 'report' AS src, trim(findings || ' ' || impression) AS text FROM reports UNION ALL SELECT uid, 'impression', impression FROM reports UNION ALL SELECT uid, 'findings', findings FROM reports",
     "sents": r"SELECT uid, src, trim(s) AS s FROM (SELECT uid, src, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.;])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM texts) WHERE trim(s) <> ''",
-    "mentions": _sentence_classes(),
-    "ranks": f"""SELECT uid, src, class, max(CASE
-        WHEN {_before(tx.HEDGE)} OR regexp_matches(substr(s, begins), {quoted(tx.HEDGE)}) THEN 2
-        WHEN {_before(tx.NEGATION)} OR regexp_matches(substr(s, begins), {quoted('(?i)^(?:' + tx.DENIED_AFTER + ')')}) THEN 1 ELSE 3 END) AS rank
-      FROM mentions GROUP BY uid, src, class""",
+    "mentions": sentence_classes(tx.PATTERNS),
+    "ranks": sentence_ranks(tx.NEGATION, tx.HEDGE, tx.DENIED_AFTER),
     "labels_wide": f"""SELECT t.uid, t.src, coalesce(list(r.class) FILTER (WHERE rank = 3), []) AS pos, coalesce(list(r.class) FILTER (WHERE rank = 2), []) AS unc, coalesce(list(r.class) FILTER (WHERE rank = 1), []) AS neg,
         regexp_matches(any_value(t.text), {quoted(tx.NORMAL)}) AS normal, regexp_matches(any_value(t.text), {quoted(tx.HEDGE)}) AS hedged
       FROM texts t LEFT JOIN ranks r ON r.uid = t.uid AND r.src = t.src GROUP BY t.uid, t.src""",

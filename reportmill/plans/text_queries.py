@@ -275,3 +275,35 @@ def slot_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.responses import render_slots, slot_set
 
     return labelled(spark, sf_dir).select("uid", sets.joined(slot_set(render_slots(F.col("pos")))).alias("classes"))
+
+
+# ---- Whole documents, by a lexicon of their own: what their small words tell of. ----
+
+_WORD = lambda *words: r"(?i)(?:^| )(?:" + "|".join(words) + r")(?: |,|\.|$)"
+CORPUS = {
+    "Place": _WORD("on", "in", "auf", "sur", "dans", "en"), "Origin": _WORD("of", "from", "von", "des", "de", "del"), "Means": _WORD("with", "by", "avec", "mit", "con", "par"),
+    "Purpose": _WORD("for", "pour", "um", "para", "por"), "Number": r"[0-9]", "Address": r"(?i)@[a-z0-9-]+\.[a-z]", "Link": r"(?i)https?://", "Licence": r"(?i)licen[cs]e",
+}
+CORPUS_NO, CORPUS_MAYBE, CORPUS_DENIED, CORPUS_PLAIN = _WORD("not", "no", "nicht", "pas", "non", "ni"), _WORD("or", "oder", "ou", "may", "that", "que"), r"[^.]{0,20} (?:are|is) not ", r"^$"
+_DOCS = {
+    "texts": "SELECT doc_id AS uid, 'text' AS src, coalesce(text, '') AS text FROM documents", "sents": derived.CTES["sents"],
+    "mentions": derived.sentence_classes(CORPUS), "ranks": derived.sentence_ranks(CORPUS_NO, CORPUS_MAYBE, CORPUS_DENIED),
+}
+_STATE = lambda rank: f"coalesce(array_to_string(list_sort(list(r.class) FILTER (WHERE rank = {rank})), '|'), '')"
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "lang", "text")
+    return labeling.label_texts(rows, "text", CORPUS, CORPUS_NO, CORPUS_MAYBE, CORPUS_DENIED, CORPUS_PLAIN)
+
+
+@query("document_labels", sql(f"SELECT t.uid, {_STATE(3)} AS pos, {_STATE(2)} AS unc, {_STATE(1)} AS neg FROM texts t LEFT JOIN ranks r ON r.uid = t.uid GROUP BY t.uid", more=_DOCS))
+def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the corpus lexicon's classes in every whole document."""
+    return labelled_documents(spark, sf_dir).select("uid", *[sets.joined(F.col(c)).alias(c) for c in ("pos", "unc", "neg")])
+
+
+@query("document_prevalence", sql("SELECT d.lang, c.class, avg(CASE WHEN rank = 3 THEN 1.0 ELSE 0.0 END) AS positive, avg(CASE WHEN rank = 2 THEN 1.0 ELSE 0.0 END) AS uncertain, avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END) AS negative, avg(CASE WHEN rank IS NULL THEN 1.0 ELSE 0.0 END) AS unmentioned FROM documents d CROSS JOIN (SELECT unnest(" + derived._lists(CORPUS) + ") AS class) c LEFT JOIN ranks r ON r.uid = d.doc_id AND r.class = c.class GROUP BY 1, 2", more=_DOCS))
+def document_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of each class's states among the documents of each language."""
+    return labeling.prevalence(labelled_documents(spark, sf_dir), list(CORPUS), ("lang",))
