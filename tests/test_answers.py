@@ -198,7 +198,9 @@ def test_contract_as_a_plain_validator(spark):
         if pick.random() < 0.4:
             a["cited_findings"] = pick.choice([some(), [some(), "x"]])
         answers.append(a)
-    answers += [[1, 2], "text", 7, None, {}]
+    good = {"primary_diagnosis": "x", "confidence": 70, "explanation": "y"}
+    answers += [[1, 2], "text", 7, None, {}, good, good | {"confidence": 85.0}, good | {"findings": {}}, good | {"findings": {"f": {"presence": "absent", "status": 7}}}, good | {"differential": [{"diagnosis": "d", "probability": 0}]}]
+    answers += [good | {"extracted_evidence": [{"finding": "f", "presence": "present", "confidence": 100.0}]}, good | {"cited_findings": [], "abstained": False}]
     rows = spark.createDataFrame([(i, json.dumps(a)) for i, a in enumerate(answers)], "i int, r string")
     got = {r.i: r.e for r in rows.select("i", responses.schema_errors(F.col("r")).alias("e")).collect()}
     for i, a in enumerate(answers):
