@@ -191,7 +191,7 @@ def test_co_training_as_a_plain_loop(spark):
             many = share * len(pool)
             low = next(e for e in range(quality.BINS) if sum(b <= e for b in bins) >= max(1.0, many * (1 - rate)))
             high = next(e for e in range(quality.BINS - 1, -1, -1) if sum(b >= e for b in bins) >= max(1.0, many * rate))
-            cuts.append((min((low + 2) * step - 12 if low + 1 <= quality.BINS - 1 else 12.0, prior - math.log(19), -1e-9), max(high * step - 12, prior + math.log(19), 1e-9)))
+            cuts.append((min((low + 1) * step - 12, prior - math.log(19), -1e-9), max(high * step - 12, prior + math.log(19), 1e-9)))
             label.append({i: 0 if o[i] <= cuts[-1][0] else 1 for i in free if o[i] <= cuts[-1][0] or o[i] >= cuts[-1][1]})
         handed.append(tuple(len(x) for x in label))
         for i in set(label[0]) | set(label[1]):
