@@ -9,11 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import quantiles, running, small
+from .sums import steady_mean
 
 
 def paired(df: DataFrame, conditions: list[str], value: str, uid: str = "uid", condition: str = "prompt_condition") -> DataFrame:
-    """uid and a column c0, c1, ... for each condition: the mean of its values, null where there are none."""
-    return df.groupBy(uid).agg(*[F.avg(F.when(F.col(condition) == c, F.col(value))).alias(f"c{i}") for i, c in enumerate(conditions)])
+    """uid and a column c0, c1, ... for each condition: the mean of its values, null where there are none. Equal values give equal means in any order of rows, as ties of means are counted."""
+    return _wide(df, conditions, {"c": value}, uid, condition)
+
+
+def _wide(df: DataFrame, conditions: list[str], values: dict[str, str], uid: str = "uid", condition: str = "prompt_condition") -> DataFrame:
+    """paired for several values at once: uid and columns <name>0, <name>1, ... for each name of values."""
+    of_type = dict(df.dtypes)
+    mean = lambda v: (steady_mean if of_type[v] in ("double", "float") else F.avg)(F.col(v))
+    means = df.groupBy(uid, condition).agg(*[mean(v).alias(f"__{n}") for n, v in values.items()])
+    return means.groupBy(uid).agg(*[F.max(F.when(F.col(condition) == c, F.col(f"__{n}"))).alias(f"{n}{i}") for n in values for i, c in enumerate(conditions)])
 
 
 def mcnemar_counts(df: DataFrame, conditions: list[str], value: str = "correct", **how) -> DataFrame:
@@ -86,6 +95,17 @@ def _pairs(df: DataFrame, conditions: list[str], value: str, **how) -> DataFrame
     return wide.select(F.explode(F.array(*each)).alias("p")).select("p.*").filter("x is not null and y is not null")
 
 
+def _differences(rows: DataFrame, by: list[str], d: Column) -> DataFrame:
+    """A row for each group and size s of differences d: pos (how many are above zero) and t (how many there are)."""
+    return rows.groupBy(*by, F.abs(d).alias("s")).agg(F.sum(F.when(d > 0, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("t"))
+
+
+def _rank_sums(bins: DataFrame, by: list[str]) -> DataFrame:
+    """n, w_plus, w_minus and ties of each group of _differences; zeros have no rank."""
+    ranked = running(bins.filter("s > 0"), by, ["t"]).withColumn("rank", F.col("all_t") - F.col("upto_t") + (F.col("t") + 1) / 2)
+    return ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("pos"))).alias("w_minus"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
+
+
 def signed_ranks(df: DataFrame, conditions: list[str], value: str, **how) -> DataFrame:
     """Of each pair of conditions that some uid has both of: a, b, pairs, n (pairs with a difference), medians, w_plus, w_minus and ties (sum of t^3 - t) of the signed-rank test.
 
@@ -93,9 +113,7 @@ def signed_ranks(df: DataFrame, conditions: list[str], value: str, **how) -> Dat
     """
     rows = _pairs(df, conditions, value, **how)
     d = F.col("x") - F.col("y")
-    bins = rows.groupBy("a", "b", F.abs(d).alias("s")).agg(F.sum(F.when(d > 0, 1).otherwise(0)).alias("pos"), F.count(F.lit(1)).alias("t")).filter("s > 0")
-    ranked = running(bins, ["a", "b"], ["t"]).withColumn("rank", F.col("all_t") - F.col("upto_t") + (F.col("t") + 1) / 2)
-    sums = ranked.groupBy("a", "b").agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("pos"))).alias("w_minus"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
+    sums = _rank_sums(_differences(rows, ["a", "b"], d), ["a", "b"])
     sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("s")) for k, c in (("a", "x"), ("b", "y"))])
     values = rows.select("a", "b", F.explode(sides).alias("v")).groupBy("a", "b", "v.side", "v.s").agg(F.count(F.lit(1)).alias("n"))
     middle = quantiles(values, ["a", "b", "side"], 2).filter("i = 1")

@@ -1,4 +1,4 @@
-"""Sums of vectors over all rows, and minimising of a loss that is such a sum."""
+"""Sums of vectors over all rows, minimising of a loss that is such a sum, and means that don't depend on the order of rows."""
 
 from __future__ import annotations
 
@@ -6,12 +6,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Partitions whose sums the driver adds up itself; more are added up by so many tasks first.
 DIRECT, MERGED = 64, 32
 
 
+def steady_mean(x: Column) -> Column:
+    """Mean of doubles, an aggregate: the same number in whatever order rows and partial sums come, null without values.
+
+    Each value is cut into a whole part and two of 32 bits behind the point, which are summed as integers. Values of 2^31 and
+    more, those with bits beyond the 64th behind the point and those that aren't finite are summed as doubles, as avg does.
+    """
+    x = x.cast("double")
+    whole = F.when(F.abs(x) < 2.0**31, x.cast("long"))
+    high = (x - whole) * 2.0**32
+    low = (high - high.cast("long")) * 2.0**32
+    fits = low == low.cast("long")
+    of = lambda part: F.coalesce(F.sum(F.when(fits, part.cast("long"))), F.lit(0))
+    rest = F.coalesce(F.sum(F.when(fits, None).otherwise(x)), F.lit(0.0))
+    return F.when(F.count(x) > 0, (of(whole) + (of(high) + of(low) / 2.0**32) / 2.0**32 + rest) / F.count(x))
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for b in batches:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reportmill.operators import pairstats, ranks, readout, resampling, sampling, zones
+from reportmill.operators import pairstats, ranks, readout, resampling, sampling, sums, zones
 from reportmill.sources import studies
 
 
@@ -431,3 +431,17 @@ def test_sides_from_files(spark, tmp_path):
     parts = studies.read_parts(spark, f"file://{tmp_path}").withColumns({"variant": F.lit("v"), "kind": F.lit("k"), "uid": F.col("path")})
     r = studies.audit_parts(parts.filter("width is not null")).first()
     assert (r.parts, r.duplicates, r.min_side, r.median_side, r.max_side) == (4, 1, 30, 640.0, 2048)
+
+
+def test_means_and_ties_do_not_depend_on_the_order_of_rows(spark):
+    values = [0.1, 29.27, 122.79, 2.11, 26.11, 56.25, 0.3, 1e-3, 1e9 + 0.7, -7.03]
+    rows = [(u, c, v * (1 + (c == "b"))) for u in range(50) for c in "ab" for v in values[u % 10 :] + values[: u % 10]]
+    df = spark.createDataFrame(rows, "uid long, prompt_condition string, v double")
+    for parts in (1, 7):
+        (got,) = pairstats.signed_ranks(df.repartition(parts), ["a", "b"], "v").collect()
+        assert (got.n, got.ties, got.w_minus) == (50, 50.0**3 - 50, 50 * 25.5)
+    odd = [1e300, -1e300, 5e-324, 2.0**31, 1e-30, float("inf")]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v double").groupBy("i").agg(sums.steady_mean(F.col("v")).alias("m")).orderBy("i")
+    assert [r.m for r in got.collect()] == odd
+    one = spark.createDataFrame([(0, None), (1, 2.5), (1, None), (1, float("nan"))], "i int, v double").groupBy("i").agg(sums.steady_mean(F.col("v")).alias("m")).orderBy("i").collect()
+    assert one[0].m is None and math.isnan(one[1].m)
