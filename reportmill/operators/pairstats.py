@@ -12,16 +12,26 @@ from .ranks import quantiles, running, small
 from .sums import steady_mean
 
 
-def paired(df: DataFrame, conditions: list[str], value: str, uid: str = "uid", condition: str = "prompt_condition") -> DataFrame:
-    """uid and a column c0, c1, ... for each condition: the mean of its values, null where there are none. Equal values give equal means in any order of rows, as ties of means are counted."""
-    return _wide(df, conditions, {"c": value}, uid, condition)
+def paired(df: DataFrame, conditions: list[str], value: str, uid: str = "uid", condition: str = "prompt_condition", order: str | None = None) -> DataFrame:
+    """uid and a column c0, c1, ... for each condition: the mean of its values, null where there are none.
+
+    Equal values give equal means in any partitioning, as ties of means are counted. With order the values of a uid and
+    condition are added up one by one in the order of that column, as a single thread does that reads them so.
+    """
+    return _wide(df, conditions, {"c": value}, uid, condition, order)
 
 
-def _wide(df: DataFrame, conditions: list[str], values: dict[str, str], uid: str = "uid", condition: str = "prompt_condition") -> DataFrame:
+def _wide(df: DataFrame, conditions: list[str], values: dict[str, str], uid: str = "uid", condition: str = "prompt_condition", order: str | None = None) -> DataFrame:
     """paired for several values at once: uid and columns <name>0, <name>1, ... for each name of values."""
-    of_type = dict(df.dtypes)
-    mean = lambda v: (steady_mean if of_type[v] in ("double", "float") else F.avg)(F.col(v))
-    means = df.groupBy(uid, condition).agg(*[mean(v).alias(f"__{n}") for n, v in values.items()])
+    by = [uid, condition]
+    if order:
+        upto = Window.partitionBy(*by).orderBy(order, *values.values()).rowsBetween(Window.unboundedPreceding, 0)
+        rows = df.select(*by, F.row_number().over(upto).alias("__row"), *[F.avg(v).over(upto).alias(f"__{n}") for n, v in values.items()])
+        means = rows.groupBy(*by).agg(*[F.max_by(f"__{n}", "__row").alias(f"__{n}") for n in values])
+    else:
+        of_type = dict(df.dtypes)
+        mean = lambda v: (steady_mean if of_type[v] in ("double", "float") else F.avg)(F.col(v))
+        means = df.groupBy(*by).agg(*[mean(v).alias(f"__{n}") for n, v in values.items()])
     return means.groupBy(uid).agg(*[F.max(F.when(F.col(condition) == c, F.col(f"__{n}"))).alias(f"{n}{i}") for n in values for i, c in enumerate(conditions)])
 
 

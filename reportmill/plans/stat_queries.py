@@ -54,17 +54,17 @@ _RANKS = {"r": "SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d))
   FROM (SELECT a, b, count(*) AS pairs, quantile_cont(x, 0.5) AS median_a, quantile_cont(y, 0.5) AS median_b FROM xy GROUP BY a, b) p
   LEFT JOIN (SELECT a, b, CAST(count(*) AS BIGINT) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY a, b) w USING (a, b)""", more=_XY | _RANKS))
 def wilcoxon_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairstats.signed_ranks(events(spark, sf_dir), TYPES, "value")
+    return pairstats.signed_ranks(events(spark, sf_dir), TYPES, "value", order="event_id")
 
 
 @query("wilcoxon_tests", None)
 def wilcoxon_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairstats.wilcoxon(events(spark, sf_dir), TYPES, "value")
+    return pairstats.wilcoxon(events(spark, sf_dir), TYPES, "value", order="event_id")
 
 
 @query("cliffs_delta", sql("SELECT p.a, p.b, sum(CASE WHEN p.x > q.y THEN 1.0 WHEN p.x < q.y THEN -1.0 ELSE 0.0 END) / count(*) AS delta FROM xy p JOIN xy q ON p.a = q.a AND p.b = q.b GROUP BY 1, 2", more=_XY))
 def cliffs_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairstats.cliffs_delta(events(spark, sf_dir), TYPES, "value")
+    return pairstats.cliffs_delta(events(spark, sf_dir), TYPES, "value", order="event_id")
 
 
 @query("bh_fdr", """WITH p AS (SELECT c_nationkey AS family, c_custkey, (c_custkey * 7919 % 10007 + 1) / 10008.0::DOUBLE AS p FROM customer), r AS (SELECT *, count(*) OVER (PARTITION BY family ORDER BY p) AS r, count(*) OVER (PARTITION BY family) AS m FROM p)

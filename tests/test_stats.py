@@ -440,6 +440,7 @@ def test_means_and_ties_do_not_depend_on_the_order_of_rows(spark):
     for parts in (1, 7):
         (got,) = pairstats.signed_ranks(df.repartition(parts), ["a", "b"], "v").collect()
         assert (got.n, got.ties, got.w_minus) == (50, 50.0**3 - 50, 50 * 25.5)
+        assert pairstats.paired(df.withColumn("at", -F.col("v")).repartition(parts), ["a", "b"], "v", order="at").select("c0", "c1").distinct().count() == 1
     odd = [1e300, -1e300, 5e-324, 2.0**31, 1e-30, float("inf")]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v double").groupBy("i").agg(sums.steady_mean(F.col("v")).alias("m")).orderBy("i")
     assert [r.m for r in got.collect()] == odd
