@@ -173,15 +173,20 @@ def cliffs_delta(df: DataFrame, conditions: list[str], value: str, **how) -> Dat
 
 def paired_dissociation(df: DataFrame, base: str, conditions: list[str], persuasive: list[str], faithful: list[str], alpha: float = 0.05, **how) -> DataFrame:
     """condition, and for each measure d_, p_ and n_: mean difference from the base, p of the paired signed-rank test (null with fewer than 10 pairs or no difference); persuasive_up and faithful_up (some measure rises significantly) and dissociation (the former without the latter)."""
-    found: dict[str, dict] = {c: {} for c in conditions if c != base}
-    for m in [*persuasive, *faithful]:
-        pairs = _pairs(df, [base, *found], m, **how).filter(F.col("a") == base)
-        means = {r["b"]: r for r in pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y") - F.col("x")).alias("d")).collect()}
-        tests = {r["b"]: r for r in signed_ranks(df, [base, *found], m, **how).filter(F.col("a") == base).collect()}  # a row for each condition
-        for c in found:
-            r, t = means.get(c), tests.get(c)
+    others, measures = [c for c in conditions if c != base], [*persuasive, *faithful]
+    found: dict[str, dict] = {c: {} for c in others}
+    # All measures together: one pass over the rows, and from then on only counts of differences.
+    wide = _wide(df, [base, *others], {f"m{k}_": m for k, m in enumerate(measures)}, **how)
+    each = [F.struct(F.lit(k).alias("m"), F.lit(c).alias("b"), (F.col(f"m{k}_{i}") - F.col(f"m{k}_0")).alias("d")) for k in range(len(measures)) for i, c in enumerate(others, 1)]
+    bins = _differences(wide.select(F.inline(F.array(*each))).filter("d is not null"), ["m", "b"], F.col("d")).persist()
+    means = {(r["b"], r["m"]): r for r in bins.groupBy("m", "b").agg(F.sum("t").alias("n"), (F.sum(F.col("s") * (2 * F.col("pos") - F.col("t"))) / F.sum("t")).alias("d")).collect()}  # a row for each measure and condition
+    tests = {(r["b"], r["m"]): r for r in _rank_sums(bins, ["m", "b"]).collect()}
+    bins.unpersist()
+    for c in others:
+        for k, m in enumerate(measures):
+            r, t = means.get((c, k)), tests.get((c, k))
             told = bool(r and t and r["n"] >= 10 and t["n"])
-            found[c][m] = (r["d"] if told else None, wilcoxon_p(t["pairs"], t["n"], t["w_plus"], t["w_minus"], t["ties"]) if told else None, r["n"] if r else 0)
+            found[c][m] = (r["d"] if told else None, wilcoxon_p(r["n"], t["n"], t["w_plus"], t["w_minus"], t["ties"]) if told else None, r["n"] if r else 0)
     rises = lambda x: x[1] is not None and x[1] < alpha and x[0] > 0
     rows = []
     for c, of in found.items():

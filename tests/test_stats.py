@@ -446,3 +446,19 @@ def test_means_and_ties_do_not_depend_on_the_order_of_rows(spark):
     assert [r.m for r in got.collect()] == odd
     one = spark.createDataFrame([(0, None), (1, 2.5), (1, None), (1, float("nan"))], "i int, v double").groupBy("i").agg(sums.steady_mean(F.col("v")).alias("m")).orderBy("i").collect()
     assert one[0].m is None and math.isnan(one[1].m)
+
+
+def test_paired_dissociation_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(u, c, float(u % 7 + (c == "b")), u % 5, 0.5 * (u % 3)) for u in range(40) for c in "abc"]
+    df = spark.createDataFrame(rows, "uid long, prompt_condition string, v double, w int, x double")
+    got = {r.prompt_condition: r for r in pairstats.paired_dissociation(df.mapInArrow(told, df.schema), "a", list("abc"), ["v", "w"], ["x"]).collect()}
+    assert seen.value == len(rows)
+    (v,) = pairstats.signed_ranks(df, ["a", "b"], "v").collect()
+    assert got["b"].p_v == pytest.approx(pairstats.wilcoxon_p(40, v.n, v.w_plus, v.w_minus, v.ties)) and got["b"].d_v == 1.0 and got["b"].p_w is None
