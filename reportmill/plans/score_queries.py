@@ -392,11 +392,11 @@ def vote_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.vote_sweep(vote_counts(spark, sf_dir), truth, "uid", 5)
 
 
-@query("presence_counts", sql("SELECT n1 AS name, lower(s1) AS presence, count(*) AS n FROM predictions WHERE form = 1 AND lower(s1) IN ('present', 'uncertain') GROUP BY 1, 2", "predictions"))
+@query("presence_counts", sql("SELECT name, presence, count(*) AS n FROM (SELECT n1 AS name, lower(s1) AS presence FROM predictions WHERE form = 1 UNION ALL SELECT n2, CASE WHEN uid % 3 <> 0 THEN lower(s2) END FROM predictions WHERE form = 1) GROUP BY 1, 2", "predictions"))
 def presence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = responses.parse(derived.predictions(spark, sf_dir)).select(F.explode_outer("answer.findings").alias("name", "v"))  # no filter on the parsed answer, which would parse it twice
-    said = rows.groupBy("name", F.lower("v.presence").alias("presence")).agg(F.count(F.lit(1)).alias("n"))
-    return said.filter(F.col("presence").isin("present", "uncertain"))
+    said = rows.groupBy("name", F.lower(F.coalesce("v.presence", "v.status")).alias("presence")).agg(F.count(F.lit(1)).alias("n"))
+    return said.filter(F.col("name").isNotNull())
 
 
 @query("verify_merge", sql(f"SELECT uid, k, {S('kept')} AS kept, len(pred) - len(kept) AS rejected FROM (SELECT uid, k, pred, list_filter(pred, lambda c: NOT list_contains(unc, c)) AS kept FROM scored)", "scored"))

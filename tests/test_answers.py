@@ -242,3 +242,13 @@ def test_a_diagnosis_that_is_no_text(spark):
     # The whole response's set reads what is written, whatever its kind.
     rows = parsed(spark, json.dumps({"primary_diagnosis": ["Pneumonia"], "explanation": "edema"}), "nothing")
     assert [sorted(r[0]) for r in rows.select(scoring.full_response_set(F.col("answer"), F.col("primary_diagnosis"))).collect()] == [["Edema", "Pneumonia"], ["Pneumonia"]]
+
+
+def test_presence_counts_take_every_entry(spark, sf_dir):
+    """Each answer of the second form names two findings; no name or presence is left out."""
+    from reportmill.plans import QUERIES
+
+    got = QUERIES["presence_counts"](spark, sf_dir).collect()
+    forms = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("sum(size(filter(sequence(0, 4), k -> (doc_id + k) % 5 = 1))) AS n").first().n
+    assert sum(r.n for r in got) == 2 * forms
+    assert {r.presence for r in got} == {"present", "absent", "uncertain", "yes", "possible", None} and all(r.name for r in got)
