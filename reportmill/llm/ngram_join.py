@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from .bytewords import NOT_SPACE, blocks, mix, signed, words
 from .components import components
 from .skew import join_hot
-from .store import written
+from .store import delete, new_path, written
 
 K = 3
 #: Two texts link when PER * intersection >= LEAST * union.
@@ -216,20 +216,22 @@ def emit(docs: DataFrame, text: str, k: int, least: int, per: int) -> DataFrame:
     return docs.select(F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, "sig long, set binary, n int, whole boolean")
 
 
-def _texts(docs: DataFrame, about: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """set and words (lower-cased, parted by single spaces) of the classes in pairs, from one text of each."""
+def _texts(docs: DataFrame, about: DataFrame, pairs: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """set and words (lower-cased, parted by single spaces) of the classes in pairs, from one text of each; written to path."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     ids = written(about.join(wanted, "set", "left_semi").select("set", F.col("kept.doc_id").alias("__id"), F.col("kept.text_hash").alias("__hash")), "candidates")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return written(rows.select("set", F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")).alias("words")).dropDuplicates(["set"]), "texts")
+    return written(rows.select("set", F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")).alias("words")).dropDuplicates(["set"]), "texts", path)
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, k: int, least: int, per: int) -> DataFrame:
-    """The pairs (a, b) of classes whose texts' sets of shingles link, by the words themselves."""
+def _compared(docs: DataFrame, about: DataFrame, pairs: DataFrame, key: str, text: str, k: int, least: int, per: int) -> DataFrame:
+    """The pairs (a, b) of classes whose texts' sets of shingles link, by the words themselves. The texts are stored only until the links are."""
+    texts_at, half_at = (new_path(docs.sparkSession, name) for name in ("texts", "half-compared"))
+    texts = _texts(docs, about, pairs, key, text, texts_at)
     of = lambda x: texts.select(F.col("set").alias(x), F.col("words").alias(f"w_{x}"))
-    both = written(join_hot(pairs, of("a"), "a", size=F.octet_length("w_a")), "half-compared")
+    both = written(join_hot(pairs, of("a"), "a", size=F.octet_length("w_a")), "half-compared", half_at)
     both = join_hot(both, of("b"), "b", size=F.octet_length("w_b"))
 
     def shingles(text: str) -> frozenset:
@@ -247,7 +249,10 @@ def _compared(pairs: DataFrame, texts: DataFrame, k: int, least: int, per: int)
                 keep.append(per * common >= least * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return both.select("a", "b", "w_a", "w_b").mapInArrow(run, "a binary, b binary")
+    links = written(both.select("a", "b", "w_a", "w_b").mapInArrow(run, "a binary, b binary"), "links")
+    for path in (texts_at, half_at):
+        delete(docs.sparkSession, path)
+    return links
 
 
 def _split_pairs(docs: DataFrame, about: DataFrame, members: DataFrame, possible, key: str, text: str, k: int, least: int, per: int) -> DataFrame:
@@ -330,8 +335,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     own = about.select("set", "size", *bits)
     other = about.select(F.col("set").alias("x"), F.col("size").alias("x_size"), *[F.col(b).alias(f"x_{b}") for b in bits])
     order = (F.least("set", "x").alias("a"), F.greatest("set", "x").alias("b"))
+    half_at = new_path(docs.sparkSession, "half-pairs")
     # Pairs (set, x) that sketches leave; x may be a hub.
-    left = lambda pairs: join_hot(written(join_hot(pairs, own, "set"), "half-pairs"), other, "x").filter(possible).select(*order).distinct()
+    left = lambda pairs: join_hot(written(join_hot(pairs, own, "set"), "half-pairs", half_at), other, "x").filter(possible).select(*order).distinct()
 
     # First each set is held against the one hub that it shares most buckets with.
     degree = ranked.groupBy("set").agg(F.sum(F.col("members") - 1).alias("degree"))
@@ -339,7 +345,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
     met = join_hot(ranked, hubs, "sig").filter((F.col("set") != F.col("x")) & fits(F.abs("n"), F.abs("x_n"))).groupBy("set", "x").agg(F.count(F.lit(1)).alias("c"))
     best = written(met.groupBy("set").agg(F.max(F.struct("c", "x")).alias("m")).select("set", F.col("m.x").alias("x")), "met")
     first = written(left(best), "pairs")
-    links = written(_compared(first, _texts(docs, about, first, key, text), k, least, per), "links")
+    delete(docs.sparkSession, half_at)
+    links = _compared(docs, about, first, key, text, k, least, per)
     roots = components(links)
     each = each.select("doc_id", "text_hash", "n", "set")
 
@@ -358,7 +365,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K,
         members = written(split.filter("large").select("set", "root", "size", *bits).distinct(), "large-buckets")
         met = met.unionByName(_split_pairs(docs, about, members, possible, key, text, k, least, per))
     second = written(met.select(*order).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    more = written(_compared(second, _texts(docs, about, second, key, text), k, least, per), "links")
+    more = _compared(docs, about, second, key, text, k, least, per)
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     return each, roots.withColumnRenamed("node", "set")

@@ -5,12 +5,13 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reportmill.llm import decontaminate, license_scan, ngram_join, pii, skew
+from reportmill.llm import decontaminate, license_scan, ngram_join, pii, skew, store
 from reportmill.llm.components import components
 
 DOCS = "doc_id long, text string, source string"
@@ -456,3 +457,15 @@ def test_planted_terms_are_found_by_how_much_they_reveal(spark):
     # Of what is flagged, nearly all is planted or stands beside addresses as often by chance (three texts at least).
     right = [w for w in flagged if beside[w] >= pii.SUPPORT and beside[w] / df[w] >= 0.6]
     assert len(right) / len(flagged) > 0.99 and len(set(flagged) & set(planted)) / len(flagged) > 0.8
+
+
+def test_the_joins_texts_are_not_kept(spark):
+    """Texts laid beside pairs are deleted when the pairs are compared; the result doesn't need them."""
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base[:30], f"own{i}", *base[30:]] if i else base)) for i in range(6)], "doc_id long, text string")
+    shared = store.shared_dir(spark).removeprefix("file://")
+    left = lambda: {p.name for p in Path(shared).glob("*") if p.name.split("-")[0] in ("texts", "half")}
+    before = left()
+    out = ngram_join.ngram_components(docs, least=80)
+    assert left() == before
+    assert {r.component_id for r in out.collect()} == {0}
