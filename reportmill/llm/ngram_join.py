@@ -44,13 +44,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import NOT_SPACE, blocks, mix, signed, words
+from .bytewords import BLOCK_BYTES, NOT_SPACE, blocks, mix, signed, words
 from .components import components
 from .skew import join_hot
-from .store import delete, new_path, written
+from .store import delete, new_path, small_batches, written
 
 K = 3
 #: Two texts link when PER * intersection >= LEAST * union.
@@ -226,6 +227,44 @@ def _texts(docs: DataFrame, about: DataFrame, pairs: DataFrame, key: str, text:
     return written(rows.select("set", F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " ")).alias("words")).dropDuplicates(["set"]), "texts", path)
 
 
+def exact_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Sorted distinct numbers of each text's k-word shingles, or of the whole text if it has fewer words. Equal shingles, and no others, have equal numbers; nothing is hashed."""
+    split = pc.split_pattern(texts, " ")
+    n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    word = split.flatten().dictionary_encode()
+    none, names = len(word.dictionary), len(word.dictionary) + 1
+    width = np.maximum(n, k)
+    start = np.cumsum(width) - width
+    told = np.full(int(width.sum()) + k - 1, none, np.int64)  # texts of fewer than k words are filled up with a word that there isn't
+    told[np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)] = word.indices.to_numpy()
+    number, most = told[: len(told) - k + 1], names
+    for j in range(1, k):
+        if most * names >= 1 << 62:
+            ranks, number = np.unique(number, return_inverse=True)
+            most = len(ranks)
+        number = number * names + told[j : len(told) - k + 1 + j]
+        most *= names
+    return [np.unique(number[a : a + w - k + 1]) for a, w in zip(start.tolist(), width.tolist(), strict=True)]
+
+
+def linking(batches: Iterator[pa.RecordBatch], k: int, least: int, per: int) -> Iterator[pa.RecordBatch]:
+    """a and b of the rows (a, b, w_a, w_b) whose texts w_a and w_b link. Sets are held for rows of about BLOCK_BYTES of text (one row, if its texts are longer), however many rows a batch has."""
+    for batch in batches:
+        a, b = (batch.column(i).cast(pa.large_string()) for i in (2, 3))
+        end = np.cumsum(pc.binary_length(a).to_numpy() + pc.binary_length(b).to_numpy())
+        lo = 0
+        while lo < len(end):
+            hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + BLOCK_BYTES, "right")))
+            texts = pa.concat_arrays([a.slice(lo, hi - lo), b.slice(lo, hi - lo)]).dictionary_encode()  # a hub's text is taken once
+            found = exact_sets(texts.dictionary, k)
+            keep = []
+            for x, y in texts.indices.to_numpy().reshape(2, -1).T.tolist():
+                common = len(np.intersect1d(found[x], found[y], assume_unique=True))
+                keep.append(per * common >= least * (len(found[x]) + len(found[y]) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+            lo = hi
+
+
 def _compared(docs: DataFrame, about: DataFrame, pairs: DataFrame, key: str, text: str, k: int, least: int, per: int) -> DataFrame:
     """The pairs (a, b) of classes whose texts' sets of shingles link, by the words themselves. The texts are stored only until the links are."""
     texts_at, half_at = (new_path(docs.sparkSession, name) for name in ("texts", "half-compared"))
@@ -234,22 +273,7 @@ def _compared(docs: DataFrame, about: DataFrame, pairs: DataFrame, key: str, tex
     both = written(join_hot(pairs, of("a"), "a", size=F.octet_length("w_a")), "half-compared", half_at)
     both = join_hot(both, of("b"), "b", size=F.octet_length("w_b"))
 
-    def shingles(text: str) -> frozenset:
-        w = text.split(" ")
-        return frozenset(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else frozenset([tuple(w)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[str, frozenset] = {}  # of this batch's texts, among them the hubs
-            of_text = lambda t: held.get(t) or held.setdefault(t, shingles(t))
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = of_text(x), of_text(y)
-                common = len(s & t)
-                keep.append(per * common >= least * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    links = written(both.select("a", "b", "w_a", "w_b").mapInArrow(run, "a binary, b binary"), "links")
+    links = written(both.select("a", "b", "w_a", "w_b").mapInArrow(lambda batches: linking(batches, k, least, per), "a binary, b binary"), "links")
     for path in (texts_at, half_at):
         delete(docs.sparkSession, path)
     return links
@@ -304,6 +328,7 @@ def _split_pairs(docs: DataFrame, about: DataFrame, members: DataFrame, possible
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: int = LEAST, per: int = PER) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, text_hash, n and set of every row, and set and root (the name of its component) of the sets that are linked."""
+    small_batches(docs.sparkSession)
     each = written(sketch(docs, key, text, k), "sketches")
     filled = each.filter("n > 0")
     bits = [f"k{i}" for i in range(SKETCH)]

@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch of rows on its way to Python.
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder within the cluster's shared folder (spark.checkpoint.dir).
@@ -45,6 +49,15 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python have about BATCH_BYTES at most (a longer row goes alone), unless the session has a limit of its own.
+
+    Spark's default limit is 10,000 rows: with whole texts that is tens of MB, held by executor and Python worker alike.
+    """
+    if spark.conf.get(_LIMIT, None) is None:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """names, each with underscores added until no column has it (Spark compares names without case)."""
     taken = {c.lower() for c in columns}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sums import Passes, minimise
 from .bytewords import LETTERS, blocks, signed, words
-from .store import fresh, written
+from .store import fresh, small_batches, written
 
 SAMPLE = 30_000
 #: Steps of the fit at most.
@@ -255,6 +255,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic") -> Model:
     spark = docs.sparkSession
+    small_batches(spark)
     gold = labels.select(F.col(label_key).alias("__id"), F.col(label).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isNotNull() & ~held_out("__id")).groupBy("__id").agg(F.max("__y").alias("__y"))
     ids = written(_sample(docs, gold, key), "toxicity-sample")
     texts = docs.select(F.col(key).alias("__id"), F.coalesce(text, F.lit("")).alias("text"))
@@ -339,6 +340,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is below the threshold; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     (plain,) = fresh(docs.columns, "plain_text")
     shared = docs.sparkSession.sparkContext.broadcast((Members(model.features), model.weights, model.bias))
     columns = docs.columns

@@ -4,10 +4,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -469,3 +471,53 @@ def test_the_joins_texts_are_not_kept(spark):
     out = ngram_join.ngram_components(docs, least=80)
     assert left() == before
     assert {r.component_id for r in out.collect()} == {0}
+
+
+def long_pairs(n):
+    """A batch of n pairs of texts of 2,000 words; every second pair links at 80 of 100 with five-word shingles, the others differ in every fifth word."""
+    pick = random.Random(n)
+    rows = []
+    for i in range(n):
+        x = [f"w{pick.randrange(3000)}" for _ in range(2000)]
+        y = ["other" if j % (5 if i % 2 else 400) == 2 else w for j, w in enumerate(x)]
+        rows.append((b"a%d" % i, b"b%d" % i, " ".join(x), " ".join(y)))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["a", "b", "w_a", "w_b"])
+
+
+def test_comparing_pairs_takes_no_memory_for_all_texts_of_a_batch():
+    """Sets of shingles are held for a block of bytes: four times the pairs in a batch take no more memory, and the same pairs link."""
+    peaks = []
+    for n in (100, 400):
+        batch = long_pairs(n)
+        tracemalloc.start()
+        got = [x for out in ngram_join.linking(iter([batch]), 5, 80, 100) for x in out.column(0).to_pylist()]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert got == [b"a%d" % i for i in range(0, n, 2)]
+    assert peaks[1] < 1.5 * peaks[0] and peaks[1] < 24e6
+
+
+@pytest.mark.parametrize("k,least", [(1, 50), (3, 90), (5, 80)])
+def test_pairs_link_as_by_hand(k, least):
+    texts = [" ".join(t.lower().split()) for t in near_copies(11) if t and t.strip()]
+    pairs = [(x, y) for i, x in enumerate(texts) for y in texts[i + 1 : i + 9]]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i).encode() for i in range(len(pairs))])] * 2 + [pa.array(c) for c in zip(*pairs, strict=True)], ["a", "b", "w_a", "w_b"])
+    got = [int(x) for out in ngram_join.linking(iter([batch, batch.slice(0, 0)]), k, least, 100) for x in out.column(0).to_pylist()]
+    sets = [[sets_by_hand(t, k) for t in pair] for pair in pairs]
+    assert got == [i for i, (s, t) in enumerate(sets) if 100 * len(s & t) >= least * len(s | t)] and got
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    """Rows of long texts come in batches of about BATCH_BYTES; a limit that the session has stays."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    sizes = lambda: [r.b for r in spark.range(0, 300, 1, 1).selectExpr("repeat('word ', 10000) as text").mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["b"]) for b in bs), "b long").collect()]
+    try:
+        spark.conf.unset(limit)
+        ngram_join.keep_one(frame(spark, ["a b c", "d e f"]))
+        assert len(sizes()) > 2 and max(sizes()) < 2 * store.BATCH_BYTES
+        spark.conf.set(limit, str(64 << 20))
+        store.small_batches(spark)
+        assert len(sizes()) == 1
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
